@@ -1,17 +1,439 @@
-"""Queries of the cohort operators and their SQL counterparts."""
+"""Queries of the cohort operators over whole tables, and their SQL counterparts."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cohortloom.operators import attribution, bootstrap, cases, evaluation, expression, rules, scoring, spectra, survival
+from cohortloom.sources import bindings as B
 
 FLAGSHIP = "km_by_class"
+COVARIATES = ["qty", "disc"]
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles to a fixed number of digits, as both engines sum in their own order."""
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+
+# Survival ------------------------------------------------------------------------------------------------------------
+
+
+def _km_sql(by: str, source: str, weight: str = "1.0", where: str = "true", bounds: bool = True) -> str:
+    shown = """, round(CASE WHEN s > 0 AND s < 1 THEN s ** exp(1.959963984540054 * sqrt(vr) / abs(ln(s))) ELSE s END, 6) + 0.0 AS lower,
+  round(CASE WHEN s > 0 AND s < 1 THEN s ** exp(-1.959963984540054 * sqrt(vr) / abs(ln(s))) ELSE s END, 6) + 0.0 AS upper""" if bounds else ""
+    return f"""WITH {source},
+ev AS (SELECT {by}, entry AS t, {weight} AS came, 0.0::double AS lft, 0.0::double AS d, 0.0::double AS c FROM outcomes WHERE {where}
+  UNION ALL SELECT {by}, time, 0.0, {weight}, CASE WHEN event THEN {weight} ELSE 0.0 END, CASE WHEN event THEN 0.0 ELSE {weight} END FROM outcomes WHERE {where}),
+st AS (SELECT {by}, t, sum(came)::double AS came, sum(lft)::double AS lft, sum(d)::double AS d, sum(c)::double AS c FROM ev GROUP BY 1, 2),
+rn AS (SELECT *, sum(came - lft) OVER (PARTITION BY {by} ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM st),
+cv AS (SELECT *, product(1 - d / n) OVER w AS s, sum(CASE WHEN n > d THEN d / (n * (n - d)) ELSE 0 END) OVER w AS vr FROM rn WHERE lft > 0 WINDOW w AS (PARTITION BY {by} ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT {by}, t, round(n, 6) + 0.0 AS at_risk, round(d, 6) + 0.0 AS deaths, round(c, 6) + 0.0 AS censored, round(s, 6) + 0.0 AS survival{shown} FROM cv"""
+
+
+@query(_km_sql("grp", B.OUTCOMES_SQL))
+def km_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(survival.kaplan_meier(B.outcomes(spark, sf_dir), ["grp"]))
+
+
+@query(_km_sql("concordance", B.OUTCOMES_SQL, where="concordance <> 'empiric'"))
+def km_by_concordance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = B.outcomes(spark, sf_dir).where(F.col("concordance").isin(*survival.ARMS))
+    return rounded(survival.kaplan_meier(rows, ["concordance"]))
+
+
+_W = "CASE WHEN concordance = 'concordant' THEN 1 / propensity ELSE 1 / (1 - propensity) END"
+
+
+@query(_km_sql("concordance", B.OUTCOMES_SQL, weight=_W, where="concordance <> 'empiric'", bounds=False))
+def km_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = survival.weights(B.outcomes(spark, sf_dir))
+    return rounded(survival.kaplan_meier(rows, ["concordance"], F.col("weight")))
+
+
+@query(f"SELECT grp, min(CASE WHEN survival <= 0.5 THEN t END) AS median FROM ({_km_sql('grp', B.OUTCOMES_SQL)}) GROUP BY 1")
+def km_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survival.medians(km_by_class(spark, sf_dir), ["grp"])
+
+
+@query(f"""WITH {B.OUTCOMES_SQL}, tk AS (SELECT max(time) * i / 4 AS tick FROM outcomes, (SELECT unnest([0, 1, 2, 3, 4]) AS i) GROUP BY i)
+SELECT grp, tick, count(*) FILTER (CASE WHEN tick = 0 THEN entry = 0 ELSE entry < tick AND time >= tick END) AS at_risk FROM outcomes CROSS JOIN tk GROUP BY 1, 2""")
+def risk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survival.risk_table(B.outcomes(spark, sf_dir), ["grp"])
+
+
+_AT = """tm AS (SELECT DISTINCT time AS t FROM outcomes WHERE event),
+k AS (SELECT t, {g} AS g, (SELECT count(*) FROM outcomes o WHERE o.{g} = gs.{g} AND o.entry < t AND o.time >= t) AS n1, (SELECT count(*) FROM outcomes o WHERE o.{g} = gs.{g} AND o.event AND o.time = t) AS d1 FROM tm CROSS JOIN (SELECT DISTINCT {g} FROM outcomes) gs),
+a AS (SELECT *, sum(n1) OVER (PARTITION BY t) AS n, sum(d1) OVER (PARTITION BY t) AS d FROM k)"""
+
+
+@query(f"WITH {B.OUTCOMES_SQL}, {_AT.format(g='grp')} SELECT g AS grp, sum(d1)::double AS observed, round(sum(d * n1 / n), 6) + 0.0 AS expected FROM a GROUP BY 1")
+def log_rank_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(survival.log_rank_terms(B.outcomes(spark, sf_dir)))
+
+
+@query(f"""WITH {B.OUTCOMES_SQL}, {_AT.format(g="grp")} SELECT x.g, y.g AS h, round(sum(CASE WHEN x.n > 1 THEN x.d * (x.n - x.d) / (x.n - 1) * (CASE WHEN x.g = y.g THEN x.n1 / x.n ELSE 0 END - x.n1 * y.n1 / (x.n * x.n)) ELSE 0 END), 4) + 0.0 AS covariance FROM a x JOIN a y USING (t) GROUP BY 1, 2""")
+def log_rank_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(survival.log_rank_covariance(B.outcomes(spark, sf_dir)), 4)
+
+
+@query()
+def log_rank_two_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = B.outcomes(spark, sf_dir).where(F.col("concordance").isin(*survival.ARMS))
+    return rounded(survival.two_group_log_rank(rows, "concordance", "concordant"))
+
+
+@query(f"""WITH {B.OUTCOMES_SQL}, w AS (SELECT *, {_W} AS w FROM outcomes WHERE concordance <> 'empiric')
+SELECT concordance, count(*) AS patients, 0::bigint AS unusable, round(min(propensity), 6) + 0.0 AS min_propensity, round(max(propensity), 6) + 0.0 AS max_propensity, round(max(w), 6) + 0.0 AS max_weight, round(sum(w) * sum(w) / sum(w * w), 4) + 0.0 AS effective_n FROM w GROUP BY 1""")
+def weight_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = survival.weight_diagnostics(B.outcomes(spark, sf_dir))
+    return rounded(out).withColumn("effective_n", F.round("effective_n", 4) + 0.0)
+
+
+@query(f"""WITH {B.OUTCOMES_SQL}, w AS (SELECT *, {_W} AS w FROM outcomes WHERE concordance <> 'empiric'),
+l AS (SELECT concordance = 'concordant' AS a, w, 'qty' AS covariate, qty AS x FROM w UNION ALL SELECT concordance = 'concordant', w, 'disc', disc FROM w),
+m AS (SELECT covariate, avg(x) FILTER (a) AS m1, avg(x) FILTER (NOT a) AS m0, var_pop(x) FILTER (a) AS v1, var_pop(x) FILTER (NOT a) AS v0, sum(w * x) FILTER (a) / sum(w) FILTER (a) AS w1, sum(w * x) FILTER (NOT a) / sum(w) FILTER (NOT a) AS w0 FROM l GROUP BY 1)
+SELECT covariate, round((m1 - m0) / sqrt((v1 + v0) / 2), 6) + 0.0 AS unweighted_smd, round((w1 - w0) / sqrt((v1 + v0) / 2), 6) + 0.0 AS weighted_smd FROM m""")
+def covariate_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(survival.balance(B.outcomes(spark, sf_dir), COVARIATES))
+
+
+@query(f"""WITH {B.OUTCOMES_SQL} SELECT patient_id, 'duplicate patient' AS problem FROM outcomes GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT patient_id, 'exit does not follow entry' FROM outcomes WHERE time <= entry""")
+def outcome_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survival.problems(B.outcomes(spark, sf_dir))
+
+
+@query()
+def cox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fit = survival.cox(B.outcomes(spark, sf_dir), COVARIATES)
+    return spark.createDataFrame([(c["name"], c["log_hazard_ratio"], c["standard_error"], c["p_value"]) for c in fit["coefficients"]], "name string, log_hazard_ratio double, standard_error double, p_value double")
+
+
+# Evaluation ----------------------------------------------------------------------------------------------------------
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, p = B.predictions(spark, sf_dir)
+    return evaluation.scored(records.where("partition = 'test'"), p)
+
+
+def _named(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    return B.named(spark, B.CLASSES), B.named(spark, B.OUTCOMES)
+
+
+_P = "WITH " + B.PREDICTIONS_SQL
+_SUMMARY = """count(*) AS eligible, count(predicted) AS predicted, count(*) - count(predicted) AS failed, count(*) FILTER (accepted) AS accepted, round(count(*) FILTER (accepted) / count(*), 6) + 0.0 AS coverage,
+  round(count(*) FILTER (correct) / count(*), 6) + 0.0 AS top1, round(count(*) FILTER (in_top3) / count(*), 6) + 0.0 AS top3, round(count(*) FILTER (correct AND accepted) / nullif(count(*) FILTER (accepted), 0), 6) + 0.0 AS accepted_accuracy,
+  round(avg(brier), 6) + 0.0 AS brier, round(avg(log_loss), 6) + 0.0 AS log_loss"""
+
+
+@query(f"{_P} SELECT {_SUMMARY} FROM test")
+def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluation.summary(_scored(spark, sf_dir)))
+
+
+@query(f"{_P} SELECT partition, {_SUMMARY} FROM rows_ GROUP BY 1")
+def evaluation_by_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, p = B.predictions(spark, sf_dir)
+    return rounded(evaluation.summary(evaluation.scored(records, p), ["partition"]))
+
+
+_CONF = "conf AS (SELECT truth, coalesce(predicted, '__failed__') AS predicted, count(*) AS n FROM test GROUP BY 1, 2)"
+
+
+@query(f"{_P}, {_CONF} SELECT *, round(n / sum(n) OVER (PARTITION BY truth), 6) + 0.0 AS of_truth, round(n / sum(n) OVER (PARTITION BY predicted), 6) + 0.0 AS of_predicted FROM conf")
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluation.normalised_confusion(evaluation.confusion(_scored(spark, sf_dir))))
+
+
+_PER = """cls AS (SELECT class_id FROM kinds WHERE class_id <> 'signup' OR class_id IN (SELECT truth FROM test)),
+per0 AS (SELECT class_id, coalesce((SELECT sum(n) FROM conf WHERE truth = class_id), 0)::bigint AS support, coalesce((SELECT sum(n) FROM conf WHERE predicted = class_id), 0) AS claimed, coalesce((SELECT sum(n) FROM conf WHERE truth = class_id AND predicted = class_id), 0) AS hits FROM cls),
+per1 AS (SELECT class_id, support, coalesce(hits / nullif(claimed, 0), 0.0) AS precision, coalesce(hits / nullif(support, 0), 0.0) AS recall FROM per0),
+per AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM per1)"""
+
+
+@query(f"{_P}, {_CONF}, {_PER} SELECT class_id, support, round(precision, 6) + 0.0 AS precision, round(recall, 6) + 0.0 AS recall, round(f1, 6) + 0.0 AS f1 FROM per")
+def per_class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluation.per_class(_scored(spark, sf_dir), *_named(spark)))
+
+
+@query(f"{_P}, {_CONF}, {_PER} SELECT round(avg(f1), 6) + 0.0 AS macro_f1, round(sum(f1 * support) / sum(support), 6) + 0.0 AS weighted_f1 FROM per")
+def f1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluation.f1_summary(evaluation.per_class(_scored(spark, sf_dir), *_named(spark)), F.sum("support")))
+
+
+_BINS = "bins AS (SELECT b AS bin, count(p_top) AS n, avg(p_top) AS mean_confidence, avg(CASE WHEN correct THEN 1.0 WHEN NOT correct THEN 0.0 END) AS accuracy FROM (SELECT unnest(range(10)) AS b) LEFT JOIN test ON least(floor(p_top * 10), 9) = b GROUP BY 1)"
+
+
+@query(f"{_P}, {_BINS} SELECT bin, n, round(mean_confidence, 6) + 0.0 AS mean_confidence, round(accuracy, 6) + 0.0 AS accuracy FROM bins")
+def reliability_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluation.reliability(_scored(spark, sf_dir)))
+
+
+@query(f"{_P}, {_BINS} SELECT round(sum(abs(mean_confidence - accuracy) * n) / sum(n), 6) + 0.0 AS ece FROM bins")
+def calibration_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluation.expected_calibration_error(evaluation.reliability(_scored(spark, sf_dir))))
+
+
+_TH = "th AS (SELECT unnest([0.0, 0.5, 0.7, 0.8, 0.9, 0.95]::double[]) AS threshold)"
+
+
+@query(f"""{_P}, {_TH}, s AS (SELECT threshold, correct, coalesce(p_top >= threshold AND predicted <> 'signup', false) AS kept FROM test CROSS JOIN th)
+SELECT threshold, count(*) FILTER (kept) AS retained, round(count(*) FILTER (kept) / count(*), 6) + 0.0 AS coverage, round(count(*) FILTER (kept AND NOT correct) / nullif(count(*) FILTER (kept), 0), 6) + 0.0 AS error FROM s GROUP BY 1""")
+def selective_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluation.selective(_scored(spark, sf_dir), _named(spark)[0]))
+
+
+@query(f"""{_P}, {_TH}, kp AS (SELECT threshold, truth, predicted, correct FROM test CROSS JOIN th WHERE p_top >= threshold AND predicted <> 'signup'),
+cl AS (SELECT threshold, class_id, count(*) FILTER (truth = class_id) AS s, count(*) FILTER (predicted = class_id) AS c, count(*) FILTER (truth = class_id AND predicted = class_id) AS h FROM kp CROSS JOIN kinds GROUP BY 1, 2),
+fw AS (SELECT threshold, sum(s * coalesce(2.0 * h / nullif(s + c, 0), 0)) / sum(s) AS weighted_f1 FROM cl GROUP BY 1)
+SELECT threshold, count(*) AS retained, round(avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS accuracy, round(any_value(weighted_f1), 6) + 0.0 AS weighted_f1 FROM kp JOIN fw USING (threshold) GROUP BY 1""")
+def threshold_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluation.threshold_table(_scored(spark, sf_dir), *_named(spark)))
+
+
+@query(f"""{_P}, st AS (SELECT unnest(['named', 'signup']) AS stratum) SELECT stratum, count(sample_id) AS eligible, count(*) FILTER (sample_id IS NOT NULL AND predicted IS NULL) AS failed, count(*) FILTER (predicted IS NOT NULL AND NOT accepted) AS abstained, count(*) FILTER (correct) AS top1, count(*) FILTER (in_top3) AS top3
+FROM st LEFT JOIN test ON CASE WHEN truth = 'signup' THEN 'signup' ELSE 'named' END = stratum GROUP BY 1""")
+def reference_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.strata(_scored(spark, sf_dir), *_named(spark))
+
+
+_MAP = "CASE {c} WHEN 'click' THEN 'browse' WHEN 'view' THEN 'browse' WHEN 'purchase' THEN 'buy' ELSE {c} END"
+
+
+@query(f"""{_P}, bp AS (SELECT sample_id, {_MAP.format(c="class_id")} AS class_id, sum(p) AS p FROM probs GROUP BY 1, 2),
+br AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY round(p, 9) DESC, class_id) AS rk FROM bp),
+bt AS (SELECT t.sample_id, {_MAP.format(c="truth")} AS truth, b.class_id AS predicted FROM test t LEFT JOIN br b ON b.sample_id = t.sample_id AND rk = 1)
+SELECT truth, coalesce(predicted, '__failed__') AS predicted, count(*) AS n FROM bt GROUP BY 1, 2""")
+def broad_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, p = B.predictions(spark, sf_dir)
+    groups = spark.createDataFrame(list(B.BROAD.items()), "class_id string, broad string")
+    r, q = evaluation.relabelled(records.where("partition = 'test'"), p, groups)
+    return evaluation.confusion(evaluation.scored(r, q.withColumn("p", F.round("p", 9))))
+
+
+@query(f"{_P} SELECT sample_id, class_id, rk AS rank, round(p, 6) + 0.0 AS p, round(margin, 6) + 0.0 AS margin FROM ranked")
+def full_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluation.ranking(B.predictions(spark, sf_dir)[1]))
+
+
+@query(f"{_P} SELECT sample_id AS subject, 'truth is not an outcome' AS problem FROM days WHERE truth NOT IN (SELECT class_id FROM kinds)")
+def evaluation_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.problems(*B.predictions(spark, sf_dir), _named(spark)[1])
+
+
+@query()
+def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(bootstrap.intervals(bootstrap.replicate_measures(_scored(spark, sf_dir), _named(spark)[1])))
+
+
+# Cases ---------------------------------------------------------------------------------------------------------------
+
+_F = "WITH " + B.FINDINGS_SQL
+
+
+@query("SELECT c_custkey, CASE WHEN b < 6000 THEN 'development' WHEN b < 8000 THEN 'calibration' ELSE 'test' END AS partition FROM (SELECT c_custkey, cast('0x' || substr(sha256('42' || chr(0) || c_custkey::varchar), 1, 16) AS ubigint) % 10000 AS b FROM customer)")
+def patient_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cases.split(B.table(spark, sf_dir, "customer").select("c_custkey"), B.SEED, patient="c_custkey")
+
+
+@query("""WITH h AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')
+SELECT o_orderkey, o_custkey, CASE WHEN o_custkey IN (FROM h) THEN 'test' WHEN b < 6000 THEN 'development' WHEN b < 8000 THEN 'calibration' ELSE 'test' END AS partition
+FROM (SELECT *, cast('0x' || substr(sha256('42' || chr(0) || o_custkey::varchar), 1, 16) AS ubigint) % 10000 AS b FROM orders)""")
+def split_with_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = B.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return cases.split(o, B.SEED, "1-URGENT", "o_custkey", "o_orderpriority").select("o_orderkey", "o_custkey", "partition")
+
+
+@query(f"{_F} SELECT record, case_id, issue FROM issues")
+def finding_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cases.issues(B.findings(spark, sf_dir))
+
+
+@query(f"""{_F}, ver AS (SELECT case_id, case_id IN (SELECT case_id FROM issues) AS bad FROM (SELECT DISTINCT case_id FROM findings))
+SELECT 'rows' AS measure, 'all' AS key, count(*) AS n FROM findings UNION ALL SELECT 'cases', CASE WHEN bad THEN 'rejected' ELSE 'accepted' END, count(*) FROM ver GROUP BY 2 UNION ALL SELECT 'issues', issue, count(*) FROM issues GROUP BY 2""")
+def import_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cases.import_report(B.findings(spark, sf_dir))
+
+
+@query(f"{_F} SELECT case_id, any_value(patient_id) AS patient_id, any_value(sample_id) AS sample_id, count(*) AS n_findings, min(record) AS first_record FROM findings WHERE case_id NOT IN (SELECT case_id FROM issues) GROUP BY 1")
+def assembled_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = cases.assembled(B.findings(spark, sf_dir))
+    return made.select("case_id", "patient_id", "sample_id", F.size("findings").cast("long").alias("n_findings"), F.col("findings")[0]["record"].alias("first_record"))
+
+
+@query(f"{_F} SELECT patient_id, count(DISTINCT sample_id) AS samples, min(record) AS first_record FROM findings GROUP BY 1 HAVING count(DISTINCT sample_id) > 1")
+def several_specimens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cases.several_specimens(B.findings(spark, sf_dir))
+
+
+@query("SELECT doc_id, doc_id > min(doc_id) OVER (PARTITION BY md5(text)) AS again FROM documents")
+def first_seen_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = B.table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("k"))
+    return cases.first_seen(docs, ["k"], "doc_id").select("doc_id", "again")
+
+
+# Expression ----------------------------------------------------------------------------------------------------------
+
+_E = "WITH " + B.PROFILES_SQL
+
+
+@query(f"""{_E} SELECT sample_id, count(*) AS total, count(*) AS measured, 0::bigint AS missing, 0::bigint AS invalid, count(*) FILTER (value = 0) AS zero, count(*) AS resolved, 0::bigint AS ambiguous, 0::bigint AS unmapped, 0::bigint AS duplicate,
+round(min(value), 6) + 0.0 AS min, round(max(value), 6) + 0.0 AS max, 1.0::double AS mapping_rate, 'pass' AS qc FROM profiles GROUP BY 1""")
+def expression_qc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = B.profiles(spark, sf_dir)
+    rows = p.select("sample_id", F.substring("gene", 2, 9).cast("long").alias("record"), F.col("gene").alias("original"), F.lit("resolved").alias("mapping"), "gene", F.lit("measured").alias("status"), "value")
+    return rounded(expression.quality_control(rows))
+
+
+@query(f"{_E} SELECT class_id, gene, round(avg(value), 5) + 0.0 AS mean, count(*) AS members FROM profiles WHERE role = 'reference' GROUP BY 1, 2")
+def class_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = B.profiles(spark, sf_dir).where("role = 'reference'")
+    return rounded(expression.centroids(p, p.select("sample_id", "class_id").distinct()), 5)
+
+
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = B.profiles(spark, sf_dir)
+    ref = p.where("role = 'reference'")
+    return expression.compare(p.where("role = 'query'"), expression.centroids(ref, ref.select("sample_id", "class_id").distinct()))
+
+
+@query(f"""{_E}, cen AS (SELECT class_id, gene, avg(value) AS mean FROM profiles WHERE role = 'reference' GROUP BY 1, 2),
+r AS (SELECT q.sample_id, c.class_id, count(*) AS n, corr(q.value, c.mean) AS r FROM profiles q JOIN cen c USING (gene) WHERE role = 'query' GROUP BY 1, 2)
+SELECT sample_id, class_id, n, round(r, 5) + 0.0 AS r, row_number() OVER (PARTITION BY sample_id ORDER BY r DESC, class_id) AS position, 'compared' AS status FROM r""")
+def reference_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_compared(spark, sf_dir), 5)
+
+
+@query(f"{_E} SELECT gene FROM profiles GROUP BY 1 HAVING count(DISTINCT sample_id) = (SELECT count(DISTINCT sample_id) FROM profiles)")
+def common_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return expression.common_genes(B.profiles(spark, sf_dir))
+
+
+@query(f"{_E} SELECT sample_id, gene, round(value, 6) + 0.0 AS value FROM (SELECT sample_id, gene, value FROM profiles WHERE contains(lower(gene), 'g1') ORDER BY value DESC, gene, sample_id LIMIT 50)")
+def explore_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limit is the feature: the largest values of the genes that match."""
+    return rounded(expression.explore(B.profiles(spark, sf_dir).select("sample_id", "gene", "value"), "G1", 50))
+
+
+@query(f"{_E} SELECT round(avg(CASE WHEN value < 0.05 THEN 1.0 WHEN value = 0.05 THEN 0.5 ELSE 0.0 END) * 100, 6) + 0.0 AS percentile FROM profiles WHERE gene = 'G7'")
+def background_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(expression.percentile_of(B.profiles(spark, sf_dir).where("gene = 'G7'"), 0.05))
+
+
+# Spectra -------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {B.VARIANTS_SQL}, one AS (SELECT sample_id, CASE WHEN reference IN ('A', 'G') THEN translate(reverse(context), 'ACGT', 'TGCA') ELSE context END AS c, CASE WHEN reference IN ('A', 'G') THEN translate(alternate, 'ACGT', 'TGCA') ELSE alternate END AS a FROM variants WHERE somatic AND reference <> alternate),
+ch AS (SELECT l || '[' || r || '>' || a || ']' || t AS channel, r, a, l, t FROM (SELECT unnest(['A', 'C', 'G', 'T']) AS l), (SELECT unnest(['C', 'T']) AS r), (SELECT unnest(['A', 'C', 'G', 'T']) AS a), (SELECT unnest(['A', 'C', 'G', 'T']) AS t) WHERE r <> a),
+nm AS (SELECT channel, row_number() OVER (ORDER BY r, a, l, t) - 1 AS number FROM ch),
+ct AS (SELECT sample_id, c[1] || '[' || c[2] || '>' || a || ']' || c[3] AS channel, count(*) AS n FROM one GROUP BY 1, 2)
+SELECT s.sample_id, nm.channel, nm.number::int AS number, coalesce(n, 0) AS n FROM (SELECT DISTINCT sample_id FROM ct) s CROSS JOIN nm LEFT JOIN ct ON ct.sample_id = s.sample_id AND ct.channel = nm.channel""")
+def mutation_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectra.spectrum(B.variants(spark, sf_dir)).select("sample_id", "channel", "number", "n")
+
+
+@query()
+def spectrum_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("number")
+    c = spectra.channels(spark)
+    weights = [("S1", F.when(k < 16, 1.0).otherwise(0.05)), ("S2", F.when(k.between(32, 47), 1.0).otherwise(0.1)), ("S3", (k % 4 == 0).cast("double") + 0.2)]
+    rows = None
+    for name, w in weights:
+        one = c.select(F.lit(name).alias("signature"), "channel", w.alias("w"))
+        rows = one if rows is None else rows.unionByName(one)
+    total = rows.groupBy("signature").agg(F.sum("w").alias("t"))
+    catalogue = rows.join(total, "signature").select("signature", "channel", (F.col("w") / F.col("t")).alias("weight"))
+    return rounded(spectra.refit(spectra.spectrum(B.variants(spark, sf_dir)), catalogue, 20))
+
+
+# Attribution ---------------------------------------------------------------------------------------------------------
+
+_G = "WITH " + B.GAMES_SQL
+
+
+@query(f"""{_G}, f AS (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS feature, unnest([1, 2, 4, 8, 16]) AS bit)
+SELECT feature, round(sum((b.value - a.value) / (5 * CASE bit_count(a.mask) WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 2 THEN 6 WHEN 3 THEN 4 ELSE 1 END)), 6) + 0.0 AS contribution FROM game a JOIN f ON a.mask & bit = 0 JOIN game b ON b.mask = a.mask | bit GROUP BY 1""")
+def shapley_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(attribution.exact(B.games(spark, sf_dir), sorted(B.OUTCOMES)))
+
+
+@query()
+def shapley_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(attribution.sampled(attribution.permutation_prefixes(spark, 5, 24), B.games(spark, sf_dir), sorted(B.OUTCOMES)))
+
+
+@query(f"{_G} SELECT (SELECT round(value, 6) + 0.0 FROM game WHERE mask = 0) AS base, (SELECT round(value, 6) + 0.0 FROM game WHERE mask = 31) AS full, 0.0::double AS residual")
+def shapley_additivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    game = B.games(spark, sf_dir)
+    return rounded(attribution.additivity(game, attribution.exact(game, sorted(B.OUTCOMES)), 5))
+
+
+@query()
+def attribution_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    game, names = B.games(spark, sf_dir), sorted(B.OUTCOMES)
+    return rounded(attribution.stability(attribution.exact(game, names), attribution.sampled(attribution.permutation_prefixes(spark, 5, 24), game, names), 3))
+
+
+@query("""SELECT event_type, event_id, (rank() OVER (PARTITION BY event_type ORDER BY value) - 1 + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2)::double AS mid_rank FROM events""")
+def mid_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = B.table(spark, sf_dir, "events").select("event_type", "event_id", "value")
+    return attribution.mid_ranks(e, ["event_type"], "value").select("event_type", "event_id", F.col("mid_rank").cast("double").alias("mid_rank"))
+
+
+@query("""SELECT event_type, count(*) AS n, round(avg(value), 6) + 0.0 AS mean, round(stddev_samp(value), 6) + 0.0 AS sd, round(min(value), 6) + 0.0 AS min, round(max(value), 6) + 0.0 AS max FROM events GROUP BY 1""")
+def repeatability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(scoring.repeatability(B.table(spark, sf_dir, "events"), ["event_type"], "value"))
+
+
+# Rules ---------------------------------------------------------------------------------------------------------------
+
+RULES = [
+    rules.Rule("histology", "marker", "biopsy", investigation=True),
+    rules.Rule("imaging", "metastatic", "imaging", investigation=True),
+    rules.Rule("restricted-panel", "metastatic and marker", "panel", investigation=True, restricted=True),
+    rules.Rule("support", "not fit_for_treatment or fit_for_treatment is null"),
+    rules.Rule("review-age", "age_years >= 70 or marker"),
+]
+
+_STATUS = """CASE WHEN NOT in_scope THEN 'out_of_scope' WHEN in_scope IS NULL THEN 'scope_unknown' WHEN restricted AND NOT managed THEN 'restricted' WHEN inv AND managed IS NULL THEN 'needs_discussion'
+  WHEN NOT cond THEN 'not_applicable' WHEN cond IS NULL THEN 'needs_information' WHEN found = 'completed' THEN 'completed' WHEN found IN ('ordered', 'planned') THEN 'in_progress' ELSE 'for_review' END"""
+
+
+@query(f"""WITH o AS (SELECT o_custkey, max(o_totalprice) AS most, bool_or(o_orderstatus = 'F') AS marker FROM orders GROUP BY 1),
+c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 13 <> 0 THEN c_custkey % 90 END AS age, CASE WHEN o_custkey IS NOT NULL THEN most > 1000 END AS met, CASE WHEN c_custkey % 17 <> 0 THEN c_acctbal > 0 END AS fit,
+  CASE WHEN c_custkey % 19 <> 0 THEN true END AS chg, CASE WHEN c_custkey % 23 <> 0 THEN true END AS risks, marker FROM customer LEFT JOIN o ON o_custkey = c_custkey),
+s AS (SELECT *, coalesce(age >= 18, true) AND k % 5 <> 0 AND CASE WHEN k % 7 <> 0 THEN k % 7 <> 1 END AND met AS in_scope, fit AND chg AND risks AS managed FROM c),
+r AS (SELECT k, in_scope, managed, 'histology' AS rule_id, marker AS cond, true AS inv, false AS restricted, NULL AS found FROM s
+  UNION ALL SELECT k, in_scope, managed, 'imaging', met, true, false, CASE WHEN k % 8 = 0 THEN 'completed' WHEN k % 4 = 0 THEN 'ordered' END FROM s
+  UNION ALL SELECT k, in_scope, managed, 'restricted-panel', met AND marker, true, true, NULL FROM s
+  UNION ALL SELECT k, in_scope, managed, 'support', NOT fit OR fit IS NULL, false, false, NULL FROM s
+  UNION ALL SELECT k, in_scope, managed, 'review-age', age >= 70 OR marker, false, false, NULL FROM s)
+SELECT k AS case_id, rule_id, CASE WHEN cond THEN 'yes' WHEN NOT cond THEN 'no' ELSE 'unknown' END AS condition, {_STATUS} AS status FROM r""")
+def rule_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = B.rule_cases(spark, sf_dir)
+    return rules.evaluate(rows.withColumn("in_scope", rules.scope()).withColumn("managed", rules.management()), RULES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
