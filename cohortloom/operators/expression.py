@@ -53,8 +53,7 @@ def resolved(ids: DataFrame, keys: DataFrame, original: str = "original") -> Dat
     name = stripped(F.col(original))
     space = F.when(F.rlike(name, F.lit(r"\A(?i:HGNC):\d+\z")), "hgnc").when(F.rlike(name, F.lit(r"\AENSG\d+(\.\d+)?\z")), "ensembl").when(F.rlike(name, F.lit(r"\A\d+\z")), "entrez").otherwise("symbol")
     key = F.when(space == "ensembl", F.regexp_replace(name, r"\.\d+$", "")).when(space == "symbol", ascii_lower(name)).when(space == "hgnc", F.upper(name)).otherwise(name)
-    asked = ids.select(F.col(original).alias("original")).distinct()
-    asked = asked.select("original", *[c.alias(n) for c, n in ((F.when(space.isNotNull(), space), "namespace"), (key, "key"))]) if original == "original" else ids.select(F.col(original).alias("original"), space.alias("namespace"), key.alias("key")).distinct()
+    asked = ids.select(F.col(original).alias("original"), space.alias("namespace"), key.alias("key")).distinct()
     # One join: a symbol is asked for as symbol and as alias, and the first that has hits wins.
     spaces = F.when(F.col("namespace") == "symbol", F.array(F.lit("symbol"), F.lit("alias"))).otherwise(F.array("namespace"))
     each = asked.select("original", "key", F.explode(spaces).alias("namespace"))
