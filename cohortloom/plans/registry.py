@@ -406,25 +406,26 @@ def repeatability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RULES = [
     rules.Rule("histology", "marker", "biopsy", investigation=True),
-    rules.Rule("imaging", "metastatic", "imaging", investigation=True),
-    rules.Rule("restricted-panel", "metastatic and marker", "panel", investigation=True, restricted=True),
+    rules.Rule("imaging", "metastatic", "imaging", investigation=True, restricted=True),
+    rules.Rule("panel", "metastatic and marker", "panel", investigation=True, discussion="fit_for_treatment"),
     rules.Rule("support", "not fit_for_treatment or fit_for_treatment is null"),
     rules.Rule("review-age", "age_years >= 70 or marker"),
 ]
 
-_STATUS = """CASE WHEN NOT in_scope THEN 'out_of_scope' WHEN in_scope IS NULL THEN 'scope_unknown' WHEN restricted AND NOT managed THEN 'restricted' WHEN inv AND managed IS NULL THEN 'needs_discussion'
-  WHEN NOT cond THEN 'not_applicable' WHEN cond IS NULL THEN 'needs_information' WHEN found = 'completed' THEN 'completed' WHEN found IN ('ordered', 'planned') THEN 'in_progress' ELSE 'for_review' END"""
+_STATUS = """CASE WHEN NOT (in_scope AND cond) THEN CASE WHEN in_scope AND restricted AND found IN ('planned', 'pending') THEN 'conflict' ELSE 'not_applicable' END
+  WHEN (in_scope AND cond) IS NULL OR disc IS NULL THEN 'insufficient_information' WHEN NOT disc THEN 'needs_review' WHEN found = 'completed' THEN 'recorded'
+  WHEN found IN ('declined', 'not_indicated', 'contraindicated') THEN 'exception_recorded' WHEN inv AND NOT managed THEN 'blocked' WHEN inv AND managed IS NULL THEN 'insufficient_information' WHEN found IS NOT NULL THEN 'pending' ELSE 'needs_review' END"""
 
 
 @query(f"""WITH o AS (SELECT o_custkey, max(o_totalprice) AS most, bool_or(o_orderstatus = 'F') AS marker FROM orders GROUP BY 1),
 c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 13 <> 0 THEN c_custkey % 90 END AS age, CASE WHEN o_custkey IS NOT NULL THEN most > 1000 END AS met, CASE WHEN c_custkey % 17 <> 0 THEN c_acctbal > 0 END AS fit,
   CASE WHEN c_custkey % 19 <> 0 THEN true END AS chg, CASE WHEN c_custkey % 23 <> 0 THEN true END AS risks, marker FROM customer LEFT JOIN o ON o_custkey = c_custkey),
 s AS (SELECT *, coalesce(age >= 18, true) AND k % 5 <> 0 AND CASE WHEN k % 7 <> 0 THEN k % 7 <> 1 END AND met AS in_scope, fit AND chg AND risks AS managed FROM c),
-r AS (SELECT k, in_scope, managed, 'histology' AS rule_id, marker AS cond, true AS inv, false AS restricted, NULL AS found FROM s
-  UNION ALL SELECT k, in_scope, managed, 'imaging', met, true, false, CASE WHEN k % 8 = 0 THEN 'completed' WHEN k % 4 = 0 THEN 'ordered' END FROM s
-  UNION ALL SELECT k, in_scope, managed, 'restricted-panel', met AND marker, true, true, NULL FROM s
-  UNION ALL SELECT k, in_scope, managed, 'support', NOT fit OR fit IS NULL, false, false, NULL FROM s
-  UNION ALL SELECT k, in_scope, managed, 'review-age', age >= 70 OR marker, false, false, NULL FROM s)
+r AS (SELECT k, in_scope, managed, 'histology' AS rule_id, marker AS cond, true AS inv, false AS restricted, true AS disc, NULL AS found FROM s
+  UNION ALL SELECT k, in_scope, managed, 'imaging', met, true, true, true, CASE WHEN k % 8 = 0 THEN 'completed' WHEN k % 4 = 0 THEN 'planned' END FROM s
+  UNION ALL SELECT k, in_scope, managed, 'panel', met AND marker, true, false, fit, NULL FROM s
+  UNION ALL SELECT k, in_scope, managed, 'support', NOT fit OR fit IS NULL, false, false, true, NULL FROM s
+  UNION ALL SELECT k, in_scope, managed, 'review-age', age >= 70 OR marker, false, false, true, NULL FROM s)
 SELECT k AS case_id, rule_id, CASE WHEN cond THEN 'yes' WHEN NOT cond THEN 'no' ELSE 'unknown' END AS condition, {_STATUS} AS status FROM r""")
 def rule_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = B.rule_cases(spark, sf_dir)

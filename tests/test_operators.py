@@ -153,3 +153,34 @@ def test_scoring_memo_and_budget(spark):
     assert got == [None, "choice_is_not_a_maximum", "wrong_model", "sum_is_not_one", "no_probabilities"]
     slots = scoring.masked(spark.createDataFrame([("s", "f2", "observed", "v", "g2"), ("s", "f1", "observed", "w", "g1")], "sample_id string, feature_id string, status string, value string, group string"), F.array(F.lit("g1"))).orderBy("slot").collect()
     assert [(x["feature_id"], x["status"]) for x in slots] == [("f1", "observed"), (None, "withheld")]
+
+
+def guided(spark, **changes):
+    base = {
+        "case_id": "c", "age_years": 60, "age_lower_bound": None, "stage": "muo", "lineage": "carcinoma", "sex_at_birth": "male", "metastatic": True, "fit_for_treatment": True, "changes_management": True, "understands_purpose": True,
+        "understands_risks": True, "accepts_treatment": True, "histology_confirmed": True, "cytology_confirmed": None, "initial_workup_complete": True, "specialist_review_complete": None, "further_investigations_complete": None,
+        "ecog": 1, "ldh": "normal", "albumin": None, "liver_metastases": False, "stop_rationale_explained": None, "support_needs_addressed": None, "key_worker_assigned": False, "flags": {"adenocarcinoma": True}, "investigations": [],
+    } | changes
+    schema = """case_id string, age_years int, age_lower_bound int, stage string, lineage string, sex_at_birth string, metastatic boolean, fit_for_treatment boolean, changes_management boolean, understands_purpose boolean,
+        understands_risks boolean, accepts_treatment boolean, histology_confirmed boolean, cytology_confirmed boolean, initial_workup_complete boolean, specialist_review_complete boolean, further_investigations_complete boolean,
+        ecog int, ldh string, albumin string, liver_metastases boolean, stop_rationale_explained boolean, support_needs_addressed boolean, key_worker_assigned boolean, flags map<string,boolean>, investigations array<struct<kind:string,status:string>>"""
+    df = rules.with_flags(spark.createDataFrame([tuple(base.values())], schema))
+    df = df.withColumn("in_scope", rules.scope()).withColumn("managed", rules.management()).withColumn("stage_basis", rules.stage_basis())
+    return {r["rule_id"]: r["status"] for r in rules.evaluate(df, rules.GUIDANCE).collect()}, {r["item"]: r["status"] for r in rules.context_items(df).collect()}
+
+
+def test_guidance(spark):
+    assert len(rules.GUIDANCE) == 23
+    got, context = guided(spark)
+    assert got["initial-ct"] == "needs_review" and got["ihc-panel"] == "needs_review" and got["pet-cervical"] == "not_applicable" and got["marker-ca125"] == "not_applicable" and got["marker-hcg"] == "insufficient_information"
+    assert context == {"scope": "recorded", "stage-review": "information", "investigation-benefit": "recorded", "prognostic-context": "insufficient_information", "support-after-investigation-stop": "not_applicable", "key-worker": "needs_review", "genomic-update": "information"}
+    got, _ = guided(spark, investigations=[("ct_chest_abdomen_pelvis", "completed"), ("ihc_panel", "declined"), ("chest_xray", "pending"), ("psa", "planned")], flags={"adenocarcinoma": True, "prostate_presentation": False})
+    assert (got["initial-ct"], got["ihc-panel"], got["initial-cxr"], got["marker-psa"]) == ("recorded", "exception_recorded", "pending", "conflict")
+    got, context = guided(spark, fit_for_treatment=False)
+    assert got["ihc-panel"] == "blocked" and got["cup-team"] == "needs_review" and context["investigation-benefit"] == "blocked" and context["support-after-investigation-stop"] == "insufficient_information"
+    got, context = guided(spark, age_years=10)
+    assert set(got.values()) == {"not_applicable"} and context["scope"] == "not_applicable"
+    got, context = guided(spark, stage="confirmed_cup", flags={"adenocarcinoma": True})
+    assert got["ihc-panel"] == "insufficient_information" and context["stage-review"] == "insufficient_information"
+    got, _ = guided(spark, stage="provisional_cup", flags={"extra_cervical_presentation": True, "pet_ct_discussed_with_cup_team": False})
+    assert got["pet-extra-cervical"] == "needs_review"
