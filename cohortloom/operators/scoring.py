@@ -131,3 +131,53 @@ def compatible_background(query: DataFrame, background: DataFrame) -> DataFrame:
 def offline(responses: DataFrame, classes: Column) -> DataFrame:
     """Stored responses replayed: checked as live ones are, and marked as unverified."""
     return responses.withColumn("problem", response_problem(classes)).withColumn("verified", F.lit(False))
+
+
+def run(rows: DataFrame, scorer: Scorer, budget: Budget, memo_path: str, attempts_path: str, resend_uncertain: bool = False) -> DataFrame:
+    """Score what the memo lacks, within the budget: attempts are written, then the answers. Returns the memo.
+
+    A run that was cut off leaves attempts without answers. They are not sent again unless the caller asks for it, since
+    nobody knows whether the scorer had them.
+    """
+    spark = rows.sparkSession
+    memo = _stored(spark, memo_path, "request_sha256 string, response string")
+    tried = _stored(spark, attempts_path, "request_sha256 string, reserved long")
+    todo = to_score(synthetic_only(rows), memo)
+    if not resend_uncertain:
+        todo = todo.join(uncertain(tried, memo), "request_sha256", "left_anti")
+    sent, _ = within_budget(todo.where(token_estimate(F.col("request")) <= WINDOW_TOKENS), budget)
+    number = f"{spark.sparkContext.applicationId}-{abs(hash((memo_path, tried.count())))}"
+    sent.select("request_sha256", F.octet_length("request").cast("long").alias("reserved"), "request").write.parquet(f"{attempts_path}/batch={number}")
+    frozen = spark.read.parquet(f"{attempts_path}/batch={number}")
+    score(frozen, scorer).write.parquet(f"{memo_path}/batch={number}")
+    return _stored(spark, memo_path, "request_sha256 string, response string")
+
+
+def _stored(spark, path: str, schema: str) -> DataFrame:
+    """A table of batches, empty before the first."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def paired_arms(rows: DataFrame, case: str = "ordinal") -> DataFrame:
+    """Two versions of each case, the first to be scored alternating with the case's parity."""
+    order = F.when(F.col(case) % 2 == 0, F.array(F.lit("baseline"), F.lit("candidate"))).otherwise(F.array(F.lit("candidate"), F.lit("baseline")))
+    return rows.select("*", F.posexplode(order).alias("turn", "arm"))
+
+
+def cohort(records: DataFrame, answers: DataFrame) -> DataFrame:
+    """Every case stays: those without an answer get the failure budget_not_run."""
+    have = answers.select("request_sha256", F.lit(True).alias("__have")).distinct()
+    return records.join(have, "request_sha256", "left").withColumn("failure", F.when(F.col("__have").isNull(), "budget_not_run")).drop("__have")
+
+
+def inventory(features: DataFrame, visible=None) -> DataFrame:
+    """(modality, status, n); with `visible` (array of groups), hidden features count as withheld."""
+    status = F.col("status") if visible is None else F.when(F.array_contains(visible, F.col("group")), F.col("status")).otherwise("withheld")
+    return features.groupBy("modality", status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def observed_groups(features: DataFrame) -> DataFrame:
+    return features.where("status = 'observed'").select("group").distinct().orderBy("group")
