@@ -8,8 +8,9 @@ Every suffix (a position of a text, taken to 50 bytes) would be too much to sort
    positions there is a shift below 31 that takes both into the cover, so two equal 50-byte strings hold two equal
    sample blocks of 20 bytes at one such shift. Each chunk sorts the names of its blocks and sends each name once, in
    buckets of names; a bucket's task sorts that bucket and ranks a name as unique or repeated over the chunks.
-3. Suffixes without a repeated sample block in reach can have no match and drop out. The others are named by their
-   50 bytes (64-bit names), again once per chunk and bucket; one bucket at a time is sorted, and long ties - a name
+3. Suffixes without a repeated sample block in reach can have no match and drop out. The others go in blocks by their
+   first bytes, one block after the other, and are named by their 50 bytes (64-bit names), again once per chunk and
+   bucket; one bucket at a time is sorted, and long ties - a name
    that many chunks hold - are resolved by the chunk's rank: all but the first chunk learn that an earlier one has it.
 4. Each chunk marks the suffixes that start earlier elsewhere, or in an earlier document of its own, and covers them.
 
@@ -39,17 +40,18 @@ LENGTH = 50
 PERIOD = 31
 COVER = (0, 1, 3, 8, 12, 18)
 SAMPLE = LENGTH - PERIOD + 1
-CHUNK = 12 << 20
+CHUNK = 6 << 20
+BLOCKS = 2
 
 _CHUNKS = "chunk long, ids array<long>, sizes array<int>, blob binary"
 _NAMES = "bucket long, chunk long, n int, names binary"
 
 
 def _words(blob: bytes, n: int) -> np.ndarray:
-    """The 8 bytes from each position as one number."""
+    """The 8 bytes from each position as one number, as an aligned array."""
     padded = np.zeros(n + 64, dtype=np.uint8)
     padded[:n] = np.frombuffer(blob, dtype=np.uint8)
-    return np.ndarray(shape=(n + 56,), dtype="<u8", buffer=padded.data, strides=(1,))
+    return np.array(np.ndarray(shape=(n + 56,), dtype="<u8", buffer=padded.data, strides=(1,)))
 
 
 def _names(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
@@ -99,11 +101,21 @@ def _repeated(names: np.ndarray) -> np.ndarray:
 
 
 def _among(names: np.ndarray, some: np.ndarray) -> np.ndarray:
-    """Which names are among the sorted `some`."""
+    """Which names are among the sorted `some`; a table of folded names rules most of the others out first."""
+    found = np.zeros(len(names), dtype=bool)
     if not len(some) or not len(names):
-        return np.zeros(len(names), dtype=bool)
-    at = np.minimum(np.searchsorted(some, names), len(some) - 1)
-    return some[at] == names
+        return found
+    if len(names) < 1 << 16:
+        at = np.minimum(np.searchsorted(some, names), len(some) - 1)
+        return some[at] == names
+    fold = lambda x: ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
+    there = np.zeros(1 << 22, dtype=bool)
+    there[fold(some)] = True
+    maybe = np.flatnonzero(there[fold(names)])
+    asked = names[maybe]
+    at = np.minimum(np.searchsorted(some, asked), len(some) - 1)
+    found[maybe] = some[at] == asked
+    return found
 
 
 class Chunk:
@@ -128,22 +140,25 @@ class Chunk:
         at = (np.arange(0, self.n, PERIOD, dtype=np.int64)[:, None] + np.array(COVER)).ravel()
         at = at[at < self.n]
         at = at[self.inside(SAMPLE)[at]]
-        return at, _names(self.words, at, SAMPLE) >> np.uint64(16)
+        return at, _names(self.words, at, SAMPLE) >> np.uint64(16) << np.uint64(16)
 
-    def suffixes(self, elsewhere: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and names of the 50-byte strings that hold a sample repeated here or elsewhere."""
+    def suffixes(self, shared: list[dict] | None, buckets: int) -> np.ndarray:
+        """Places of the 50-byte strings that hold a sample repeated here or elsewhere."""
         if not self.n:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+            return np.zeros(0, dtype=np.int64)
         at, names = self.samples()
-        hit = _among(names, elsewhere) | _among(names, _repeated(names))
+        hit = _among(names, _flagged(_distinct(names), shared, buckets)) | _among(names, _repeated(names))
         count = np.zeros(self.n + LENGTH, dtype=np.int32)
         count[at[hit]] = 1
         np.cumsum(count, out=count)
         reach = LENGTH - SAMPLE
         near = count[reach : reach + self.n].copy()
         near[1:] -= count[: self.n - 1]
-        places = np.flatnonzero((near > 0) & self.inside(LENGTH))
-        return places, _names(self.words, places, LENGTH)
+        return np.flatnonzero((near > 0) & self.inside(LENGTH))
+
+    def block_of(self, places: np.ndarray, blocks: int) -> np.ndarray:
+        """The block of each suffix, by its first bytes."""
+        return ((self.words[places] * np.uint64(0xC4CEB9FE1A85EC53)) >> np.uint64(40)) % np.uint64(blocks)
 
     def results(self, places: np.ndarray, names: np.ndarray, earlier: np.ndarray) -> Iterator[tuple]:
         """(doc_id, n_bytes, n_removed, n_spans, kept bytes) of each text."""
@@ -209,14 +224,15 @@ def _each(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
 
 
-def _marks(row: dict, field: str) -> np.ndarray:
-    """The names of a chunk's bucket that its marks pick out: sorted, over all buckets."""
-    found = [np.frombuffer(zstandard.ZstdDecompressor().decompress(m["names"]), dtype=np.uint64) for m in sorted(row[field] or [], key=lambda m: m["bucket"])]
-    return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
+def _flagged(names: np.ndarray, marks: list[dict] | None, buckets: int) -> np.ndarray:
+    """Of the sorted names that were sent, those whose bits came back set."""
+    bits = {m["bucket"]: m["bits"] for m in marks or []}
+    found = [names[at:to][np.unpackbits(np.frombuffer(bits[b], dtype=np.uint8), count=to - at).astype(bool)] for b, at, to in _by_bucket(names, buckets) if b in bits]
+    return np.concatenate(found) if found else names[:0]
 
 
 def _sorted_buckets(names: DataFrame, first_stays: bool, what: str) -> DataFrame:
-    """Sort one bucket of names at a time; tell each chunk which of its names other chunks hold (first_stays: earlier ones)."""
+    """Sort one bucket of names at a time; tell each chunk, a bit a name, which of its names other chunks hold (first_stays: earlier ones)."""
 
     def bucket(table: pa.Table) -> pa.Table:
         chunks = table.column("chunk").to_numpy()
@@ -227,23 +243,21 @@ def _sorted_buckets(names: DataFrame, first_stays: bool, what: str) -> DataFrame
         seen = np.zeros(len(shared), dtype=bool)
         out = []
         for chunk, own in each:
-            mine = own[_among(own, shared)]
-            if not len(mine):
-                continue
+            flags = _among(own, shared)
             if first_stays:
-                at = np.searchsorted(shared, mine)
-                mine, at_before = mine[seen[at]], at
-                seen[at_before] = True
-            if len(mine):
-                out.append((chunk, zstandard.ZstdCompressor(level=1).compress(mine.tobytes())))
+                at = np.searchsorted(shared, own[flags])
+                flags[flags] = seen[at]
+                seen[at] = True
+            if flags.any():
+                out.append((chunk, np.packbits(flags).tobytes()))
         number = table.column("bucket")[0].as_py()
-        return pa.table({"chunk": pa.array([c for c, _ in out], pa.int64()), "bucket": pa.array([number] * len(out), pa.int64()), "names": pa.array([x for _, x in out], pa.binary())})
+        return pa.table({"chunk": pa.array([c for c, _ in out], pa.int64()), "bucket": pa.array([number] * len(out), pa.int64()), "bits": pa.array([x for _, x in out], pa.binary())})
 
-    return saved(names.groupBy("bucket").applyInArrow(bucket, "chunk long, bucket long, names binary"), what)
+    return saved(names.groupBy("bucket").applyInArrow(bucket, "chunk long, bucket long, bits binary"), what)
 
 
 def _with_marks(chunks: DataFrame, marks: DataFrame, field: str) -> DataFrame:
-    by = marks.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "names")).alias(field))
+    by = marks.groupBy("chunk").agg(F.collect_list(F.struct(*[c for c in marks.columns if c != "chunk"])).alias(field))
     return chunks.join(by, "chunk", "left")
 
 
@@ -254,7 +268,7 @@ def _sent(chunk: int, names: np.ndarray, buckets: int) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["bucket", "chunk", "n", "names"])
 
 
-def without_repeats(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
+def without_repeats(docs: DataFrame, chunk_bytes: int = CHUNK, blocks: int = BLOCKS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary) of every whole text."""
     chunks, total = _chunked(docs, chunk_bytes)
     buckets = max(1, math.ceil(total / chunk_bytes))
@@ -262,24 +276,27 @@ def without_repeats(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _each(batch):
-                names = _distinct(Chunk(row["ids"], row["sizes"], row["blob"]).samples()[1])
-                # Names of 48 bits are dealt by their own range.
-                for out in _sent(row["chunk"], names << np.uint64(16), buckets):
-                    yield out
+                yield from _sent(row["chunk"], _distinct(Chunk(row["ids"], row["sizes"], row["blob"]).samples()[1]), buckets)
 
-    def suffixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in _each(batch):
-                chunk = Chunk(row["ids"], row["sizes"], row["blob"])
-                names = chunk.suffixes(_marks(row, "shared") >> np.uint64(16))[1]
-                yield from _sent(row["chunk"], _distinct(names), buckets)
+    def suffixed(block: int):
+        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in _each(batch):
+                    chunk = Chunk(row["ids"], row["sizes"], row["blob"])
+                    places = chunk.suffixes(row["shared"], buckets)
+                    places = places[chunk.block_of(places, blocks) == block]
+                    yield from _sent(row["chunk"], _distinct(_names(chunk.words, places, LENGTH)), buckets)
+
+        return apply
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _each(batch):
                 chunk = Chunk(row["ids"], row["sizes"], row["blob"])
-                places, names = chunk.suffixes(_marks(row, "shared") >> np.uint64(16))
-                rows = list(chunk.results(places, names, _marks(row, "earlier")))
+                places = chunk.suffixes(row["shared"], buckets)
+                names, of = _names(chunk.words, places, LENGTH), chunk.block_of(places, blocks)
+                earlier = [_flagged(_distinct(names[of == k]), [m for m in row["earlier"] or [] if m["block"] == k], buckets) for k in range(blocks)]
+                rows = list(chunk.results(places, names, np.sort(np.concatenate(earlier))))
                 for at in range(0, len(rows), 1000):
                     columns = zip(*rows[at : at + 1000])
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
@@ -287,7 +304,11 @@ def without_repeats(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     shared = _sorted_buckets(chunks.mapInArrow(sampled, _NAMES), False, "shared")
     marked = saved(_with_marks(chunks, shared, "shared"), "marked")
     dropped(chunks)
-    earlier = _sorted_buckets(marked.mapInArrow(suffixed, _NAMES), True, "earlier")
+    # One block of suffixes at a time: its names are dealt, sorted and forgotten before the next one's are made.
+    earlier = None
+    for block in range(blocks):
+        found = _sorted_buckets(marked.mapInArrow(suffixed(block), _NAMES), True, "earlier").withColumn("block", F.lit(block))
+        earlier = found if earlier is None else earlier.unionByName(found)
     return _with_marks(marked, earlier, "earlier").mapInArrow(finished, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
