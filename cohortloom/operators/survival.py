@@ -89,7 +89,7 @@ def step_points(curve: DataFrame, by: list[str]) -> DataFrame:
 
 def risk_table(rows: DataFrame, by: list[str], ticks: int = 5) -> DataFrame:
     """Numbers at risk at equal ticks from zero to the last time; at zero those who enter at the start."""
-    last = rows.agg(F.max("time").alias("t")).first()["t"]
+    last = rows.agg(F.max("time").alias("t")).first()["t"] or 0.0
     at = F.explode(F.array(*[F.lit(float(last) * k / (ticks - 1)) for k in range(ticks)])).alias("tick")
     each = rows.select(*by, "entry", "time", at)  # a fixed number of ticks a row
     held = F.when(F.col("tick") == 0, F.col("entry") == 0).otherwise((F.col("entry") < F.col("tick")) & (F.col("time") >= F.col("tick")))
