@@ -93,7 +93,7 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
-def _forest(node: np.ndarray, check: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _forest(radius: int, node: np.ndarray, check: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Edges of a spanning forest of the graph of members within `radius`; rows of blocks, not all pairs, are held."""
     n = len(node)
     root = np.arange(n)
@@ -114,50 +114,77 @@ def _forest(node: np.ndarray, check: np.ndarray, radius: int) -> list[tuple[np.n
     return [(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64))] if a else []
 
 
-def _nearest(node: np.ndarray, check: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each member its nearest one before and its nearest one after it (by node) within `radius`."""
-    order = np.argsort(node, kind="stable")
-    node, check = node[order], check[order]
-    n, out = len(node), []
-    for at in range(0, n, BLOCK):
-        rows = np.arange(at, min(n, at + BLOCK))
-        d = _distances(check[rows, None], check[None, :]).astype(np.int16)
-        column = np.arange(n)[None, :]
-        for side in (column < rows[:, None], column > rows[:, None]):
-            masked = np.where(side, d, 99)
-            best = masked.argmin(axis=1)
-            good = masked[np.arange(len(rows)), best] <= radius
-            if good.any():
-                out.append((node[rows[good]], node[best[good]]))
-    return out
+def _alike(check: np.ndarray, size: np.ndarray, rows: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of the rows to all members, and which of them may be pairs: within `radius`, and of sizes that allow the similarity."""
+    d = _distances(check[rows, None], check[None, :]).astype(np.int16)
+    a, b = size[rows, None], size[None, :]
+    return d, (d <= radius) & (np.minimum(a, b) >= similarity * np.maximum(a, b))
+
+
+def _nearest(similarity: float):
+    """For each member its nearest possible pair before and after it (by node)."""
+
+    def pick(radius: int, node: np.ndarray, check: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n = len(node)
+        for at in range(0, n, BLOCK):
+            rows = np.arange(at, min(n, at + BLOCK))
+            d, may = _alike(check, size, rows, radius, similarity)
+            column = np.arange(n)[None, :]
+            for side in (column < rows[:, None], column > rows[:, None]):
+                masked = np.where(side & may, d, 99)
+                best = masked.argmin(axis=1)
+                good = masked[np.arange(len(rows)), best] < 99
+                if good.any():
+                    yield node[rows[good]], node[best[good]]
+
+    return pick
+
 
+def _across(similarity: float):
+    """Every possible pair of members that stand in different components."""
 
-def colliding_edges(keys: DataFrame, radius: int, nearest: bool = False) -> DataFrame:
-    """Edges (a > b) of members of one key that are within `radius` on `__check`; keys: (__key, __node, __check).
+    def pick(radius: int, node: np.ndarray, check: np.ndarray, size: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for at in range(0, len(node), BLOCK):
+            rows = np.arange(at, min(len(node), at + BLOCK))
+            _, may = _alike(check, size, rows, radius, similarity)
+            i, j = np.nonzero(may & (root[rows, None] > root[None, :]))
+            if len(i):
+                yield node[rows[i]], node[j]
+
+    return pick
+
+
+def colliding_edges(keys: DataFrame, radius: int, pick=_forest) -> DataFrame:
+    """Edges (a > b) that `pick` finds among the members of one key; keys: (__key, __node, __check, what else `pick` takes).
 
     Members with one node and key are one. A key's members are distinct fingerprints of one 32-bit variant, so what a
-    task holds at a time are these, 16 bytes each.
+    task holds at a time are these, some 16 bytes each.
     """
+    columns = keys.columns
     dealt = keys.repartition("__key").sortWithinPartitions("__key")
 
-    def groups(key: np.ndarray, node: np.ndarray, check: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def groups(key: np.ndarray, *members: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(start, len(key)))
+        # Most keys have two members or less: those out of reach go before any key is looked at by itself.
         two = start[size == 2]
-        if len(two):
-            good = _distances(check[two], check[two + 1]) <= radius
-            yield node[two[good]], node[two[good] + 1]
-        for s, n in zip(start[size > 2], size[size > 2]):
-            picked, at = np.unique(node[s : s + n], return_index=True)
+        near = _distances(members[1][two], members[1][two + 1]) <= radius
+        many = size > 2
+        alone = two[near]
+        if pick is _forest:  # two within reach are an edge as they are
+            yield members[0][alone], members[0][alone + 1]
+            alone = alone[:0]
+        for s, n in zip(np.concatenate([alone, start[many]]), np.concatenate([np.full(len(alone), 2), size[many]])):
+            picked, at = np.unique(members[0][s : s + n], return_index=True)
             if len(picked) > 1:
-                yield from (_nearest if nearest else _forest)(picked, check[s : s + n][at], radius)
+                yield from pick(radius, picked, *[m[s : s + n][at] for m in members[1:]])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def made(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-            key, node, check = (np.concatenate(x) for x in zip(*parts))
-            edges = list(groups(key, node, check.view(np.uint64)))
+            key, node, check, *more = (np.concatenate(x) for x in zip(*parts))
+            edges = list(groups(key, node, check.view(np.uint64), *more))
             if edges:
                 a, b = (np.concatenate(x) for x in zip(*edges))
                 a, b = np.maximum(a, b), np.minimum(a, b)
@@ -166,21 +193,21 @@ def colliding_edges(keys: DataFrame, radius: int, nearest: bool = False) -> Data
                     yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
         for batch in batches:
-            key, node, check = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("__key", "__node", "__check"))
-            if not len(key):
+            if not batch.num_rows:
                 continue
+            key, *members = (batch.column(c).to_numpy(zero_copy_only=False) for c in columns)
             cut = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
             if cut:
-                yield from made([*held, (key[:cut], node[:cut], check[:cut])])
+                yield from made([*held, (key[:cut], *[m[:cut] for m in members])])
                 held = []
             elif held and held[0][0][0] != key[0]:
                 yield from made(held)
                 held = []
-            held.append((key[cut:], node[cut:], check[cut:]))
+            held.append((key[cut:], *[m[cut:] for m in members]))
         if held:
             yield from made(held)
 
-    return dealt.select("__key", "__node", "__check").mapInArrow(apply, "a long, b long").distinct()
+    return dealt.mapInArrow(apply, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -221,18 +248,20 @@ def linked(prints: DataFrame, fp: str = "fp", doc: str = "doc_id", radius: int =
     return prints.join(ids, fp, "left")
 
 
-def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, tables: int = 3, print_radius: int = 18) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, tables: int = 3, print_radius: int = 22) -> DataFrame:
     """(digest, doc_id, root_digest, root_id) of every distinct text that isn't the one to stay of its group.
 
     Texts group if they are equal, or linked by pairs whose sets of `size`-word shingles have a Jaccard similarity of at
     least `similarity`. Candidates meet in the ball hashing of `tables` fingerprints over distinct words, which hardly
-    move when a few words change; in a group each text is tied to its nearest ones (by the fingerprint over shingles,
-    `print_radius` bits) before and after it, and those edges are verified exactly on whole texts. A pair at 0.8 meets
-    in one of three tables with a probability of about 0.95, one at 0.85 nearly always (README has the measurement).
+    move when a few words change, and are within `print_radius` bits by the fingerprint over shingles. In a group each
+    text is first tied to its nearest ones before and after it, and those edges are verified exactly on whole texts. A
+    large group of copies is then a few components, and all candidates between different components are verified in a
+    second round, so none is left out. A pair at 0.8 meets in one of three tables with a probability of about 0.95, one
+    at 0.85 nearly always (README has the measurement).
     """
     digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
     named = docs.select("doc_id", "text", digest.alias("digest"))
-    schema = T.StructType([*named.drop("text").schema.fields, *[T.StructField(f"f{k}", T.LongType()) for k in range(tables)], T.StructField("s", T.LongType())])
+    schema = T.StructType([*named.drop("text").schema.fields, *[T.StructField(f"f{k}", T.LongType()) for k in range(tables)], T.StructField("s", T.LongType()), T.StructField("n", T.LongType())])
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,19 +269,25 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, size: int =
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
                 own = list(dict.fromkeys(words))
-                made.append([*[fingerprint(hashes(own, SEED + k)) for k in range(tables)], fingerprint(np.unique(hashes(shingles(words, size))))])
-            columns = np.array(made, dtype=np.uint64).reshape(-1, tables + 1).view(np.int64)
+                parts = np.unique(hashes(shingles(words, size)))
+                made.append([*[fingerprint(hashes(own, SEED + k)) for k in range(tables)], fingerprint(parts), len(parts)])
+            columns = np.array(made, dtype=np.uint64).reshape(-1, tables + 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), *[pa.array(np.ascontiguousarray(c)) for c in columns.T]], names=schema.names)
 
     least = F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("least")
     node = F.xxhash64("digest").alias("node")
-    nodes = named.mapInArrow(prints, schema).groupBy("digest").agg(least, *[F.first(f"f{k}").alias(f"f{k}") for k in range(tables)], F.first("s").alias("s"))
+    nodes = named.mapInArrow(prints, schema).groupBy("digest").agg(least, *[F.first(c).alias(c) for c in (*[f"f{k}" for k in range(tables)], "s", "n")])
     nodes = saved(nodes.select("*", node), "texts")
-    keys = None
-    for k in range(tables):
-        own = ball_keys(nodes.select(F.col(f"f{k}").alias("f"), F.col("node").alias("__node"), F.col("s").alias("__check")), "f", "__node", "__check", salt=k)
-        keys = own if keys is None else keys.unionAll(own)
-    edges = saved(colliding_edges(keys, print_radius, nearest=True), "candidates")
+
+    def candidates(some: DataFrame, pick, *more: str) -> DataFrame:
+        keys = None
+        for k in range(tables):
+            carried = [F.col("node").alias("__node"), F.col("s").alias("__check"), F.col("n").alias("__size"), *more]
+            own = ball_keys(some.select(F.col(f"f{k}").alias("f"), *carried), "f", "__node", "__check", "__size", *more, salt=k)
+            keys = own if keys is None else keys.unionAll(own)
+        return saved(colliding_edges(keys, print_radius, pick), "candidates")
+
+    edges = candidates(nodes.where("n > 0"), _nearest(similarity))
     ends = edges.select(F.col("a").alias("node")).unionAll(edges.select("b")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,10 +298,18 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, size: int =
     first = nodes.select("digest", "least", "node").join(ends, "node", "left_semi")
     texts = named.withColumn("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1))).join(first, [F.col("doc_id") == F.col("least"), named["digest"] == first["digest"]])
     parts = saved(texts.select("node", "text").mapInArrow(sets, "node long, parts array<long>").dropDuplicates(["node"]), "parts")
-    pairs = edges.join(parts.select(F.col("node").alias("a"), F.col("parts").alias("pa")), "a").join(parts.select(F.col("node").alias("b"), F.col("parts").alias("pb")), "b")
-    common = F.size(F.array_intersect("pa", "pb"))
-    alike = saved(pairs.where((F.size("pa") > 0) & (common >= similarity * (F.size("pa") + F.size("pb") - common))).select("a", "b"), "alike")
-    rooted = components(alike)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(parts.select(F.col("node").alias("a"), F.col("parts").alias("pa")), "a").join(parts.select(F.col("node").alias("b"), F.col("parts").alias("pb")), "b")
+        common = F.size(F.array_intersect("pa", "pb"))
+        return saved(both.where((F.size("pa") > 0) & (common >= similarity * (F.size("pa") + F.size("pb") - common))).select("a", "b"), "alike")
+
+    rooted = components(verified(edges))
+    met = nodes.join(ends, "node", "left_semi").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = candidates(met, _across(similarity), "root").join(edges, ["a", "b"], "left_anti")
+    of = lambda end: met.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
+    joined = components(verified(rest).join(of("a"), "a").join(of("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    rooted = met.select("node", "root").join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     whole = nodes.select("digest", "least", "node").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
     stays = whole.groupBy("root").agg(F.min(F.struct("least", "digest")).alias("stay"))
     return saved(whole.join(stays, "root").select("digest", F.col("stay.digest").alias("root_digest"), F.col("stay.least").alias("root_id")), "groups")
