@@ -28,8 +28,10 @@ WINDOW = 20
 # Class, candidates, least entropy in bits of a window. A window of 20 holds at most log2(20) = 4.32 bits.
 CLASSES = [
     ("hex", r"(?<![A-Za-z0-9])[0-9A-Fa-f]{20,}(?![A-Za-z0-9])", 3.0),
-    ("base64", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,400}[0-9])(?=[A-Za-z0-9+/_-]{0,400}[A-Z])(?=[A-Za-z0-9+/_-]{0,400}[a-z])[A-Za-z0-9+/_-]{20,}={0,2}", 3.7),
+    ("base64", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}", 3.7),
 ]
+# What a candidate of a class has to hold somewhere.
+HOLDS = {"hex": [], "base64": ["[0-9]", "[A-Z]", "[a-z]"]}
 # Texts without 20 such characters in a row need no look by the classes.
 ANY_CANDIDATE = r"[A-Za-z0-9+/_-]{20}"
 ALLOWED = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^(.)\1*$|example|0123456789|abcdefghij|xxxxxx|placeholder|changeme|^[A-Za-z]+([_/-][A-Za-z]+)*$"
@@ -92,10 +94,16 @@ def secret_spans(docs: DataFrame, text: str = "text", spans: str = "spans") -> D
     outside = lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     none = F.slice("__base", 1, 0)
 
-    def of_class(pattern: str, least: float) -> Column:
-        return F.filter(matches(t, pattern, "entropy"), lambda s: outside(s) & ~F.rlike(s["value"], F.lit(ALLOWED)) & (largest_entropy(s["value"]) >= least))
+    def of_class(name: str, pattern: str, least: float) -> Column:
+        def secret(s: Column) -> Column:
+            ok = outside(s)
+            for some in HOLDS[name]:
+                ok &= F.rlike(s["value"], F.lit(some))
+            return ok & ~F.rlike(s["value"], F.lit(ALLOWED)) & (largest_entropy(s["value"]) >= least)
 
-    found = F.flatten(F.array(*[of_class(pattern, least) for _, pattern, least in CLASSES]))
+        return F.filter(matches(t, pattern, "entropy"), secret)
+
+    found = F.flatten(F.array(*[of_class(*c) for c in CLASSES]))
     order = lambda kind: F.array_position(F.array(*map(F.lit, ("assign", "access", "hex", "entropy"))), kind)
     added = F.when(F.rlike(t, F.lit(ANY_CANDIDATE)), F.array_distinct(found)).otherwise(none)
     keyed = F.transform(F.concat("__base", added), lambda s: F.struct(s["start"].alias("start"), order(s["kind"]).alias("o"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))
