@@ -17,6 +17,7 @@ a null doc_id takes no part in the smallest id unless all of a component's ids a
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -33,6 +34,8 @@ from cohortloom.llm.common import dropped, saved
 RADIUS = 3
 SEED = 42
 BLOCK = 2048
+# Near-duplicates: one text in SAMPLE is read for the COMMON most common shingles; members of a key that meet in one block.
+SAMPLE, COMMON, TILE = 16, 200_000, 512
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -79,14 +82,14 @@ def fingerprints(docs: DataFrame, text: str = "text", size: int = 3, into: str =
     return rest.mapInArrow(apply, schema)
 
 
-def ball_keys(nodes: DataFrame, fp: str, *carried: str, salt: int = 0) -> DataFrame:
+def ball_keys(nodes: DataFrame, fp: str, *carried: str) -> DataFrame:
     """(key, carried...) of every variant of both halves within half the radius; 66 rows for a fingerprint."""
     flips = [0, *(1 << b for b in range(32))]
     masks = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(x).cast("long").alias("x")) for h in (0, 1) for x in flips])
     rows = nodes.select(fp, *carried, F.explode(masks).alias("__m"))
     half = F.when(F.col("__m.h") == 0, F.col(fp).bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned(F.col(fp), 32))
-    # The half's number and the salt go above the 32 bits of the variant.
-    return rows.select((half.bitwiseXOR(F.col("__m.x")) + (F.col("__m.h").cast("long") + F.lit(2 * salt)) * F.lit(1 << 32)).alias("__key"), *carried)
+    # The half's number goes above the 32 bits of the variant.
+    return rows.select((half.bitwiseXOR(F.col("__m.x")) + F.col("__m.h").cast("long") * F.lit(1 << 32)).alias("__key"), *carried)
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -114,48 +117,8 @@ def _forest(radius: int, node: np.ndarray, check: np.ndarray) -> list[tuple[np.n
     return [(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64))] if a else []
 
 
-def _alike(check: np.ndarray, size: np.ndarray, rows: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Distances of the rows to all members, and which of them may be pairs: within `radius`, and of sizes that allow the similarity."""
-    d = _distances(check[rows, None], check[None, :]).astype(np.int16)
-    a, b = size[rows, None], size[None, :]
-    return d, (d <= radius) & (np.minimum(a, b) >= similarity * np.maximum(a, b))
-
-
-def _nearest(similarity: float):
-    """For each member its nearest possible pair before and after it (by node)."""
-
-    def pick(radius: int, node: np.ndarray, check: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        n = len(node)
-        for at in range(0, n, BLOCK):
-            rows = np.arange(at, min(n, at + BLOCK))
-            d, may = _alike(check, size, rows, radius, similarity)
-            column = np.arange(n)[None, :]
-            for side in (column < rows[:, None], column > rows[:, None]):
-                masked = np.where(side & may, d, 99)
-                best = masked.argmin(axis=1)
-                good = masked[np.arange(len(rows)), best] < 99
-                if good.any():
-                    yield node[rows[good]], node[best[good]]
-
-    return pick
-
-
-def _across(similarity: float):
-    """Every possible pair of members that stand in different components."""
-
-    def pick(radius: int, node: np.ndarray, check: np.ndarray, size: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for at in range(0, len(node), BLOCK):
-            rows = np.arange(at, min(len(node), at + BLOCK))
-            _, may = _alike(check, size, rows, radius, similarity)
-            i, j = np.nonzero(may & (root[rows, None] > root[None, :]))
-            if len(i):
-                yield node[rows[i]], node[j]
-
-    return pick
-
-
-def colliding_edges(keys: DataFrame, radius: int, pick=_forest) -> DataFrame:
-    """Edges (a > b) that `pick` finds among the members of one key; keys: (__key, __node, __check, what else `pick` takes).
+def colliding_edges(keys: DataFrame, radius: int) -> DataFrame:
+    """Edges (a > b) of a spanning forest of the members of each key; keys: (__key, __node, __check).
 
     Members with one node and key are one. A key's members are distinct fingerprints of one 32-bit variant, so what a
     task holds at a time are these, some 16 bytes each.
@@ -171,13 +134,11 @@ def colliding_edges(keys: DataFrame, radius: int, pick=_forest) -> DataFrame:
         near = _distances(members[1][two], members[1][two + 1]) <= radius
         many = size > 2
         alone = two[near]
-        if pick is _forest:  # two within reach are an edge as they are
-            yield members[0][alone], members[0][alone + 1]
-            alone = alone[:0]
-        for s, n in zip(np.concatenate([alone, start[many]]), np.concatenate([np.full(len(alone), 2), size[many]])):
+        yield members[0][alone], members[0][alone + 1]  # two within reach are an edge as they are
+        for s, n in zip(start[many], size[many]):
             picked, at = np.unique(members[0][s : s + n], return_index=True)
             if len(picked) > 1:
-                yield from pick(radius, picked, *[m[s : s + n][at] for m in members[1:]])
+                yield from _forest(radius, picked, *[m[s : s + n][at] for m in members[1:]])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -248,69 +209,133 @@ def linked(prints: DataFrame, fp: str = "fp", doc: str = "doc_id", radius: int =
     return prints.join(ids, fp, "left")
 
 
-def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, tables: int = 3, print_radius: int = 22) -> DataFrame:
-    """(digest, doc_id, root_digest, root_id) of every distinct text that isn't the one to stay of its group.
+def _common_shingles(texts: DataFrame, size: int) -> np.ndarray:
+    """Hashes of shingles that many texts hold, the most common last; from one text in SAMPLE, COMMON at most.
 
-    Texts group if they are equal, or linked by pairs whose sets of `size`-word shingles have a Jaccard similarity of at
-    least `similarity`. Candidates meet in the ball hashing of `tables` fingerprints over distinct words, which hardly
-    move when a few words change, and are within `print_radius` bits by the fingerprint over shingles. In a group each
-    text is first tied to its nearest ones before and after it, and those edges are verified exactly on whole texts. A
-    large group of copies is then a few components, and all candidates between different components are verified in a
-    second round, so none is left out. A pair at 0.8 meets in one of three tables with a probability of about 0.95, one
-    at 0.85 nearly always (README has the measurement).
+    They only set the order in which the search below reads shingles: whichever they are, no pair is lost.
     """
-    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    named = docs.select("doc_id", "text", digest.alias("digest"))
-    schema = T.StructType([*named.drop("text").schema.fields, *[T.StructField(f"f{k}", T.LongType()) for k in range(tables)], T.StructField("s", T.LongType()), T.StructField("n", T.LongType())])
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
             for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                own = list(dict.fromkeys(words))
-                parts = np.unique(hashes(shingles(words, size)))
-                made.append([*[fingerprint(hashes(own, SEED + k)) for k in range(tables)], fingerprint(parts), len(parts)])
-            columns = np.array(made, dtype=np.uint64).reshape(-1, tables + 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), *[pa.array(np.ascontiguousarray(c)) for c in columns.T]], names=schema.names)
-
-    least = F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("least")
-    node = F.xxhash64("digest").alias("node")
-    nodes = named.mapInArrow(prints, schema).groupBy("digest").agg(least, *[F.first(c).alias(c) for c in (*[f"f{k}" for k in range(tables)], "s", "n")])
-    nodes = saved(nodes.select("*", node), "texts")
-
-    def candidates(some: DataFrame, pick, *more: str) -> DataFrame:
-        keys = None
-        for k in range(tables):
-            carried = [F.col("node").alias("__node"), F.col("s").alias("__check"), F.col("n").alias("__size"), *more]
-            own = ball_keys(some.select(F.col(f"f{k}").alias("f"), *carried), "f", "__node", "__check", "__size", *more, salt=k)
-            keys = own if keys is None else keys.unionAll(own)
-        return saved(colliding_edges(keys, print_radius, pick), "candidates")
-
-    edges = candidates(nodes.where("n > 0"), _nearest(similarity))
-    ends = edges.select(F.col("a").alias("node")).unionAll(edges.select("b")).distinct()
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes(shingles(words_of(text), size))).view(np.int64))], names=["h"])
+
+    counts = texts.where(F.pmod("node", F.lit(SAMPLE)) == 0).select("text").mapInArrow(each, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c"))
+    most = counts.where("c >= 4").orderBy(F.desc("c"), "h").limit(COMMON).collect()
+    return np.array([r["h"] for r in reversed(most)], dtype=np.int64).view(np.uint64)
+
+
+def shared_prefixes(texts: DataFrame, similarity: float, size: int) -> DataFrame:
+    """(key, node, n, at): the first n - ceil(similarity * n) + 1 of the n shingles of a text in one order for all texts.
+
+    Two sets with a Jaccard similarity of at least `similarity` share ceil(similarity * n) shingles or more of each, so
+    the first one they share, in any order that is the same for both, is among these of both. Rare shingles come first.
+    """
+    common = _common_shingles(texts, size)
+    by_hash = np.argsort(common)
+    sorted_common = common[by_hash]
+
+    def prefix(parts: np.ndarray) -> np.ndarray:
+        n = len(parts)
+        count = n - math.ceil(similarity * n - 1e-9) + 1
+        if not len(sorted_common):
+            return parts[:count]
+        at = np.minimum(np.searchsorted(sorted_common, parts), len(sorted_common) - 1)
+        rank = np.where(sorted_common[at] == parts, by_hash[at] + 1, 0)
+        return parts[np.argsort(rank, kind="stable")[:count]]
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(nodes: list, sizes: list, keys: list) -> pa.RecordBatch:
+            counts = [len(k) for k in keys]
+            at = np.concatenate([np.arange(c, dtype=np.int32) for c in counts])
+            columns = [np.concatenate(keys).view(np.int64), np.repeat(np.array(nodes, dtype=np.int64), counts), np.repeat(np.array(sizes, dtype=np.int32), counts), at]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "n", "at"])
+
+        for batch in batches:
+            nodes, sizes, keys, held = [], [], [], 0
+            for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist()):
+                parts = np.unique(hashes(shingles(words_of(text), size)))
+                if len(parts):
+                    nodes.append(node)
+                    sizes.append(len(parts))
+                    keys.append(prefix(parts))
+                    held += len(keys[-1])
+                if held > 200_000:
+                    yield made(nodes, sizes, keys)
+                    nodes, sizes, keys, held = [], [], [], 0
+            if keys:
+                yield made(nodes, sizes, keys)
+
+    return texts.select("node", "text").mapInArrow(apply, "key long, node long, n int, at int")
+
+
+def across_pairs(members: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
+    """(a, b), a > b, of members (key, node, n, at, root) of one key and different roots whose sizes and places allow the similarity.
+
+    A key with more than `tile` members is cut into blocks of about that size; two blocks at a time meet under a key of
+    their own, so no task holds a whole group.
+    """
+    some = members.groupBy("key").agg(F.count(F.lit(1)).alias("__c"), F.min("root").alias("__low"), F.max("root").alias("__high")).where("__low < __high")
+    blocks = F.ceil(F.col("__c") / tile).cast("int")
+    dealt = members.join(some.select("key", blocks.alias("__blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit(tile)), "__blocks").cast("int"))
+    dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "__other").alias("i"), F.greatest("block", "__other").alias("j"), "node", "n", "at", "root", "block")
+    a, b = dealt.alias("x"), dealt.alias("y")
+    left = lambda s: F.col(f"{s}.n") - F.col(f"{s}.at")
+    # The first shingle that two texts share leaves them no more in common than follows it in either.
+    may = F.least(left("x"), left("y")) * (1 + similarity) + 1e-6 >= similarity * (F.col("x.n") + F.col("y.n"))
+    met = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "i", "j")]
+    apart = (F.col("x.block") != F.col("y.block")) == (F.col("x.i") != F.col("x.j"))
+    on = met[0] & met[1] & met[2] & apart & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & may
+    return a.join(b, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, tile: int = TILE) -> DataFrame:
+    """(digest, doc_id, root_digest, root_id) of every distinct text that isn't the one to stay of its group.
+
+    Texts group if they are equal, or linked by pairs whose sets of `size`-word shingles have a Jaccard similarity of at
+    least `similarity`. The search is exact: all such pairs meet on a shingle of their prefixes (`shared_prefixes`) and
+    candidates are verified on whole texts. First each text is tied to the smallest and the largest node of each of its
+    keys, so a large group of copies becomes one or a few components with as many pairs as it has members; then all
+    candidates between different components are verified, so none is left out.
+    """
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    named = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), digest.alias("digest"))
+    texts = named.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("text").alias("text"))
+    texts = saved(texts.select("digest", "least", "text", F.xxhash64("digest").alias("node")), "texts")
+    keys = saved(shared_prefixes(texts, similarity, size), "prefixes")
+    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    met = saved(keys.join(shared, "key"), "met")
+    dropped(keys)
+    tied = F.explode(F.array(F.struct("node", F.col("low").alias("end")), F.struct("node", F.col("high").alias("end"))))
+    ties = met.select(tied.alias("p")).select(F.greatest("p.node", "p.end").alias("a"), F.least("p.node", "p.end").alias("b")).where("a > b").distinct()
+    ties = saved(ties, "candidates")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [np.unique(hashes(shingles(words_of(t), size))).view(np.int64) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.list_(pa.int64()))], names=["node", "parts"])
 
-    first = nodes.select("digest", "least", "node").join(ends, "node", "left_semi")
-    texts = named.withColumn("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1))).join(first, [F.col("doc_id") == F.col("least"), named["digest"] == first["digest"]])
-    parts = saved(texts.select("node", "text").mapInArrow(sets, "node long, parts array<long>").dropDuplicates(["node"]), "parts")
-
     def verified(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+        parts = saved(texts.select("node", "text").join(ends, "node", "left_semi").mapInArrow(sets, "node long, parts array<long>"), "parts")
         both = pairs.join(parts.select(F.col("node").alias("a"), F.col("parts").alias("pa")), "a").join(parts.select(F.col("node").alias("b"), F.col("parts").alias("pb")), "b")
         common = F.size(F.array_intersect("pa", "pb"))
-        return saved(both.where((F.size("pa") > 0) & (common >= similarity * (F.size("pa") + F.size("pb") - common))).select("a", "b"), "alike")
-
-    rooted = components(verified(edges))
-    met = nodes.join(ends, "node", "left_semi").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = candidates(met, _across(similarity), "root").join(edges, ["a", "b"], "left_anti")
-    of = lambda end: met.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
-    joined = components(verified(rest).join(of("a"), "a").join(of("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    rooted = met.select("node", "root").join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    whole = nodes.select("digest", "least", "node").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        out = saved(both.where(common >= similarity * (F.size("pa") + F.size("pb") - common)).select("a", "b"), "alike")
+        dropped(parts)
+        return out
+
+    rooted = components(verified(ties))
+    members = met.select("key", "node", "n", "at").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = saved(members, "members")
+    dropped(met)
+    rest = saved(across_pairs(members, similarity, tile).join(ties, ["a", "b"], "left_anti"), "candidates")
+    found = verified(rest)
+    of = lambda end: rooted.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
+    ends = found.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    joined = components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    whole = texts.select("digest", "least", "node").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    whole = whole.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("root", F.coalesce("top", "root"))
     stays = whole.groupBy("root").agg(F.min(F.struct("least", "digest")).alias("stay"))
     return saved(whole.join(stays, "root").select("digest", F.col("stay.digest").alias("root_digest"), F.col("stay.least").alias("root_id")), "groups")
 

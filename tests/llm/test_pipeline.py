@@ -63,6 +63,45 @@ def test_many_near_copies_leave_one(spark):
     assert got == [10_000 - 699, *range(50_000, 50_050)]
 
 
+def planted_edits():
+    """Texts and copies of them with new words in one passage: added at the end, cut, a swapped paragraph; at about 0.80 to 0.90."""
+    import random
+
+    r = random.Random(21)
+    some = lambda n: [f"z{r.randrange(10**7)}" for _ in range(n)]
+    rows = []
+    for k in range(120):
+        base = some(r.choice([60, 200, 500]))
+        n = len(base)
+        far = round(n * r.uniform(0.10, 0.19))
+        swap = round(far / 2)
+        at = r.randrange(5, n - swap - 5)
+        copy = [base + some(far), base[: n - far], base[:at] + some(swap) + base[at + swap :]][k % 3]
+        rows += [(2 * k, " ".join(base), "en", "s", 0), (2 * k + 1, " ".join(copy), "en", "s", 0)]
+    return rows
+
+
+def test_contiguous_edits_are_found_without_loss(spark):
+    rows = planted_edits()
+    groups = brute_groups([(d, t) for d, t, *_ in rows])
+    want = sorted({rows[g][0] for g in groups})
+    assert len(want) < 150
+    got = sorted(r["doc_id"] for r in simhash.without_near_duplicates(spark.createDataFrame(rows, DOCS)).select("doc_id").collect())
+    assert got == want
+    df = sample(spark)
+    rows = sorted((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect())
+    got = sorted(r["doc_id"] for r in simhash.without_near_duplicates(df).select("doc_id").collect())
+    assert got == sorted({rows[g][0] for g in brute_groups(rows)})
+
+
+def test_blocks_of_a_key_meet_in_all_pairs(spark):
+    """A template family below 0.8 shares its keys: all pairs of different roots come out, from blocks of a few members each."""
+    members = spark.createDataFrame([(1, i, 100, 0, i % 7) for i in range(60)] + [(2, i, 100, 0, 5) for i in range(9)], "key long, node long, n int, at int, root long")
+    for tile in (4, 512):
+        got = {(r["a"], r["b"]) for r in simhash.across_pairs(members, 0.8, tile).collect()}
+        assert got == {(a, b) for a in range(60) for b in range(a) if a % 7 != b % 7}
+
+
 def test_whole_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     rows = {r["doc_id"]: r["text"] for r in sample(spark).collect()}
