@@ -33,7 +33,9 @@ from cohortloom.llm.common import dropped, saved
 
 RADIUS = 3
 SEED = 42
-BLOCK = 2048
+BLOCK = 512
+# Members of a key that are compared in one block; a larger key is dealt out in pairs of blocks.
+MEMBERS = 4096
 # Near-duplicates: one text in SAMPLE is read for the COMMON most common shingles; members of a key that meet in one block.
 SAMPLE, COMMON, TILE = 16, 200_000, 512
 
@@ -117,11 +119,37 @@ def _forest(radius: int, node: np.ndarray, check: np.ndarray) -> list[tuple[np.n
     return [(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64))] if a else []
 
 
+def large_keys(nodes: DataFrame, fp: str, most: int = MEMBERS) -> DataFrame:
+    """(__key, __blocks) of the keys of `ball_keys` that may have more than `most` members; all others have no more.
+
+    A key's members have one of 33 halves, so it is large only if one of these halves is: only such halves are flipped.
+    """
+    half = F.array(F.struct(F.lit(0).alias("h"), F.col(fp).bitwiseAND(F.lit(0xFFFFFFFF)).alias("v")), F.struct(F.lit(1).alias("h"), F.shiftrightunsigned(F.col(fp), 32).alias("v")))
+    counts = nodes.select(F.explode(half).alias("x")).select("x.h", "x.v").groupBy("h", "v").agg(F.count(F.lit(1)).alias("c"))
+    # Halves below this add up to `most` members at most.
+    heavy = counts.where(F.col("c") > most // 33)
+    flip = F.explode(F.array(*[F.lit(x).cast("long") for x in (0, *(1 << b for b in range(32)))]))
+    made = heavy.select("h", "v", "c", flip.alias("x"))
+    made = made.select((F.col("v").bitwiseXOR(F.col("x")) + F.col("h").cast("long") * F.lit(1 << 32)).alias("__key"), "c").groupBy("__key").agg(F.sum("c").alias("c"))
+    return made.select("__key", F.ceil((F.col("c") + most) / most).cast("int").alias("__blocks"))
+
+
+def dealt_keys(keys: DataFrame, large: DataFrame) -> DataFrame:
+    """The keys with members of a large key under a number for each pair of blocks, so that any two members meet in one."""
+    at = F.pmod(F.xxhash64("__node", F.lit(1)), "__blocks").cast("int")
+    whole = keys.join(large, "__key", "left")
+    tiled = whole.where("__blocks > 1").withColumn("__at", at).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))).where("__other <> __at")
+    tile = F.least("__at", "__other") * F.col("__blocks").cast("long") + F.greatest("__at", "__other")
+    # Numbers of tiles lie below zero, where no key of one half and variant is.
+    tiled = tiled.withColumn("__key", F.xxhash64("__key", tile).bitwiseOR(F.lit(-(1 << 63))))
+    return whole.where("__blocks is null or __blocks < 2").select(keys.columns).unionAll(tiled.select(keys.columns))
+
+
 def colliding_edges(keys: DataFrame, radius: int) -> DataFrame:
     """Edges (a > b) of a spanning forest of the members of each key; keys: (__key, __node, __check).
 
-    Members with one node and key are one. A key's members are distinct fingerprints of one 32-bit variant, so what a
-    task holds at a time are these, some 16 bytes each.
+    Members with one node and key are one. A key's members are distinct fingerprints of one 32-bit variant, or those of
+    two blocks of them (`dealt_keys`), so what a task holds at a time are these, some 16 bytes each.
     """
     columns = keys.columns
     dealt = keys.repartition("__key").sortWithinPartitions("__key")
@@ -196,12 +224,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def linked(prints: DataFrame, fp: str = "fp", doc: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+def linked(prints: DataFrame, fp: str = "fp", doc: str = "doc_id", radius: int = RADIUS, most: int = MEMBERS) -> DataFrame:
     """Adds component_id: the smallest doc reachable over fingerprints within `radius` bits."""
     if not 0 <= radius <= 5:
         raise ValueError("two halves serve a radius of 0 to 5")
     nodes = saved(prints.groupBy(fp).agg(F.min(doc).alias("__least")), "fingerprints")
     keys = ball_keys(nodes.select(fp, F.col(fp).alias("__node"), F.col(fp).alias("__check")), fp, "__node", "__check")
+    large = saved(large_keys(nodes, fp, most), "large")
+    if large.limit(1).count():
+        keys = dealt_keys(keys, large)
     rooted = components(saved(colliding_edges(keys, radius), "links"))
     whole = nodes.join(rooted, nodes[fp] == rooted["node"], "left").select(nodes[fp], "__least", F.coalesce("root", nodes[fp]).alias("__root"))
     least = whole.groupBy("__root").agg(F.min("__least").alias("component_id"))

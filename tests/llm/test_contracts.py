@@ -118,6 +118,26 @@ def test_dense_cluster_of_fingerprints(spark):
     same(simhash.linked(df).select("doc_id", "component_id"), [(i, int(k)) for i, k in enumerate(root)])
 
 
+def test_large_keys_are_dealt_in_blocks(spark):
+    """No task's key has more members than two blocks, and the components are those of all pairs."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(4)
+    given = sorted({r.choice([7, 7 << 20]) | v << 32 for v in r.sample(range(1 << 12), 1500)})
+    prints = spark.createDataFrame([(i, v) for i, v in enumerate(given)], "doc_id long, fp long")
+    keys = simhash.ball_keys(prints.select("fp", F.col("fp").alias("__node"), F.col("fp").alias("__check")), "fp", "__node", "__check")
+    most = lambda k: k.groupBy("__key").count().agg(F.max("count")).first()[0]
+    assert most(keys) > 700 and most(simhash.dealt_keys(keys, simhash.large_keys(prints, "fp", 66))) <= 3 * 66
+    root = list(range(len(given)))
+    for i in range(len(given)):
+        for k in {root[j] for j in range(i) if (given[i] ^ given[j]).bit_count() <= 3}:
+            low, high = sorted((k, root[i]))
+            root = [low if x == high else x for x in root]
+    same(simhash.linked(prints, most=66).select("doc_id", "component_id"), list(enumerate(root)))
+
+
 def test_op5(spark):
     phrase = {"mit": ["mit", "license"], "apache": ["apache", "license"], "gpl": ["general", "public", "license"]}
     for df in both(spark):
