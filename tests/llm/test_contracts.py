@@ -306,3 +306,38 @@ def test_op10_bands(spark):
     again = "\n".join(f"{i} buy cheap pills now and win the casino jackpot today {i * 7 % 10}" for i in range(900))
     got = {x["doc_id"]: x["reason"] for x in quality.quality_report(frame(spark, [(1, noise, "", "", 0), (2, again, "", "", 0)])).collect()}
     assert got == {1: "incompressible", 2: "repetitive"} or got == {1: "incompressible", 2: "base"}
+
+
+def noise_and_prose(size, r):
+    """Line-broken base64 and hexadecimal noise (over 50 words where it fits), and a clean text of the table, of `size` bytes."""
+    import base64
+
+    import pyarrow.parquet as pq
+
+    words = lambda s, n: "\n".join(s[i : i + n] for i in range(0, len(s), n))[:size]
+    n = min(64, max(16, size // 60))
+    clean = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist() if t and not brute_quality(t)[5] and quality.Rules().measure(t)[6]]
+    whole = " ".join(sorted(clean, key=lambda t: hashlib.md5(t.encode()).digest()))
+    at = r.randrange(len(whole) // 2)
+    return words(base64.b64encode(r.randbytes(size)).decode(), n), words(r.randbytes(size).hex(), n), whole[at : at + size]
+
+
+@pytest.mark.parametrize("size", [1000, 1500, 2500, 4000, 5000, 8000, 12_000, 40_000, 90_000])
+def test_op10_noise_of_all_lengths(size):
+    import random
+
+    base64, hexes, prose = noise_and_prose(size, random.Random(size))
+    for text in (base64, hexes):
+        got = quality.Rules().measure(text)
+        assert got[6] is False and got[10] in ("incompressible", "base"), (size, got)
+        assert len(text.split()) < 50 or got[10] == "incompressible"
+    assert quality.Rules().measure(prose)[6], quality.Rules().measure(prose)
+
+
+def test_op10_noise_in_chunks():
+    import random
+
+    base64, hexes, prose = noise_and_prose(24_576, random.Random(3))
+    for noise in (base64, hexes):
+        got = quality.Rules().measure(prose[:12_288] + noise[:20_480])
+        assert got[10] in ("chunks", "incompressible") and got[8] == 5, got
