@@ -5,7 +5,8 @@ found twice or more. A text fails the base below 50 words or when over half of i
 
 The method: zstandard at a fixed level over the whole text and over fixed chunks. Repetitive text compresses far more
 than prose of its length and noise hardly at all, so each length class has its own band of bytes in per byte out; a
-text outside its band, or with more than `BAD_CHUNKS` of its chunks outside the chunks' band, is rejected. The least
+text outside its band, or with more than `BAD_CHUNKS` of its bytes in chunks outside theirs, is rejected. The last chunk
+is what the others leave, at any length, and has the least ratio of its own length class. The least
 ratios lie between those of base64 noise (1.17 at 512 bytes, 1.25 at 1 KB, 1.33 at most, 1.36 in short words) and of the
 clean texts of the tables (1.43 at 512 bytes, 1.69 at 1 KB, 1.92 at 2 KB at least). Hexadecimal noise compresses like
 prose, by its alphabet alone, so runs of hexadecimal digits are measured as the bytes they stand for.
@@ -93,10 +94,13 @@ class Rules:
         failed = n < 50 or 100 * repeat > 50 * n
         whole = self.ratio(data)
         low, high = band(len(data))
-        least = band(CHUNK)[0]
-        chunks = [(r := self.ratio(c), self.dense(c, r)) for c in (data[i : i + CHUNK] for i in range(0, len(data) - CHUNK + 1, CHUNK))]
-        bad = sum(r > CHUNK_MOST or d < least for r, d in chunks)
-        reason = "base" if failed else "repetitive" if whole > high else "incompressible" if self.dense(data, whole) < low else "chunks" if chunks and bad > BAD_CHUNKS * len(chunks) else None
+        chunks = []
+        for piece in (data[i : i + CHUNK] for i in range(0, len(data), CHUNK)):
+            r = self.ratio(piece)
+            chunks.append((len(piece), r > CHUNK_MOST or self.dense(piece, r) < band(len(piece))[0]))
+        bad = sum(out for _, out in chunks)
+        bad_bytes = sum(size for size, out in chunks if out)
+        reason = "base" if failed else "repetitive" if whole > high else "incompressible" if self.dense(data, whole) < low else "chunks" if bad_bytes > BAD_CHUNKS * len(data) else None
         return (n, len(text) - len(data) + len(data.translate(None, _WHITE)), len(data) - len(data.translate(None, _SYMBOLS)), dup_lines, repeat, failed, reason is None, whole, bad, len(chunks), reason)
 
 

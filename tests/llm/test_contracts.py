@@ -341,3 +341,21 @@ def test_op10_noise_in_chunks():
     for noise in (base64, hexes):
         got = quality.Rules().measure(prose[:12_288] + noise[:20_480])
         assert got[10] in ("chunks", "incompressible") and got[8] == 5, got
+
+
+def test_op10_judges_the_last_chunk():
+    """Every byte is in a chunk, and chunks count by their bytes."""
+    import random
+
+    noise, hexes, prose = noise_and_prose(8_000, random.Random(9))
+    rules = quality.Rules()
+    for junk in (noise, hexes):
+        got = rules.measure(prose[:4_096] + junk[:7_900])  # one of the two whole chunks, but most bytes
+        assert got[6] is False and (got[8], got[9]) == (2, 3), got
+        got = rules.measure(prose[:4_096] + junk[:3_900])  # junk in the second half alone
+        assert (got[8], got[9]) == (1, 2), got
+        got = rules.measure(junk[:4_096] + prose[:3_900])  # the same amount of junk in the first half
+        assert (got[8], got[9]) == (1, 2), got
+        got = rules.measure(junk[:4_096] + prose[:8_000] + "\n")
+        assert got[10] is None and (got[8], got[9]) == (1, 3), got
+    assert rules.measure(prose[:4_097])[9] == 2 and rules.measure(prose[:3_000])[9] == 1 and rules.measure("")[9] == 0
