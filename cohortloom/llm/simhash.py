@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -300,6 +300,11 @@ def shared_prefixes(texts: DataFrame, similarity: float, size: int) -> DataFrame
     return texts.select("node", "text").mapInArrow(apply, "key long, node long, n int, at int")
 
 
+def _may_be_alike(n: Column, at: Column, n2: Column, at2: Column, similarity: float) -> Column:
+    """The first shingle that two texts share leaves them no more in common than follows it in either."""
+    return F.least(n - at, n2 - at2) * (1 + similarity) + 1e-6 >= similarity * (n + n2)
+
+
 def across_pairs(members: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
     """(a, b), a > b, of members (key, node, n, at, root) of one key and different roots whose sizes and places allow the similarity.
 
@@ -312,9 +317,7 @@ def across_pairs(members: DataFrame, similarity: float, tile: int = TILE) -> Dat
     dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
     dealt = dealt.select("key", F.least("block", "__other").alias("i"), F.greatest("block", "__other").alias("j"), "node", "n", "at", "root", "block")
     a, b = dealt.alias("x"), dealt.alias("y")
-    left = lambda s: F.col(f"{s}.n") - F.col(f"{s}.at")
-    # The first shingle that two texts share leaves them no more in common than follows it in either.
-    may = F.least(left("x"), left("y")) * (1 + similarity) + 1e-6 >= similarity * (F.col("x.n") + F.col("y.n"))
+    may = _may_be_alike(*[F.col(c) for c in ("x.n", "x.at", "y.n", "y.at")], similarity)
     met = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "i", "j")]
     apart = (F.col("x.block") != F.col("y.block")) == (F.col("x.i") != F.col("x.j"))
     on = met[0] & met[1] & met[2] & apart & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & may
@@ -335,11 +338,14 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, size: int =
     texts = named.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("text").alias("text"))
     texts = saved(texts.select("digest", "least", "text", F.xxhash64("digest").alias("node")), "texts")
     keys = saved(shared_prefixes(texts, similarity, size), "prefixes")
-    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    met = saved(keys.join(shared, "key"), "met")
+    place = F.col("n").cast("long") * F.lit(1 << 32) + F.col("at")
+    ends = [F.min("node").alias("low"), F.min_by(place, "node").alias("low_place"), F.max("node").alias("high"), F.max_by(place, "node").alias("high_place")]
+    met = saved(keys.join(keys.groupBy("key").agg(*ends).where("low < high"), "key"), "met")
     dropped(keys)
-    tied = F.explode(F.array(F.struct("node", F.col("low").alias("end")), F.struct("node", F.col("high").alias("end"))))
-    ties = met.select(tied.alias("p")).select(F.greatest("p.node", "p.end").alias("a"), F.least("p.node", "p.end").alias("b")).where("a > b").distinct()
+    tied = F.explode(F.array(*[F.struct(F.col(c).alias("end"), F.col(f"{c}_place").alias("place")) for c in ("low", "high")]))
+    ties = met.select("node", "n", "at", tied.alias("p"))
+    ties = ties.where(_may_be_alike(F.col("n"), F.col("at"), F.shiftright("p.place", 32), F.col("p.place").bitwiseAND(F.lit(0xFFFFFFFF)), similarity))
+    ties = ties.select(F.greatest("node", "p.end").alias("a"), F.least("node", "p.end").alias("b")).where("a > b").distinct()
     ties = saved(ties, "candidates")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
