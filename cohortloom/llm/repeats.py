@@ -1,4 +1,4 @@
-"""Removal of repeated 50-byte strings by blockwise suffix sorting over a difference cover.
+"""Removal of repeated 50-byte strings by hashed windows behind a difference cover filter; no suffix array is built.
 
 Every suffix (a position of a text, taken to 50 bytes) would be too much to sort at once, so:
 
@@ -8,8 +8,8 @@ Every suffix (a position of a text, taken to 50 bytes) would be too much to sort
    positions there is a shift below 31 that takes both into the cover, so two equal 50-byte strings hold two equal
    sample blocks of 20 bytes at one such shift. Each chunk sorts the names of its blocks and sends each name once, in
    buckets of names; a bucket's task sorts that bucket and ranks a name as unique or repeated over the chunks.
-3. Suffixes without a repeated sample block in reach can have no match and drop out. The others go in blocks by their
-   first bytes, one block after the other, and are named by their 50 bytes (64-bit names), again once per chunk and
+3. Suffixes without a repeated sample block in reach can have no match and drop out. The others go in blocks by a
+   hash of their first bytes, one block after the other, and are named by their 50 bytes (64-bit names), again once per chunk and
    bucket; one bucket at a time is sorted, and long ties - a name
    that many chunks hold - are resolved by the chunk's rank: all but the first chunk learn that an earlier one has it.
 4. Each chunk marks the suffixes that start earlier elsewhere, or in an earlier document of its own, and covers them.
