@@ -17,15 +17,16 @@ SCHEMA = T.StructType([
 
 
 def attempts(spark: SparkSession, path: str, late: str = "1 day") -> DataFrame:
-    """Answers from a folder of Parquet files, each request once within the watermark."""
+    """Answers from a folder of Parquet files, each request once within the watermark, which is set here and nowhere else."""
     rows = spark.readStream.schema(SCHEMA).parquet(path)
     return rows.withWatermark("scored_at", late).dropDuplicatesWithinWatermark(["request_sha256"])
 
 
-def windowed_accuracy(rows: DataFrame, window: str = "1 day", late: str = "1 day") -> DataFrame:
-    """(window, eligible, failed, coverage, top1) per window; failures (no prediction) stay in the denominators."""
-    if rows.isStreaming:
-        rows = rows.withWatermark("scored_at", late)
+def windowed_accuracy(rows: DataFrame, window: str = "1 day") -> DataFrame:
+    """(window, eligible, failed, coverage, top1) per window; failures (no prediction) stay in the denominators.
+
+    Rows of a stream come with their watermark (`attempts` sets it).
+    """
     n = F.count(F.lit(1))
     yes = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     return rows.groupBy(F.window("scored_at", window)).agg(

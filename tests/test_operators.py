@@ -155,32 +155,47 @@ def test_scoring_memo_and_budget(spark):
     assert [(x["feature_id"], x["status"]) for x in slots] == [("f1", "observed"), (None, "withheld")]
 
 
-def guided(spark, **changes):
-    base = {
-        "case_id": "c", "age_years": 60, "age_lower_bound": None, "stage": "muo", "lineage": "carcinoma", "sex_at_birth": "male", "metastatic": True, "fit_for_treatment": True, "changes_management": True, "understands_purpose": True,
-        "understands_risks": True, "accepts_treatment": True, "histology_confirmed": True, "cytology_confirmed": None, "initial_workup_complete": True, "specialist_review_complete": None, "further_investigations_complete": None,
-        "ecog": 1, "ldh": "normal", "albumin": None, "liver_metastases": False, "stop_rationale_explained": None, "support_needs_addressed": None, "key_worker_assigned": False, "flags": {"adenocarcinoma": True}, "investigations": [],
-    } | changes
-    schema = """case_id string, age_years int, age_lower_bound int, stage string, lineage string, sex_at_birth string, metastatic boolean, fit_for_treatment boolean, changes_management boolean, understands_purpose boolean,
-        understands_risks boolean, accepts_treatment boolean, histology_confirmed boolean, cytology_confirmed boolean, initial_workup_complete boolean, specialist_review_complete boolean, further_investigations_complete boolean,
-        ecog int, ldh string, albumin string, liver_metastases boolean, stop_rationale_explained boolean, support_needs_addressed boolean, key_worker_assigned boolean, flags map<string,boolean>, investigations array<struct<kind:string,status:string>>"""
-    df = rules.with_flags(spark.createDataFrame([tuple(base.values())], schema))
-    df = df.withColumn("in_scope", rules.scope()).withColumn("managed", rules.management()).withColumn("stage_basis", rules.stage_basis())
-    return {r["rule_id"]: r["status"] for r in rules.evaluate(df, rules.GUIDANCE).collect()}, {r["item"]: r["status"] for r in rules.context_items(df).collect()}
-
-
-def test_guidance(spark):
-    assert len(rules.GUIDANCE) == 23
-    got, context = guided(spark)
-    assert got["initial-ct"] == "needs_review" and got["ihc-panel"] == "needs_review" and got["pet-cervical"] == "not_applicable" and got["marker-ca125"] == "not_applicable" and got["marker-hcg"] == "insufficient_information"
-    assert context == {"scope": "recorded", "stage-review": "information", "investigation-benefit": "recorded", "prognostic-context": "insufficient_information", "support-after-investigation-stop": "not_applicable", "key-worker": "needs_review", "genomic-update": "information"}
-    got, _ = guided(spark, investigations=[("ct_chest_abdomen_pelvis", "completed"), ("ihc_panel", "declined"), ("chest_xray", "pending"), ("psa", "planned")], flags={"adenocarcinoma": True, "prostate_presentation": False})
-    assert (got["initial-ct"], got["ihc-panel"], got["initial-cxr"], got["marker-psa"]) == ("recorded", "exception_recorded", "pending", "conflict")
-    got, context = guided(spark, fit_for_treatment=False)
-    assert got["ihc-panel"] == "blocked" and got["cup-team"] == "needs_review" and context["investigation-benefit"] == "blocked" and context["support-after-investigation-stop"] == "insufficient_information"
-    got, context = guided(spark, age_years=10)
-    assert set(got.values()) == {"not_applicable"} and context["scope"] == "not_applicable"
-    got, context = guided(spark, stage="confirmed_cup", flags={"adenocarcinoma": True})
-    assert got["ihc-panel"] == "insufficient_information" and context["stage-review"] == "insufficient_information"
-    got, _ = guided(spark, stage="provisional_cup", flags={"extra_cervical_presentation": True, "pet_ct_discussed_with_cup_team": False})
-    assert got["pet-extra-cervical"] == "needs_review"
+TOY_RULES = [
+    ("wash", "flag.muddy", "soap", True, False, None), ("weigh", "kilos IS NULL OR kilos > 20", None, None, None, None), ("groom", "flag.long_hair AND NOT flag.asleep", "comb", True, True, "flag.owner_agrees"),
+]
+
+
+def toy(spark, flags, found=(), kilos=10, in_scope=True, managed=True, basis=True):
+    table = spark.createDataFrame(TOY_RULES, "rule_id string, when string, target string, investigation boolean, restricted boolean, discussion string")
+    loaded = rules.load(table)
+    df = spark.createDataFrame([("c", kilos, flags, list(found), in_scope, managed, basis)], "case_id string, kilos int, flags map<string,boolean>, investigations array<struct<kind:string,status:string>>, in_scope boolean, managed boolean, stage_basis boolean")
+    return {r["rule_id"]: r["status"] for r in rules.evaluate(rules.with_flags(df, loaded), loaded).collect()}
+
+
+def test_rules_of_a_table(spark):
+    assert toy(spark, {"muddy": True}) == {"wash": "needs_review", "weigh": "not_applicable", "groom": "insufficient_information"}
+    assert toy(spark, {"muddy": True, "long_hair": False}, [("soap", "completed"), ("comb", "planned")]) == {"wash": "recorded", "weigh": "not_applicable", "groom": "conflict"}
+    assert toy(spark, {"muddy": True}, [("soap", "declined")], kilos=30)["weigh"] == "needs_review"
+    assert toy(spark, {"muddy": True}, managed=False)["wash"] == "blocked" and toy(spark, {"muddy": True}, [("soap", "pending")])["wash"] == "pending"
+    assert toy(spark, {"muddy": True}, basis=None)["wash"] == "insufficient_information"
+    full = {"muddy": None, "long_hair": True, "asleep": False}
+    assert [toy(spark, full | {"owner_agrees": x})["groom"] for x in (True, False, None)] == ["needs_review", "needs_review", "insufficient_information"]
+    assert set(toy(spark, {"muddy": True}, in_scope=False).values()) == {"not_applicable"}
+    for bad in ([("a", "true"), ("a", "false")], [(None, "true")], [("a", None)]):
+        with pytest.raises(ValueError):
+            rules.load(spark.createDataFrame(bad, "rule_id string, when string"))
+
+
+def test_stage_basis(spark):
+    rows = [("muo", "carcinoma", None, None, None, None, None), ("confirmed_cup", "carcinoma", True, None, True, True, True), ("confirmed_cup", "carcinoma", None, True, True, True, True), ("provisional_cup", "unknown", True, None, True, None, None), ("provisional_cup", "lymphoma", True, None, True, None, None)]
+    names = ("histology_confirmed", "cytology_confirmed", "initial_workup_complete", "specialist_review_complete", "further_investigations_complete")
+    df = spark.createDataFrame(rows, "stage string, lineage string, " + ", ".join(f"{n} boolean" for n in names))
+    assert [r[0] for r in df.select(rules.stage_basis()).collect()] == [True, True, None, None, False]
+
+
+def test_reviews_are_appended(spark):
+    log = spark.createDataFrame([("c", "r1", 1, "dismiss", "b0", "v1")], "case_id string, rule_id string, position long, action string, basis_sha256 string, ruleset_version string")
+    new = spark.createDataFrame([("c", "r1", "accept", "b1", "v1"), ("d", "r1", "accept", "b0", "v1")], "case_id string, rule_id string, action string, basis_sha256 string, ruleset_version string")
+    got = {(r["case_id"], r["position"], r["action"]) for r in rules.appended(log, new).collect()}
+    assert got == {("c", 1, "dismiss"), ("c", 2, "accept"), ("d", 1, "accept")}
+
+
+def test_context_items(spark):
+    df = spark.createDataFrame([("c", True, None), ("d", False, True), ("e", None, False), ("f", True, False)], "case_id string, open boolean, done boolean")
+    got = {(r["case_id"], r["item"]): r["status"] for r in rules.context(df, [rules.Item("task", "done", "open", "late"), rules.Item("note", always="information")]).collect()}
+    assert [got[c, "task"] for c in "cdef"] == ["insufficient_information", "not_applicable", "insufficient_information", "late"] and got["d", "note"] == "information"
