@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -17,12 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder that the session has.
+
+    One of our own only in local mode, where driver and executors are one process; on a cluster an unset folder is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "/tmp/cohortloom-checkpoints"
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(where)
+        # Set by SparkContext.setCheckpointDir: a folder of its own within the one that was named.
+        where = spark.sparkContext.getCheckpointDir()
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="cohortloom-")
+        spark.sparkContext.setCheckpointDir(where)
+        where = spark.sparkContext.getCheckpointDir()
     return where.rstrip("/")
 
 
@@ -35,14 +44,15 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table that `saved` wrote and that nothing reads any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if name.split("://")[-1].split(":", 1)[-1].startswith(shared_dir(spark).split("://")[-1].split(":", 1)[-1]):
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of tables that `saved` wrote and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if name.split("://")[-1].split(":", 1)[-1].startswith(shared_dir(spark).split("://")[-1].split(":", 1)[-1]):
+                path = jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(conf).delete(path, True)
 
 
 @contextmanager

@@ -38,6 +38,8 @@ BLOCK = 512
 MEMBERS = 4096
 # Near-duplicates: one text in SAMPLE is read for the COMMON most common shingles; members of a key that meet in one block.
 SAMPLE, COMMON, TILE = 16, 200_000, 512
+# Parts into which the texts of a common shingle are dealt; rounds of ties before all other pairs are compared; numbers of a sketch.
+SALTS, ROUNDS, SKETCH = 64, 3, 64
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -257,7 +259,7 @@ def _common_shingles(texts: DataFrame, size: int) -> np.ndarray:
 
 
 def shared_prefixes(texts: DataFrame, similarity: float, size: int) -> DataFrame:
-    """(key, node, n, at): the first n - ceil(similarity * n) + 1 of the n shingles of a text in one order for all texts.
+    """(key, node, n, at, common): the first n - ceil(similarity * n) + 1 of the n shingles of a text in one order for all texts.
 
     Two sets with a Jaccard similarity of at least `similarity` share ceil(similarity * n) shingles or more of each, so
     the first one they share, in any order that is the same for both, is among these of both. Rare shingles come first.
@@ -266,21 +268,22 @@ def shared_prefixes(texts: DataFrame, similarity: float, size: int) -> DataFrame
     by_hash = np.argsort(common)
     sorted_common = common[by_hash]
 
-    def prefix(parts: np.ndarray) -> np.ndarray:
+    def prefix(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(parts)
         count = n - math.ceil(similarity * n - 1e-9) + 1
         if not len(sorted_common):
-            return parts[:count]
+            return parts[:count], np.zeros(count, dtype=bool)
         at = np.minimum(np.searchsorted(sorted_common, parts), len(sorted_common) - 1)
         rank = np.where(sorted_common[at] == parts, by_hash[at] + 1, 0)
-        return parts[np.argsort(rank, kind="stable")[:count]]
+        first = np.argsort(rank, kind="stable")[:count]
+        return parts[first], rank[first] > 0
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(nodes: list, sizes: list, keys: list) -> pa.RecordBatch:
-            counts = [len(k) for k in keys]
+            counts = [len(k) for k, _ in keys]
             at = np.concatenate([np.arange(c, dtype=np.int32) for c in counts])
-            columns = [np.concatenate(keys).view(np.int64), np.repeat(np.array(nodes, dtype=np.int64), counts), np.repeat(np.array(sizes, dtype=np.int32), counts), at]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "n", "at"])
+            columns = [np.concatenate([k for k, _ in keys]).view(np.int64), np.repeat(np.array(nodes, dtype=np.int64), counts), np.repeat(np.array(sizes, dtype=np.int32), counts), at, np.concatenate([c for _, c in keys])]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "n", "at", "common"])
 
         for batch in batches:
             nodes, sizes, keys, held = [], [], [], 0
@@ -290,14 +293,45 @@ def shared_prefixes(texts: DataFrame, similarity: float, size: int) -> DataFrame
                     nodes.append(node)
                     sizes.append(len(parts))
                     keys.append(prefix(parts))
-                    held += len(keys[-1])
+                    held += len(keys[-1][0])
                 if held > 200_000:
                     yield made(nodes, sizes, keys)
                     nodes, sizes, keys, held = [], [], [], 0
             if keys:
                 yield made(nodes, sizes, keys)
 
-    return texts.select("node", "text").mapInArrow(apply, "key long, node long, n int, at int")
+    return texts.select("node", "text").mapInArrow(apply, "key long, node long, n int, at int, common boolean")
+
+
+def shared_keys(prefixes: DataFrame) -> DataFrame:
+    """(key, node, n, at) of the keys that two texts or more have, in one shuffle: most keys are one text's alone.
+
+    Keys that are common by the sample pass as they are and are dealt by text, so none of them is one task's.
+    """
+    part = F.when(F.col("common"), F.xxhash64("key", F.pmod("node", F.lit(SALTS)))).otherwise(F.col("key"))
+    dealt = prefixes.withColumn("__part", part).repartition("__part").drop("__part").sortWithinPartitions("key")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "node", "n", "at"]
+
+        def kept(columns: list[np.ndarray], before: int | None, after: int | None) -> pa.RecordBatch:
+            key = columns[0]
+            same = key[1:] == key[:-1]
+            keep = columns[4] | np.append(same, key[-1] == after if after is not None else False) | np.append(key[0] == before if before is not None else False, same)
+            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns[:4]], names=names)
+
+        held, before = None, None
+        for batch in batches:
+            if batch.num_rows:
+                columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                if held is not None:
+                    yield kept(held, before, columns[0][0])
+                    before = held[0][-1]
+                held = columns
+        if held is not None:
+            yield kept(held, before, None)
+
+    return dealt.mapInArrow(apply, "key long, node long, n int, at int")
 
 
 def _may_be_alike(n: Column, at: Column, n2: Column, at2: Column, similarity: float) -> Column:
@@ -324,57 +358,107 @@ def across_pairs(members: DataFrame, similarity: float, tile: int = TILE) -> Dat
     return a.join(b, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
+def key_ties(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a > b: the first text of every root of a key with the first of the key; members: (key, node, n, at, root).
+
+    The first text of a key has it furthest to the front of its prefix, so it has the fewest shingles of its own: of a
+    family of copies it is the one that is nearest to what they all come from. As many pairs as keys have roots.
+    """
+    firsts = members.groupBy("key", "root").agg(F.min(F.struct("at", "node", "n")).alias("own"))
+    best = firsts.groupBy("key").agg(F.min("own").alias("best"), F.count(F.lit(1)).alias("__c")).where("__c > 1")
+    met = firsts.join(best, "key").where(F.col("own.node") != F.col("best.node"))
+    met = met.where(_may_be_alike(*[F.col(c) for c in ("own.n", "own.at", "best.n", "best.at")], similarity))
+    return met.select(F.greatest("own.node", "best.node").alias("a"), F.least("own.node", "best.node").alias("b")).distinct()
+
+
+def _sketch(parts: np.ndarray) -> bytes | None:
+    """How many of the hashes fall into each of SKETCH classes; none for sets that a byte a class might not count."""
+    return np.bincount((parts.view(np.uint64) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.uint8).tobytes() if len(parts) < 128 * SKETCH and len(parts) else None
+
+
+def _within_sketches(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that may be alike: two sets share no more than the lesser count of each class, whatever they hold."""
+    one = lambda end: sketches.select(F.col("node").alias(end), F.col("sketch").alias(f"s{end}"), F.col("n").alias(f"n{end}"))
+    both = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "sa", "sb", "na", "nb")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sa, sb = batch.column(2), batch.column(3)
+            known = np.array([x.is_valid and y.is_valid for x, y in zip(sa, sb)], dtype=bool)
+            keep = ~known
+            if known.any():
+                rows = pa.array(np.flatnonzero(known))
+                a, b = (np.frombuffer(b"".join(c.take(rows).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH) for c in (sa, sb))
+                total = sum(batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (4, 5))[known]
+                most = np.minimum(a, b).sum(axis=1, dtype=np.int64)
+                keep[known] = most + 1e-6 >= similarity * (total - most)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
+
+    return both.mapInArrow(apply, "a long, b long")
+
+
+def verified_pairs(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
+    """The pairs whose sets of shingles are alike: first by their sketches, then by their whole sets."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.unique(hashes(shingles(words_of(t), size))) for t in batch.column("text").to_pylist()]
+            columns = [batch.column("node"), pa.array([len(x) for x in made], pa.int32()), pa.array([_sketch(x) for x in made], pa.binary()), pa.array([x.view(np.int64) for x in made], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "sketch", "parts"])
+
+    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    parts = saved(texts.select("node", "text").join(ends, "node", "left_semi").mapInArrow(sets, "node long, n int, sketch binary, parts array<long>"), "parts")
+    left = saved(_within_sketches(pairs, parts.select("node", "n", "sketch"), similarity), "pairs")
+    both = left.join(parts.select(F.col("node").alias("a"), F.col("parts").alias("pa")), "a").join(parts.select(F.col("node").alias("b"), F.col("parts").alias("pb")), "b")
+    common = F.size(F.array_intersect("pa", "pb"))
+    out = saved(both.where(common >= similarity * (F.size("pa") + F.size("pb") - common)).select("a", "b"), "alike")
+    dropped(parts, left)
+    return out
+
+
 def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, tile: int = TILE) -> DataFrame:
     """(digest, doc_id, root_digest, root_id) of every distinct text that isn't the one to stay of its group.
 
     Texts group if they are equal, or linked by pairs whose sets of `size`-word shingles have a Jaccard similarity of at
     least `similarity`. The search is exact: all such pairs meet on a shingle of their prefixes (`shared_prefixes`) and
-    candidates are verified on whole texts. First each text is tied to the smallest and the largest node of each of its
-    keys, so a large group of copies becomes one or a few components with as many pairs as it has members; then all
-    candidates between different components are verified, so none is left out.
+    candidates are verified on whole texts. First, in up to ROUNDS rounds, the components of each key are tied to its
+    first text (`key_ties`), so a large group of copies becomes one component with as many pairs as it has members; then
+    all candidates between different components are verified, so none is left out.
     """
     digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
     named = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), digest.alias("digest"))
     texts = named.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("text").alias("text"))
     texts = saved(texts.select("digest", "least", "text", F.xxhash64("digest").alias("node")), "texts")
-    keys = saved(shared_prefixes(texts, similarity, size), "prefixes")
-    place = F.col("n").cast("long") * F.lit(1 << 32) + F.col("at")
-    ends = [F.min("node").alias("low"), F.min_by(place, "node").alias("low_place"), F.max("node").alias("high"), F.max_by(place, "node").alias("high_place")]
-    met = saved(keys.join(keys.groupBy("key").agg(*ends).where("low < high"), "key"), "met")
-    dropped(keys)
-    tied = F.explode(F.array(*[F.struct(F.col(c).alias("end"), F.col(f"{c}_place").alias("place")) for c in ("low", "high")]))
-    ties = met.select("node", "n", "at", tied.alias("p"))
-    ties = ties.where(_may_be_alike(F.col("n"), F.col("at"), F.shiftright("p.place", 32), F.col("p.place").bitwiseAND(F.lit(0xFFFFFFFF)), similarity))
-    ties = ties.select(F.greatest("node", "p.end").alias("a"), F.least("node", "p.end").alias("b")).where("a > b").distinct()
-    ties = saved(ties, "candidates")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [np.unique(hashes(shingles(words_of(t), size))).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.list_(pa.int64()))], names=["node", "parts"])
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-        parts = saved(texts.select("node", "text").join(ends, "node", "left_semi").mapInArrow(sets, "node long, parts array<long>"), "parts")
-        both = pairs.join(parts.select(F.col("node").alias("a"), F.col("parts").alias("pa")), "a").join(parts.select(F.col("node").alias("b"), F.col("parts").alias("pb")), "b")
-        common = F.size(F.array_intersect("pa", "pb"))
-        out = saved(both.where(common >= similarity * (F.size("pa") + F.size("pb") - common)).select("a", "b"), "alike")
-        dropped(parts)
-        return out
-
-    rooted = components(verified(ties))
-    members = met.select("key", "node", "n", "at").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    members = saved(members, "members")
+    met = saved(shared_keys(shared_prefixes(texts, similarity, size)), "met")
+    rooted = links = tested = None
+
+    def members() -> DataFrame:
+        if rooted is None:
+            return met.withColumn("root", F.col("node"))
+        return met.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    for _ in range(ROUNDS):
+        ties = key_ties(members(), similarity)
+        ties = saved(ties if tested is None else ties.join(tested, ["a", "b"], "left_anti"), "ties")
+        if ties.isEmpty():
+            break
+        found = verified_pairs(ties, texts, similarity, size)
+        tested, links = (ties, found) if tested is None else (tested.unionAll(ties), links.unionAll(found))
+        if found.isEmpty():
+            break
+        rooted = components(links)
+    if tested is not None:
+        rest = saved(across_pairs(members(), similarity, tile).join(tested, ["a", "b"], "left_anti"), "candidates")
+        links = links.unionAll(verified_pairs(rest, texts, similarity, size))
+        rooted = components(links)
+        dropped(rest)
     dropped(met)
-    rest = saved(across_pairs(members, similarity, tile).join(ties, ["a", "b"], "left_anti"), "candidates")
-    found = verified(rest)
-    of = lambda end: rooted.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
-    ends = found.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    joined = components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-    whole = texts.select("digest", "least", "node").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    whole = whole.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("root", F.coalesce("top", "root"))
+    whole = texts.select("digest", "least", "node")
+    whole = whole.withColumn("root", F.col("node")) if rooted is None else whole.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
     stays = whole.groupBy("root").agg(F.min(F.struct("least", "digest")).alias("stay"))
-    return saved(whole.join(stays, "root").select("digest", F.col("stay.digest").alias("root_digest"), F.col("stay.least").alias("root_id")), "groups")
+    out = saved(whole.join(stays, "root").select("digest", F.col("stay.digest").alias("root_digest"), F.col("stay.least").alias("root_id")), "groups")
+    dropped(texts, *[t for t in (tested, links, rooted) if t is not None])
+    return out
 
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
