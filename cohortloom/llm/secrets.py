@@ -44,10 +44,10 @@ CLASSES = [
     ("letters", r"^(?=(?:.*?[a-z][A-Z]){4})[A-Za-z]+$", 3.9),
     ("base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z]).+$", 3.7),
 ]
-# Separators at the ends of a run, and words there that a separator parts from the rest: no part of a candidate.
-_FIRST_WORDS = "^[/_-]*+(?:(?:[A-Z]?[a-z]+|[A-Z]+)[+/_-]+)*+"
+# Separators at the ends of a run, and words, zeros or the ten digits there that a separator parts from the rest: no part of a candidate.
+_FIRST_WORDS = "^[/_-]*+(?:(?:[A-Z]?[a-z]+|[A-Z]+|0123456789|0+)[+/_-]+)*+"
 # The same from the end, for the value read backwards: anchored patterns with possessive groups take one pass and no stack.
-_LAST_WORDS = "^[/_-]*+(?:(?:[a-z]+[A-Z]?|[A-Z]+)[+/_-]+)*+"
+_LAST_WORDS = "^[/_-]*+(?:(?:[a-z]+[A-Z]?|[A-Z]+|9876543210|0+)[+/_-]+)*+"
 # Whole values that are no secrets.
 ALLOWED = r"^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$|^(.)\1*$|^(?i:0123456789(?:abcdef(?:ghijklmnopqrstuvwxyz)?)?|abcdefghijklmnopqrstuvwxyz(?:0123456789)?)++$|^[A-Za-z]+(?:[_/-]+[A-Za-z]+)++$"
 # Base spans of one run, character by character, so that blanks take the place of each.
