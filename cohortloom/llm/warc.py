@@ -40,7 +40,9 @@ _END = b"\r\n"
 
 
 def _target(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(path)
+    """The file system and the path in it; Spark's names of one store (s3a, s3n) are the same store's."""
+    scheme, mark, rest = path.partition("://")
+    return pyarrow.fs.FileSystem.from_uri(f"s3://{rest}" if mark and scheme in ("s3a", "s3n") else path)
 
 
 def _clean(value: str) -> str:
@@ -73,8 +75,9 @@ def record_bytes(page: int | None, url: str | None, payload: bytes, digest: str,
 
 
 def parse_head(data: bytes) -> dict[str, str]:
-    lines = data.decode("utf-8").split("\r\n")
-    return dict(line.split(": ", 1) for line in lines[1:] if ": " in line)
+    """Fields by name in lower case; bytes that are no UTF-8 become replacement marks, lines without a colon are passed over."""
+    lines = data.decode("utf-8", "replace").split("\r\n")
+    return {name.strip().lower(): value.strip() for name, colon, value in (line.partition(":") for line in lines[1:]) if colon}
 
 
 def with_revisits(pages: DataFrame, page: str = "page_id", payload: str = "html") -> DataFrame:
@@ -126,19 +129,20 @@ def write_archives(captures: DataFrame, path: str, date: str = "2024-01-01T00:00
 
 
 def inflated(stream) -> Iterator[bytes]:
-    """Blocks of a gzip stream of one or more members, inflated once."""
-    unpack = zlib.decompressobj(31)
+    """Blocks of a gzip stream of one or more members, inflated once; a stream that ends inside a member is an error."""
+    unpack, inside = zlib.decompressobj(31), False
     while data := stream.read(BLOCK):
         while data:
+            inside = True
             if block := unpack.decompress(data, BLOCK * 4):
                 yield block
             if unpack.eof:
                 data = unpack.unused_data
-                unpack = zlib.decompressobj(31)
+                unpack, inside = zlib.decompressobj(31), False
             else:
                 data = unpack.unconsumed_tail
-    if block := unpack.flush():
-        yield block
+    if inside:
+        raise ValueError("the archive ends inside a gzip member")
 
 
 def records_of(blocks: Iterator[bytes]) -> Iterator[tuple[bytes, bytes]]:
@@ -158,7 +162,7 @@ def records_of(blocks: Iterator[bytes]) -> Iterator[tuple[bytes, bytes]]:
                     raise ValueError("the archive ends inside a record's head")
                 return
         head = bytes(held[:at])
-        whole = at + 4 + int(parse_head(head)["Content-Length"]) + 4
+        whole = at + 4 + int(parse_head(head)["content-length"]) + 4
         while len(held) < whole:
             if not more():
                 raise ValueError("the archive ends inside a record")
@@ -167,7 +171,7 @@ def records_of(blocks: Iterator[bytes]) -> Iterator[tuple[bytes, bytes]]:
 
 
 def normalise(archives: DataFrame, path: str) -> DataFrame:
-    """Rewrite each archive with one gzip member a record, and its sidecar index; the index as rows."""
+    """Rewrite each archive with one gzip member a record, and beside it a sidecar index; (archive, sidecar, records) of each."""
     count = archives.count()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,24 +182,51 @@ def normalise(archives: DataFrame, path: str) -> DataFrame:
                 to, root = _target(path)
                 to.create_dir(root, recursive=True)
                 name = f"{source.rsplit('/', 1)[1].removesuffix('.warc.gz')}-{attempt}.norm.warc.gz"
-                rows, offset = [], 0
+                offset = records = 0
                 with fs.open_input_stream(at, compression=None) as stream, to.open_output_stream(f"{root}/{name}", compression=None) as out, to.open_output_stream(f"{root}/{name}.idx", compression=None) as index:
                     for head, record in records_of(inflated(stream)):
                         packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                         member = packer.compress(record) + packer.flush()
                         out.write(member)
                         fields = parse_head(head)
-                        index.write(json.dumps({"offset": offset, "length": len(member), "id": fields["WARC-Record-ID"], "type": fields["WARC-Type"]}).encode() + b"\n")
-                        rows.append((f"{path}/{name}", offset, len(member)))
-                        offset += len(member)
+                        index.write(json.dumps({"offset": offset, "length": len(member), "id": fields.get("warc-record-id"), "type": fields.get("warc-type")}).encode() + b"\n")
+                        offset, records = offset + len(member), records + 1
+                yield pa.RecordBatch.from_arrays([pa.array([f"{path}/{name}"]), pa.array([f"{path}/{name}.idx"]), pa.array([records], pa.int64())], names=["archive", "sidecar", "records"])
+
+    dealt = archives.select("archive").repartition(max(1, count))
+    return saved(dealt.mapInArrow(apply, "archive string, sidecar string, records long"), "normalised")
+
+
+def sidecar_index(normalised: DataFrame) -> DataFrame:
+    """(archive, offset, length) of every member, read from the sidecars; one that lists another number of records is an error."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for archive, sidecar, records in zip(*[batch.column(c).to_pylist() for c in ("archive", "sidecar", "records")]):
+                fs, at = _target(sidecar)
+                seen, rows = 0, []
+                with fs.open_input_stream(at, compression=None) as stream:
+                    for line in _lines(stream):
+                        entry = json.loads(line)
+                        rows.append((archive, entry["offset"], entry["length"]))
                         if len(rows) >= 5000:
                             yield _index_batch(rows)
-                            rows = []
+                            seen, rows = seen + len(rows), []
                 if rows:
                     yield _index_batch(rows)
+                if seen + len(rows) != records:
+                    raise ValueError(f"{sidecar} lists {seen + len(rows)} records of {records}")
 
-    dealt = archives.select("archive").repartition(max(1, count))
-    return saved(dealt.mapInArrow(apply, "archive string, offset long, length long"), "index")
+    return normalised.select("archive", "sidecar", "records").mapInArrow(apply, "archive string, offset long, length long")
+
+
+def _lines(stream) -> Iterator[bytes]:
+    held = b""
+    while data := stream.read(BLOCK):
+        *whole, held = (held + data).split(b"\n")
+        yield from whole
+    if held:
+        yield held
 
 
 def _index_batch(rows: list[tuple[str, int, int]]) -> pa.RecordBatch:
@@ -206,7 +237,8 @@ def _index_batch(rows: list[tuple[str, int, int]]) -> pa.RecordBatch:
 def read_records(index: DataFrame) -> DataFrame:
     """(page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload) of every member the index lists.
 
-    A response's size and digest are taken from its payload as read; a digest that differs from the head's is an error.
+    A response's size and digest are taken from its payload as read; a SHA-256 digest that differs from the head's is an
+    error. Archives of others may lack what `record_bytes` adds: page, reference and a revisit's size are null then.
     """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,17 +255,18 @@ def read_records(index: DataFrame) -> DataFrame:
                 record = zlib.decompress(opened.read(length), 31)
                 cut = record.index(b"\r\n\r\n")
                 head = parse_head(record[:cut])
-                digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
-                if head["WARC-Type"] == "response":
+                kind, said = head.get("warc-type"), head.get("warc-payload-digest", "")
+                digest = said.removeprefix("sha256:") if said.startswith("sha256:") else None
+                payload, size = None, head.get("x-payload-length")
+                if kind == "response":
                     block = record[cut + 4 : -4]
-                    payload = block[block.index(b"\r\n\r\n") + 4 :]
-                    size = len(payload)
-                    if hashlib.sha256(payload).hexdigest() != digest:
-                        raise ValueError(f"payload of {head['WARC-Record-ID']} differs from its digest")
-                else:
-                    payload, size = None, int(head["X-Payload-Length"])
-                own, other = head.get("X-Page-Id"), head.get("X-Refers-To-Page")
-                rows.append((own and int(own), head["WARC-Target-URI"], head["WARC-Type"], other and int(other), size, digest, payload))
+                    payload = block[block.find(b"\r\n\r\n") + 4 :] if b"\r\n\r\n" in block else block
+                    size, own = len(payload), hashlib.sha256(payload).hexdigest()
+                    if digest not in (None, own):
+                        raise ValueError(f"payload of {head.get('warc-record-id')} differs from its digest")
+                    digest = own
+                own, other = head.get("x-page-id"), head.get("x-refers-to-page")
+                rows.append((own and int(own), head.get("warc-target-uri"), kind, other and int(other), size and int(size), digest, payload))
                 if len(rows) >= 500:
                     yield _record_batch(rows)
                     rows = []
@@ -252,7 +285,7 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     """Write the pages, normalise the archives and read every record back."""
     root = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     written = write_archives(with_revisits(pages.select("page_id", "url", "html")), f"{root}/whole")
-    index = normalise(written, f"{root}/members")
+    index = sidecar_index(normalise(written, f"{root}/members"))
     return read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
