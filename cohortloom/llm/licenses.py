@@ -1,21 +1,29 @@
 """Licence scan with a generalised suffix automaton over licence tokens.
 
-The words of all templates and of the short base phrases go into one suffix automaton (bounded by the templates,
-not by the data; it is built on the driver and sent with the tasks). A text is streamed through it once, which
-gives at every word the length of the longest run ending there that occurs in some template (matching statistics).
-Runs of at least `MIN_RUN` words that can't grow are chained per template, in order, with gaps of at most `MAX_GAP`
-words, into spans; a span that covers at least `MIN_COVER` of a template's words labels the text.
+The words of all templates and of the short base phrases go into one suffix automaton. Templates are data: the full
+texts in the folder `licences` (a file is a licence, its name the label) and the notices that files carry in their
+place. The automaton is built once, on the driver, from templates whose size is checked, and is sent to the tasks as
+a broadcast. A text is streamed through it once, which gives at every word the length of the longest run ending there
+that occurs in some template (matching statistics). Runs of at least `MIN_RUN` words that can't grow are chained per
+template, in order, with gaps of at most `MAX_GAP` words, into spans; a span that covers at least `MIN_COVER` of a
+template's words labels the text. Where one template lies whole within another, both label it.
 
 Base places come from the same walk: a phrase ends at a word if the phrase's state is the walk's state (with a long
 enough match) or one of its suffix links.
 
-Defined results: a null or empty text has no words, no places, empty labels and score 0. Repeated rows are repeated.
+Where a run occurs is kept as a range: occurrences are ordered along the tree of suffix links, so those of a state are
+neighbours, and no state holds a set of its own.
+
+Defined results: a null or empty text has no words, no places, empty labels and score 0. Repeated rows are repeated; other
+columns of the documents are not read, so their names can't clash.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,50 +31,91 @@ from pyspark.sql import DataFrame
 # The base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Well-known public licence passages that the method looks for besides the phrases.
-TEMPLATES = {
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
-    "apache": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
-    "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "mpl": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
-    "mit-line": "released under the mit license",
-    "apache-line": "licensed under the apache license version 2 0",
-    "gpl-line": "this work is licensed under the gnu general public license version 3",
-    "cc-by-line": "this work is licensed under a creative commons attribution 4 0 international license",
+# Public notices that files carry in place of the whole text, by label; several of one label are numbered.
+NOTICES = {
+    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+    "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "lgpl-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "agpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "bsd-notice": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file",
+    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    "mit-line": "released under the MIT License",
+    "apache-2.0-line": "licensed under the Apache License, Version 2.0",
+    "gpl-line": "this work is licensed under the GNU General Public License version 3",
+    "cc-by-4.0-line": "this work is licensed under a Creative Commons Attribution 4.0 International License",
+    "cc-by-sa-4.0-line": "this work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
 }
+FOLDER = Path(__file__).parent / "licences"
+# Most words of all templates: the automaton has at most twice as many states.
+MOST_WORDS = 1_000_000
 
 MIN_RUN = 4
-MAX_GAP = 4
+MAX_GAP = 8
 MIN_COVER = 0.6
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
+def templates_of(folder: Path = FOLDER) -> dict[str, str]:
+    """The licence texts of a folder, by file name, and the notices."""
+    return {f.stem: f.read_text(encoding="utf-8") for f in sorted(folder.glob("*.txt"))} | NOTICES
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return _WORD.findall((text or "").encode("utf-8").translate(_LOWER))
+
+
 class SuffixAutomaton:
-    """Generalised suffix automaton of several word sequences; states keep where one of their occurrences ends."""
+    """Generalised suffix automaton of several word sequences; `occurrences` are where strings of a state end."""
 
     def __init__(self, sequences: list[list[int]]):
         self.step: list[dict[int, int]] = [{}]
         self.link = [-1]
         self.length = [0]
-        self.ends: list[set[tuple[int, int]]] = [set()]
+        ends = []
         for k, sequence in enumerate(sequences):
             last = 0
             for at, word in enumerate(sequence):
                 last = self._extend(last, word)
-                self.ends[last].add((k, at))
-        for state in sorted(range(1, len(self.link)), key=lambda s: -self.length[s]):
-            if self.link[state] > 0:
-                self.ends[self.link[state]] |= self.ends[state]
+                ends.append((last, k, at))
+        self._order(ends)
+
+    def _order(self, ends: list[tuple[int, int, int]]) -> None:
+        """Number the states so that those below a state in the tree of suffix links follow it, and sort the ends so."""
+        n = len(self.link)
+        below: list[list[int]] = [[] for _ in range(n)]
+        for state in range(1, n):
+            below[self.link[state]].append(state)
+        first, after, number = [0] * n, [0] * n, 0
+        stack = [(0, False)]
+        while stack:
+            state, done = stack.pop()
+            if done:
+                after[state] = number
+                continue
+            first[state], number = number, number + 1
+            stack.append((state, True))
+            stack += [(x, False) for x in below[state]]
+        ends.sort(key=lambda e: (first[e[0]], e[1], e[2]))
+        self.places = [(k, at) for _, k, at in ends]
+        start = [0] * (n + 1)
+        for state, _, _ in ends:
+            start[first[state] + 1] += 1
+        for i in range(n):
+            start[i + 1] += start[i]
+        self.ranges = [(start[first[s]], start[after[s]]) for s in range(n)]
+
+    def occurrences(self, state: int) -> list[tuple[int, int]]:
+        """(sequence, place of the last word) of every occurrence of a state's strings."""
+        low, high = self.ranges[state]
+        return self.places[low:high]
 
     def _state(self, length: int, step: dict[int, int], link: int) -> int:
         self.step.append(step)
         self.link.append(link)
         self.length.append(length)
-        self.ends.append(set())
         return len(self.link) - 1
 
     def _split(self, at: int, target: int, word: int) -> int:
@@ -99,29 +148,41 @@ class SuffixAutomaton:
 
 
 class LicenseScanner:
-    def __init__(self, templates: dict[str, str] = TEMPLATES, base: dict[str, str] = BASE):
+    def __init__(self, templates: dict[str, str] | None = None, base: dict[str, str] = BASE):
+        templates = templates_of() if templates is None else templates
         self.numbers: dict[bytes, int] = {}
-        self.names = list(templates)
-        number = lambda text: [self.numbers.setdefault(w, len(self.numbers)) for w in text.encode().split()]
+        self.names = [re.sub("-(line|notice|grant)$", "", n) for n in templates]
+        number = lambda text: [self.numbers.setdefault(w, len(self.numbers)) for w in words_of(text)]
         sequences = [number(t) for t in templates.values()]
+        if sum(map(len, sequences)) > MOST_WORDS:
+            raise ValueError(f"templates of more than {MOST_WORDS} words")
         phrases = [number(p) for p in base]
         self.sizes = [len(s) for s in sequences]
         self.automaton = a = SuffixAutomaton([*sequences, *phrases])
         self.phrases = [(a.state_of(p), len(p), label) for p, label in zip(phrases, base.values())]
         # Of each state: the phrases that end every string of it, and the one for which the match's length decides.
-        up: list[list[int]] = []
-        for state in range(len(a.link)):
-            found, at = [], a.link[state]
-            while at > 0:
-                found += [k for k, (s, _, _) in enumerate(self.phrases) if s == at]
-                at = a.link[at]
-            up.append(found)
-        self.up = up
-        self.own = [[k for k, (s, _, _) in enumerate(self.phrases) if s == state] for state in range(len(a.link))]
+        self.own: list[list[int]] = [[] for _ in a.link]
+        for k, (state, _, _) in enumerate(self.phrases):
+            self.own[state].append(k)
+        self.up: list[list[int]] = [[] for _ in a.link]
+        for state in sorted(range(1, len(a.link)), key=a.length.__getitem__):
+            if (link := a.link[state]) > 0:
+                self.up[state] = self.up[link] + self.own[link] if self.own[link] else self.up[link]
+
+    def matching_statistics(self, words: list[bytes]) -> list[int]:
+        """For every word the length of the longest run ending there that occurs in some template or phrase."""
+        a, out, state, length = self.automaton, [], 0, 0
+        for n in map(self.numbers.get, words):
+            while state and n not in a.step[state]:
+                state = a.link[state]
+                length = a.length[state]
+            state, length = (a.step[state][n], length + 1) if n in a.step[state] else (0, 0)
+            out.append(length)
+        return out
 
     def scan(self, text: str) -> dict:
         """Words, base places [(start, label)], spans [(label, start, end, cover)], labels and score of a text."""
-        words = _WORD.findall((text or "").encode("utf-8").translate(_LOWER))
+        words = words_of(text)
         numbers = self.numbers.get
         known = [(i, n) for i, n in enumerate(map(numbers, words)) if n is not None]
         a, places, runs = self.automaton, [], []
@@ -158,11 +219,11 @@ class LicenseScanner:
         done = []
 
         def close(k: int, chain: list[int]) -> None:
-            done.append((self.names[k].removesuffix("-line"), chain[0], chain[1], min(1.0, chain[3] / self.sizes[k])))
+            done.append((self.names[k], chain[0], chain[1], min(1.0, chain[3] / self.sizes[k])))
 
         for last, length, state in runs:
             nearest: dict[int, int] = {}
-            for k, at in self.automaton.ends[state]:
+            for k, at in self.automaton.occurrences(state):
                 if k < len(self.names):
                     chains = by.get(k)
                     want = chains[-1][2] if chains else -1
@@ -188,12 +249,18 @@ class LicenseScanner:
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string"
 
 
+@functools.lru_cache(maxsize=4)
+def _scanner(templates: tuple | None, base: tuple | None) -> LicenseScanner:
+    return LicenseScanner(None if templates is None else dict(templates), BASE if base is None else dict(base))
+
+
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, base: dict[str, str] | None = None) -> DataFrame:
     """Words, base places, labels, score and covered template spans (label:first word:last word) of every whole text."""
-    templates, base = templates or TEMPLATES, base or BASE
+    made = _scanner(templates and tuple(templates.items()), base and tuple(base.items()))
+    shared = docs.sparkSession.sparkContext.broadcast(made)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = LicenseScanner(templates, base)
+        scanner = shared.value
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
