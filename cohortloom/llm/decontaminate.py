@@ -1,22 +1,29 @@
 """Benchmark decontamination by size-partitioned MinHash containment search, with DataFrame functions alone.
 
-Items are short and documents long, so signatures of both sides of one length would say nothing. What MinHash does give
-is containment: of the shingles of an item that come first in a random order, a document that contains a share c of the
-item holds about that share. Items are partitioned by their number of shingles, in powers of two; small partitions keep
-all of their shingles as signature, larger ones the first `SIGNATURE` in the order. Documents stream their shingle
-hashes past the signatures; a document that holds at least a quarter of a signature is a candidate, and each candidate
-is verified by exact containment of the shingle texts. At a containment of 0.8 a signature of all shingles always
-passes, and one of 32 fails with a probability below 1e-10.
+Items are short and documents long, so signatures of both sides of one length would say nothing: what MinHash does give
+is containment. Of the shingles of an item that come first in a random order, a document that holds a share c of the item
+holds about that share. Items are partitioned by their number of shingles, in powers of two, and every partition is
+searched with its own signature length and its own number of hits that make a candidate:
 
-The signature table is broadcast only if its counted rows are at most `BROADCAST_ROWS`, else both sides are shuffled.
+* up to 2**5 shingles the signature is the whole item and a candidate holds the threshold's share of it, no less;
+* above, the signature grows with the square root of the size (`signature_length`), and the hits asked for are the most
+  that a document at the threshold falls short of with a probability of at most `MISS` (Chernoff's bound).
+
+Documents stream their shingle hashes past the signatures, which is their side of the search: a document has no signature
+of its own, as any bounded one would lose a short item in a long text. Each candidate is verified by exact containment
+of the shingle texts. The signature table is broadcast only if its counted rows are at most `BROADCAST_ROWS`, else both
+sides are shuffled by shingle hash.
 
 Shingles are of five words, lower-cased, words being runs of letters and digits. Defined results: items of fewer words,
 or with a null text or id, have no shingle and match nothing; null or empty documents, or with a null id, contain
-nothing. Repeated rows of an item or a document count as one; the result has each (doc_id, item_id) once.
+nothing; empty tables give no rows. Repeated rows of an item count as one, of a document too; rows of one id with other
+texts are searched one by one and the best counts. The result has each (doc_id, item_id) once, and no other columns are read.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -25,7 +32,9 @@ from cohortloom.llm.common import saved
 
 WORDS = 5
 THRESHOLD = 0.8
-SIGNATURE = 32
+WHOLE = 5
+MISS = 1e-10
+LARGEST = 20
 BROADCAST_ROWS = 1_000_000
 
 
@@ -56,23 +65,46 @@ def _bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def signatures(items: DataFrame, item: str, text: str) -> DataFrame:
-    """(item, __h, __need): the signature of every item and how many of its hashes make a candidate."""
+def signature_length(part: int) -> int:
+    """Hashes of an item of 2**part to 2**(part + 1) - 1 shingles."""
+    return 2 ** (part + 1) - 1 if part < WHOLE else math.ceil(2**WHOLE * 2 ** ((part - WHOLE) / 2))
+
+
+def hits_asked(part: int, threshold: float = THRESHOLD) -> int:
+    """Most hits that a document at the threshold has with a probability of at least 1 - MISS."""
+    k = signature_length(part)
+
+    def below(hits: int) -> float:
+        """Bound of the probability of fewer hits."""
+        x = (hits - 1) / k
+        if x >= threshold:
+            return 1.0
+        return math.exp(-k * ((x * math.log(x / threshold) if x else 0.0) + (1 - x) * math.log((1 - x) / (1 - threshold)))) if threshold < 1 else 0.0
+
+    return max([1, *(h for h in range(1, k + 1) if below(h) <= MISS)])
+
+
+def signatures(items: DataFrame, item: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
+    """(item, __h, __part, __need): the signature of every item, its partition and how many of its hashes make a candidate."""
     each = _hashes(items.where(F.col(item).isNotNull()), item, text).distinct()
     first = W.partitionBy(item).orderBy(F.xxhash64("__h", F.lit(7)), "__h")
     n = F.count(F.lit(1)).over(W.partitionBy(item))
     ranked = each.select(item, "__h", F.row_number().over(first).alias("__r"), n.alias("__n"))
-    part = F.floor(F.log2(F.col("__n")))
-    size = F.least(F.when(part >= 5, F.lit(SIGNATURE)).otherwise(F.col("__n")), F.col("__n"))
-    return ranked.where(F.col("__r") <= size).select(item, "__h", F.greatest(F.lit(1), F.floor(size / 4)).cast("int").alias("__need"))
+    part = F.least(F.floor(F.log2(F.col("__n"))), F.lit(LARGEST)).cast("int")
+    of = lambda values: F.element_at(F.lit(values), part + 1)
+    length, hits = of([signature_length(p) for p in range(LARGEST + 1)]), of([hits_asked(p, threshold) for p in range(LARGEST + 1)])
+    # A small item is searched whole, so that fewer hits than the threshold's share rule it out for certain.
+    need = F.when(part < WHOLE, F.greatest(F.lit(1), F.ceil(F.col("__n") * threshold - 1e-9))).otherwise(hits)
+    return ranked.where(F.col("__r") <= length).select(item, "__h", part.alias("__part"), need.cast("int").alias("__need"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc, item, n_shingles, n_found, containment) of every document that contains at least `threshold` of an item."""
     docs, items = docs.select(doc, text).where(F.col(doc).isNotNull()), items.select(item, text)
-    signed = saved(signatures(items, item, text), "signatures")
-    met = _hashes(docs, doc, text).join(_bounded(signed), "__h").select(doc, item, "__h", "__need").distinct()
-    candidates = saved(met.groupBy(doc, item).agg(F.count(F.lit(1)).alias("__c"), F.max("__need").alias("__need")).where("__c >= __need").select(doc, item), "candidates")
+    signed = saved(signatures(items, item, text, threshold), "signatures")
+    met = _hashes(docs, doc, text).join(_bounded(signed), "__h").select(doc, item, "__part", "__h", "__need").distinct()
+    hits = met.groupBy(doc, "__part", item).agg(F.count(F.lit(1)).alias("__c"), F.max("__need").alias("__need"))
+    candidates = saved(hits.where("__c >= __need").select(doc, item), "candidates")
     ids = candidates.select(doc).distinct()
     exact = _shingles(items.where(F.col(item).isNotNull()), item, text).groupBy(item).agg(F.array_distinct(F.flatten(F.collect_list("__s"))).alias("__want"))
     held = _shingles(docs.join(_bounded(ids), doc, "left_semi"), doc, text)
