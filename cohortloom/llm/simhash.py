@@ -38,7 +38,7 @@ BLOCK = 512
 MEMBERS = 4096
 # Near-duplicates: one text in SAMPLE is read for the COMMON most common shingles; members of a key that meet in one block.
 SAMPLE, COMMON, TILE = 16, 200_000, 512
-# Parts into which the texts of a common shingle are dealt; rounds of ties before all other pairs are compared; numbers of a sketch.
+# Parts into which the texts of a common shingle are dealt; rounds of ties before all other pairs are compared; classes of a small sketch.
 SALTS, ROUNDS, SKETCH = 64, 3, 64
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -372,44 +372,58 @@ def key_ties(members: DataFrame, similarity: float) -> DataFrame:
 
 
 def _sketch(parts: np.ndarray) -> bytes | None:
-    """How many of the hashes fall into each of SKETCH classes; none for sets that a byte a class might not count."""
-    return np.bincount((parts.view(np.uint64) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.uint8).tobytes() if len(parts) < 128 * SKETCH and len(parts) else None
+    """How many of the hashes fall into each of SKETCH classes, or of sixteen times as many for large sets.
+
+    None for empty sets and for those that a byte a class might not count.
+    """
+    classes = SKETCH if len(parts) < 4 * SKETCH else 16 * SKETCH
+    counts = np.bincount((parts % np.uint64(classes)).astype(np.int64), minlength=classes)
+    return counts.astype(np.uint8).tobytes() if len(parts) and counts.max() < 256 else None
+
+
+def _shared_at_most(a: bytes, b: bytes) -> int:
+    """Two sets share no more than the lesser count of each class, whatever they hold; finer classes add up to coarser ones."""
+    x, y = (np.frombuffer(v, dtype=np.uint8) for v in (a, b))
+    if len(x) != len(y):
+        x, y = (v.reshape(-1, SKETCH).sum(axis=0, dtype=np.int64) for v in (x, y))
+    return int(np.minimum(x, y).sum(dtype=np.int64))
 
 
 def _within_sketches(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """The pairs that may be alike: two sets share no more than the lesser count of each class, whatever they hold."""
+    """The pairs whose sketches allow the similarity."""
     one = lambda end: sketches.select(F.col("node").alias(end), F.col("sketch").alias(f"s{end}"), F.col("n").alias(f"n{end}"))
     both = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "sa", "sb", "na", "nb")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sa, sb = batch.column(2), batch.column(3)
-            known = np.array([x.is_valid and y.is_valid for x, y in zip(sa, sb)], dtype=bool)
-            keep = ~known
-            if known.any():
-                rows = pa.array(np.flatnonzero(known))
-                a, b = (np.frombuffer(b"".join(c.take(rows).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH) for c in (sa, sb))
-                total = sum(batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (4, 5))[known]
-                most = np.minimum(a, b).sum(axis=1, dtype=np.int64)
-                keep[known] = most + 1e-6 >= similarity * (total - most)
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
+            keep = []
+            for sa, sb, na, nb in zip(*[batch.column(k).to_pylist() for k in range(2, 6)]):
+                most = min(na, nb) if sa is None or sb is None else _shared_at_most(sa, sb)
+                keep.append(most + 1e-6 >= similarity * (na + nb - most))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], names=["a", "b"])
 
     return both.mapInArrow(apply, "a long, b long")
 
 
-def verified_pairs(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
-    """The pairs whose sets of shingles are alike: first by their sketches, then by their whole sets."""
+def _of_ends(texts: DataFrame, pairs: DataFrame, size: int, made, kind: str, arrow: pa.DataType) -> DataFrame:
+    """(node, n, value) of the texts of pairs, the value made of the set of their shingles."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [np.unique(hashes(shingles(words_of(t), size))) for t in batch.column("text").to_pylist()]
-            columns = [batch.column("node"), pa.array([len(x) for x in made], pa.int32()), pa.array([_sketch(x) for x in made], pa.binary()), pa.array([x.view(np.int64) for x in made], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "sketch", "parts"])
+            sets = [np.unique(hashes(shingles(words_of(t), size))) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(x) for x in sets], pa.int32()), pa.array([made(x) for x in sets], arrow)], names=["node", "n", "value"])
 
     ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    parts = saved(texts.select("node", "text").join(ends, "node", "left_semi").mapInArrow(sets, "node long, n int, sketch binary, parts array<long>"), "parts")
-    left = saved(_within_sketches(pairs, parts.select("node", "n", "sketch"), similarity), "pairs")
-    both = left.join(parts.select(F.col("node").alias("a"), F.col("parts").alias("pa")), "a").join(parts.select(F.col("node").alias("b"), F.col("parts").alias("pb")), "b")
+    return texts.select("node", "text").join(ends, "node", "left_semi").mapInArrow(apply, f"node long, n int, value {kind}")
+
+
+def verified_pairs(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
+    """The pairs whose sets of shingles are alike: first by their sketches, then, for those left, by their whole sets."""
+    sketches = saved(_of_ends(texts, pairs, size, _sketch, "binary", pa.binary()).withColumnRenamed("value", "sketch"), "sketches")
+    left = saved(_within_sketches(pairs, sketches, similarity), "pairs")
+    dropped(sketches)
+    parts = saved(_of_ends(texts, left, size, lambda x: x.view(np.int64), "array<long>", pa.list_(pa.int64())), "parts")
+    both = left.join(parts.select(F.col("node").alias("a"), F.col("value").alias("pa")), "a").join(parts.select(F.col("node").alias("b"), F.col("value").alias("pb")), "b")
     common = F.size(F.array_intersect("pa", "pb"))
     out = saved(both.where(common >= similarity * (F.size("pa") + F.size("pb") - common)).select("a", "b"), "alike")
     dropped(parts, left)
