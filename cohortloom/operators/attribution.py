@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cohortloom.operators.bootstrap import permutation
+from cohortloom.operators.running import quantile_block, running_sums
 
 MOST_EXACT = 16
+# Bounds of a sampled run, and the groups that one long holds as exact powers of two of a double.
+MOST_SAMPLED, MOST_PAIRS, MOST_EVALUATIONS, MASKED = 512, 10_000, 100_000, 62
+MOST_BACKGROUND = 64
 
 
 def coalitions(spark: SparkSession, groups: int) -> DataFrame:
@@ -47,18 +51,32 @@ def additivity(values: DataFrame, contributions: DataFrame, groups: int) -> Data
     return ends.crossJoin(total).select("base", "full", (F.col("full") - F.col("base") - F.col("total")).alias("residual"))  # one row each
 
 
+def coalition_key(indexes: Column) -> Column:
+    """One name of a set of feature numbers, whatever their number: the numbers in order, joined by commas."""
+    return F.array_join(F.transform(F.array_sort(indexes), lambda i: i.cast("string")), ",")
+
+
 def permutation_prefixes(spark: SparkSession, groups: int, pairs: int, seed: int = 42) -> DataFrame:
-    """(pair, direction, step, feature_index, before, after) of antithetic permutations."""
+    """(pair, direction, step, feature_index, before, after) of antithetic permutations of up to 512 groups.
+
+    Coalitions are bit masks for up to 62 groups and names (`coalition_key`) beyond, as a mask is one long.
+    """
+    if not (1 <= groups <= MOST_SAMPLED and 1 <= pairs <= MOST_PAIRS and plan_size(groups, pairs) <= MOST_EVALUATIONS):
+        raise ValueError("sampled attribution takes 1 to 512 groups, 1 to 10,000 pairs and 100,000 evaluations")
     rows = []
     for p in range(pairs):
         order = permutation(seed, p * max(1, groups - 1), groups)
         rows += [(p, d, [int(i) for i in (order if d == 0 else order[::-1])]) for d in (0, 1)]
     made = spark.createDataFrame(pd.DataFrame(rows, columns=["pair", "direction", "order"]), "pair long, direction int, order array<int>")
-    each = made.select("pair", "direction", F.posexplode("order").alias("step", "feature_index"))
+    each = made.select("pair", "direction", "order", F.posexplode("order").alias("step", "feature_index"))
+    if groups > MASKED:
+        prefix = lambda n: coalition_key(F.slice("order", F.lit(1), n))
+        return each.select("pair", "direction", "step", "feature_index", prefix(F.col("step")).alias("before"), prefix(F.col("step") + 1).alias("after"))
     run = W.partitionBy("pair", "direction").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
     bit = F.pow(F.lit(2.0), F.col("feature_index")).cast("long")
-    after = F.sum(bit).over(run)
-    return each.select("*", (after - bit).alias("before"), after.alias("after"))
+    # Every feature is there once, so the sum of its bits is their union.
+    after = F.bit_or(bit).over(run)
+    return each.select("pair", "direction", "step", "feature_index", after.bitwiseXOR(bit).alias("before"), after.alias("after"))
 
 
 def sampled(prefixes: DataFrame, values: DataFrame, names: list[str]) -> DataFrame:
@@ -71,9 +89,35 @@ def sampled(prefixes: DataFrame, values: DataFrame, names: list[str]) -> DataFra
 
 
 def mid_ranks(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Adds zero-based ranks, ties at their middle."""
-    ordered, ties = W.partitionBy(*by).orderBy(value), W.partitionBy(*by, value)
-    return rows.withColumn("mid_rank", F.rank().over(ordered) - 1 + (F.count(F.lit(1)).over(ties) - 1) / 2)
+    """Adds zero-based ranks, ties at their middle; null values come first.
+
+    What is ordered is each group's distinct values with their counts, in blocks, so a group with a third of all rows is
+    not one task's, and neither is a value.
+    """
+    counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).cast("double").alias("__n"))
+    ordered = counts.withColumn("__v", F.coalesce(F.col(value).cast("double"), F.lit(float("-inf")))).persist()
+    before = running_sums(ordered, by, quantile_block(ordered, "__v"), "__v", {"__before": "__n"}, inclusive=False)
+    ranks = before.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate([*by, value])], (F.col("__before") + (F.col("__n") - 1) / 2).alias("mid_rank"))
+    on = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate([*by, value])]
+    met = on[0]
+    for other in on[1:]:
+        met = met & other
+    return rows.join(ranks, met).select(*rows.columns, "mid_rank")
+
+
+def ring_order(contributions: DataFrame) -> DataFrame:
+    """Adds ring: the place by modality, then feature, in which contributions are set around a ring (modality, feature)."""
+    return contributions.withColumn("ring", F.row_number().over(W.orderBy("modality", "feature")))  # at most 512 features
+
+
+def figure_rows(ranked: DataFrame, selected: str | None = None, shown: int = 10) -> DataFrame:
+    """The first rows by position; a selected row further down takes the last place."""
+    low = F.col("position") > shown
+    if selected is None:
+        return ranked.where(~low)
+    inside = ranked.where(~low & (F.col("feature") == selected)).limit(1).count() > 0
+    known = ranked.where(F.col("feature") == selected).limit(1).count() > 0
+    return ranked.where(~low) if inside or not known else ranked.where((F.col("position") < shown) | (F.col("feature") == selected))
 
 
 def by_magnitude(contributions: DataFrame) -> DataFrame:
@@ -90,13 +134,40 @@ def stability(left: DataFrame, right: DataFrame, top_k: int = 5) -> DataFrame:
     both = both.join(pos(left).withColumnRenamed("position", "px"), "feature", "left").join(pos(right).withColumnRenamed("position", "py"), "feature", "left")
     d = F.col("x") - F.col("y")
     constant = (F.stddev_pop("rx") == 0) | (F.stddev_pop("ry") == 0)
+    alone = F.count_if(F.col("x").isNull() | F.col("y").isNull())
+    refused = F.when(alone > 0, F.raise_error(F.lit("the two attributions are of other features")).cast("double"))
     return both.agg(
-        F.sqrt(F.avg(d * d)).alias("rmse"), F.max(F.abs(d)).alias("largest"), F.avg((tiny(F.col("x")) == tiny(F.col("y"))).cast("double")).alias("sign_agreement"),
+        F.coalesce(refused, F.sqrt(F.avg(d * d))).alias("rmse"), F.max(F.abs(d)).alias("largest"), F.avg((tiny(F.col("x")) == tiny(F.col("y"))).cast("double")).alias("sign_agreement"),
         F.when(~constant, F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))).alias("spearman"),
         (F.count_if((F.col("px") <= top_k) & (F.col("py") <= top_k)) / F.lit(float(top_k))).alias("top_k_overlap"),
     )
 
 
+def hybrids(masks: DataFrame, query: DataFrame, background: DataFrame) -> DataFrame:
+    """(mask, background_id, feature_id, bit, value): what a scorer sees of each coalition over each background sample.
+
+    query: (feature_id, bit, value); background: (background_id, feature_id, value), at most MOST_BACKGROUND samples.
+    Features of a shown group keep the query's value, the others take the sample's.
+    """
+    some = background.select("background_id").distinct().limit(MOST_BACKGROUND + 1).count()
+    if some > MOST_BACKGROUND:
+        raise ValueError(f"more than {MOST_BACKGROUND} background samples")
+    each = background.join(query.select("feature_id", "bit", F.col("value").alias("__own")), "feature_id")
+    all_masks = F.broadcast(masks.select("mask")) if masks.limit((1 << MOST_EXACT) + 1).count() <= 1 << MOST_EXACT else masks.select("mask")
+    shown = F.getbit(F.col("mask"), F.col("bit").cast("int")) == 1
+    # Coalitions x background samples x features is what is to be scored, by definition.
+    return each.crossJoin(all_masks).select("mask", "background_id", "feature_id", "bit", F.when(shown, F.col("__own")).otherwise(F.col("value")).alias("value"))
+
+
+def retargeted(distributions: DataFrame, class_id: str) -> DataFrame:
+    """(mask, value) of another class from the distributions (mask, probabilities map) that are there; nothing is scored again.
+
+    A coalition whose distribution lacks the class is an error, as its value would be made up.
+    """
+    p = F.try_element_at("probabilities", F.lit(class_id))
+    return distributions.select("mask", F.coalesce(p, F.raise_error(F.lit("a distribution lacks the class")).cast("double")).alias("value"))
+
+
 def background_values(requests: DataFrame) -> DataFrame:
     """(mask, value): mean over the background samples' hybrids (mask, background_id, value)."""
     return requests.groupBy("mask").agg(F.avg("value").alias("value"))

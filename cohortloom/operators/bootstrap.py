@@ -22,29 +22,51 @@ INCREMENT = 0x9E3779B97F4A7C15
 MIX1 = 0xBF58476D1CE4E5B9
 MIX2 = 0x94D049BB133111EB
 MASK = (1 << 64) - 1
+MOST_DRAWS = 10_000_000
 
 
-def draws(seed: int, start: int, n: int) -> np.ndarray:
-    """Draws start .. start+n-1 of the generator, as uint64."""
+def draws_at(seed: int, positions: np.ndarray) -> np.ndarray:
+    """The draws at some positions of the generator's sequence, as uint64."""
     with np.errstate(over="ignore"):
-        z = np.uint64(seed & MASK) + (np.arange(start + 1, start + n + 1, dtype=np.uint64)) * np.uint64(INCREMENT)
+        z = np.uint64(seed & MASK) + (positions.astype(np.uint64) + np.uint64(1)) * np.uint64(INCREMENT)
         z = (z ^ (z >> np.uint64(30))) * np.uint64(MIX1)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(MIX2)
         return z ^ (z >> np.uint64(31))
 
 
+def draws(seed: int, start: int, n: int) -> np.ndarray:
+    """Draws start .. start+n-1 of the generator."""
+    return draws_at(seed, np.arange(start, start + n, dtype=np.uint64))
+
+
 def unit(seed: int, start: int, n: int) -> np.ndarray:
-    """Numbers in [0, 1) from the upper 53 bits."""
-    return (draws(seed, start, n) >> np.uint64(11)).astype(float) / float(1 << 53)
+    """Numbers between 0 and 1, both left out: the middles of 2**53 steps, by the upper 53 bits."""
+    return ((draws(seed, start, n) >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)
+
+
+def passed_over(seed: int, n: int, of: int, block: int = 1 << 20) -> list[int]:
+    """Positions of the draws that unbiased indexes below `of` pass over, among those that the first n indexes need.
+
+    They are the draws beyond the largest multiple of `of`, `of` in 2**64 of all, so the list is short and mostly empty.
+    """
+    bound, found, at = np.uint64(_bound(of)), [], 0
+    while at < n + len(found):
+        size = min(block, n + len(found) - at)
+        found += (np.flatnonzero(draws(seed, at, size) >= bound) + at).tolist()
+        at += size
+    return found
+
+
+def _bound(of: int) -> int:
+    return MASK - MASK % of
 
 
-def indexes(seed: int, start: int, n: int, of: int) -> np.ndarray:
-    """n unbiased indexes below `of`. A draw beyond the largest multiple would shift the sequence: then it is an error."""
-    got = draws(seed, start, n)
-    bound = MASK - MASK % of
-    if (got >= np.uint64(bound)).any():
-        raise ArithmeticError("a draw was rejected; choose another seed")
-    return (got % np.uint64(of)).astype(np.int64)
+def indexes(seed: int, start: int, n: int, of: int, skipped: list[int] | None = None) -> np.ndarray:
+    """Unbiased indexes start .. start+n-1 below `of`; `skipped`: the positions that `passed_over` found."""
+    at = np.arange(start, start + n, dtype=np.uint64)
+    for position in skipped or []:
+        at[at >= np.uint64(position)] += np.uint64(1)
+    return (draws_at(seed, at) % np.uint64(of)).astype(np.int64)
 
 
 def permutation(seed: int, start: int, n: int) -> np.ndarray:
@@ -77,12 +99,16 @@ def replicate_measures(rows: DataFrame, classes: DataFrame, replicates: int = 20
     size = clusters.count()
     if size < 2:
         raise ValueError("at least two patient groups")
-    numbered = clusters.withColumn("cluster", F.row_number().over(W.orderBy("patient_group_id")) - 1)  # one row a patient group, a bounded cohort
+    if size * replicates > MOST_DRAWS:
+        raise ValueError(f"{size} patient groups in {replicates} replicates are more than {MOST_DRAWS} draws")
+    # At most MOST_DRAWS / 100 groups, one number each.
+    numbered = clusters.withColumn("cluster", F.row_number().over(W.orderBy("patient_group_id")) - 1)
+    skipped = passed_over(seed, size * replicates, size)
 
     def multiplicities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch["id"]:
-                counts = np.bincount(indexes(seed, int(r) * size, size, size), minlength=size)
+                counts = np.bincount(indexes(seed, int(r) * size, size, size, skipped), minlength=size)
                 at = np.flatnonzero(counts)
                 yield pd.DataFrame({"replicate": np.int64(r), "cluster": at, "times": counts[at]})
 

@@ -58,16 +58,22 @@ def problems(records: DataFrame, probabilities: DataFrame, outcomes: DataFrame)
 
 
 def scored(records: DataFrame, probabilities: DataFrame) -> DataFrame:
-    """One row a record: predicted, p_top, correct, in_top3, brier, log_loss; nulls for failures."""
-    win = winners(probabilities)
-    truth = records.select("sample_id", "truth")
-    each = probabilities.join(truth, "sample_id").groupBy("sample_id").agg(
-        F.sum(F.pow(F.col("p") - (F.col("class_id") == F.col("truth")).cast("double"), F.lit(2.0))).alias("brier"),
-        (-F.ln(F.greatest(F.max(F.when(F.col("class_id") == F.col("truth"), F.col("p"))), F.lit(FLOOR)))).alias("log_loss"),
-    )
-    both = win.join(each, "sample_id")
-    out = records.join(both, "sample_id", "left")
-    return out.select("*", (F.col("predicted") == F.col("truth")).alias("correct"), F.array_contains("top3", F.col("truth")).alias("in_top3"))
+    """One row a record: predicted, p_top, correct, in_top3, brier, log_loss; nulls for failures.
+
+    The classes of a sample meet once, in its own small array, and everything is measured there against the record's truth.
+    """
+    key = F.struct((-F.col("p")).alias("q"), F.col("class_id").alias("c"))
+    ranked = probabilities.groupBy("sample_id").agg(F.array_sort(F.collect_list(key)).alias("__r"))
+    out = records.join(ranked, "sample_id", "left")
+    r, truth = F.col("__r"), F.col("truth")
+    top3 = F.transform(F.slice(r, 1, 3), lambda x: x["c"])
+    brier = F.aggregate(r, F.lit(0.0), lambda a, x: a + F.pow(-x["q"] - (x["c"] == truth).cast("double"), F.lit(2.0)))
+    of_truth = F.array_max(F.transform(F.filter(r, lambda x: x["c"] == truth), lambda x: -x["q"]))
+    made = {
+        "predicted": r[0]["c"], "p_top": -r[0]["q"], "margin": -r[0]["q"] + F.get(r, F.lit(1))["q"], "top3": top3, "brier": brier, "log_loss": F.when(r.isNotNull(), -F.ln(F.greatest(of_truth, F.lit(FLOOR)))),
+        "correct": r[0]["c"] == truth, "in_top3": F.array_contains(top3, truth),
+    }
+    return out.select(*records.columns, *[c.alias(k) for k, c in made.items()])
 
 
 def summary(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -94,8 +100,12 @@ def normalised_confusion(counts: DataFrame) -> DataFrame:
 
 def per_class(rows: DataFrame, classes: DataFrame, outcomes: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(class_id, support, precision, recall, f1) of the declared classes and of unresolved outcomes that are truths."""
+    return per_class_of(confusion(rows, by), classes, outcomes, by)
+
+
+def per_class_of(counts: DataFrame, classes: DataFrame, outcomes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The same from counts (by..., truth, predicted, n)."""
     by = by or []
-    counts = confusion(rows, by)
     long = counts.select(*by, F.explode(F.array(F.struct(F.col("truth").alias("class_id"), F.col("n").alias("support"), F.lit(0).cast("long").alias("claimed"), F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0).alias("hits")), F.struct(F.col("predicted").alias("class_id"), F.lit(0).cast("long").alias("support"), F.col("n").alias("claimed"), F.lit(0).cast("long").alias("hits")))).alias("c")).select(*by, "c.*")
     sums = long.groupBy(*by, "class_id").agg(F.sum("support").alias("support"), F.sum("claimed").alias("claimed"), F.sum("hits").alias("hits"))
     unresolved = outcomes.join(classes, "class_id", "left_anti").join(sums.where("support > 0"), "class_id", "left_semi").select("class_id")
@@ -142,9 +152,10 @@ def selective(rows: DataFrame, classes: DataFrame) -> DataFrame:
 def threshold_table(rows: DataFrame, classes: DataFrame, outcomes: DataFrame) -> DataFrame:
     """(threshold, retained, accuracy, weighted_f1): both measured again on what each threshold keeps."""
     named = rows.join(F.broadcast(classes.select(F.col("class_id").alias("predicted"))), "predicted", "left_semi")
-    kept = named.select("*", _thresholds()).where(F.col("p_top") >= F.col("threshold"))
-    base = kept.groupBy("threshold").agg(F.count(F.lit(1)).alias("retained"), F.avg(F.col("correct").cast("double")).alias("accuracy"))
-    f1 = f1_summary(per_class(kept, classes, outcomes, ["threshold"]), F.sum("support"), ["threshold"]).select("threshold", "weighted_f1")
+    counts = confusion(named.select("*", _thresholds()).where(F.col("p_top") >= F.col("threshold")), ["threshold"])
+    hit = F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)
+    base = counts.groupBy("threshold").agg(F.sum("n").alias("retained"), ratio(F.sum(hit), F.sum("n")).alias("accuracy"))
+    f1 = f1_summary(per_class_of(counts, classes, outcomes, ["threshold"]), F.sum("support"), ["threshold"]).select("threshold", "weighted_f1")
     return base.join(f1, "threshold")
 
 

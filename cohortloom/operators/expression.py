@@ -102,15 +102,11 @@ def centroids(values: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def pearson(pairs: DataFrame, by: list[str], x: str = "x", y: str = "y") -> DataFrame:
-    """(by..., n, r): scaled by the largest magnitude and centred; null below three pairs or without variance."""
-    size = pairs.groupBy(*by).agg(F.max(F.abs(x)).alias("__sx"), F.max(F.abs(y)).alias("__sy"), F.count(F.lit(1)).alias("n"))
-    scaled = pairs.join(size, by).select(*by, "n", ratio(F.col(x), F.col("__sx")).alias("a"), ratio(F.col(y), F.col("__sy")).alias("b"))
-    means = scaled.groupBy(*by).agg(F.avg("a").alias("__ma"), F.avg("b").alias("__mb"))
-    a, b = F.col("a") - F.col("__ma"), F.col("b") - F.col("__mb")
-    sums = scaled.join(means, by).groupBy(*by, "n").agg(F.sum(a * b).alias("__ab"), F.sum(a * a).alias("__aa"), F.sum(b * b).alias("__bb"))
-    good = (F.col("n") >= 3) & (F.col("__aa") > EPSILON) & (F.col("__bb") > EPSILON)
-    r = F.when(good, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio(F.col("__ab"), F.sqrt(F.col("__aa") * F.col("__bb"))))))
-    return sums.select(*by, "n", r.alias("r"))
+    """(by..., n, r) in one aggregation of centred moments; null below three pairs or without variance at the largest magnitude's scale."""
+    moments = lambda c: (F.var_pop(c) * F.count(c) / F.nullif(F.pow(F.max(F.abs(c)), F.lit(2.0)), F.lit(0.0)))
+    sums = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("__r"), moments(x).alias("__xx"), moments(y).alias("__yy"))
+    good = (F.col("n") >= 3) & F.coalesce((F.col("__xx") > EPSILON) & (F.col("__yy") > EPSILON), F.lit(False))
+    return sums.select(*by, "n", F.when(good, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("__r")))).alias("r"))
 
 
 def overlapping(queries: DataFrame, members: DataFrame) -> DataFrame:
@@ -140,6 +136,11 @@ def compare(queries: DataFrame, reference: DataFrame, least_genes: int = 3, leas
     return kept.select("*", F.row_number().over(order).alias("position"))
 
 
+def matches(values: DataFrame, text: str = "") -> DataFrame:
+    """One row: how many values `explore` has to choose from."""
+    return values.where(F.contains(ascii_lower(F.col("gene")), ascii_lower(F.lit(text)))).agg(F.count(F.lit(1)).alias("matches"))
+
+
 def explore(values: DataFrame, text: str = "", limit: int = 100) -> DataFrame:
     """The largest values of genes whose id contains the text, letters in either case; the limit is the feature."""
     if not 1 <= limit <= 1000:

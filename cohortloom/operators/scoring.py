@@ -146,7 +146,11 @@ def run(rows: DataFrame, scorer: Scorer, budget: Budget, memo_path: str, attempt
     if not resend_uncertain:
         todo = todo.join(uncertain(tried, memo), "request_sha256", "left_anti")
     sent, _ = within_budget(todo.where(token_estimate(F.col("request")) <= WINDOW_TOKENS), budget)
-    number = f"{spark.sparkContext.applicationId}-{abs(hash((memo_path, tried.count())))}"
+    # Named by what is sent, so that a repeated call of the same batch meets the folder it wrote before.
+    keys = sent.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("request_sha256")), ""), 256).alias("k"), F.count(F.lit(1)).alias("n")).first()  # at most budget.attempts keys
+    if not keys["n"]:
+        return memo
+    number = f"{tried.count()}-{keys['k'][:32]}"
     sent.select("request_sha256", F.octet_length("request").cast("long").alias("reserved"), "request").write.parquet(f"{attempts_path}/batch={number}")
     frozen = spark.read.parquet(f"{attempts_path}/batch={number}")
     score(frozen, scorer).write.parquet(f"{memo_path}/batch={number}")

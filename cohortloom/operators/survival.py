@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions.stats import Z95, chi_squared_tail, erfc, erfc_value, inverse, ratio
-from cohortloom.operators.running import running_products, running_sums
+from cohortloom.operators.running import BLOCKS, quantile_block, running
 
-BLOCKS = 64
+MOST_GROUPS = 32
 ARMS = ("concordant", "discordant")
 
 
@@ -38,32 +38,38 @@ def problems(rows: DataFrame) -> DataFrame:
     return rows.select("patient_id", F.explode(checks).alias("problem")).unionByName(repeated)
 
 
-def _time_block(rows: DataFrame, blocks: int) -> Column:
-    """Equal widths of the time axis; its end is one number."""
-    last = rows.agg(F.max("time").alias("t")).first()["t"] or 1.0
-    return F.least(F.floor(F.col("t") * blocks / F.lit(float(last) or 1.0)), F.lit(blocks - 1))
+def _steps(rows: DataFrame, by: list[str], values: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """(by..., t, values...) summed per distinct time: a row steps in at its entry and out at its time, from one scan.
+
+    values: what a row adds at its entry and at its time. The table has one row a group and distinct time; it is kept, as
+    its quantiles are asked for before its running sums.
+    """
+    step = lambda t, which: F.struct(F.col(t).cast("double").alias("t"), *[v[which].cast("double").alias(k) for k, v in values.items()])
+    each = rows.select(*by, F.inline(F.array(step("entry", 0), step("time", 1))))
+    return each.groupBy(*by, "t").agg(*[F.sum(k).alias(k) for k in values]).persist()
+
+
+def _sweep(rows: DataFrame, by: list[str], weight: Column | None, blocks: int) -> tuple[DataFrame, Column]:
+    """The table of `sweep` and the blocks that its running values use."""
+    w, zero = F.lit(1.0) if weight is None else weight.cast("double"), F.lit(0.0)
+    event = F.col("event")
+    steps = _steps(rows, by, {"came": (w, zero), "left": (zero, w), "deaths": (zero, F.when(event, w).otherwise(0.0)), "censored": (zero, F.when(event, 0.0).otherwise(w))})
+    block = quantile_block(steps, "t", blocks)
+    run = running(steps, by, block, "t", {"all_came": "came", "all_left": "left"}, inclusive=False)
+    return run.where("left > 0").select(*by, "t", (F.col("all_came") - F.col("all_left")).alias("at_risk"), "deaths", "censored"), block
 
 
 def sweep(rows: DataFrame, by: list[str], weight: Column | None = None, blocks: int = BLOCKS) -> DataFrame:
     """(by..., t, at_risk, deaths, censored) at every distinct exit time; sums of weights if there is one."""
-    w = F.lit(1.0) if weight is None else weight.cast("double")
-    one, zero = w, F.lit(0.0)
-    entered = rows.select(*by, F.col("entry").cast("double").alias("t"), one.alias("came"), zero.alias("left"), zero.alias("deaths"), zero.alias("censored"))
-    died, lost = F.when(F.col("event"), one).otherwise(0.0), F.when(F.col("event"), 0.0).otherwise(one)
-    left = rows.select(*by, F.col("time").cast("double").alias("t"), zero.alias("came"), one.alias("left"), died.alias("deaths"), lost.alias("censored"))
-    steps = entered.unionAll(left).groupBy(*by, "t").agg(*[F.sum(c).alias(c) for c in ("came", "left", "deaths", "censored")])
-    run = running_sums(steps, by, _time_block(rows, blocks), "t", {"all_came": "came", "all_left": "left"}, inclusive=False)
-    return run.where("left > 0").select(*by, "t", (F.col("all_came") - F.col("all_left")).alias("at_risk"), "deaths", "censored")
+    return _sweep(rows, by, weight, blocks)[0]
 
 
 def kaplan_meier(rows: DataFrame, by: list[str], weight: Column | None = None, blocks: int = BLOCKS) -> DataFrame:
     """Product-limit curve at every exit time with Greenwood log-log bounds (none for weighted curves)."""
-    at = sweep(rows, by, weight, blocks)
+    at, block = _sweep(rows, by, weight, blocks)
     n, d = F.col("at_risk"), F.col("deaths")
     at = at.withColumn("keep", F.lit(1.0) - ratio(d, n)).withColumn("term", F.coalesce(ratio(d, n * (n - d)), F.lit(0.0)))
-    block = _time_block(rows, blocks)
-    curve = running_products(at, by, block, "t", {"survival": "keep"})
-    curve = running_sums(curve, by, block, "t", {"variance": "term"})
+    curve = running(at, by, block, "t", {"variance": "term"}, {"survival": "keep"})
     if weight is not None:
         return curve.select(*by, "t", "at_risk", "deaths", "censored", "survival")
     s = F.col("survival")
@@ -96,36 +102,44 @@ def risk_table(rows: DataFrame, by: list[str], ticks: int = 5) -> DataFrame:
     return each.groupBy(*by, "tick").agg(F.count_if(held).alias("at_risk"))
 
 
-def _by_event_time(rows: DataFrame, group: str, blocks: int = BLOCKS) -> DataFrame:
-    """(t, group, at_risk, deaths) at every event time for every group, those without an exit then included."""
-    whole = sweep(rows.withColumn("__one", F.lit(1)), ["__one"], blocks=blocks).where("deaths > 0").select("t", F.col("at_risk").alias("n"), F.col("deaths").alias("d"))
-    groups = rows.select(group).distinct()
-    # Event times x groups: a zero-weight row each, so that the sweep reports the group at that time.
-    marks = whole.select("t").crossJoin(F.broadcast(groups))  # groups: at most 32, see k_group_log_rank
-    came = rows.select(group, F.col("entry").cast("double").alias("t"), F.lit(1.0).alias("came"), F.lit(0.0).alias("left"), F.lit(0.0).alias("deaths"), F.lit(0).alias("mark"))
-    left = rows.select(group, F.col("time").cast("double").alias("t"), F.lit(0.0).alias("came"), F.lit(1.0).alias("left"), F.col("event").cast("double").alias("deaths"), F.lit(0).alias("mark"))
-    mark = marks.select(group, "t", F.lit(0.0).alias("came"), F.lit(0.0).alias("left"), F.lit(0.0).alias("deaths"), F.lit(1).alias("mark"))
-    steps = came.unionByName(left).unionByName(mark).groupBy(group, "t").agg(F.sum("came").alias("came"), F.sum("left").alias("left"), F.sum("deaths").alias("deaths"), F.max("mark").alias("mark"))
-    run = running_sums(steps, [group], _time_block(rows, blocks), "t", {"all_came": "came", "all_left": "left"}, inclusive=False)
-    each = run.where("mark = 1").select("t", group, (F.col("all_came") - F.col("all_left")).alias("at_risk"), "deaths")
-    return each.join(whole, "t")
+def _group_names(rows: DataFrame, group: str) -> list:
+    """The groups of a test, in order; their number is checked before anything is made of it."""
+    names = [r[0] for r in rows.select(group).dropna().distinct().limit(MOST_GROUPS + 1).collect()]
+    if not 2 <= len(names) <= MOST_GROUPS:
+        raise Unavailable("the log-rank test needs 2 to 32 groups")
+    return sorted(names)
+
+
+def _risk_sets(rows: DataFrame, group: str, names: list, blocks: int = BLOCKS) -> DataFrame:
+    """(n, d, at, died) at every event time: all at risk, all deaths, and both by group as arrays. One scan, one running pass."""
+    mine = [F.col(group) == g for g in names]
+    one, zero = F.lit(1.0), F.lit(0.0)
+    values = {f"r{i}": (F.when(m, one).otherwise(0.0), F.when(m, -one).otherwise(0.0)) for i, m in enumerate(mine)}
+    values |= {f"d{i}": (zero, F.when(m & F.col("event"), one).otherwise(0.0)) for i, m in enumerate(mine)}
+    steps = _steps(rows.where(F.col(group).isNotNull()), [], values).withColumn("__all", F.lit(0))
+    run = running(steps, ["__all"], quantile_block(steps, "t", blocks), "t", {f"n{i}": f"r{i}" for i in range(len(names))}, inclusive=False)
+    total = lambda c: sum((F.col(f"{c}{i}") for i in range(1, len(names))), F.col(f"{c}0"))
+    array = lambda c: F.array(*[F.col(f"{c}{i}") for i in range(len(names))])
+    return run.select(total("n").alias("n"), total("d").alias("d"), array("n").alias("at"), array("d").alias("died")).where("d > 0")
 
 
 def log_rank_terms(rows: DataFrame, group: str = "grp") -> DataFrame:
-    """(group, observed, expected) over all event times."""
-    at = _by_event_time(rows, group)
-    return at.groupBy(group).agg(F.sum("deaths").alias("observed"), F.sum(F.col("d") * F.col("at_risk") / F.col("n")).alias("expected"))
+    """(group, observed, expected) over all event times; 2 to 32 groups, rows without one are left out."""
+    names = _group_names(rows, group)
+    at = _risk_sets(rows, group, names).select("n", "d", F.posexplode(F.arrays_zip("at", "died")).alias("g", "x"))
+    sums = at.groupBy("g").agg(F.sum("x.died").alias("observed"), F.sum(F.col("d") * F.col("x.at") / F.col("n")).alias("expected"))
+    return sums.select(F.element_at(F.array(*map(F.lit, names)), F.col("g") + 1).alias(group), "observed", "expected")
 
 
 def log_rank_covariance(rows: DataFrame, group: str = "grp") -> DataFrame:
-    """(g, h, covariance) of observed minus expected, hypergeometric for ties."""
-    at = _by_event_time(rows, group)
-    left = at.select("t", F.col(group).alias("g"), F.col("at_risk").alias("ng"), "n", "d")
-    right = at.select("t", F.col(group).alias("h"), F.col("at_risk").alias("nh"))
+    """(g, h, covariance) of observed minus expected, hypergeometric for ties; 2 to 32 groups."""
+    names = _group_names(rows, group)
+    at = _risk_sets(rows, group, names).select("n", "d", "at", F.posexplode("at").alias("g", "ng")).select("n", "d", "g", "ng", F.posexplode("at").alias("h", "nh"))
     n, d = F.col("n"), F.col("d")
     both = F.when(F.col("g") == F.col("h"), F.col("ng") / n).otherwise(0.0) - F.col("ng") * F.col("nh") / (n * n)
     term = F.when(n > 1, d * (n - d) / (n - 1) * both).otherwise(0.0)
-    return left.join(right, "t").groupBy("g", "h").agg(F.sum(term).alias("covariance"))
+    name = lambda c: F.element_at(F.array(*map(F.lit, names)), F.col(c) + 1).alias(c)
+    return at.groupBy("g", "h").agg(F.sum(term).alias("covariance")).select(name("g"), name("h"), "covariance")
 
 
 def two_group_log_rank(rows: DataFrame, group: str, first: str) -> DataFrame:
@@ -140,10 +154,7 @@ def two_group_log_rank(rows: DataFrame, group: str, first: str) -> DataFrame:
 
 def k_group_log_rank(rows: DataFrame, group: str = "grp") -> dict:
     """Global test over 2 to 32 groups; what is collected is one small matrix."""
-    names = [r[0] for r in rows.select(group).distinct().limit(33).collect()]
-    if not 2 <= len(names) <= 32:
-        raise Unavailable("the global log-rank test needs 2 to 32 groups")
-    names.sort()
+    names = _group_names(rows, group)
     delta = {r[group]: r["observed"] - r["expected"] for r in log_rank_terms(rows, group).collect()}
     cov = {(r["g"], r["h"]): r["covariance"] for r in log_rank_covariance(rows, group).collect()}
     used = names[:-1]
@@ -209,7 +220,7 @@ def cox(rows: DataFrame, covariates: list[str], blocks: int = BLOCKS, most_itera
     if (scale < 1e-12).any():
         raise Unavailable("a covariate is constant")
     z = flat.select("entry", "time", "event", *[((F.col(f"x{j}") - F.lit(float(mean[j]))) / F.lit(float(scale[j]))).alias(f"z{j}") for j in range(p)]).persist()
-    block = F.least(F.floor(F.col("t") * blocks / F.lit(float(stats["last"]))), F.lit(blocks - 1))
+    block = quantile_block(z.withColumnRenamed("time", "t"), "t", blocks)
     pairs = [(j, k) for j in range(p) for k in range(j + 1)]
 
     def likelihood(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -221,7 +232,7 @@ def cox(rows: DataFrame, covariates: list[str], blocks: int = BLOCKS, most_itera
         come = rowed.select(F.col("entry").alias("t"), *[v.alias(m) for v, m in zip(values, names_)], *[F.lit(0.0).alias(f"o{m}") for m in names_], F.lit(0.0).alias("d"), F.lit(0.0).alias("eta_d"), *[F.lit(0.0).alias(f"zd{j}") for j in range(p)])
         go = rowed.select(F.col("time").alias("t"), *[F.lit(0.0).alias(m) for m in names_], *[v.alias(f"o{m}") for v, m in zip(values, names_)], on.alias("d"), (on * F.col("eta")).alias("eta_d"), *[(on * F.col(f"z{j}")).alias(f"zd{j}") for j in range(p)])
         steps = come.unionAll(go).groupBy("t").agg(*[F.sum(c).alias(c) for c in come.columns if c != "t"]).withColumn("__g", F.lit(1))
-        run = running_sums(steps, ["__g"], block, "t", {f"r{m}": m for m in names_} | {f"l{m}": f"o{m}" for m in names_}, inclusive=False).where("d > 0")
+        run = running(steps, ["__g"], block, "t", {f"r{m}": m for m in names_} | {f"l{m}": f"o{m}" for m in names_}, inclusive=False).where("d > 0")
         at = {m: F.col(f"r{m}") - F.col(f"l{m}") for m in names_}
         s0, d = at["m0"], F.col("d")
         aggs = [F.sum(F.col("eta_d") - d * F.ln(s0)).alias("value")]

@@ -13,9 +13,9 @@ def survival_report(rows: DataFrame, covariates: list[str]) -> dict:
     arms = rows.where(F.col("concordance").isin(*survival.ARMS))
     report: dict = {
         "problems": survival.problems(rows), "by_class": survival.kaplan_meier(rows, ["grp"]), "risk_table": survival.risk_table(rows, ["grp"]),
-        "by_concordance": survival.kaplan_meier(arms, ["concordance"]), "log_rank": survival.two_group_log_rank(arms, "concordance", "concordant"),
+        "by_concordance": survival.kaplan_meier(arms, ["concordance"]),
     }
-    for name, make in (("subtype_log_rank", lambda: survival.k_group_log_rank(rows)), ("cox", lambda: survival.cox(rows, covariates))):
+    for name, make in (("log_rank", lambda: survival.two_group_log_rank(arms, "concordance", "concordant")), ("subtype_log_rank", lambda: survival.k_group_log_rank(rows)), ("cox", lambda: survival.cox(rows, covariates))):
         try:
             report[name] = make()
         except survival.Unavailable as reason:

@@ -56,18 +56,25 @@ def user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(records, probabilities): shares of each event type of a day, as a prediction of the next active day."""
-    days = split(user_days(spark, sf_dir), SEED, patient="user_id")
+    """(records, probabilities): shares of each event type of a day, as a prediction of the next active day.
+
+    Both come from one row a user and day that holds its counts by type, so events are read and grouped once for each.
+    """
+    day = F.to_date("ts").alias("day")
+    types = table(spark, sf_dir, "events").groupBy("user_id", day, "event_type").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("ts", "event_id")).alias("first"))
+    entry = F.struct("event_type", "c")
+    days = types.groupBy("user_id", "day").agg(F.sum("c").alias("n"), F.min_by("event_type", "first").alias("first_type"), F.map_from_entries(F.collect_list(entry)).alias("counts"))
+    nxt = F.lead("first_type").over(W.partitionBy("user_id").orderBy("day"))  # days of one user
+    days = days.withColumn("truth", nxt).where("truth is not null").withColumn("sample_id", F.concat_ws("-", "user_id", "day"))
+    days = split(days, SEED, patient="user_id")
     failed = (F.col("user_id") * 31 + F.dayofyear("day")) % 61 == 0
-    days = days.withColumn("failure", F.when(failed, "budget_not_run"))
-    counts = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("c"))
-    every = days.where("failure is null").select("user_id", "day", "sample_id", "n", F.explode(F.array(*map(F.lit, OUTCOMES))).alias("event_type"))
-    p = every.join(counts, ["user_id", "day", "event_type"], "left").select("sample_id", F.col("event_type").alias("class_id"), (F.coalesce("c", F.lit(0)) / F.col("n")).alias("p"))
-    from cohortloom.operators.evaluation import winners
-
-    top = winners(p).select("sample_id", ((F.col("p_top") >= 0.75) & (F.coalesce("margin", F.lit(1.0)) >= 0.15)).alias("accepted"))
-    records = days.join(top, "sample_id", "left").select("sample_id", F.col("user_id").cast("string").alias("patient_group_id"), "partition", "truth", F.coalesce("accepted", F.lit(False)).alias("accepted"), "failure")
-    return records, p
+    share = lambda c: F.coalesce(F.try_element_at("counts", c), F.lit(0)) / F.col("n")
+    shares = F.array_sort(F.array(*[share(F.lit(c)) for c in OUTCOMES]))
+    first, second = F.element_at(shares, -1), F.element_at(shares, -2)
+    accepted = ~failed & (first >= 0.75) & (first - second >= 0.15)
+    records = days.select("sample_id", F.col("user_id").cast("string").alias("patient_group_id"), "partition", "truth", accepted.alias("accepted"), F.when(failed, "budget_not_run").alias("failure"))
+    p = days.where(~failed).select("sample_id", F.explode(F.array(*[F.struct(F.lit(c).alias("class_id"), share(F.lit(c)).alias("p")) for c in OUTCOMES])).alias("x"))
+    return records, p.select("sample_id", "x.class_id", "x.p")
 
 
 PREDICTIONS_SQL = """d0 AS (SELECT user_id, ts::date AS day, count(*) AS n, arg_min(event_type, row(ts, event_id)) AS first_type FROM events GROUP BY 1, 2),

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortloom.operators.running import running
+
 # Columns of a findings table.
 FINDING_COLUMNS = [
     "case_id", "patient_id", "sample_id", "institution_id", "data_class", "age_years", "sex_at_birth", "specimen_site", "evidence_cutoff", "finding_id",
@@ -22,12 +24,14 @@ FEATURE_COLUMNS = [
     "sample_id", "id", "name", "modality", "value", "units", "status", "gene", "chromosome", "position", "reference", "alternate", "consequence", "somatic",
     "catalogue", "method", "mutation_count", "reference_build", "assay", "coverage", "group", "depends_on", "reference_sha256",
 ]
+FEATURE_REQUIRED = ["sample_id", "id", "name", "modality", "value", "status", "group"]
 GENE_NAMES = ("gene", "gene_id", "gene_symbol", "symbol", "hgnc_id", "ensembl_gene_id")
 VALUE_NAMES = ("expression", "value", "tpm", "fpkm", "count", "counts")
 SAMPLE_NAMES = ("sample_id", "sample")
 LINE_BYTES = 16 << 10
 SOURCE_BYTES = 64 << 20
 SAMPLES_MOST = 512
+LINES_A_BLOCK = 1 << 16
 
 
 class SourceError(ValueError):
@@ -61,17 +65,47 @@ def _columns(line: str, sep: str) -> list[str]:
     return names
 
 
-def _table(spark: SparkSession, path: str, sep: str, names: list[str], comment: str | None = None) -> DataFrame:
-    """All columns as text, with `record` and `malformed` (rows of another width)."""
+def numbered(rows: DataFrame, first: int = 1) -> DataFrame:
+    """Adds `record`: the place of each row of one text file, whatever splits it is read in.
+
+    A split's rows are in order and its start is known, so the splits' counts give what comes before each: one job over
+    them, whose result is one number a split.
+    """
+    placed = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__id"))
+    splits = placed.groupBy("__file", "__start").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("low"))
+    before, found = {}, sorted((r["__file"], r["__start"], r["n"], r["low"]) for r in splits.collect())
+    total: dict[str, int] = {}
+    for file, start, n, low in found:
+        before[file, start] = total.get(file, 0) - low + first
+        total[file] = total.get(file, 0) + n
+    spark = rows.sparkSession
+    moves = spark.createDataFrame([(*k, v) for k, v in before.items()], "__file string, __start long, __move long")
+    # One row a split.
+    return placed.join(F.broadcast(moves), ["__file", "__start"]).withColumn("record", F.col("__id") + F.col("__move")).drop("__file", "__start", "__id", "__move")
+
+
+def _table(spark: SparkSession, path: str, sep: str, names: list[str], comment: str | None = None, multiline: bool = False) -> DataFrame:
+    """All columns as text, with `record` and `malformed` (rows of another width).
+
+    `record` is the line in the file, header and comments included. Cells with line breaks need `multiline`, which reads a
+    file in one task and numbers rows instead of lines: it is for tables of a bounded size.
+    """
     schema = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField("__bad", T.StringType())])
-    reader = spark.read.schema(schema).option("header", True).option("sep", sep).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__bad").option("enforceSchema", True)
-    if comment:
-        reader = reader.option("comment", comment)
-    else:
-        reader = reader.option("multiLine", True)
-    rows = reader.csv(path)
-    # One file is read in order, so the ids rise with its lines; they are dense for a file of one split.
-    return rows.select("*", (F.monotonically_increasing_id() + 2).alias("record"), F.col("__bad").isNotNull().alias("malformed")).drop("__bad")
+    if multiline:
+        reader = spark.read.schema(schema).option("header", True).option("sep", sep).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__bad").option("enforceSchema", True)
+        rows = reader.option("multiLine", True).csv(path)
+        return rows.select("*", (F.monotonically_increasing_id() + 2).alias("record"), F.col("__bad").isNotNull().alias("malformed")).drop("__bad")
+    lines = numbered(spark.read.text(path))
+    said = lines.where(~F.startswith("value", F.lit(comment))) if comment else lines
+    top = said.agg(F.min("record")).first()[0]
+    body = said.where((F.col("record") > (top or 0)) & (F.trim("value") != ""))
+    options = {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}
+    parsed = body.select("record", F.from_csv(F.regexp_replace("value", r"\r$", ""), _ddl(schema), options).alias("r"))
+    return parsed.select("r.*", "record").withColumn("malformed", F.col("__bad").isNotNull()).drop("__bad")
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` STRING" for f in schema.fields)
 
 
 def findings(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
@@ -79,13 +113,13 @@ def findings(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     names = _columns(header(spark, path), sep)
     if set(names) - set(FINDING_COLUMNS) or set(FINDING_REQUIRED) - set(names):
         raise SourceError("unknown or missing columns")
-    rows = _table(spark, path, sep, names)
+    rows = _table(spark, path, sep, names, multiline=True)
     return rows.select(*[(F.col(c) if c in names else F.lit(None).cast("string").alias(c)) for c in FINDING_COLUMNS], "record", "malformed")
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType, most: int = LINE_BYTES) -> DataFrame:
     """(record, issue, row): oversized lines, bad JSON and unknown fields are issues; the scan goes on."""
-    lines = spark.read.text(path).select((F.monotonically_increasing_id() + 1).alias("record"), F.regexp_replace("value", r"\r$", "").alias("line")).where("trim(line) <> ''")
+    lines = numbered(spark.read.text(path)).select("record", F.regexp_replace("value", r"\r$", "").alias("line")).where("trim(line) <> ''")
     parsed = F.from_json("line", schema)
     allowed = F.array(*map(F.lit, schema.fieldNames()))
     keys = F.json_object_keys("line")
@@ -150,8 +184,8 @@ def gene_table(spark: SparkSession, path: str) -> DataFrame:
 def features(spark: SparkSession, path: str, sep: str = "\t", sample: str | None = None) -> DataFrame:
     """Rows of a molecular feature table with typed values; any malformed row is an error when read, the filter by sample comes after numbering."""
     names = _columns(header(spark, path), sep)
-    if set(names) - set(FEATURE_COLUMNS):
-        raise SourceError("unknown columns")
+    if set(names) - set(FEATURE_COLUMNS) or set(FEATURE_REQUIRED) - set(names):
+        raise SourceError("unknown or missing columns")
     rows = _table(spark, path, sep, names).where(F.when(F.col("malformed"), F.raise_error(F.lit("malformed feature row")).cast("boolean")).otherwise(True))
     rows = rows.select(*[(F.col(c) if c in names else F.lit(None).cast("string").alias(c)) for c in FEATURE_COLUMNS], "record")
     if sample is not None:
@@ -212,12 +246,12 @@ def build_name(text):
 
 def vcf(spark: SparkSession, path: str, build: str) -> DataFrame:
     """Passed, biallelic variants of a VCF with one sample; INFO needs GENE and CONSEQUENCE, SOMATIC is a flag, repeated keys: the last wins."""
-    lines = spark.read.text(path)
+    lines = numbered(spark.read.text(path))
     names = header(spark, path, "##").lstrip("#").split("\t")
     if len(names) != 10 or names[0] != "CHROM":
         raise SourceError("a VCF with one sample has ten columns")
     f = F.split("value", "\t")
-    rows = lines.where(~F.startswith("value", F.lit("#"))).select((F.monotonically_increasing_id() + 1).alias("record"), f.alias("f")).where(F.size("f") == 10)
+    rows = lines.where(~F.startswith("value", F.lit("#"))).select("record", f.alias("f")).where(F.size("f") == 10)
     info = F.split(F.col("f")[7], ";")
     of = lambda key: F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(F.filter(info, lambda x: F.startswith(x, F.lit(f"{key}="))), lambda x: F.substring(x, len(key) + 2, 1 << 30))), -1)
     genotype = F.split(F.split(F.col("f")[9], ":")[0], r"[/|]")
@@ -228,19 +262,68 @@ def vcf(spark: SparkSession, path: str, build: str) -> DataFrame:
     )
 
 
+def vcf_problems(spark: SparkSession, path: str) -> DataFrame:
+    """(record, problem) of lines that `vcf` can't take as variants: another width than the header, or a position that is no number."""
+    lines = numbered(spark.read.text(path)).where(~F.startswith("value", F.lit("#")))
+    f = F.split("value", "\t")
+    problem = F.when(F.size(f) != 10, "another width than the header").when(f[1].try_cast("long").isNull(), "position is no number")
+    return lines.select("record", problem.alias("problem")).where("problem is not null")
+
+
 def sample_counts(rows: DataFrame) -> DataFrame:
     """(sample_id, n) of any of the tables."""
     return rows.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n")).orderBy("sample_id")
 
 
+def _contig_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(contig, at, bases) of every sequence line with its zero-based place in the contig, and (contig, chromosome, length).
+
+    Lines are read in splits. How many headers and bases come before a line are running sums in blocks of lines, so a
+    contig is never one row and no line is read twice.
+    """
+    lines = numbered(spark.read.text(path)).select("record", F.startswith("value", F.lit(">")).alias("head"), F.col("value"))
+    bases = F.when(F.col("head"), F.lit("")).otherwise(F.upper(F.regexp_replace("value", r"\s", "")))
+    sized = lines.select("record", "head", F.regexp_extract("value", r"\A>\s*(\S+)", 1).alias("name"), bases.alias("bases")).withColumn("__h", F.col("head").cast("double")).withColumn("__n", F.length("bases").cast("double"))
+    block = F.floor(F.col("record") / LINES_A_BLOCK)
+    run = running(sized.withColumn("__all", F.lit(0)), ["__all"], block, "record", {"__heads": "__h", "__end": "__n"})
+    placed = run.select(F.col("__heads").cast("long").alias("contig"), "head", "name", "bases", F.col("__end").cast("long").alias("end"))
+    first = placed.where("head").select("contig", F.col("name").alias("chromosome"), F.col("end").alias("start"))
+    body = placed.where("not head and bases <> ''")
+    ends = body.groupBy("contig").agg(F.max("end").alias("last"))
+    contigs = first.join(ends, "contig").select("contig", "chromosome", "start", (F.col("last") - F.col("start")).alias("length"))
+    return body.join(contigs.select("contig", "start"), "contig").select("contig", (F.col("end") - F.length("bases") - F.col("start")).alias("at"), "bases"), contigs.drop("start")
+
+
 def fasta_chunks(spark: SparkSession, path: str, size: int = 1 << 16) -> DataFrame:
-    """(chromosome, chunk, sequence): bases k*size+1 .. (k+1)*size of each contig and one more on each side.
+    """(chromosome, chunk, sequence): bases k*size+1 .. (k+1)*size of each contig and one more on each side; N before the first.
 
-    Contigs are records split at '>' by the reader; each is cut into chunks by one projection.
+    Each line goes to the chunks that it overlaps, and a chunk is put together from its own lines.
     """
-    records = spark.read.option("lineSep", ">").text(path).where("trim(value) <> ''")
-    name = F.regexp_extract("value", r"\A(\S+)", 1)
-    bases = F.upper(F.regexp_replace(F.regexp_replace("value", r"\A[^\n]*\n", ""), r"\s", ""))
-    whole = records.select(name.alias("chromosome"), bases.alias("s"))
-    n = F.length("s")
-    return whole.select("chromosome", "s", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / size))).alias("chunk")).select("chromosome", "chunk", F.concat(F.when(F.col("chunk") == 0, "N").otherwise(""), F.substring("s", F.greatest(F.lit(1), (F.col("chunk") * size).cast("int")), F.when(F.col("chunk") == 0, size + 1).otherwise(size + 2))).alias("sequence"))
+    lines, contigs = _contig_lines(spark, path)
+    end = F.col("at") + F.length("bases")
+    low, high = F.greatest(F.lit(0).cast("long"), F.floor((F.col("at") - 1) / size)), F.floor(end / size)
+    each = lines.select("contig", "at", "bases", F.explode(F.sequence(low, high)).alias("chunk"))
+    start = F.greatest(F.col("at"), F.col("chunk") * size - 1)
+    stop = F.least(end, (F.col("chunk") + 1) * size + 1)
+    piece = F.substring("bases", (start - F.col("at") + 1).cast("int"), (stop - start).cast("int"))
+    pieces = each.where(stop > start).groupBy("contig", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(start.alias("s"), piece.alias("p")))), lambda x: x["p"]), "").alias("s"))
+    whole = pieces.join(contigs, "contig").where(F.col("chunk") * size < F.col("length"))
+    return whole.select("chromosome", "chunk", F.concat(F.when(F.col("chunk") == 0, "N").otherwise(""), F.col("s")).alias("sequence"))
+
+
+def fasta_index(spark: SparkSession, path: str) -> DataFrame:
+    """(chromosome, length, offset, line_bases, line_bytes) of a .fai index; a malformed line is an error when read."""
+    f = F.split("value", "\t")
+    rows = spark.read.text(path).where("trim(value) <> ''").select(f.alias("f"))
+    number = lambda k: F.col("f")[k].try_cast("long")
+    good = (F.size("f") == 5) & (number(1) >= 0) & (number(2) >= 0) & (number(3) > 0) & (number(4) >= number(3))
+    rows = rows.where(F.when(F.coalesce(good, F.lit(False)), True).otherwise(F.raise_error(F.lit("malformed index line")).cast("boolean")))
+    return rows.select(F.col("f")[0].alias("chromosome"), *[number(k).alias(n) for k, n in ((1, "length"), (2, "offset"), (3, "line_bases"), (4, "line_bytes"))])
+
+
+def index_problems(spark: SparkSession, path: str, index: str) -> DataFrame:
+    """(chromosome, problem) where a .fai index and its FASTA differ in contigs or lengths."""
+    _, contigs = _contig_lines(spark, path)
+    both = fasta_index(spark, index).select("chromosome", F.col("length").alias("said")).join(contigs.select("chromosome", "length"), "chromosome", "full_outer")
+    problem = F.when(F.col("said").isNull(), "not in the index").when(F.col("length").isNull(), "not in the sequence").when(F.col("said") != F.col("length"), "another length")
+    return both.select("chromosome", problem.alias("problem")).where("problem is not null")
