@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.operators import attribution, bootstrap, cases, evaluation, expression, rules, scoring, spectra, survival
+from cohortloom.operators import attribution, bootstrap, cases, evaluation, expression, molecular, rules, scoring, spectra, survival
 from cohortloom.sources import bindings as B
 
 FLAGSHIP = "km_by_class"
@@ -93,6 +93,13 @@ def log_rank_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(survival.log_rank_covariance(B.outcomes(spark, sf_dir)), 4)
 
 
+@query(f"""WITH {B.OUTCOMES_SQL.replace("outcomes AS", "every AS")}, outcomes AS (SELECT * FROM every WHERE concordance <> 'empiric'), {_AT.format(g="concordance")},
+s AS (SELECT sum(d1 - d * n1 / n) AS delta, sum(CASE WHEN n > 1 THEN d * (n - d) / (n - 1) * (n1 / n) * (1 - n1 / n) ELSE 0 END) AS v FROM a WHERE g = 'concordant')
+SELECT round(delta, 4) + 0.0 AS observed_minus_expected, round(v, 4) + 0.0 AS variance, round(delta * delta / v, 4) + 0.0 AS chi_squared FROM s""")
+def log_rank_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(log_rank_two_group(spark, sf_dir).drop("p_value"), 4)
+
+
 @query()
 def log_rank_two_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = B.outcomes(spark, sf_dir).where(F.col("concordance").isin(*survival.ARMS))
@@ -114,9 +121,12 @@ def covariate_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(survival.balance(B.outcomes(spark, sf_dir), COVARIATES))
 
 
-@query(f"""WITH {B.OUTCOMES_SQL} SELECT patient_id, 'duplicate patient' AS problem FROM outcomes GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT patient_id, 'exit does not follow entry' FROM outcomes WHERE time <= entry""")
+@query(f"""WITH {B.PLANTED_OUTCOMES_SQL} SELECT patient_id, 'duplicate patient' AS problem FROM planted GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT NULL, 'missing patient' FROM planted WHERE patient_id IS NULL
+UNION ALL SELECT patient_id, 'interval is not finite' FROM planted WHERE entry IS NULL OR isnan(time) UNION ALL SELECT patient_id, 'negative entry' FROM planted WHERE entry < 0
+UNION ALL SELECT patient_id, 'exit does not follow entry' FROM planted WHERE time <= entry UNION ALL SELECT patient_id, 'missing event' FROM planted WHERE event IS NULL
+UNION ALL SELECT patient_id, 'propensity outside (0, 1)' FROM planted WHERE propensity <= 0 OR propensity >= 1""")
 def outcome_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survival.problems(B.outcomes(spark, sf_dir))
+    return survival.problems(B.planted_outcomes(spark, sf_dir))
 
 
 @query()
@@ -233,12 +243,29 @@ def full_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluation.ranking(B.predictions(spark, sf_dir)[1]))
 
 
-@query(f"{_P} SELECT sample_id AS subject, 'truth is not an outcome' AS problem FROM days WHERE truth NOT IN (SELECT class_id FROM kinds)")
+@query(f"""WITH {B.PLANTED_PREDICTIONS_SQL} SELECT sample_id AS subject, 'truth is not an outcome' AS problem FROM prec WHERE truth NOT IN (SELECT class_id FROM kinds)
+UNION ALL SELECT sample_id, 'unknown partition' FROM prec WHERE partition NOT IN ('development', 'calibration', 'test')
+UNION ALL SELECT patient_group_id, 'patient group crosses partitions' FROM prec GROUP BY 1 HAVING count(DISTINCT partition) > 1
+UNION ALL SELECT sample_id, 'invalid probability vector' FROM pvec WHERE NOT (ranged AND n = 5 AND abs(total - 1) <= 1e-6)
+UNION ALL SELECT sample_id, 'success and failure are not explicit' FROM prec LEFT JOIN pvec USING (sample_id) WHERE (pvec.n IS NOT NULL) = failed""")
 def evaluation_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.problems(*B.predictions(spark, sf_dir), _named(spark)[1])
+    return evaluation.problems(*B.planted_predictions(spark, sf_dir), _named(spark)[1])
 
 
-@query()
+_BOOT = f"""{_P}, prs AS (SELECT patient_group_id, truth, predicted, count(*) AS n FROM test GROUP BY 1, 2, 3),
+gs AS (SELECT patient_group_id, row_number() OVER (ORDER BY patient_group_id) - 1 AS cluster FROM (SELECT DISTINCT patient_group_id FROM test)), sz AS (SELECT count(*) AS size FROM gs),
+dr AS (SELECT r AS replicate, (42::uhugeint + (r * size + k + 1)::uhugeint * 11400714819323198485::uhugeint) % 18446744073709551616::uhugeint AS z, size FROM sz, (SELECT unnest(range(200)) AS r), (SELECT unnest(range((SELECT size FROM sz))) AS k)),
+z1 AS (SELECT replicate, size, (xor(z, z >> 30) * 13787848793156543929::uhugeint) % 18446744073709551616::uhugeint AS z FROM dr),
+z2 AS (SELECT replicate, size, (xor(z, z >> 27) * 10723151780598845931::uhugeint) % 18446744073709551616::uhugeint AS z FROM z1),
+tm AS (SELECT replicate, (xor(z, z >> 31) % size::uhugeint)::bigint AS cluster, count(*) AS times FROM z2 GROUP BY 1, 2 UNION ALL SELECT -1, cluster, 1 FROM gs),
+ct AS (SELECT replicate, truth, predicted, sum(times * n) AS n FROM tm JOIN gs USING (cluster) JOIN prs USING (patient_group_id) GROUP BY 1, 2, 3),
+lg AS (SELECT replicate, truth AS c, sum(n) AS s, 0 AS p, sum(CASE WHEN truth = predicted THEN n ELSE 0 END) AS h FROM ct GROUP BY 1, 2 UNION ALL SELECT replicate, predicted, 0, sum(n), 0 FROM ct WHERE predicted IS NOT NULL GROUP BY 1, 2),
+cl AS (SELECT replicate, c, sum(s) AS s, sum(p) AS p, sum(h) AS h FROM lg GROUP BY 1, 2),
+ms AS (SELECT replicate, sum(h) / sum(s) AS top1, sum(coalesce(2.0 * h * s / nullif(s + p, 0), 0)) / sum(s) AS weighted_f1 FROM cl GROUP BY 1),
+un AS (SELECT replicate, 'top1' AS measure, top1 AS v FROM ms UNION ALL SELECT replicate, 'weighted_f1', weighted_f1 FROM ms)"""
+
+
+@query(f"{_BOOT} SELECT measure, round(max(v) FILTER (replicate < 0), 6) + 0.0 AS estimate, round(quantile_cont(v, 0.025) FILTER (replicate >= 0), 6) + 0.0 AS lower, round(quantile_cont(v, 0.975) FILTER (replicate >= 0), 6) + 0.0 AS upper FROM un GROUP BY 1")
 def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bootstrap.intervals(bootstrap.replicate_measures(_scored(spark, sf_dir), _named(spark)[1])))
 
@@ -432,6 +459,133 @@ def rule_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.evaluate(rows.withColumn("in_scope", rules.scope()).withColumn("managed", rules.management()), RULES)
 
 
+# Molecular feature sets --------------------------------------------------------------------------------------------------
+
+_FT = "WITH " + B.FEATURES_SQL
+
+
+@query(f"""{_P}, g AS (SELECT sample_id, user_id % 10 <> 0 AS live, predicted <> 'signup' AS named, p_top, margin, least(1, p_top + 0.1) AS support, 1 - p_top AS conflict FROM rows_ JOIN days USING (sample_id) WHERE predicted IS NOT NULL),
+r AS (SELECT sample_id, concat_ws(',', CASE WHEN NOT live THEN 'not_live' END, CASE WHEN NOT named THEN 'unresolved_class' END, CASE WHEN p_top < 0.75 OR margin < 0.15 THEN 'low_or_ambiguous' END, CASE WHEN support < 0.8 THEN 'insufficient_support' END, CASE WHEN conflict > 0.2 THEN 'conflicting_evidence' END) AS reasons FROM g)
+SELECT sample_id, reasons, CASE WHEN reasons = '' THEN 'review_required' ELSE 'abstained' END AS status FROM r""")
+def molecular_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = evaluation.scored(*B.predictions(spark, sf_dir)).where("predicted is not null")
+    run = rows.select(
+        "sample_id", F.when(F.col("patient_group_id").cast("long") % 10 != 0, "live").otherwise("demo").alias("source"), F.when(F.col("predicted") != "signup", "named").otherwise("other").alias("predicted_kind"),
+        "p_top", "margin", F.least(F.lit(1.0), F.col("p_top") + 0.1).alias("support"), (1 - F.col("p_top")).alias("conflict"),
+    )
+    return molecular.gate(run).select("sample_id", F.array_join("reasons", ",").alias("reasons"), "status")
+
+
+@query(f"""{_P}, g AS (SELECT sample_id, user_id % 10 <> 0 AS live, predicted <> 'signup' AS named, p_top, margin, least(1, p_top + 0.1) AS support, 1 - p_top AS conflict, n % 7 AS findings FROM rows_ JOIN days USING (sample_id) WHERE predicted IS NOT NULL),
+r AS (SELECT sample_id, concat_ws(',', CASE WHEN p_top < 0.75 THEN 'low_probability' END, CASE WHEN margin < 0.15 THEN 'ambiguous' END, CASE WHEN support < 0.8 THEN 'insufficient_support' END, CASE WHEN conflict > 0.2 THEN 'conflicting_evidence' END, CASE WHEN NOT named THEN 'unresolved_class' END, CASE WHEN NOT live THEN 'not_live' END) AS reasons FROM g)
+SELECT sample_id, reasons, reasons = '' AS accepted FROM r""")
+def abstention_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = evaluation.scored(*B.predictions(spark, sf_dir)).where("predicted is not null")
+    run = rows.select(
+        "sample_id", F.when(F.col("patient_group_id").cast("long") % 10 != 0, "live").otherwise("demo").alias("source"), F.when(F.col("predicted") != "signup", "named").otherwise("other").alias("predicted_kind"),
+        "p_top", "margin", F.least(F.lit(1.0), F.col("p_top") + 0.1).alias("support"), (1 - F.col("p_top")).alias("conflict"), F.lit(1).alias("findings"),
+    )
+    return evaluation.gate(run).select("sample_id", F.array_join("reasons", ",").alias("reasons"), "accepted")
+
+
+@query(f"""{_FT} SELECT sample_id, id, CASE WHEN status = 'observed' THEN CASE kind WHEN 'copy_number' THEN CASE number WHEN -2 THEN 'deep loss' WHEN -1 THEN 'loss' WHEN 0 THEN 'neutral' WHEN 1 THEN 'gain' ELSE 'amplification' END
+  WHEN 'mutation' THEN CASE WHEN somatic THEN 'somatic as annotated' WHEN NOT somatic THEN 'germline' ELSE 'origin not resolved' END WHEN 'age' THEN CASE WHEN is_bound THEN 'older than the stated years' ELSE 'completed years' END END END AS meaning FROM features""")
+def feature_meaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return molecular.with_meaning(B.features(spark, sf_dir)).select("sample_id", "id", "meaning")
+
+
+@query(f"""{_FT}, c AS (SELECT sample_id, count(*) AS features, count(*) FILTER (status = 'observed') AS observed, bool_and(data_class = 'synthetic') AS syn, any_value(sample_id)::bigint % 8 * 40000 AS bytes FROM features GROUP BY 1)
+SELECT sample_id, features, observed, features - observed AS unavailable, bytes AS request_bytes, concat_ws(',', CASE WHEN ceil(bytes / 4) > 64000 THEN 'request_exceeds_window' END, CASE WHEN NOT syn THEN 'not_synthetic' END, CASE WHEN observed = 0 THEN 'nothing_observed' END) AS blockers,
+  ceil(bytes / 4) <= 64000 AND syn AND observed > 0 AS ready FROM c""")
+def feature_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = B.features(spark, sf_dir)
+    requests = f.select("sample_id").distinct().select("sample_id", F.repeat(F.lit("x"), (F.col("sample_id").cast("int") % 8) * 40000).alias("request"))
+    return molecular.readiness(f, requests).withColumn("blockers", F.array_join("blockers", ","))
+
+
+@query(f"""{_FT}, w AS (SELECT DISTINCT sample_id, grp FROM features WHERE kind = 'mutation') SELECT f.sample_id, f.id, CASE WHEN w.grp IS NOT NULL THEN 'variants and derived signatures' ELSE f.grp END AS "group" FROM features f LEFT JOIN w ON w.sample_id = f.sample_id AND w.grp = f.grp
+UNION ALL SELECT DISTINCT sample_id, 'derived-' || unnest(['S1', 'S2']), 'variants and derived signatures' FROM w""")
+def attached_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = B.features(spark, sf_dir)
+    fit = f.where("kind = 'mutation'").select("sample_id").distinct().select("sample_id", F.explode(F.array(F.lit("S1"), F.lit("S2"))).alias("signature"), F.lit(1.0).alias("exposure"), F.lit(True).alias("converged"))
+    return molecular.attached_signatures(f, fit).select("sample_id", "id", "group")
+
+
+@query(f"{_FT} SELECT sample_id, count(*) AS features, count(*) FILTER (kind = 'mutation') AS variants FROM features GROUP BY 1 HAVING count(*) FILTER (kind = 'mutation') > 0 AND count(*) FILTER (kind <> 'mutation') > 0")
+def merged_modalities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = B.features(spark, sf_dir)
+    variants, others = f.where("kind = 'mutation'"), f.where("kind <> 'mutation'").drop("somatic")
+    both = variants.select("sample_id").intersect(others.select("sample_id"))
+    made = molecular.merged([variants.join(both, "sample_id", "left_semi"), others.join(both, "sample_id", "left_semi")])
+    return made.groupBy("sample_id").agg(F.count(F.lit(1)).alias("features"), F.count_if(F.col("kind") == "mutation").alias("variants"))
+
+
+@query(f"""{_E} SELECT DISTINCT q.sample_id, k.overlap FROM profiles q JOIN profiles m ON m.role = 'reference' JOIN (SELECT unnest(['sample_id', 'measurement_sha256', 'patient_group_id']) AS overlap) k ON CASE k.overlap WHEN 'sample_id' THEN q.sample_id = m.sample_id WHEN 'measurement_sha256' THEN q.sample_id % 7 = m.sample_id % 13 + 3 ELSE q.sample_id // 4 = m.sample_id // 4 END
+WHERE q.role = 'query' AND q.gene = 'G0' AND m.gene = 'G0'""")
+def reference_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = B.profiles(spark, sf_dir).where("gene = 'G0'").select("sample_id", "role", F.floor(F.col("sample_id") / 4).alias("patient_group_id"))
+    queries_ = p.where("role = 'query'").withColumn("measurement_sha256", F.col("sample_id") % 7)
+    return expression.overlapping(queries_, p.where("role = 'reference'").withColumn("measurement_sha256", F.col("sample_id") % 13 + 3)).distinct()
+
+
+@query("SELECT s_suppkey, n_name AS class_name, r_name AS class_parent FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_nationkey % 5 <> 0 LEFT JOIN region ON r_regionkey = n_regionkey")
+def class_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, r = B.table(spark, sf_dir, "nation").where("n_nationkey % 5 <> 0"), B.table(spark, sf_dir, "region")
+    classes = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("n_nationkey").alias("class_id"), F.col("n_name").alias("name"), F.col("r_name").alias("parent"))
+    return molecular.labelled(B.table(spark, sf_dir, "supplier"), classes, "s_nationkey").select("s_suppkey", "class_name", "class_parent")
+
+
+@query("""SELECT doc_id, CASE WHEN ceil(strlen(text) / 4) > 64000 THEN 'request_exceeds_window' WHEN ceil((strlen(text) + strlen(text)) / 4) > 32000 THEN 'state_and_question_exceed_window' END AS problem FROM documents""")
+def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return B.table(spark, sf_dir, "documents").select("doc_id", molecular.context_problem(t, t, t).alias("problem"))
+
+
+@query(f"""{_G}, f AS (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS feature, unnest([1, 2, 4, 8, 16]) AS bit)
+SELECT feature, -round(sum((b.value - a.value) / (5 * CASE bit_count(a.mask) WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 2 THEN 6 WHEN 3 THEN 4 ELSE 1 END)), 6) + 0.0 AS contribution FROM game a JOIN f ON a.mask & bit = 0 JOIN game b ON b.mask = a.mask | bit GROUP BY 1""")
+def shapley_retargeted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other class of a two-class distribution, from the same scored coalitions: contributions of the other sign."""
+    pair = F.create_map(F.lit("large"), F.col("value"), F.lit("none"), 1 - F.col("value"))
+    memo = B.games(spark, sf_dir).select("mask", pair.alias("probabilities"))
+    return rounded(attribution.exact(attribution.retargeted(memo, "none"), sorted(B.OUTCOMES)))
+
+
+_BG = """bg AS (SELECT user_id AS background_id, event_type AS feature_id, avg(value) AS v FROM events WHERE user_id BETWEEN 1 AND 8 GROUP BY 1, 2),
+own AS (SELECT event_type AS feature_id, avg(value) AS own, CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS bit FROM events GROUP BY 1)"""
+
+
+@query(f"WITH {_BG}, hy AS (SELECT mask, background_id, sum(CASE WHEN (mask >> bit) & 1 = 1 THEN own ELSE v END) AS s FROM bg JOIN own USING (feature_id) CROSS JOIN (SELECT unnest(range(32)) AS mask) GROUP BY 1, 2) SELECT mask, round(avg(s), 6) + 0.0 AS value FROM hy GROUP BY 1")
+def background_coalitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = B.table(spark, sf_dir, "events")
+    names = F.array(*map(F.lit, sorted(B.OUTCOMES)))
+    own = e.groupBy(F.col("event_type").alias("feature_id")).agg(F.avg("value").alias("value")).withColumn("bit", F.array_position(names, F.col("feature_id")).cast("int") - 1)
+    background = e.where("user_id between 1 and 8").groupBy(F.col("user_id").alias("background_id"), F.col("event_type").alias("feature_id")).agg(F.avg("value").alias("value"))
+    hybrids = attribution.hybrids(attribution.coalitions(spark, 5), own, background).groupBy("mask", "background_id").agg(F.sum("value").alias("value"))
+    return rounded(attribution.background_values(hybrids))
+
+
+@query(f"{_E} SELECT count(*) AS matches FROM profiles WHERE contains(lower(gene), 'g1')")
+def explore_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return expression.matches(B.profiles(spark, sf_dir), "G1")
+
+
+@query(f"{_FT} SELECT modality, status, count(*) AS n FROM features GROUP BY 1, 2")
+def feature_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.inventory(B.features(spark, sf_dir))
+
+
+@query("SELECT event_type, count(*) AS attempts, sum(coalesce(CASE WHEN event_id % 3 > 0 THEN event_id % 100 END, 500)) AS tokens FROM events GROUP BY 1")
+def request_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = B.table(spark, sf_dir, "events").select("event_type", F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 100).alias("tokens"), F.lit(500).cast("long").alias("reserved"))
+    return scoring.accounting(e, ["event_type"])
+
+
+@query("SELECT o_orderkey::varchar AS request_sha256, l_linenumber::varchar AS class_id, round(1.0 / count(*) OVER (PARTITION BY o_orderkey), 6) + 0.0 AS p FROM orders JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) ON l_orderkey = o_orderkey")
+def uniform_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    options = B.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("request_sha256"), F.col("l_linenumber").cast("string").alias("class_id")).distinct()
+    return rounded(scoring.uniform(options))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

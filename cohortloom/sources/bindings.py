@@ -168,3 +168,49 @@ def rule_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(True).alias("understands_purpose"), maybe(23, F.lit(True)).alias("understands_risks"), F.lit(True).alias("accepts_treatment"), F.col("has_f").alias("marker"),
         F.when(k % 4 == 0, F.array(F.struct(F.lit("imaging").alias("kind"), F.when(k % 8 == 0, "completed").otherwise("planned").alias("status")))).alias("investigations"),
     )
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Molecular features from events: users are samples, types are modalities, values above 20 are observed."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    kind = F.when(F.col("event_type") == "click", "mutation").when(F.col("event_type") == "view", "copy_number").when(F.col("event_type") == "purchase", "age").otherwise("category")
+    return e.select(
+        F.col("user_id").cast("string").alias("sample_id"), (F.col("user_id") % 50).cast("string").alias("patient_group_id"), F.when(F.col("user_id") % 9 == 0, "real").otherwise("synthetic").alias("data_class"),
+        F.concat(F.lit("e"), k).alias("id"), F.col("event_type").alias("name"), F.col("event_type").alias("modality"), kind.alias("kind"), F.when(F.col("value") > 20, "observed").otherwise("not_tested").alias("status"),
+        F.concat(F.lit("g"), k % 4).alias("group"), (k % 5 - 2).cast("double").alias("number"), F.when(k % 3 < 2, k % 3 == 0).alias("somatic"), (k % 2 == 0).alias("is_bound"),
+    )
+
+
+FEATURES_SQL = """features AS (SELECT user_id::varchar AS sample_id, (user_id % 50)::varchar AS patient_group_id, CASE WHEN user_id % 9 = 0 THEN 'real' ELSE 'synthetic' END AS data_class, 'e' || event_id::varchar AS id, event_type AS name, event_type AS modality,
+  CASE event_type WHEN 'click' THEN 'mutation' WHEN 'view' THEN 'copy_number' WHEN 'purchase' THEN 'age' ELSE 'category' END AS kind, CASE WHEN value > 20 THEN 'observed' ELSE 'not_tested' END AS status, 'g' || (event_id % 4)::varchar AS grp,
+  (event_id % 5 - 2)::double AS number, CASE WHEN event_id % 3 < 2 THEN event_id % 3 = 0 END AS somatic, event_id % 2 = 0 AS is_bound FROM events)"""
+
+
+def planted_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcomes with faults of every kind in rows that their numbers name."""
+    k = F.col("patient_id")
+    rows = outcomes(spark, sf_dir)
+    bad = rows.withColumn("entry", F.when(k % 211 == 1, -1.0).when(k % 211 == 2, F.lit(None)).otherwise(F.col("entry"))).withColumn("time", F.when(k % 211 == 3, F.col("entry")).when(k % 211 == 4, F.lit(float("nan"))).otherwise(F.col("time")))
+    bad = bad.withColumn("event", F.when(k % 211 != 5, F.col("event"))).withColumn("propensity", F.when(k % 211 == 6, 1.0).when(k % 211 == 7, 0.0).otherwise(F.col("propensity")))
+    return bad.withColumn("patient_id", F.when(k % 211 == 8, k - 1).when(k % 211 != 9, k))
+
+
+PLANTED_OUTCOMES_SQL = OUTCOMES_SQL + """,
+planted AS (SELECT CASE WHEN k = 8 THEN patient_id - 1 WHEN k <> 9 THEN patient_id END AS patient_id, CASE WHEN k = 1 THEN -1.0 WHEN k <> 2 THEN entry END AS entry,
+  CASE WHEN k = 3 THEN entry WHEN k = 4 THEN 'nan'::double ELSE time END AS time, CASE WHEN k <> 5 THEN event END AS event, CASE WHEN k = 6 THEN 1.0 WHEN k = 7 THEN 0.0 ELSE propensity END AS propensity FROM (SELECT *, patient_id % 211 AS k FROM outcomes))"""
+
+
+def planted_predictions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The predictions with faults: truths that are no outcome, partitions of no name, vectors out of range, failures with answers."""
+    records, p = predictions(spark, sf_dir)
+    h = F.conv(F.substring(F.md5("sample_id"), 1, 4), 16, 10).cast("long") % 97
+    records = records.withColumn("truth", F.when(h == 1, "nobody").otherwise(F.col("truth"))).withColumn("partition", F.when(h == 2, "holdout").otherwise(F.col("partition")))
+    records = records.withColumn("failure", F.when(h == 3, "odd").otherwise(F.col("failure")))
+    return records, p.withColumn("p", F.when((h == 4) & (F.col("class_id") == "click"), F.col("p") + 1.5).otherwise(F.col("p"))).where(~((h == 5) & (F.col("class_id") == "view")))
+
+
+PLANTED_PREDICTIONS_SQL = PREDICTIONS_SQL + """,
+hd AS (SELECT *, cast('0x' || substr(md5(sample_id), 1, 4) AS bigint) % 97 AS h FROM days),
+prec AS (SELECT sample_id, user_id::varchar AS patient_group_id, CASE WHEN h = 1 THEN 'nobody' ELSE truth END AS truth, CASE WHEN h = 2 THEN 'holdout' ELSE partition END AS partition, failed OR h = 3 AS failed FROM hd),
+pprob AS (SELECT p.sample_id, p.class_id, CASE WHEN h = 4 AND class_id = 'click' THEN p + 1.5 ELSE p END AS p FROM probs p JOIN hd USING (sample_id) WHERE NOT (h = 5 AND class_id = 'view')),
+pvec AS (SELECT sample_id, count(*) AS n, sum(p) AS total, bool_and(p BETWEEN 0 AND 1) AS ranged FROM pprob GROUP BY 1)"""
