@@ -71,7 +71,7 @@ def import_report(findings: DataFrame) -> DataFrame:
 
 def shown_issues(found: DataFrame) -> DataFrame:
     """The first issues by record; their number is the feature, counts stay complete in the report."""
-    return found.orderBy("record", "issue").limit(ISSUES_SHOWN)
+    return found.orderBy("record", "issue", "case_id").limit(ISSUES_SHOWN)
 
 
 def several_specimens(cases: DataFrame) -> DataFrame:
