@@ -40,6 +40,8 @@ MEMBERS = 4096
 SAMPLE, COMMON, TILE = 16, 200_000, 512
 # Parts into which the texts of a common shingle are dealt; rounds of ties before all other pairs are compared; classes of a small sketch.
 SALTS, ROUNDS, SKETCH = 64, 3, 64
+# Rows of numbers that may be broadcast once they have been counted.
+BROADCAST_ROWS = 2_000_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -405,25 +407,40 @@ def _within_sketches(pairs: DataFrame, sketches: DataFrame, similarity: float) -
     return both.mapInArrow(apply, "a long, b long")
 
 
-def _of_ends(texts: DataFrame, pairs: DataFrame, size: int, made, kind: str, arrow: pa.DataType) -> DataFrame:
-    """(node, n, value) of the texts of pairs, the value made of the set of their shingles."""
+def with_sketches(texts: DataFrame, size: int) -> DataFrame:
+    """Adds n, the number of a text's distinct shingles, and their sketch."""
+    schema = T.StructType([*texts.schema.fields, T.StructField("n", T.IntegerType()), T.StructField("sketch", T.BinaryType())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(hashes(shingles(words_of(t), size))) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(x) for x in sets], pa.int32()), pa.array([made(x) for x in sets], arrow)], names=["node", "n", "value"])
+            made = []
+            for text in batch.column("text").to_pylist():
+                parts = np.unique(hashes(shingles(words_of(text), size)))
+                made.append((len(parts), _sketch(parts)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([n for n, _ in made], pa.int32()), pa.array([x for _, x in made], pa.binary())], names=schema.names)
+
+    return texts.mapInArrow(apply, schema)
+
+
+def _sets_of_ends(texts: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """(node, parts) of the texts of pairs; texts are shuffled only if their numbers are too many to broadcast."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(hashes(shingles(words_of(t), size))).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "parts"])
 
     ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    return texts.select("node", "text").join(ends, "node", "left_semi").mapInArrow(apply, f"node long, n int, value {kind}")
+    if ends.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        ends = F.broadcast(ends)
+    return texts.select("node", "text").join(ends, "node", "left_semi").mapInArrow(apply, "node long, parts array<long>")
 
 
 def verified_pairs(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
     """The pairs whose sets of shingles are alike: first by their sketches, then, for those left, by their whole sets."""
-    sketches = saved(_of_ends(texts, pairs, size, _sketch, "binary", pa.binary()).withColumnRenamed("value", "sketch"), "sketches")
-    left = saved(_within_sketches(pairs, sketches, similarity), "pairs")
-    dropped(sketches)
-    parts = saved(_of_ends(texts, left, size, lambda x: x.view(np.int64), "array<long>", pa.list_(pa.int64())), "parts")
-    both = left.join(parts.select(F.col("node").alias("a"), F.col("value").alias("pa")), "a").join(parts.select(F.col("node").alias("b"), F.col("value").alias("pb")), "b")
+    left = saved(_within_sketches(pairs, texts.select("node", "n", "sketch"), similarity), "pairs")
+    parts = saved(_sets_of_ends(texts, left, size), "parts")
+    both = left.join(parts.select(F.col("node").alias("a"), F.col("parts").alias("pa")), "a").join(parts.select(F.col("node").alias("b"), F.col("parts").alias("pb")), "b")
     common = F.size(F.array_intersect("pa", "pb"))
     out = saved(both.where(common >= similarity * (F.size("pa") + F.size("pb") - common)).select("a", "b"), "alike")
     dropped(parts, left)
@@ -442,7 +459,7 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, size: int =
     digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
     named = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), digest.alias("digest"))
     texts = named.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("text").alias("text"))
-    texts = saved(texts.select("digest", "least", "text", F.xxhash64("digest").alias("node")), "texts")
+    texts = saved(with_sketches(texts.select("digest", "least", "text", F.xxhash64("digest").alias("node")), size), "texts")
     met = saved(shared_keys(shared_prefixes(texts, similarity, size)), "met")
     rooted = links = tested = None
 
