@@ -118,3 +118,50 @@ def labelled(rows: DataFrame, classes: DataFrame, class_id: str = "class_id") ->
     """Adds the name and the parent of each class; outcomes that aren't classes have none."""
     names = classes.select(F.col("class_id").alias("__id"), F.col("name").alias("class_name"), F.col("parent").alias("class_parent"))
     return rows.join(names, rows[class_id] == names["__id"], "left").drop("__id")
+
+
+def numeric_view(kind: Column, number: Column, is_bound: Column) -> Column:
+    """The number that a value can be compared by, null if it has none: an age that is only a bound is no number."""
+    return F.when(kind.isin("number", "signature", "copy_number"), number).when((kind == "age") & ~F.coalesce(is_bound, F.lit(False)), number)
+
+
+def displayed(kind: Column, number: Column, units: Column, label: Column, is_bound: Column) -> Column:
+    """A value for readers: four digits and units, signed calls with their gene (`label`), ages with their bound, else the label."""
+    out = F.when(kind.isin("number", "signature"), F.format_string("%.4f %s", number, F.coalesce(units, F.lit(""))))
+    out = out.when(kind == "copy_number", F.format_string("%s CNA %+d", label, number.cast("int")))
+    return out.when(kind == "age", F.format_string("%s%d years", F.when(is_bound, ">").otherwise(""), number.cast("int"))).otherwise(label)
+
+
+def encoding(kind: Column, units: Column, label: Column) -> Column:
+    """What two values must share to stand in for one another: kind and units, or kind and what they are about."""
+    return F.to_json(F.array_compact(F.array(kind, F.when(kind.isin("number", "signature"), F.coalesce(units, F.lit(""))).when(kind.isin("mutation", "copy_number"), label))))
+
+
+def background_problems(query: DataFrame, background: DataFrame, partition: str, release_id: str, most: int = 64) -> DataFrame:
+    """(sample_id, problem) of background samples that can't stand in for a query; empty if all can.
+
+    Both have one row a feature: sample_id, patient_group_id, data_class, id and what must be the same for each id. A
+    background is a named release of the development partition with 1 to 64 samples, each of another patient.
+    """
+    spark = query.sparkSession
+    samples = background.groupBy("sample_id").agg(F.first("patient_group_id").alias("patient_group_id"), F.first("data_class").alias("data_class"), F.count(F.lit(1)).alias("n"))
+    whole = []
+    if partition != "development" or not release_id.strip() or len(release_id.encode()) > 128:
+        whole.append("not a named release of the development partition")
+    if not 1 <= samples.limit(most + 1).count() <= most:
+        whole.append(f"not 1 to {most} samples")
+    out = spark.createDataFrame([(None, w) for w in whole], "sample_id string, problem string")
+    asked = query.groupBy("sample_id").agg(F.first("patient_group_id").alias("qp"), F.first("data_class").alias("qd"), F.count(F.lit(1)).alias("qn")).withColumnRenamed("sample_id", "qs")
+    # One query and at most 64 samples.
+    both = samples.crossJoin(asked)
+    known = F.array_compact(F.array(
+        F.when(F.col("sample_id") == F.col("qs"), "sample of the query"), F.when(F.col("patient_group_id") == F.col("qp"), "patient of the query"), F.when(F.col("data_class") != F.col("qd"), "another data class"), F.when(F.col("n") != F.col("qn"), "another number of features"),
+    ))
+    out = out.unionByName(both.select("sample_id", F.explode(known).alias("problem")))
+    twice = samples.groupBy("patient_group_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    out = out.unionByName(samples.join(twice, "patient_group_id", "left_semi").select("sample_id", F.lit("patient listed twice").alias("problem")))
+    held = [c for c in query.columns if c not in ("sample_id", "patient_group_id", "data_class", "id", "value", "number")]
+    have = query.select("id", F.struct(*held).alias("__q"))
+    met = background.join(have, "id", "left")
+    differ = F.when(F.col("__q").isNull(), "feature ids differ").when(~F.struct(*held).eqNullSafe(F.col("__q")), "features differ in what must be the same")
+    return out.unionByName(met.select("sample_id", differ.alias("problem")).where("problem is not null").distinct())

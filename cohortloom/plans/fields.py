@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.functions import stats, text
-from cohortloom.operators import attribution, cases, evaluation, expression, rules, scoring, spectra, survival, validation
+from cohortloom.operators import attribution, cases, evaluation, expression, molecular, rules, scoring, spectra, survival, validation
 from cohortloom.plans.registry import _E, _F, _FT, _G, _P, _km_sql, query, rounded
 from cohortloom.sources import bindings as B
 from cohortloom.sources import exports
@@ -248,3 +248,23 @@ def paired_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH km AS ({_km_sql('grp', B.OUTCOMES_SQL)}), st AS (SELECT grp, t, coalesce(lag(survival) OVER (PARTITION BY grp ORDER BY t), 1.0) AS s0, survival AS s1 FROM km) SELECT grp, t, 0 AS corner, s0 AS survival FROM st UNION ALL SELECT grp, t, 1, s1 FROM st")
 def curve_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(survival.step_points(survival.kaplan_meier(B.outcomes(spark, sf_dir), ["grp"]), ["grp"]))
+
+
+@query(f"""{_FT} SELECT sample_id, id, CASE WHEN kind = 'copy_number' THEN number WHEN kind = 'age' AND NOT is_bound THEN number END AS x, CASE kind WHEN 'copy_number' THEN name || ' CNA ' || CASE WHEN number < 0 THEN '' ELSE '+' END || number::int WHEN 'age' THEN CASE WHEN is_bound THEN '>' ELSE '' END || number::int || ' years' ELSE name END AS shown,
+CASE WHEN kind IN ('mutation', 'copy_number') THEN '["' || kind || '","' || name || '"]' ELSE '["' || kind || '"]' END AS encoding FROM features""")
+def feature_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    return B.features(spark, sf_dir).select(
+        "sample_id", "id", molecular.numeric_view(c("kind"), c("number"), c("is_bound")).alias("x"), molecular.displayed(c("kind"), c("number"), F.lit("u"), c("name"), c("is_bound")).alias("shown"), molecular.encoding(c("kind"), F.lit("u"), c("name")).alias("encoding"),
+    )
+
+
+@query(f"""{_P}, w AS (SELECT sample_id, CASE WHEN truth IN ('click', 'view') THEN 'browse' WHEN truth = 'purchase' THEN 'buy' ELSE truth END AS truth, accepted, failed FROM test),
+bp AS (SELECT sample_id, CASE WHEN class_id IN ('click', 'view') THEN 'browse' WHEN class_id = 'purchase' THEN 'buy' ELSE class_id END AS class_id, round(sum(p), 9) AS p FROM probs GROUP BY 1, 2),
+br AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY p DESC, class_id) AS rk FROM bp), t1 AS (SELECT sample_id, class_id AS predicted FROM br WHERE rk = 1), t3 AS (SELECT DISTINCT sample_id, class_id AS truth, true AS hit FROM br WHERE rk <= 3)
+SELECT count(*) AS eligible, count(*) FILTER (predicted IS NULL) AS failed, round(count(*) FILTER (predicted = truth) / count(*), 6) + 0.0 AS top1, round(count(*) FILTER (hit) / count(*), 6) + 0.0 AS top3 FROM w LEFT JOIN t1 USING (sample_id) LEFT JOIN t3 USING (sample_id, truth)""")
+def broad_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, p = B.predictions(spark, sf_dir)
+    groups = spark.createDataFrame(list(B.BROAD.items()), "class_id string, broad string")
+    r, q = evaluation.relabelled(records.where("partition = 'test'"), p, groups)
+    return rounded(evaluation.summary(evaluation.scored(r, q.withColumn("p", F.round("p", 9)))).select("eligible", "failed", "top1", "top3"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,31 @@ def escaped(text) -> str:
     return clean
 
 
+def escaped_xml(text) -> str:
+    """Text of an XML element or attribute: the five marks as entities, characters that XML has no place for left out."""
+    allowed = lambda c: c in "\t\n\r" or " " <= c <= "\ud7ff" or "\ue000" <= c <= "\ufffd" or c > "\uffff"
+    out = "".join(c for c in str(text) if allowed(c))
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+        out = out.replace(mark, entity)
+    return out
+
+
+def report_json(report: dict, limit: int = 100_000) -> str:
+    """A report as one JSON document: tables as lists of rows. A table beyond the limit is refused, never cut."""
+
+    def plain(value):
+        if isinstance(value, DataFrame):
+            rows = value.limit(limit + 1).collect()
+            if len(rows) > limit:
+                raise ValueError(f"a table of more than {limit} rows has no place in a document")
+            return [r.asDict(recursive=True) for r in rows]
+        if isinstance(value, dict):
+            return {k: plain(v) for k, v in value.items()}
+        return value
+
+    return json.dumps(plain(report), default=str, sort_keys=True)
+
+
 def markdown_table(df: DataFrame, limit: int = SHOWN) -> str:
     """A small result as Markdown; rows beyond the limit are named, not shown."""
     rows = df.limit(limit + 1).collect()

@@ -117,3 +117,29 @@ def test_draws_that_are_passed_over():
     assert len(skipped) > 100
     got = [int(x) for start in range(0, 500, 50) for x in indexes(7, start, 50, of, skipped).view("uint64")]
     assert got == want and passed_over(42, 100_000, 1000) == []
+
+
+def test_backgrounds_that_can_stand_in(spark):
+    kind = "sample_id string, patient_group_id string, data_class string, id string, name string, `group` string, status string, encoding string, value double"
+    row = lambda s, p, i, d="synthetic", e="n": (s, p, d, i, i, "g", "observed", e, 1.0)
+    query = spark.createDataFrame([row("q", "p0", "x"), row("q", "p0", "y")], kind)
+    good = [row("a", "p1", "x"), row("a", "p1", "y"), row("b", "p2", "x"), row("b", "p2", "y")]
+    problems = lambda rows, part="development", name="r1": {(r["sample_id"], r["problem"]) for r in molecular.background_problems(query, spark.createDataFrame(rows, kind), part, name).collect()}
+    assert problems(good) == set()
+    assert problems(good, "test") == problems(good, name=" ") == {(None, "not a named release of the development partition")}
+    assert problems([row("a", "p0", "x"), row("a", "p0", "y")]) == {("a", "patient of the query")}
+    assert problems([row("a", "p1", "x", "real"), row("a", "p1", "z", "real")]) == {("a", "another data class"), ("a", "feature ids differ")}
+    assert problems([*good, row("c", "p2", "x", e="m"), row("c", "p2", "y")]) == {("b", "patient listed twice"), ("c", "patient listed twice"), ("c", "features differ in what must be the same")}
+    assert problems([row(f"s{k}", f"p{k + 1}", i) for k in range(65) for i in "xy"]) == {(None, "not 1 to 64 samples")}
+
+
+def test_documents_for_readers(spark):
+    import json
+
+    from cohortloom.sources import exports
+
+    assert exports.escaped_xml("a<b & 'c'\x00\x0b\ufffe>\"") == "a&lt;b &amp; &apos;c&apos;&gt;&quot;"
+    df = spark.createDataFrame([("x", 0.5)], "c string, v double")
+    assert json.loads(exports.report_json({"t": df, "d": {"u": df, "why": "none"}})) == {"t": [{"c": "x", "v": 0.5}], "d": {"u": [{"c": "x", "v": 0.5}], "why": "none"}}
+    with pytest.raises(ValueError, match="more than 2 rows"):
+        exports.report_json({"t": spark.range(3)}, 2)
