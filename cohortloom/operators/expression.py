@@ -102,11 +102,13 @@ def centroids(values: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def pearson(pairs: DataFrame, by: list[str], x: str = "x", y: str = "y") -> DataFrame:
-    """(by..., n, r) in one aggregation of centred moments; null below three pairs or without variance at the largest magnitude's scale."""
-    moments = lambda c: (F.var_pop(c) * F.count(c) / F.nullif(F.pow(F.max(F.abs(c)), F.lit(2.0)), F.lit(0.0)))
-    sums = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("__r"), moments(x).alias("__xx"), moments(y).alias("__yy"))
-    good = (F.col("n") >= 3) & F.coalesce((F.col("__xx") > EPSILON) & (F.col("__yy") > EPSILON), F.lit(False))
-    return sums.select(*by, "n", F.when(good, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("__r")))).alias("r"))
+    """(by..., n, r): scaled by the largest magnitude, then one aggregation of centred moments; null below three pairs or without variance."""
+    size = pairs.groupBy(*by).agg(F.max(F.abs(x)).alias("__sx"), F.max(F.abs(y)).alias("__sy"))
+    scaled = pairs.join(size, by).select(*by, ratio(F.col(x), F.col("__sx")).alias("a"), ratio(F.col(y), F.col("__sy")).alias("b"))
+    sums = scaled.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.covar_pop("a", "b").alias("__ab"), F.var_pop("a").alias("__aa"), F.var_pop("b").alias("__bb"))
+    good = (F.col("n") >= 3) & (F.col("__aa") * F.col("n") > EPSILON) & (F.col("__bb") * F.col("n") > EPSILON)
+    r = F.when(good, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio(F.col("__ab"), F.sqrt("__aa") * F.sqrt("__bb")))))
+    return sums.select(*by, "n", r.alias("r"))
 
 
 def overlapping(queries: DataFrame, members: DataFrame) -> DataFrame:
