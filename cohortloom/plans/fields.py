@@ -13,18 +13,16 @@ from cohortloom.sources import exports
 
 # Texts --------------------------------------------------------------------------------------------------------------
 
-# Spellings that follow from an event's number: (remainder, text of the number k in Spark SQL and DuckDB alike).
-_SPELLED = ["k", "'-' || k || '.5'", "'1e' || (k % 5)", "'0x1A'", "'NaN'", "k || '.'", "'.' || k", "' ' || k || ' '", "'+' || k", "'n/a'", "' NA '", "''", "k || 'd'", "'>' || (k % 120)", "'1' || (k % 90)", "'Pos'", "' not tested '", "'-'", "'2024-02-' || (10 + k % 25)", "'2024-2-1'", "'infinity'"]
+# Spellings that follow from an event's number, in SQL that both engines read alike: {k} is the number, {n} its text.
+_SPELLED = [
+    "{n}", "'-' || {n} || '.5'", "'1e' || CAST({k} % 5 AS STRING)", "'0x1A'", "'NaN'", "{n} || '.'", "'.' || {n}", "' ' || {n} || ' '", "'+' || {n}", "'n/a'", "' NA '", "''", "{n} || 'd'", "'>' || CAST({k} % 120 AS STRING)",
+    "'1' || CAST({k} % 90 AS STRING)", "'Pos'", "' not tested '", "'-'", "'2024-02-' || CAST(10 + {k} % 25 AS STRING)", "'2024-2-1'", "'infinity'",
+]
 
 
 def _spelled(k: str) -> str:
-    return "CASE " + " ".join(f"WHEN {k} % {len(_SPELLED)} = {i} THEN {t.replace('k', f'CAST({k} AS STRING)') if t in ('k',) else _cast(t, k)}" for i, t in enumerate(_SPELLED)) + " END"
-
-
-def _cast(expression: str, k: str) -> str:
-    """Numbers of a spelling as text; names in quotes stay."""
-    out = expression.split("'")
-    return "'".join(p if i % 2 else p.replace("(k % 5)", f"CAST({k} % 5 AS STRING)").replace("(k % 120)", f"CAST({k} % 120 AS STRING)").replace("(k % 90)", f"CAST({k} % 90 AS STRING)").replace("(10 + k % 25)", f"CAST(10 + {k} % 25 AS STRING)").replace("k ||", f"CAST({k} AS STRING) ||").replace("|| k", f"|| CAST({k} AS STRING)") for i, p in enumerate(out))
+    cases_ = [f"WHEN {k} % {len(_SPELLED)} = {i} THEN {t.format(k=k, n=f'CAST({k} AS STRING)')}" for i, t in enumerate(_SPELLED)]
+    return f"CASE {' '.join(cases_)} END"
 
 
 _RAW_SQL = f"raw AS (SELECT event_id, {_spelled('event_id')} AS t FROM events)"
