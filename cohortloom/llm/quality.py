@@ -11,7 +11,9 @@ ratios lie between those of base64 noise (1.17 at 512 bytes, 1.25 at 1 KB, 1.33
 clean texts of the tables (1.43 at 512 bytes, 1.69 at 1 KB, 1.92 at 2 KB at least). Hexadecimal noise compresses like
 prose, by its alphabet alone, so runs of hexadecimal digits are measured as the bytes they stand for.
 
-A map over rows without a shuffle. Defined results: a null or empty text has no words and fails; repeated rows repeat.
+A map over rows without a shuffle. Defined results: a null or empty text has no words and fails; repeated rows repeat; an
+empty table gives no rows. Other columns pass through `quality_rules`, except one named as its struct; the report reads
+no others.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ chunk. A task holds one chunk or one bucket (`CHUNK` bytes of text, or the names
 with the input. Two different strings get one name with a probability of 2**-64 a pair.
 
 Defined results: a null or empty text has no bytes and keeps the digest of nothing; texts under 50 bytes stay whole;
-rows with one doc_id (repeated rows) are not earlier than one another; null ids come after all others.
+rows with one doc_id (repeated rows) are not earlier than one another; null ids come after all others; an empty table
+gives no rows. Only doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations

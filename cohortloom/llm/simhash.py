@@ -12,7 +12,9 @@ Components are found by alternating large-star and small-star rounds over the ed
 folder. Nothing is collected.
 
 Defined results: texts without words (null, empty, blank) have fingerprint zero and are linked like any others;
-a null doc_id takes no part in the smallest id unless all of a component's ids are null; repeated rows are repeated.
+a null doc_id takes no part in the smallest id unless all of a component's ids are null; repeated rows are repeated; an
+empty table gives no rows. Only doc_id and text are read, so other columns can't clash; `fingerprints` passes them through,
+except one named as its output, and `without_near_duplicates` returns the columns it was given.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ lost executor leaves a stray file, never a half record. Paths may be of any file
 Of captures with one payload of at least `REVISIT_LEAST` bytes, that with the smallest id is the response and the
 others are revisits, which carry digest and size but no payload. Defined results: a null payload is empty; rows with
 the smallest id repeated are all responses; a null id is a response unless an equal payload has an id, and is never
-referred to; a null url is an empty target.
+referred to; a null url is an empty target; no captures give no archive and no rows. Only page_id, url and html are read,
+so other columns can't clash.
 """
 
 from __future__ import annotations
