@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import bpe, decontaminate, licenses, pii, quality, repeats, secrets, simhash, urls, warc
+from cohortloom.llm import bpe, decontaminate, licenses, pieces, pii, quality, repeats, secrets, simhash, urls, warc
 from cohortloom.llm.common import table
 
 
@@ -53,8 +53,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_bpe, op2_repeats, op3_simhash, op4_url_filter, op5_licenses, op6_pii, op7_decontaminate, op8_warc, op9_secrets, op10_quality)
+    made = (op1_bpe, op2_repeats, op3_simhash, op4_url_filter, op5_licenses, op6_pii, op7_decontaminate, op8_warc, op9_secrets, op10_quality, op11_pieces)
     return {f.__name__: f for f in made}
 
 
