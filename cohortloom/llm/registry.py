@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import bpe, decontaminate, licenses, pieces, pii, quality, repeats, secrets, simhash, urls, warc
+from cohortloom.llm import bpe, decontaminate, licenses, periods, pieces, pii, quality, repeats, secrets, simhash, urls, warc
 from cohortloom.llm.common import table
 
 
@@ -59,8 +59,12 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.period_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_bpe, op2_repeats, op3_simhash, op4_url_filter, op5_licenses, op6_pii, op7_decontaminate, op8_warc, op9_secrets, op10_quality, op11_pieces)
+    made = (op1_bpe, op2_repeats, op3_simhash, op4_url_filter, op5_licenses, op6_pii, op7_decontaminate, op8_warc, op9_secrets, op10_quality, op11_pieces, op12_periods)
     return {f.__name__: f for f in made}
 
 
