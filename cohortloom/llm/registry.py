@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import bpe, decontaminate, licenses, periods, pieces, pii, quality, repeats, secrets, simhash, urls, warc
+from cohortloom.llm import bpe, decontaminate, licenses, merkle, periods, pieces, pii, quality, repeats, secrets, simhash, urls, warc
 from cohortloom.llm.common import table
 
 
@@ -63,10 +63,14 @@ def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.period_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_bpe, op2_repeats, op3_simhash, op4_url_filter, op5_licenses, op6_pii, op7_decontaminate, op8_warc, op9_secrets, op10_quality, op11_pieces, op12_periods)
+    made = (op1_bpe, op2_repeats, op3_simhash, op4_url_filter, op5_licenses, op6_pii, op7_decontaminate, op8_warc, op9_secrets, op10_quality, op11_pieces, op12_periods, op13_manifest)
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": urls.SQL, "op7_decontaminate": decontaminate.SQL, "op8_warc": warc.SQL}
+    return {"op4_url_filter": urls.SQL, "op7_decontaminate": decontaminate.SQL, "op8_warc": warc.SQL, "op13_manifest": merkle.SQL}

@@ -5,11 +5,11 @@ import pytest
 from cases import frame
 from pyspark.sql import functions as F
 
-from cohortloom.llm import bpe, licenses, periods, pieces, pii, quality, repeats, secrets, simhash
+from cohortloom.llm import bpe, licenses, merkle, periods, pieces, pii, quality, repeats, secrets, simhash
 
 OPERATORS = {
     "op1": lambda d: bpe.token_digests(d, public_tokenizers.path("word_bpe_49k.json")), "op2": repeats.repeat_digests, "op3": simhash.simhash_components, "op5": licenses.license_scan, "op6": pii.pii_digests, "op9": secrets.secret_digests,
-    "op10": quality.quality_report, "op12": periods.period_digests, "op11": lambda d: pieces.piece_digests(d, public_tokenizers.path("piece_bpe_32k.model")), "stage3": simhash.without_near_duplicates,
+    "op10": quality.quality_report, "op13": merkle.manifest_digests, "op12": periods.period_digests, "op11": lambda d: pieces.piece_digests(d, public_tokenizers.path("piece_bpe_32k.model")), "stage3": simhash.without_near_duplicates,
 }
 CLASHING = ["ids", "decoded", "n_bytes", "kept", "blob", "chunk", "fp", "fingerprint", "component_id", "key", "node", "root", "digest", "labels", "score", "spans", "value", "kind", "start", "quality", "kept_sha256", "reason"]
 
