@@ -49,6 +49,41 @@ def chi_squared_tail(x: float, df: int) -> float:
     return min(1.0, max(0.0, total))
 
 
+def chi_squared_tail_of(x: Column, df: Column) -> Column:
+    """The same as an expression: null where x is, the recurrence as a fold over the terms."""
+    half, k = x / 2, (df / 2).cast("int")
+    state = lambda total, term: F.struct(total.cast("double").alias("total"), term.cast("double").alias("term"))
+    terms = lambda n: F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    first = F.exp(-half)
+    even = F.aggregate(terms(k - 1), state(first, first), lambda s, j: state(s["total"] + s["term"] * half / j, s["term"] * half / j))["total"]
+    odd = F.aggregate(terms(k), state(erfc(F.sqrt(half)), 2 * F.sqrt(half / math.pi) * F.exp(-half)), lambda s, j: state(s["total"] + s["term"], s["term"] * half / (j + 0.5)))["total"]
+    return F.when(x.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(df % 2 == 0, even).otherwise(odd))))
+
+
+def solved(matrix: Column, right: Column, n: Column) -> Column:
+    """x of `matrix` x = `right` by elimination with pivoting over array columns (array<array<double>>, array<double>, size).
+
+    A struct (x, solved); not solved, and x null, if a pivot falls below 1e-10 of the largest entry.
+    """
+    scale = F.aggregate(F.flatten(matrix), F.lit(0.0), lambda m, v: F.greatest(m, F.abs(v)))
+    rows = F.transform(F.arrays_zip(matrix.alias("a"), right.alias("b")), lambda r: F.concat(r["a"], F.array(r["b"])))
+    start = F.struct(rows.alias("m"), (scale > 0).alias("ok"))
+
+    def step(s: Column, j: Column) -> Column:
+        m = s["m"]
+        size = lambda r: F.abs(F.element_at(F.element_at(m, r), j))
+        best = F.array_max(F.transform(F.sequence(j, n), lambda r: F.struct(size(r).alias("v"), (-r).alias("r"))))
+        ok = s["ok"] & (best["v"] >= scale * 1e-10)
+        top = F.transform(F.element_at(m, -best["r"]), lambda v: v / F.element_at(F.element_at(m, -best["r"]), j))
+        # The pivot's row goes to place j and the row that was there to the pivot's.
+        swapped = F.transform(m, lambda row, i: F.when(i + 1 == -best["r"], F.element_at(m, j)).otherwise(row))
+        cleared = F.transform(swapped, lambda row, i: F.when(i + 1 == j, top).otherwise(F.zip_with(row, top, lambda v, t: v - F.element_at(row, j) * t)))
+        return F.struct(F.when(ok, cleared).otherwise(m).alias("m"), ok.alias("ok"))
+
+    done = F.aggregate(F.sequence(F.lit(1), n), start, step)
+    return F.struct(F.when(done["ok"], F.transform(done["m"], lambda row: F.element_at(row, -1))).alias("x"), done["ok"].alias("solved"))
+
+
 def inverse(matrix: np.ndarray) -> np.ndarray | None:
     """Inverse of a small matrix; None if a pivot falls below 1e-10 of the largest entry."""
     a = np.array(matrix, dtype=float)

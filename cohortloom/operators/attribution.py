@@ -6,15 +6,18 @@ coalition with its neighbour by one bit; sampled ones are prefix masks of permut
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import comb
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cohortloom.operators.bootstrap import permutation
+from cohortloom.operators.bootstrap import permutations
 from cohortloom.operators.running import quantile_block, running_sums
+from cohortloom.operators.tables import written
 
 MOST_EXACT = 16
 # Bounds of a sampled run, and the groups that one long holds as exact powers of two of a double.
@@ -63,11 +66,13 @@ def permutation_prefixes(spark: SparkSession, groups: int, pairs: int, seed: int
     """
     if not (1 <= groups <= MOST_SAMPLED and 1 <= pairs <= MOST_PAIRS and plan_size(groups, pairs) <= MOST_EVALUATIONS):
         raise ValueError("sampled attribution takes 1 to 512 groups, 1 to 10,000 pairs and 100,000 evaluations")
-    rows = []
-    for p in range(pairs):
-        order = permutation(seed, p * max(1, groups - 1), groups)
-        rows += [(p, d, [int(i) for i in (order if d == 0 else order[::-1])]) for d in (0, 1)]
-    made = spark.createDataFrame(pd.DataFrame(rows, columns=["pair", "direction", "order"]), "pair long, direction int, order array<int>")
+    def shuffled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            orders = permutations(seed, batch["id"].to_numpy(), groups)
+            for direction, made in ((0, orders), (1, orders[:, ::-1])):
+                yield pd.DataFrame({"pair": batch["id"], "direction": np.int32(direction), "order": list(made.astype(np.int32))})
+
+    made = spark.range(pairs).mapInPandas(shuffled, "pair long, direction int, order array<int>")
     each = made.select("pair", "direction", "order", F.posexplode("order").alias("step", "feature_index"))
     if groups > MASKED:
         prefix = lambda n: coalition_key(F.slice("order", F.lit(1), n))
@@ -95,7 +100,8 @@ def mid_ranks(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     not one task's, and neither is a value.
     """
     counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).cast("double").alias("__n"))
-    ordered = counts.withColumn("__v", F.coalesce(F.col(value).cast("double"), F.lit(float("-inf")))).persist()
+    ordered = counts.withColumn("__v", F.coalesce(F.col(value).cast("double"), F.lit(float("-inf"))))
+    ordered = written(ordered, "ranked")
     before = running_sums(ordered, by, quantile_block(ordered, "__v"), "__v", {"__before": "__n"}, inclusive=False)
     ranks = before.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate([*by, value])], (F.col("__before") + (F.col("__n") - 1) / 2).alias("mid_rank"))
     on = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate([*by, value])]
@@ -126,9 +132,14 @@ def by_magnitude(contributions: DataFrame) -> DataFrame:
 
 
 def stability(left: DataFrame, right: DataFrame, top_k: int = 5) -> DataFrame:
-    """One row: RMSE, largest difference, agreement of signs, Spearman of magnitudes and overlap of the first k."""
+    """One row: RMSE, largest difference, agreement of signs, Spearman of magnitudes and overlap of the first k.
+
+    Attributions have at most 512 features, so their ranks are one plain window.
+    """
+    size = W.orderBy(F.abs("contribution"))
+    ranked = lambda x: x.withColumn("mid_rank", F.rank().over(size) - 1 + (F.count(F.lit(1)).over(W.partitionBy(F.abs("contribution"))) - 1) / 2)
     tiny = lambda c: F.when(F.abs(c) <= 1e-10, 0.0).otherwise(F.signum(c))
-    a, b = (mid_ranks(x.withColumn("__m", F.abs("contribution")).withColumn("__all", F.lit(0)), ["__all"], "__m") for x in (left, right))
+    a, b = (ranked(x) for x in (left, right))
     pos = lambda x: by_magnitude(x).select("feature", "position")
     both = a.select("feature", F.col("contribution").alias("x"), F.col("mid_rank").alias("rx")).join(b.select("feature", F.col("contribution").alias("y"), F.col("mid_rank").alias("ry")), "feature", "full_outer")
     both = both.join(pos(left).withColumnRenamed("position", "px"), "feature", "left").join(pos(right).withColumnRenamed("position", "py"), "feature", "left")

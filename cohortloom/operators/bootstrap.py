@@ -13,9 +13,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from cohortloom.functions.stats import ratio
+from cohortloom.operators.tables import row_numbers
 
 # The SplitMix64 generator.
 INCREMENT = 0x9E3779B97F4A7C15
@@ -69,13 +69,13 @@ def indexes(seed: int, start: int, n: int, of: int, skipped: list[int] | None =
     return (draws_at(seed, at) % np.uint64(of)).astype(np.int64)
 
 
-def permutation(seed: int, start: int, n: int) -> np.ndarray:
-    """Fisher-Yates from the end with draws modulo i+1."""
-    got, order = draws(seed, start, max(0, n - 1)), np.arange(n)
+def permutations(seed: int, pairs: np.ndarray, n: int) -> np.ndarray:
+    """Fisher-Yates from the end with draws modulo i+1, a row for each number of a permutation; permutation p takes draws p*(n-1) on."""
+    orders, rows, first = np.tile(np.arange(n), (len(pairs), 1)), np.arange(len(pairs)), pairs.astype(np.uint64) * np.uint64(max(1, n - 1))
     for k, i in enumerate(range(n - 1, 0, -1)):
-        j = int(got[k] % np.uint64(i + 1))
-        order[i], order[j] = order[j], order[i]
-    return order
+        j = (draws_at(seed, first + np.uint64(k)) % np.uint64(i + 1)).astype(np.int64)
+        orders[rows, i], orders[rows, j] = orders[rows, j], orders[rows, i].copy()
+    return orders
 
 
 def _measures(counts: DataFrame, by: list[str]) -> DataFrame:
@@ -90,19 +90,20 @@ def _measures(counts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def replicate_measures(rows: DataFrame, classes: DataFrame, replicates: int = 200, seed: int = 42) -> DataFrame:
-    """(replicate, top1, weighted_f1); replicate -1 is the full sample. rows: patient_group_id, truth, predicted."""
+    """(replicate, top1, weighted_f1); replicate -1 is the full sample. rows: patient_group_id, truth, predicted.
+
+    With fewer than two patient groups there are no replicates, and `intervals` gives the reason.
+    """
     if not 100 <= replicates <= 1000:
         raise ValueError("100 to 1,000 replicates")
     known = F.broadcast(classes.select(F.col("class_id").alias("predicted"), F.lit(True).alias("__known")))
     cells = rows.join(known, "predicted", "left").groupBy("patient_group_id", "truth", F.when(F.col("__known"), F.col("predicted")).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
-    clusters = rows.select("patient_group_id").distinct()
-    size = clusters.count()
+    numbered = row_numbers(rows.select("patient_group_id").distinct(), ["patient_group_id"], "cluster")
+    size = numbered.count()
     if size < 2:
-        raise ValueError("at least two patient groups")
+        return rows.sparkSession.createDataFrame([], _measures(cells.withColumn("replicate", F.lit(-1).cast("long")), ["replicate"]).schema)
     if size * replicates > MOST_DRAWS:
         raise ValueError(f"{size} patient groups in {replicates} replicates are more than {MOST_DRAWS} draws")
-    # At most MOST_DRAWS / 100 groups, one number each.
-    numbered = clusters.withColumn("cluster", F.row_number().over(W.orderBy("patient_group_id")) - 1)
     skipped = passed_over(seed, size * replicates, size)
 
     def multiplicities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,8 +120,16 @@ def replicate_measures(rows: DataFrame, classes: DataFrame, replicates: int = 20
     return _measures(counts, ["replicate"])
 
 
+TOO_FEW = "fewer than two patient groups"
+
+
 def intervals(measures: DataFrame) -> DataFrame:
-    """(measure, estimate, lower, upper): the full sample and the 2.5 and 97.5 percentiles of the replicates."""
+    """(measure, estimate, lower, upper, reason): the full sample and the 2.5 and 97.5 percentiles of the replicates.
+
+    Without replicates the three are null and `reason` says why; it is null otherwise.
+    """
+    names = measures.sparkSession.createDataFrame([("top1",), ("weighted_f1",)], "measure string")
     long = measures.unpivot(["replicate"], ["top1", "weighted_f1"], "measure", "value")
     again = F.when(F.col("replicate") >= 0, F.col("value"))
-    return long.groupBy("measure").agg(F.max(F.when(F.col("replicate") < 0, F.col("value"))).alias("estimate"), F.percentile(again, 0.025).alias("lower"), F.percentile(again, 0.975).alias("upper"))
+    made = long.groupBy("measure").agg(F.max(F.when(F.col("replicate") < 0, F.col("value"))).alias("estimate"), F.percentile(again, 0.025).alias("lower"), F.percentile(again, 0.975).alias("upper"), F.lit(True).alias("__made"))
+    return names.join(made, "measure", "left").select("measure", "estimate", "lower", "upper", F.when(F.col("__made").isNull(), TOO_FEW).alias("reason"))

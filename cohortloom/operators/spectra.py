@@ -65,40 +65,59 @@ def catalogue_problems(catalogue: DataFrame) -> DataFrame:
     return sums.select("signature", problem.alias("problem")).where("problem is not null")
 
 
-def nnls(matrix: np.ndarray, counts: np.ndarray, sweeps: int = 5000) -> np.ndarray:
-    """Non-negative least squares by cyclic coordinate descent over the columns."""
-    gram, target = matrix.T @ matrix, matrix.T @ counts
-    x, small = np.zeros(matrix.shape[1]), 1e-9 * max(counts.sum(), 1e-300)
-    for _ in range(sweeps):
-        most = 0.0
-        for j in range(len(x)):
-            if gram[j, j] > 0:
-                new = max(0.0, x[j] + (target[j] - gram[j] @ x) / gram[j, j])
-                most, x[j] = max(most, abs(new - x[j])), new
-        if most < small:
+SWEEPS, CHANGE, MOST_SIGNATURES, ROWS_AT_ONCE = 5000, 1e-9, 128, 256
+
+
+def nnls(matrix: np.ndarray, counts: np.ndarray, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Non-negative least squares of many spectra at once by cyclic coordinate descent: exposures, reconstructions, sweeps and whether they converged.
+
+    matrix: channels x columns; counts: spectra x channels. A column is one product over all spectra that still change; a
+    spectrum stops once no exposure moved by `CHANGE` of its total in a sweep.
+    """
+    x, rest = np.zeros((len(counts), matrix.shape[1])), counts.astype(float).copy()
+    norms, small = (matrix**2).sum(axis=0), CHANGE * counts.sum(axis=1)
+    done, took = np.zeros(len(counts), dtype=bool), np.zeros(len(counts), dtype=np.int64)
+    for sweep in range(1, sweeps + 1):
+        at = np.flatnonzero(~done)
+        if not len(at):
             break
-    return x
+        own, left, most = x[at], rest[at], np.zeros(len(at))
+        for j in np.flatnonzero(norms > 0):
+            new = np.maximum(own[:, j] + left @ matrix[:, j] / norms[j], 0.0)
+            change = new - own[:, j]
+            own[:, j] = new
+            left -= np.outer(change, matrix[:, j])
+            most = np.maximum(most, np.abs(change))
+        x[at], rest[at], took[at] = own, left, sweep
+        done[at] = most < small[at]
+    return x, counts - rest, took, done
 
 
 def refit(spectra: DataFrame, catalogue: DataFrame, least_mutations: int = 50) -> DataFrame:
-    """(sample_id, signature, exposure, residual, cosine) of samples with enough mutations.
+    """(sample_id, signature, exposure, mutations, relative_residual, cosine, iterations, converged) of samples with enough mutations.
 
-    Each sample is one problem of 96 rows, so samples are the unit of work; the catalogue goes along as a small matrix.
+    Spectra are fitted in Arrow blocks, each a matrix beside the catalogue's; a catalogue of at most 128 signatures goes
+    along. A catalogue with `catalogue_problems` is refused with the first of them. A fit that ran out of sweeps is
+    returned with converged = false. The residual is the length of what is left over that of the counts.
     """
-    rows = catalogue.join(F.broadcast(channels(catalogue.sparkSession)), "channel").groupBy("signature").agg(F.sort_array(F.collect_list(F.struct("number", "weight"))).alias("w")).orderBy("signature").limit(513).collect()
-    if len(rows) > 512:
-        raise ValueError("a catalogue of at most 512 signatures")
+    for found in catalogue_problems(catalogue).orderBy("signature").limit(1).collect():
+        raise ValueError(f"signature {found['signature']}: {found['problem']}")
+    rows = catalogue.join(F.broadcast(channels(catalogue.sparkSession)), "channel").groupBy("signature").agg(F.sort_array(F.collect_list(F.struct("number", "weight"))).alias("w")).orderBy("signature").limit(MOST_SIGNATURES + 1).collect()
+    if not 1 <= len(rows) <= MOST_SIGNATURES:
+        raise ValueError(f"a catalogue of 1 to {MOST_SIGNATURES} signatures")
     names, matrix = [r["signature"] for r in rows], np.array([[c["weight"] for c in r["w"]] for r in rows]).T
-    wide = spectra.groupBy("sample_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("number", "n"))), lambda c: c["n"].cast("double")).alias("counts"), F.sum("n").alias("total")).where(F.col("total") >= least_mutations)
+    wide = spectra.groupBy("sample_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("number", "n"))), lambda c: c["n"].cast("double")).alias("counts"), F.sum("n").alias("mutations")).where(F.col("mutations") >= least_mutations)
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for sample, counts in zip(batch["sample_id"], batch["counts"]):
-                counts = np.asarray(counts, dtype=float)
-                x = nnls(matrix, counts)
-                made = matrix @ x
-                norm = np.linalg.norm(made) * np.linalg.norm(counts)
-                yield pd.DataFrame({"sample_id": sample, "signature": names, "exposure": x, "residual": float(np.linalg.norm(made - counts)), "cosine": float(made @ counts / norm) if norm else None})
+        for whole in batches:
+            for at in range(0, len(whole), ROWS_AT_ONCE):
+                batch = whole.iloc[at : at + ROWS_AT_ONCE]
+                counts = np.array(batch["counts"].tolist(), dtype=float).reshape(len(batch), len(matrix))
+                x, made, took, done = nnls(matrix, counts)
+                length, own = np.linalg.norm(counts, axis=1), np.linalg.norm(made, axis=1)
+                cosine = np.divide((made * counts).sum(axis=1), own * length, out=np.zeros(len(batch)), where=own * length > 0).clip(-1, 1)
+                each = lambda v: np.repeat(np.asarray(v), len(names))
+                yield pd.DataFrame({"sample_id": each(batch["sample_id"]), "signature": names * len(batch), "exposure": x.ravel(), "mutations": each(batch["mutations"]), "relative_residual": each(np.linalg.norm(counts - made, axis=1) / length), "cosine": each(cosine), "iterations": each(took), "converged": each(done)})
 
     kind = spectra.schema["sample_id"].dataType.simpleString()
-    return wide.select("sample_id", "counts").mapInPandas(fit, f"sample_id {kind}, signature string, exposure double, residual double, cosine double")
+    return wide.select("sample_id", "counts", "mutations").mapInPandas(fit, f"sample_id {kind}, signature string, exposure double, mutations long, relative_residual double, cosine double, iterations long, converged boolean")

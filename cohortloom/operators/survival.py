@@ -12,8 +12,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.functions.stats import Z95, chi_squared_tail, erfc, erfc_value, inverse, ratio
+from cohortloom.functions.stats import Z95, chi_squared_tail_of, erfc, erfc_value, inverse, ratio, solved
 from cohortloom.operators.running import BLOCKS, quantile_block, running
+from cohortloom.operators.tables import written
 
 MOST_GROUPS = 32
 ARMS = ("concordant", "discordant")
@@ -46,7 +47,7 @@ def _steps(rows: DataFrame, by: list[str], values: dict[str, tuple[Column, Colum
     """
     step = lambda t, which: F.struct(F.col(t).cast("double").alias("t"), *[v[which].cast("double").alias(k) for k, v in values.items()])
     each = rows.select(*by, F.inline(F.array(step("entry", 0), step("time", 1))))
-    return each.groupBy(*by, "t").agg(*[F.sum(k).alias(k) for k in values]).persist()
+    return written(each.groupBy(*by, "t").agg(*[F.sum(k).alias(k) for k in values]), "times")
 
 
 def _sweep(rows: DataFrame, by: list[str], weight: Column | None, blocks: int) -> tuple[DataFrame, Column]:
@@ -123,47 +124,72 @@ def _risk_sets(rows: DataFrame, group: str, names: list, blocks: int = BLOCKS) -
     return run.select(total("n").alias("n"), total("d").alias("d"), array("n").alias("at"), array("d").alias("died")).where("d > 0")
 
 
+def log_rank_sums(rows: DataFrame, group: str = "grp") -> DataFrame:
+    """(g, h, covariance, observed, expected) over all event times; the last two where g = h, and 0 elsewhere. 2 to 32 groups, rows without one are left out.
+
+    Everything that a log-rank test needs, from one scan, one running pass and one grouping.
+    """
+    names = _group_names(rows, group)
+    at = _risk_sets(rows, group, names).select("n", "d", "at", "died", F.posexplode("at").alias("g", "ng")).select("n", "d", "died", "g", "ng", F.posexplode("at").alias("h", "nh"))
+    n, d, same = F.col("n"), F.col("d"), F.col("g") == F.col("h")
+    both = F.when(same, F.col("ng") / n).otherwise(0.0) - F.col("ng") * F.col("nh") / (n * n)
+    term = F.when(n > 1, d * (n - d) / (n - 1) * both).otherwise(0.0)
+    sums = at.groupBy("g", "h").agg(
+        F.sum(term).alias("covariance"), F.sum(F.when(same, F.element_at("died", F.col("g") + 1)).otherwise(0.0)).alias("observed"), F.sum(F.when(same, d * F.col("ng") / n).otherwise(0.0)).alias("expected"),
+    )
+    name = lambda c: F.element_at(F.array(*map(F.lit, names)), F.col(c) + 1).alias(c)
+    return sums.select(name("g"), name("h"), "covariance", "observed", "expected")
+
+
 def log_rank_terms(rows: DataFrame, group: str = "grp") -> DataFrame:
     """(group, observed, expected) over all event times; 2 to 32 groups, rows without one are left out."""
-    names = _group_names(rows, group)
-    at = _risk_sets(rows, group, names).select("n", "d", F.posexplode(F.arrays_zip("at", "died")).alias("g", "x"))
-    sums = at.groupBy("g").agg(F.sum("x.died").alias("observed"), F.sum(F.col("d") * F.col("x.at") / F.col("n")).alias("expected"))
-    return sums.select(F.element_at(F.array(*map(F.lit, names)), F.col("g") + 1).alias(group), "observed", "expected")
+    return log_rank_sums(rows, group).where("g = h").select(F.col("g").alias(group), "observed", "expected")
 
 
 def log_rank_covariance(rows: DataFrame, group: str = "grp") -> DataFrame:
     """(g, h, covariance) of observed minus expected, hypergeometric for ties; 2 to 32 groups."""
-    names = _group_names(rows, group)
-    at = _risk_sets(rows, group, names).select("n", "d", "at", F.posexplode("at").alias("g", "ng")).select("n", "d", "g", "ng", F.posexplode("at").alias("h", "nh"))
-    n, d = F.col("n"), F.col("d")
-    both = F.when(F.col("g") == F.col("h"), F.col("ng") / n).otherwise(0.0) - F.col("ng") * F.col("nh") / (n * n)
-    term = F.when(n > 1, d * (n - d) / (n - 1) * both).otherwise(0.0)
-    name = lambda c: F.element_at(F.array(*map(F.lit, names)), F.col(c) + 1).alias(c)
-    return at.groupBy("g", "h").agg(F.sum(term).alias("covariance")).select(name("g"), name("h"), "covariance")
+    return log_rank_sums(rows, group).select("g", "h", "covariance")
 
 
 def two_group_log_rank(rows: DataFrame, group: str, first: str) -> DataFrame:
     """One row: observed minus expected of `first`, its variance, chi-squared and p; nulls without informative risk sets."""
-    terms = log_rank_terms(rows, group).where(F.col(group) == first).select((F.col("observed") - F.col("expected")).alias("delta"))
-    variance = log_rank_covariance(rows, group).where((F.col("g") == first) & (F.col("h") == first)).select("covariance")
-    both = terms.crossJoin(variance)  # one row each
-    known = F.col("covariance") > 1e-12
-    chi = F.when(known, F.col("delta") * F.col("delta") / F.col("covariance"))
-    return both.select(F.col("delta").alias("observed_minus_expected"), F.col("covariance").alias("variance"), chi.alias("chi_squared"), F.least(erfc(F.sqrt(chi / 2)), F.lit(1.0)).alias("p_value"))
+    own = log_rank_sums(rows, group).where((F.col("g") == first) & (F.col("h") == first))
+    delta, known = F.col("observed") - F.col("expected"), F.col("covariance") > 1e-12
+    chi = F.when(known, delta * delta / F.col("covariance"))
+    return own.select(delta.alias("observed_minus_expected"), F.col("covariance").alias("variance"), chi.alias("chi_squared"), F.least(erfc(F.sqrt(chi / 2)), F.lit(1.0)).alias("p_value"))
 
 
-def k_group_log_rank(rows: DataFrame, group: str = "grp") -> dict:
-    """Global test over 2 to 32 groups; what is collected is one small matrix."""
+SINGULAR = "singular event covariance"
+
+
+def k_group_test(rows: DataFrame, group: str = "grp") -> DataFrame:
+    """One row: groups, degrees_of_freedom, chi_squared, p_value and reason of the global test over 2 to 32 groups, solved in the plan.
+
+    The last group in order is left out of the system. Without events, or where the covariance is singular, the statistic
+    and p are null and the reason is given.
+    """
     names = _group_names(rows, group)
-    delta = {r[group]: r["observed"] - r["expected"] for r in log_rank_terms(rows, group).collect()}
-    cov = {(r["g"], r["h"]): r["covariance"] for r in log_rank_covariance(rows, group).collect()}
-    used = names[:-1]
-    d = np.array([delta.get(g, 0.0) for g in used])
-    inv = inverse(np.array([[cov.get((g, h), 0.0) for h in used] for g in used]))
-    if inv is None:
+    sums = log_rank_sums(rows, group).where((F.col("g") != names[-1]) & (F.col("h") != names[-1]))
+    row = sums.groupBy("g").agg(F.transform(F.sort_array(F.collect_list(F.struct("h", "covariance"))), lambda x: x["covariance"]).alias("v"), F.sum(F.col("observed") - F.col("expected")).alias("delta"))
+    # At most 31 rows of 31 numbers.
+    one = row.agg(F.sort_array(F.collect_list(F.struct("g", "v", "delta"))).alias("r")).select(F.transform("r", lambda x: x["v"]).alias("v"), F.transform("r", lambda x: x["delta"]).alias("delta"))
+    df = len(names) - 1
+    there = F.size("v") == df
+    answer = one.select("delta", F.when(there, solved(F.col("v"), F.col("delta"), F.lit(df))).alias("s"))
+    chi = F.greatest(F.lit(0.0), F.aggregate(F.zip_with("delta", F.col("s.x"), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b))
+    found = answer.select(F.when(F.col("s.solved"), chi).alias("chi_squared"))
+    return found.select(
+        F.array(*map(F.lit, names)).alias("groups"), F.lit(df).alias("degrees_of_freedom"), "chi_squared", chi_squared_tail_of(F.col("chi_squared"), F.lit(df)).alias("p_value"),
+        F.when(F.col("chi_squared").isNull(), SINGULAR).alias("reason"),
+    )
+
+
+def k_group_log_rank(rows: DataFrame, group: str = "grp") -> dict:
+    """The same as a value; raises where there is no statistic."""
+    found = k_group_test(rows, group).first()
+    if found["chi_squared"] is None:
         raise Unavailable("the global log-rank test has a singular covariance")
-    chi = max(0.0, float(d @ inv @ d))
-    return {"groups": names, "degrees_of_freedom": len(used), "chi_squared": chi, "p_value": chi_squared_tail(chi, len(used))}
+    return {k: found[k] for k in ("groups", "degrees_of_freedom", "chi_squared", "p_value")}
 
 
 def weights(rows: DataFrame) -> DataFrame:
@@ -219,7 +245,8 @@ def cox(rows: DataFrame, covariates: list[str], blocks: int = BLOCKS, most_itera
     mean, scale = np.array([stats[f"m{j}"] for j in range(p)]), np.array([stats[f"s{j}"] for j in range(p)])
     if (scale < 1e-12).any():
         raise Unavailable("a covariate is constant")
-    z = flat.select("entry", "time", "event", *[((F.col(f"x{j}") - F.lit(float(mean[j]))) / F.lit(float(scale[j]))).alias(f"z{j}") for j in range(p)]).persist()
+    z = flat.select("entry", "time", "event", *[((F.col(f"x{j}") - F.lit(float(mean[j]))) / F.lit(float(scale[j]))).alias(f"z{j}") for j in range(p)])
+    z = written(z, "covariates")
     block = quantile_block(z.withColumnRenamed("time", "t"), "t", blocks)
     pairs = [(j, k) for j in range(p) for k in range(j + 1)]
 
@@ -244,34 +271,31 @@ def cox(rows: DataFrame, covariates: list[str], blocks: int = BLOCKS, most_itera
             info[j, k] = info[k, j] = got[f"h{j}_{k}"]
         return got["value"], np.array([got[f"g{j}"] for j in range(p)]), info
 
-    try:
-        beta = np.zeros(p)
-        value, gradient, info = likelihood(beta)
-        for iteration in range(1, most_iterations + 1):
-            inv = inverse(info)
-            if inv is None:
-                raise Unavailable("singular information or separation")
-            step = inv @ gradient
-            if not np.isfinite(step).all() or (np.abs(beta) > 20).any():
-                raise Unavailable("unstable or separated coefficients")
-            if np.abs(step).max() < 1e-7:
-                b, se = beta / scale, np.sqrt(np.diag(inv)) / scale
-                if not np.isfinite(se).all() or (se <= 0).any():
-                    raise Unavailable("uncertainty is not finite")
-                made = [
-                    {"name": m, "log_hazard_ratio": float(c), "standard_error": float(s), "hazard_ratio": float(np.exp(c)), "lower": float(np.exp(c - Z95 * s)), "upper": float(np.exp(c + Z95 * s)), "p_value": min(1.0, erfc_value(float(abs(c / s)) / 2**0.5))}
-                    for m, c, s in zip(names, b, se)
-                ]
-                return {"patients": n, "events": events, "iterations": iteration, "log_likelihood": value, "coefficients": made}
-            factor = 1.0
-            while True:
-                trial = likelihood(beta + factor * step)
-                if trial[0] is not None and np.isfinite(trial[0]) and trial[0] >= value - 1e-10:
-                    beta, (value, gradient, info) = beta + factor * step, trial
-                    break
-                factor /= 2
-                if factor < 1e-8:
-                    raise Unavailable("the line search failed")
-        raise Unavailable("the fit did not converge")
-    finally:
-        z.unpersist()
+    beta = np.zeros(p)
+    value, gradient, info = likelihood(beta)
+    for iteration in range(1, most_iterations + 1):
+        inv = inverse(info)
+        if inv is None:
+            raise Unavailable("singular information or separation")
+        step = inv @ gradient
+        if not np.isfinite(step).all() or (np.abs(beta) > 20).any():
+            raise Unavailable("unstable or separated coefficients")
+        if np.abs(step).max() < 1e-7:
+            b, se = beta / scale, np.sqrt(np.diag(inv)) / scale
+            if not np.isfinite(se).all() or (se <= 0).any():
+                raise Unavailable("uncertainty is not finite")
+            made = [
+                {"name": m, "log_hazard_ratio": float(c), "standard_error": float(s), "hazard_ratio": float(np.exp(c)), "lower": float(np.exp(c - Z95 * s)), "upper": float(np.exp(c + Z95 * s)), "p_value": min(1.0, erfc_value(float(abs(c / s)) / 2**0.5))}
+                for m, c, s in zip(names, b, se)
+            ]
+            return {"patients": n, "events": events, "iterations": iteration, "log_likelihood": value, "coefficients": made}
+        factor = 1.0
+        while True:
+            trial = likelihood(beta + factor * step)
+            if trial[0] is not None and np.isfinite(trial[0]) and trial[0] >= value - 1e-10:
+                beta, (value, gradient, info) = beta + factor * step, trial
+                break
+            factor /= 2
+            if factor < 1e-8:
+                raise Unavailable("the line search failed")
+    raise Unavailable("the fit did not converge")

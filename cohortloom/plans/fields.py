@@ -69,11 +69,12 @@ def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", text.is_id(F.col("role")).alias("id_ok"), text.is_sha256(F.sha2("text", 256)).alias("sha_ok"), text.is_label(F.col("text")).alias("label_ok"), text.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("""WITH x AS (SELECT unnest(range(0, 60)) / 10.0 AS x), t AS (SELECT x, 1.0 / (1.0 + 0.3275911 * x) AS t FROM x)
-SELECT x, round(t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-x * x), 9) + 0.0 AS erfc, round(exp(-x / 2), 9) + 0.0 AS tail2, round(exp(-x / 2) * (1 + x / 2), 9) + 0.0 AS tail4 FROM t""")
+@query("""WITH x AS (SELECT DISTINCT l_quantity / 4 AS x, l_linenumber AS df FROM lineitem), t AS (SELECT x, df, x / 2 AS h, 1.0 / (1.0 + 0.3275911 * x) AS t, 1.0 / (1.0 + 0.3275911 * sqrt(x / 2)) AS r FROM x),
+e AS (SELECT *, t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-x * x) AS erfc, r * (0.254829592 + r * (-0.284496736 + r * (1.421413741 + r * (-1.453152027 + r * 1.061405429)))) * exp(-h) AS er, 2 * sqrt(h / pi()) * exp(-h) AS g FROM t)
+SELECT x, df, round(erfc, 9) + 0.0 AS erfc, round(least(1.0, CASE df WHEN 1 THEN er WHEN 2 THEN exp(-h) WHEN 3 THEN er + g WHEN 4 THEN exp(-h) * (1 + h) WHEN 5 THEN er + g * (1 + h / 1.5) WHEN 6 THEN exp(-h) * (1 + h + h * h / 2) ELSE er + g * (1 + h / 1.5 * (1 + h / 2.5)) END), 9) + 0.0 AS tail FROM e""")
 def tail_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = spark.createDataFrame([(k / 10, stats.chi_squared_tail(k / 10, 2), stats.chi_squared_tail(k / 10, 4)) for k in range(60)], "x double, tail2 double, tail4 double")
-    return rounded(grid.select("x", stats.erfc(F.col("x")).alias("erfc"), "tail2", "tail4"), 9)
+    x = B.table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 4).alias("x"), F.col("l_linenumber").alias("df")).distinct()
+    return rounded(x.select("x", "df", stats.erfc(F.col("x")).alias("erfc"), stats.chi_squared_tail_of(F.col("x"), F.col("df")).alias("tail")), 9)
 
 
 # Genes --------------------------------------------------------------------------------------------------------------

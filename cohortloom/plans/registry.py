@@ -100,10 +100,28 @@ def log_rank_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(log_rank_two_group(spark, sf_dir).drop("p_value"), 4)
 
 
-@query()
+@query(f"""WITH {B.OUTCOMES_SQL.replace("outcomes AS", "every AS")}, outcomes AS (SELECT * FROM every WHERE concordance <> 'empiric'), {_AT.format(g="concordance")},
+s AS (SELECT sum(d1 - d * n1 / n) AS delta, sum(CASE WHEN n > 1 THEN d * (n - d) / (n - 1) * (n1 / n) * (1 - n1 / n) ELSE 0 END) AS v FROM a WHERE g = 'concordant'), c AS (SELECT *, delta * delta / v AS chi, 1 / (1 + 0.3275911 * sqrt(delta * delta / v / 2)) AS e FROM s)
+SELECT round(delta, 4) + 0.0 AS observed_minus_expected, round(v, 4) + 0.0 AS variance, round(chi, 4) + 0.0 AS chi_squared,
+  round(least(1.0, e * (0.254829592 + e * (-0.284496736 + e * (1.421413741 + e * (-1.453152027 + e * 1.061405429)))) * exp(-chi / 2)), 4) + 0.0 AS p_value FROM c""")
 def log_rank_two_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = B.outcomes(spark, sf_dir).where(F.col("concordance").isin(*survival.ARMS))
-    return rounded(survival.two_group_log_rank(rows, "concordance", "concordant"))
+    return rounded(survival.two_group_log_rank(rows, "concordance", "concordant"), 4)
+
+
+# Five groups: the covariance without the last is eliminated column by column, then the tail for four degrees of freedom.
+@query(f"""WITH RECURSIVE {B.OUTCOMES_SQL}, {_AT.format(g="grp")},
+nm AS (SELECT g, row_number() OVER (ORDER BY g) AS i FROM (SELECT DISTINCT g FROM a)),
+dl AS (SELECT i, sum(d1 - d * n1 / n) AS delta FROM a JOIN nm USING (g) WHERE i < 5 GROUP BY 1),
+cv AS (SELECT p.i AS i, q.i AS j, sum(CASE WHEN x.n > 1 THEN x.d * (x.n - x.d) / (x.n - 1) * (CASE WHEN p.i = q.i THEN x.n1 / x.n ELSE 0 END - x.n1 * y.n1 / (x.n * x.n)) ELSE 0 END) AS v
+  FROM a x JOIN a y USING (t) JOIN nm p ON p.g = x.g JOIN nm q ON q.g = y.g WHERE p.i < 5 AND q.i < 5 GROUP BY 1, 2),
+sy AS (SELECT i, list_append(list(v::double ORDER BY j), any_value(delta)::double) AS row_ FROM cv JOIN dl USING (i) GROUP BY 1),
+el AS (SELECT 1 AS j, (SELECT list(row_ ORDER BY i) FROM sy) AS m
+  UNION ALL SELECT j + 1, list_transform(m, lambda r, k: CASE WHEN k = j THEN list_transform(r, lambda v: v / r[j]) ELSE list_transform(r, lambda v, c: v - r[j] / m[j][j] * m[j][c]) END) FROM el WHERE j <= 4),
+st AS (SELECT greatest(0, (SELECT sum(delta * m[i][5]) FROM dl)) AS chi FROM el WHERE j = 5)
+SELECT (SELECT list(g ORDER BY i) FROM nm) AS groups, 4 AS degrees_of_freedom, round(chi, 4) + 0.0 AS chi_squared, round(exp(-chi / 2) * (1 + chi / 2), 4) + 0.0 AS p_value, NULL::varchar AS reason FROM st""")
+def log_rank_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(survival.k_group_test(B.outcomes(spark, sf_dir)), 4)
 
 
 @query(f"""WITH {B.OUTCOMES_SQL}, w AS (SELECT *, {_W} AS w FROM outcomes WHERE concordance <> 'empiric')
@@ -129,10 +147,48 @@ def outcome_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survival.problems(B.planted_outcomes(spark, sf_dir))
 
 
-@query()
+def _det(rows: list[list[str]]) -> str:
+    (a, b, c), (d, e, f), (g, h, i) = rows
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+def _cox_sql(steps: int = 8) -> str:
+    """Newton's method unrolled: each step sweeps the risk sets anew and solves three equations by Cramer's rule."""
+    js = range(3)
+    pairs = [(j, k) for j in js for k in range(j + 1)]
+    h = [[f"h{max(j, k)}{min(j, k)}" for k in js] for j in js]
+    moved = lambda k: _det([[f"g{i}" if j == k else h[i][j] for j in js] for i in js])
+    values = ["w", *[f"w * z{j}" for j in js], *[f"w * z{j} * z{k}" for j, k in pairs]]
+    names = ["s", *[f"s{j}" for j in js], *[f"s{j}{k}" for j, k in pairs]]
+    before = "OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    parts = [f"""{B.OUTCOMES_SQL}, ar AS (SELECT entry, time, event, (concordance = 'concordant')::int::double AS x0, qty AS x1, disc AS x2 FROM outcomes WHERE concordance <> 'empiric'),
+mm AS (SELECT {", ".join(f"avg(x{j}) AS m{j}, stddev_pop(x{j}) AS c{j}" for j in js)} FROM ar), zz AS (SELECT entry, time, event, {", ".join(f"(x{j} - m{j}) / c{j} AS z{j}" for j in js)} FROM ar CROSS JOIN mm),
+b0 AS (SELECT 0.0::double AS b0, 0.0::double AS b1, 0.0::double AS b2)"""]
+    for i in range(steps):
+        parts.append(f"""e{i} AS MATERIALIZED (SELECT zz.*, exp({" + ".join(f"b{j} * z{j}" for j in js)}) AS w FROM zz CROSS JOIN b{i}),
+t{i} AS MATERIALIZED (SELECT t, {", ".join(f"sum({n}) AS {n}" for n in [*names, "d", "d0", "d1", "d2"])} FROM (
+  SELECT entry AS t, {", ".join(f"{v} AS {n}" for v, n in zip(values, names))}, 0.0 AS d, 0.0 AS d0, 0.0 AS d1, 0.0 AS d2 FROM e{i}
+  UNION ALL SELECT time, {", ".join(f"-({v})" for v in values)}, event::int, {", ".join(f"CASE WHEN event THEN z{j} ELSE 0 END" for j in js)} FROM e{i}) GROUP BY 1),
+r{i} AS MATERIALIZED (SELECT {", ".join(f"sum({n}) {before} AS {n}" for n in names)}, d, d0, d1, d2 FROM t{i}),
+q{i} AS MATERIALIZED (SELECT {", ".join(f"sum(d{j} - d * s{j} / s) AS g{j}" for j in js)}, {", ".join(f"sum(d * (s{j}{k} / s - s{j} * s{k} / (s * s))) AS h{j}{k}" for j, k in pairs)} FROM r{i} WHERE d > 0),
+b{i + 1} AS MATERIALIZED (SELECT {", ".join(f"b{j} + {moved(j)} / {_det(h)} AS b{j}" for j in js)} FROM b{i} CROSS JOIN q{i})""")
+    minor = lambda j: "({0} * {1} - {2} * {2})".format(*[h[a][b] for a, b in [((j + 1) % 3,) * 2, ((j + 2) % 3,) * 2, ((j + 1) % 3, (j + 2) % 3)]])
+    last = f"""cf AS (SELECT unnest(['concordant', 'qty', 'disc']) AS name, unnest([{", ".join(f"b{j} / c{j}" for j in js)}]) AS b, unnest([{", ".join(f"sqrt({minor(j)} / {_det(h)}) / c{j}" for j in js)}]) AS se FROM b{steps} CROSS JOIN q{steps - 1} CROSS JOIN mm),
+pv AS (SELECT *, abs(b / se) / sqrt(2) AS x, 1 / (1 + 0.3275911 * abs(b / se) / sqrt(2)) AS e FROM cf)
+SELECT name, round(b, 6) + 0.0 AS log_hazard_ratio, round(se, 6) + 0.0 AS standard_error,
+  round(least(1.0, e * (0.254829592 + e * (-0.284496736 + e * (1.421413741 + e * (-1.453152027 + e * 1.061405429)))) * exp(-x * x)), 6) + 0.0 AS p_value, NULL::varchar AS reason FROM pv"""
+    return "WITH " + ",\n".join([*parts, last])
+
+
+@query(_cox_sql())
 def cox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fit = survival.cox(B.outcomes(spark, sf_dir), COVARIATES)
-    return spark.createDataFrame([(c["name"], c["log_hazard_ratio"], c["standard_error"], c["p_value"]) for c in fit["coefficients"]], "name string, log_hazard_ratio double, standard_error double, p_value double")
+    """One row a coefficient; one row with the reason where there is no fit."""
+    schema = "name string, log_hazard_ratio double, standard_error double, p_value double, reason string"
+    try:
+        fit = survival.cox(B.outcomes(spark, sf_dir), COVARIATES)
+    except survival.Unavailable as why:
+        return spark.createDataFrame([(None, None, None, None, str(why))], schema)
+    return rounded(spark.createDataFrame([(c["name"], c["log_hazard_ratio"], c["standard_error"], c["p_value"], None) for c in fit["coefficients"]], schema))
 
 
 # Evaluation ----------------------------------------------------------------------------------------------------------
@@ -265,7 +321,7 @@ ms AS (SELECT replicate, sum(h) / sum(s) AS top1, sum(coalesce(2.0 * h * s / nul
 un AS (SELECT replicate, 'top1' AS measure, top1 AS v FROM ms UNION ALL SELECT replicate, 'weighted_f1', weighted_f1 FROM ms)"""
 
 
-@query(f"{_BOOT} SELECT measure, round(max(v) FILTER (replicate < 0), 6) + 0.0 AS estimate, round(quantile_cont(v, 0.025) FILTER (replicate >= 0), 6) + 0.0 AS lower, round(quantile_cont(v, 0.975) FILTER (replicate >= 0), 6) + 0.0 AS upper FROM un GROUP BY 1")
+@query(f"{_BOOT} SELECT measure, round(max(v) FILTER (replicate < 0), 6) + 0.0 AS estimate, round(quantile_cont(v, 0.025) FILTER (replicate >= 0), 6) + 0.0 AS lower, round(quantile_cont(v, 0.975) FILTER (replicate >= 0), 6) + 0.0 AS upper, NULL::varchar AS reason FROM un GROUP BY 1")
 def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bootstrap.intervals(bootstrap.replicate_measures(_scored(spark, sf_dir), _named(spark)[1])))
 
@@ -367,27 +423,47 @@ def background_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Spectra -------------------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {B.VARIANTS_SQL}, one AS (SELECT sample_id, CASE WHEN reference IN ('A', 'G') THEN translate(reverse(context), 'ACGT', 'TGCA') ELSE context END AS c, CASE WHEN reference IN ('A', 'G') THEN translate(alternate, 'ACGT', 'TGCA') ELSE alternate END AS a FROM variants WHERE somatic AND reference <> alternate),
+_SPECTRUM_SQL = """one AS (SELECT sample_id, CASE WHEN reference IN ('A', 'G') THEN translate(reverse(context), 'ACGT', 'TGCA') ELSE context END AS c, CASE WHEN reference IN ('A', 'G') THEN translate(alternate, 'ACGT', 'TGCA') ELSE alternate END AS a FROM variants WHERE somatic AND reference <> alternate),
 ch AS (SELECT l || '[' || r || '>' || a || ']' || t AS channel, r, a, l, t FROM (SELECT unnest(['A', 'C', 'G', 'T']) AS l), (SELECT unnest(['C', 'T']) AS r), (SELECT unnest(['A', 'C', 'G', 'T']) AS a), (SELECT unnest(['A', 'C', 'G', 'T']) AS t) WHERE r <> a),
 nm AS (SELECT channel, row_number() OVER (ORDER BY r, a, l, t) - 1 AS number FROM ch),
-ct AS (SELECT sample_id, c[1] || '[' || c[2] || '>' || a || ']' || c[3] AS channel, count(*) AS n FROM one GROUP BY 1, 2)
-SELECT s.sample_id, nm.channel, nm.number::int AS number, coalesce(n, 0) AS n FROM (SELECT DISTINCT sample_id FROM ct) s CROSS JOIN nm LEFT JOIN ct ON ct.sample_id = s.sample_id AND ct.channel = nm.channel""")
+ct AS (SELECT sample_id, c[1] || '[' || c[2] || '>' || a || ']' || c[3] AS channel, count(*) AS n FROM one GROUP BY 1, 2),
+sp AS (SELECT s.sample_id, nm.channel, nm.number::int AS number, coalesce(n, 0) AS n FROM (SELECT DISTINCT sample_id FROM ct) s CROSS JOIN nm LEFT JOIN ct ON ct.sample_id = s.sample_id AND ct.channel = nm.channel)"""
+
+
+@query(f"WITH {B.VARIANTS_SQL}, {_SPECTRUM_SQL} SELECT * FROM sp")
 def mutation_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spectra.spectrum(B.variants(spark, sf_dir)).select("sample_id", "channel", "number", "n")
 
 
-@query()
-def spectrum_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _catalogue(spark: SparkSession) -> DataFrame:
+    """Three signatures by rules over the channels' numbers."""
     k = F.col("number")
-    c = spectra.channels(spark)
-    weights = [("S1", F.when(k < 16, 1.0).otherwise(0.05)), ("S2", F.when(k.between(32, 47), 1.0).otherwise(0.1)), ("S3", (k % 4 == 0).cast("double") + 0.2)]
-    rows = None
-    for name, w in weights:
-        one = c.select(F.lit(name).alias("signature"), "channel", w.alias("w"))
-        rows = one if rows is None else rows.unionByName(one)
-    total = rows.groupBy("signature").agg(F.sum("w").alias("t"))
-    catalogue = rows.join(total, "signature").select("signature", "channel", (F.col("w") / F.col("t")).alias("weight"))
-    return rounded(spectra.refit(spectra.spectrum(B.variants(spark, sf_dir)), catalogue, 20))
+    weights = {"SBS1": F.when(k < 16, 1.0).otherwise(0.05), "SBS2": F.when(k.between(32, 47), 1.0).otherwise(0.1), "SBS3": (k % 4 == 0).cast("double") + 0.2}
+    rows = spectra.channels(spark).select("channel", F.explode(F.array(*[F.struct(F.lit(n).alias("signature"), w.alias("w")) for n, w in weights.items()])).alias("x")).select("channel", "x.*")
+    return rows.join(rows.groupBy("signature").agg(F.sum("w").alias("t")), "signature").select("signature", "channel", (F.col("w") / F.col("t")).alias("weight"))
+
+
+def _masked(k: int | None = None) -> str:
+    """Determinant of the normal equations with the signatures outside the mask held at zero; column k replaced by the right side."""
+    on = lambda i: f"((mask >> {i}) & 1)"
+    cell = lambda i, j: f"(b{i} * {on(i)})" if j == k else f"(CASE WHEN {i} = {j} AND {on(i)} = 0 THEN 1 ELSE g{min(i, j)}{max(i, j)} * {on(i)} * {on(j)} END)"
+    return _det([[cell(i, j) for j in range(3)] for i in range(3)])
+
+
+# The optimum of least squares under x >= 0 is the best feasible one of the eight sets of free signatures: solved by Cramer's
+# rule for each, so that the SQL shares nothing with the descent.
+@query(f"""WITH {B.VARIANTS_SQL}, {_SPECTRUM_SQL},
+w AS (SELECT number, CASE WHEN number < 16 THEN 1.0 ELSE 0.05 END::double AS w0, CASE WHEN number BETWEEN 32 AND 47 THEN 1.0 ELSE 0.1 END::double AS w1, (CASE WHEN number % 4 = 0 THEN 1.2 ELSE 0.2 END)::double AS w2 FROM nm),
+a AS (SELECT number, w0 / sum(w0) OVER () AS a0, w1 / sum(w1) OVER () AS a1, w2 / sum(w2) OVER () AS a2 FROM w),
+g AS (SELECT sum(a0 * a0) AS g00, sum(a0 * a1) AS g01, sum(a0 * a2) AS g02, sum(a1 * a1) AS g11, sum(a1 * a2) AS g12, sum(a2 * a2) AS g22 FROM a),
+y AS (SELECT sample_id, sum(n) AS total, sum(n * a0) AS b0, sum(n * a1) AS b1, sum(n * a2) AS b2, sum(n * n)::double AS yy FROM sp JOIN a USING (number) GROUP BY 1 HAVING sum(n) >= 20),
+s AS (SELECT *, {_masked(0)} / {_masked()} AS x0, {_masked(1)} / {_masked()} AS x1, {_masked(2)} / {_masked()} AS x2 FROM y CROSS JOIN g CROSS JOIN (SELECT unnest(range(8)) AS mask)),
+q AS (SELECT *, x0 * x0 * g00 + x1 * x1 * g11 + x2 * x2 * g22 + 2 * (x0 * x1 * g01 + x0 * x2 * g02 + x1 * x2 * g12) AS xx, x0 * b0 + x1 * b1 + x2 * b2 AS xb FROM s WHERE x0 >= 0 AND x1 >= 0 AND x2 >= 0),
+o AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY xx - 2 * xb, mask) = 1)
+SELECT sample_id, unnest(['SBS1', 'SBS2', 'SBS3']) AS signature, unnest([round(x0, 4) + 0.0, round(x1, 4) + 0.0, round(x2, 4) + 0.0]) AS exposure, total::bigint AS mutations, round(sqrt(greatest(0, yy - 2 * xb + xx)) / sqrt(yy), 4) + 0.0 AS relative_residual,
+  round(xb / (sqrt(xx) * sqrt(yy)), 4) + 0.0 AS cosine, true AS converged FROM o""")
+def spectrum_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(spectra.refit(spectra.spectrum(B.variants(spark, sf_dir)), _catalogue(spark), 20).drop("iterations"), 4)
 
 
 # Attribution ---------------------------------------------------------------------------------------------------------
@@ -401,7 +477,21 @@ def shapley_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(attribution.exact(B.games(spark, sf_dir), sorted(B.OUTCOMES)))
 
 
-@query()
+# Fisher-Yates of 24 permutations of five features: draw p * 4 + k swaps place 4 - k with one at or before it.
+_SAMPLED = f"""WITH RECURSIVE {B.GAMES_SQL},
+d0 AS (SELECT p, k, (42::uhugeint + (p * 4 + k + 1)::uhugeint * 11400714819323198485::uhugeint) % 18446744073709551616::uhugeint AS z FROM (SELECT unnest(range(24)) AS p), (SELECT unnest(range(4)) AS k)),
+d1 AS (SELECT p, k, (xor(z, z >> 30) * 13787848793156543929::uhugeint) % 18446744073709551616::uhugeint AS z FROM d0),
+d2 AS (SELECT p, k, (xor(z, z >> 27) * 10723151780598845931::uhugeint) % 18446744073709551616::uhugeint AS z FROM d1),
+draw AS (SELECT p, k, (xor(z, z >> 31) % (5 - k)::uhugeint)::bigint AS j FROM d2),
+fy AS (SELECT p, 0 AS k, [0, 1, 2, 3, 4] AS o FROM (SELECT unnest(range(24)) AS p)
+  UNION ALL SELECT fy.p, fy.k + 1, list_transform(o, lambda x, i: CASE i WHEN 5 - fy.k THEN o[j + 1] WHEN j + 1 THEN o[5 - fy.k] ELSE x END) FROM fy JOIN draw ON draw.p = fy.p AND draw.k = fy.k),
+ways AS (SELECT p, 0 AS way, o FROM fy WHERE k = 4 UNION ALL SELECT p, 1, list_reverse(o) FROM fy WHERE k = 4),
+steps AS (SELECT p, o[s] AS f, list_sum(list_transform(o[1:s - 1], lambda x: 1 << x))::bigint AS before FROM ways, (SELECT unnest([1, 2, 3, 4, 5]) AS s)),
+gains AS (SELECT p, f, avg(b.value - a.value) AS c FROM (SELECT p, f, coalesce(before, 0) AS before FROM steps) JOIN game a ON a.mask = before JOIN game b ON b.mask = before + (1 << f) GROUP BY 1, 2),
+smp AS (SELECT (['click', 'error', 'purchase', 'signup', 'view'])[f + 1] AS feature, avg(c) AS contribution, stddev_samp(c) / sqrt(count(*)) AS standard_error FROM gains GROUP BY f)"""
+
+
+@query(f"{_SAMPLED} SELECT feature, round(contribution, 6) + 0.0 AS contribution, round(standard_error, 6) + 0.0 AS standard_error FROM smp")
 def shapley_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(attribution.sampled(attribution.permutation_prefixes(spark, 5, 24), B.games(spark, sf_dir), sorted(B.OUTCOMES)))
 
@@ -412,7 +502,12 @@ def shapley_additivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(attribution.additivity(game, attribution.exact(game, sorted(B.OUTCOMES)), 5))
 
 
-@query()
+@query(f"""{_SAMPLED}, fb AS (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS feature, unnest([1, 2, 4, 8, 16]) AS bit),
+ex AS (SELECT feature, sum((b.value - a.value) / (5 * CASE bit_count(a.mask) WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 2 THEN 6 WHEN 3 THEN 4 ELSE 1 END)) AS c FROM game a JOIN fb ON a.mask & bit = 0 JOIN game b ON b.mask = a.mask | bit GROUP BY 1),
+ea AS (SELECT feature, c AS x, rank() OVER (ORDER BY abs(c)) - 1 + (count(*) OVER (PARTITION BY abs(c)) - 1) / 2 AS rx, row_number() OVER (ORDER BY abs(c) DESC, feature) AS px FROM ex),
+sa AS (SELECT feature, contribution AS y, rank() OVER (ORDER BY abs(contribution)) - 1 + (count(*) OVER (PARTITION BY abs(contribution)) - 1) / 2 AS ry, row_number() OVER (ORDER BY abs(contribution) DESC, feature) AS py FROM smp)
+SELECT round(sqrt(avg((x - y) ** 2)), 6) + 0.0 AS rmse, round(max(abs(x - y)), 6) + 0.0 AS largest, avg(CASE WHEN CASE WHEN abs(x) <= 1e-10 THEN 0 ELSE sign(x) END = CASE WHEN abs(y) <= 1e-10 THEN 0 ELSE sign(y) END THEN 1.0 ELSE 0.0 END)::double AS sign_agreement,
+  round(corr(rx, ry), 6) + 0.0 AS spearman, round(count(*) FILTER (px <= 3 AND py <= 3) / 3.0::double, 6) + 0.0 AS top_k_overlap FROM ea JOIN sa USING (feature)""")
 def attribution_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     game, names = B.games(spark, sf_dir), sorted(B.OUTCOMES)
     return rounded(attribution.stability(attribution.exact(game, names), attribution.sampled(attribution.permutation_prefixes(spark, 5, 24), game, names), 3))

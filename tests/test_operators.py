@@ -75,10 +75,24 @@ def test_refit(spark):
     assert abs(got["A"][0] - 30) < 1e-6 and abs(got["B"][0] - 70) < 1e-6 and abs(got["A"][1] - 1) < 1e-9
     assert spectra.catalogue_problems(cat).count() == 0
     rng = np.random.default_rng(3)
-    m, y = rng.random((96, 6)), rng.random(96) * 50
-    x = spectra.nnls(m, y)
-    g = m.T @ (m @ x - y)
-    assert (x >= 0).all() and (g > -1e-4).all() and np.abs(g * x).max() < 1e-3
+    m, y = rng.random((96, 6)), rng.random((40, 96)) * 50
+    x, made, took, done = spectra.nnls(m, y)
+    g = (made - y) @ m
+    assert done.all() and (took > 1).all() and (x >= 0).all() and (g > -1e-4).all() and np.abs(g * x).max() < 1e-3
+    assert all(np.allclose(spectra.nnls(m, y[i : i + 1])[0][0], x[i]) for i in (0, 7, 39))
+    assert not spectra.nnls(m, y, sweeps=1)[3].any()
+
+
+def test_refit_says_whether_it_converged_and_refuses_bad_catalogues(spark):
+    s = spark.createDataFrame([(k, c, i, i % (k + 3)) for k in range(3) for i, c in enumerate(spectra.CHANNELS)], "sample_id long, channel string, number int, n long")
+    cat = spark.createDataFrame([(k, c, ((i * (j + 2)) % 7) / sum((x * (j + 2)) % 7 for x in range(96))) for j, k in enumerate(("A", "B")) for i, c in enumerate(spectra.CHANNELS)], "signature string, channel string, weight double")
+    got = spectra.refit(s, cat).collect()
+    assert len(got) == 6 and all(r["converged"] and 0 <= r["relative_residual"] < 1 and r["iterations"] > 0 and r["mutations"] >= 50 for r in got)
+    with pytest.raises(ValueError, match="96 channels"):
+        spectra.refit(s, cat.where("channel <> 'A[C>A]A' or signature = 'A'"))
+    with pytest.raises(ValueError, match="sum to one"):
+        spectra.refit(s, cat.withColumn("weight", cat.weight * 2))
+    assert spectra.refit(s.limit(0), cat).count() == 0
 
 
 def test_exact_attribution(spark):

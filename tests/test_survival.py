@@ -121,3 +121,47 @@ def test_unusable_weights(spark):
     df = spark.createDataFrame([(1, "a", 0.0, 1.0, True, "concordant", 0.001, 0.0), (2, "a", 0.0, 2.0, True, "discordant", 0.5, 1.0)], SCHEMA)
     got = {r["concordance"]: r for r in survival.weight_diagnostics(df).collect()}
     assert got["concordant"]["unusable"] == 1 and got["discordant"]["effective_n"] == 1
+
+
+def test_global_test_in_the_plan(spark):
+    balanced = rows(spark, [(t, 1, 0, g) for t in (1, 2, 3) for g in ("a", "b", "c")])
+    r = survival.k_group_test(balanced, "grp").first()
+    assert r["degrees_of_freedom"] == 2 and abs(r["chi_squared"]) < 1e-12 and abs(r["p_value"] - 1) < 1e-12 and r["reason"] is None
+    import random
+
+    rng = random.Random(4)
+    given = [(rng.randrange(1, 12), rng.random() < 0.7, rng.randrange(0, 1), rng.choice("abcd")) for _ in range(120)]
+    df = rows(spark, given)
+    r = survival.k_group_test(df, "grp").first()
+    terms = {x["grp"]: x["observed"] - x["expected"] for x in survival.log_rank_terms(df).collect()}
+    cov = {(x["g"], x["h"]): x["covariance"] for x in survival.log_rank_covariance(df).collect()}
+    d, v = np.array([terms[g] for g in "abc"]), np.array([[cov[g, h] for h in "abc"] for g in "abc"])
+    chi = float(d @ np.linalg.inv(v) @ d)
+    assert abs(r["chi_squared"] - chi) < 1e-9 and abs(r["p_value"] - chi_squared_tail(chi, 3)) < 1e-12
+    none = survival.k_group_test(rows(spark, [(1, 0, 0, "a"), (2, 0, 0, "b"), (2, 0, 0, "c")]), "grp").first()
+    assert none["chi_squared"] is None and none["p_value"] is None and none["reason"] == survival.SINGULAR
+    alone = survival.k_group_test(rows(spark, [(1, 0, 0, "a"), (2, 1, 0, "b"), (3, 1, 0, "b"), (4, 0, 0, "c")]), "grp").first()
+    assert alone["reason"] == survival.SINGULAR
+
+
+def test_tails_and_elimination_as_expressions(spark):
+    from pyspark.sql import functions as F
+
+    from cohortloom.functions.stats import chi_squared_tail_of, solved
+
+    got = spark.range(1, 32).select(F.col("id").cast("int").alias("df"), F.explode(F.array(*[F.lit(x) for x in (0.0, 0.3, 4.0, 31.0, 200.0)])).alias("x")).withColumn("p", chi_squared_tail_of(F.col("x"), F.col("df"))).collect()
+    assert all(abs(r["p"] - chi_squared_tail(r["x"], r["df"])) < 1e-12 for r in got)
+    rng = np.random.default_rng(1)
+    systems = [(rng.normal(size=(n, n)).tolist(), rng.normal(size=n).tolist(), n) for n in (1, 2, 3, 6, 12, 31)] + [([[0.0, 1.0], [1.0, 0.0]], [2.0, 3.0], 2), ([[1.0, 2.0], [2.0, 4.0]], [1.0, 1.0], 2), ([[0.0]], [1.0], 1)]
+    df = spark.createDataFrame(systems, "m array<array<double>>, b array<double>, n int")
+    for (m, b, n), r in zip(systems, df.select(solved(F.col("m"), F.col("b"), F.col("n")).alias("s")).collect()):
+        inv = inverse(np.array(m))
+        assert r["s"]["solved"] == (inv is not None)
+        assert inv is None or np.allclose(r["s"]["x"], inv @ np.array(b), atol=1e-8), (n, r)
+
+
+def test_no_table_is_left_cached(spark):
+    df = rows(spark, [(t, t % 2, 0, g) for t in range(1, 9) for g in ("concordant", "discordant")])
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    survival.kaplan_meier(df, ["grp"]).collect(), survival.k_group_test(df, "grp").collect(), survival.two_group_log_rank(df, "grp", "concordant").collect()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
