@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cohortloom.functions.stats import ratio
+from cohortloom.operators.tables import written
 
 PARTITIONS = ("development", "calibration", "test")
 FAILED = "__failed__"
@@ -107,11 +108,10 @@ def per_class_of(counts: DataFrame, classes: DataFrame, outcomes: DataFrame, by:
     """The same from counts (by..., truth, predicted, n)."""
     by = by or []
     long = counts.select(*by, F.explode(F.array(F.struct(F.col("truth").alias("class_id"), F.col("n").alias("support"), F.lit(0).cast("long").alias("claimed"), F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0).alias("hits")), F.struct(F.col("predicted").alias("class_id"), F.lit(0).cast("long").alias("support"), F.col("n").alias("claimed"), F.lit(0).cast("long").alias("hits")))).alias("c")).select(*by, "c.*")
-    sums = long.groupBy(*by, "class_id").agg(F.sum("support").alias("support"), F.sum("claimed").alias("claimed"), F.sum("hits").alias("hits"))
-    unresolved = outcomes.join(classes, "class_id", "left_anti").join(sums.where("support > 0"), "class_id", "left_semi").select("class_id")
-    wanted = classes.select("class_id").unionByName(unresolved)
-    if by:
-        wanted = sums.select(*by).distinct().crossJoin(F.broadcast(wanted))  # classes: a fixed list
+    # A row a class and group: small, and asked for three times.
+    sums = written(long.groupBy(*by, "class_id").agg(F.sum("support").alias("support"), F.sum("claimed").alias("claimed"), F.sum("hits").alias("hits")), "classes")
+    wanted = sums.select(*by).distinct().crossJoin(F.broadcast(classes.select("class_id"))) if by else classes.select("class_id")  # classes: a fixed list
+    wanted = wanted.unionByName(sums.where("support > 0").join(outcomes.join(classes, "class_id", "left_anti"), "class_id", "left_semi").select(*by, "class_id"))
     full = wanted.join(sums, [*by, "class_id"], "left").fillna(0, ["support", "claimed", "hits"])
     precision, recall = F.coalesce(ratio(F.col("hits"), F.col("claimed")), F.lit(0.0)), F.coalesce(ratio(F.col("hits"), F.col("support")), F.lit(0.0))
     made = full.select(*by, "class_id", "support", precision.alias("precision"), recall.alias("recall"))
@@ -152,7 +152,7 @@ def selective(rows: DataFrame, classes: DataFrame) -> DataFrame:
 def threshold_table(rows: DataFrame, classes: DataFrame, outcomes: DataFrame) -> DataFrame:
     """(threshold, retained, accuracy, weighted_f1): both measured again on what each threshold keeps."""
     named = rows.join(F.broadcast(classes.select(F.col("class_id").alias("predicted"))), "predicted", "left_semi")
-    counts = confusion(named.select("*", _thresholds()).where(F.col("p_top") >= F.col("threshold")), ["threshold"])
+    counts = written(confusion(named.select("*", _thresholds()).where(F.col("p_top") >= F.col("threshold")), ["threshold"]), "counts")
     hit = F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)
     base = counts.groupBy("threshold").agg(F.sum("n").alias("retained"), ratio(F.sum(hit), F.sum("n")).alias("accuracy"))
     f1 = f1_summary(per_class_of(counts, classes, outcomes, ["threshold"]), F.sum("support"), ["threshold"]).select("threshold", "weighted_f1")
@@ -184,6 +184,28 @@ def paired_delta(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     return a.join(b, "partition", "full_outer").select("partition", *[(F.col(f"b_{c}") - F.col(f"a_{c}")).alias(f"delta_{c}") for c in names])
 
 
+def paired_report(baseline: DataFrame, candidate: DataFrame, classes: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(partition, eligible, delta_top1, delta_coverage, delta_macro_f1) of two runs over the same cases (rows of `scored`).
+
+    Failures and cases without an answer stay in the denominators of both.
+    """
+
+    def measured(rows: DataFrame) -> DataFrame:
+        f1 = f1_summary(per_class(rows, classes, outcomes, ["partition"]), F.sum("support"), ["partition"]).select("partition", "macro_f1")
+        return summary(rows, ["partition"]).select("partition", "eligible", "top1", "coverage").join(f1, "partition")
+
+    a, b = measured(baseline), measured(candidate)
+    return paired_delta(a, b).join(a.select("partition", "eligible"), "partition").select("partition", "eligible", "delta_top1", "delta_coverage", "delta_macro_f1")
+
+
+def paired_cases(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
+    """A row a case of two runs: what each says, whether it is accepted, why it failed, and `change` of its correctness."""
+    side = lambda rows, k: rows.select("sample_id", F.col("predicted").alias(f"{k}_top"), F.col("failure").alias(f"{k}_failure"), F.col("accepted").alias(f"{k}_accepted"), F.coalesce("correct", F.lit(False)).alias(f"__{k}"))
+    both = baseline.select("sample_id", "patient_group_id", "partition", "truth").join(side(baseline, "baseline"), "sample_id").join(side(candidate, "candidate"), "sample_id", "left")
+    change = F.when(F.col("__candidate") & ~F.col("__baseline"), "gained").when(F.col("__baseline") & ~F.coalesce("__candidate", F.lit(False)), "lost").otherwise("same")
+    return both.withColumn("change", change).drop("__baseline", "__candidate")
+
+
 def gate(run: DataFrame, least_top: float = 0.75, least_margin: float = 0.15, least_support: float = 0.8, most_conflict: float = 0.2) -> DataFrame:
     """Adds `reasons` to abstain (p_top, margin, support, conflict, predicted_kind, findings, source) and `accepted`."""
     reasons = F.array_compact(F.array(

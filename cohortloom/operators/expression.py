@@ -131,10 +131,11 @@ def compare(queries: DataFrame, reference: DataFrame, least_genes: int = 3, leas
     bad = (F.col("n") < least_genes) | (F.col("n") < least_overlap * F.col("__g"))
     status = F.when(bad, "insufficient_data").when(F.col("r").isNull(), "undefined_similarity").otherwise("compared")
     if blocked is not None:
+        # One row a query sample and class on the left.
         r = r.join(blocked.select("sample_id", F.lit(True).alias("__no")).distinct(), "sample_id", "left")
         status = F.when(F.col("__no"), "incompatible").otherwise(status)
     kept = r.select("sample_id", "class_id", "n", F.when(status == "compared", F.col("r")).alias("r"), status.alias("status"))
-    order = W.partitionBy("sample_id").orderBy(F.desc_nulls_last("r"), F.asc("class_id"))
+    order = W.partitionBy("sample_id").orderBy(F.desc_nulls_last("r"), F.asc("class_id"))  # classes of one sample
     return kept.select("*", F.row_number().over(order).alias("position"))
 
 

@@ -161,10 +161,10 @@ def variant_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Requests and exports -----------------------------------------------------------------------------------------------
 
-_RESPONSE_SQL = """r AS (SELECT event_id AS k, event_id % 11 <> 0 AS model_ok, event_id % 13 = 0 AS none, event_id % 17 = 0 AS extra, (event_id % 101) / 100.0 AS p, event_id % 7 = 0 AS short, event_id % 2 = 0 AS says_a FROM events)"""
+_RESPONSE_SQL = """r AS (SELECT event_id AS k, event_id % 11 <> 0 AS model_ok, event_id % 13 = 0 AS none, event_id % 17 = 0 AS extra, (event_id % 101) / 100.0 AS p, event_id % 7 = 0 AS short, event_id % 2 = 0 AS says_a, event_id % 19 = 0 AS over FROM events)"""
 
 
-@query(f"""WITH {_RESPONSE_SQL} SELECT k AS event_id, CASE WHEN NOT model_ok THEN 'wrong_model' WHEN none THEN 'no_probabilities' WHEN extra THEN 'wrong_options' WHEN short THEN 'sum_is_not_one' WHEN CASE WHEN says_a THEN p < 1 - p ELSE 1 - p < p END THEN 'choice_is_not_a_maximum' END AS problem, false AS verified FROM r""")
+@query(f"""WITH {_RESPONSE_SQL} SELECT k AS event_id, CASE WHEN NOT model_ok THEN 'wrong_model' WHEN none THEN 'no_probabilities' WHEN extra THEN 'wrong_options' WHEN over THEN 'out_of_range' WHEN short THEN 'sum_is_not_one' WHEN CASE WHEN says_a THEN p < 1 - p ELSE 1 - p < p END THEN 'choice_is_not_a_maximum' END AS problem, false AS verified FROM r""")
 def response_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
     p = (k % 101) / F.lit(100.0)
@@ -172,7 +172,8 @@ def response_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.when(k % 7 == 0, F.greatest(F.lit(0.0), q)).otherwise(q)
     two = F.create_map(F.lit("a"), F.when((k % 7 == 0) & (p == 1), F.lit(0.5)).otherwise(p), F.lit("b"), q)
     three = F.create_map(F.lit("a"), p, F.lit("b"), q, F.lit("c"), F.lit(0.0))
-    made = B.table(spark, sf_dir, "events").select("event_id", F.when(k % 11 != 0, "m").otherwise("x").alias("model"), F.lit("m").alias("expected_model"), F.when(k % 13 == 0, None).when(k % 17 == 0, three).otherwise(two).alias("probabilities"), F.when(k % 2 == 0, "a").otherwise("b").alias("choice"))
+    beyond = F.create_map(F.lit("a"), p + 1.25, F.lit("b"), F.lit(-0.25) - p)
+    made = B.table(spark, sf_dir, "events").select("event_id", F.when(k % 11 != 0, "m").otherwise("x").alias("model"), F.lit("m").alias("expected_model"), F.when(k % 13 == 0, None).when(k % 17 == 0, three).when(k % 19 == 0, beyond).otherwise(two).alias("probabilities"), F.when(k % 2 == 0, "a").otherwise("b").alias("choice"))
     return scoring.offline(made, F.array(F.lit("a"), F.lit("b"))).select("event_id", "problem", "verified")
 
 
@@ -205,10 +206,16 @@ def observed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.observed_groups(B.features(spark, sf_dir))
 
 
-@query("""WITH f AS (SELECT unnest([0, 1, 2, 3, 4]) AS bit, unnest(['signature', 'copy_number', 'mutation', 'age', 'category']) AS kind, unnest([0.5, 2.0, 0.0, 0.0, 0.0]) AS amount), m AS (SELECT unnest(range(1, 32)) AS mask)
-SELECT mask, round(least(0.85, greatest(0.01, 0.12 + sum(CASE kind WHEN 'signature' THEN amount * 0.04 WHEN 'copy_number' THEN amount * 0.025 WHEN 'mutation' THEN 0.035 WHEN 'age' THEN 0.015 ELSE 0.01 END))), 9) + 0.0 AS value FROM m JOIN f ON (mask >> bit) & 1 = 1 GROUP BY 1""")
+_KINDS = ["signature", "copy_number", "mutation", "age", "category"]
+
+
+@query("""WITH f AS (SELECT event_type, (hash % 5)::int AS bit, avg(value) / 20 AS amount FROM (SELECT event_type, value, CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS hash FROM events) GROUP BY 1, 2),
+m AS (SELECT unnest(range(1, 32)) AS mask), k AS (SELECT *, (['signature', 'copy_number', 'mutation', 'age', 'category'])[bit + 1] AS kind FROM f)
+SELECT mask, round(least(0.85, greatest(0.01, 0.12 + sum(CASE kind WHEN 'signature' THEN amount * 0.04 WHEN 'copy_number' THEN amount * 0.025 WHEN 'mutation' THEN 0.035 WHEN 'age' THEN 0.015 ELSE 0.01 END))), 9) + 0.0 AS value FROM m JOIN k ON (mask >> bit) & 1 = 1 GROUP BY 1""")
 def linear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = spark.createDataFrame([(0, "signature", 0.5), (1, "copy_number", 2.0), (2, "mutation", None), (3, "age", None), (4, "category", None)], "bit int, kind string, amount double")
+    """Event types as groups, each of its own kind, with the mean of their values as the amount."""
+    bit = F.array_position(F.array(*map(F.lit, sorted(B.OUTCOMES))), F.col("event_type")).cast("int") - 1
+    f = B.table(spark, sf_dir, "events").groupBy("event_type").agg((F.avg("value") / 20).alias("amount")).select(bit.alias("bit"), F.element_at(F.array(*map(F.lit, _KINDS)), bit + 1).alias("kind"), "amount")
     return rounded(attribution.linear_scores(attribution.masked_features(attribution.coalitions(spark, 5), f)), 9)
 
 
@@ -235,13 +242,30 @@ def measurement_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(exports.measurements(rows, "tpm", "ab"))
 
 
-@query(f"""{_P}, s AS (SELECT partition, count(*) FILTER (correct) / count(*) AS top1, count(*) FILTER (accepted) / count(*) AS coverage FROM rows_ GROUP BY 1), b AS (SELECT partition, count(*) FILTER (truth = 'click') / count(*) AS top1 FROM days GROUP BY 1)
-SELECT partition, round(s.top1 - b.top1, 6) + 0.0 AS delta_top1, round(s.coverage, 6) + 0.0 AS delta_coverage FROM s JOIN b USING (partition)""")
+def _arms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two runs over the same cases: the predictions, and as a baseline those that hold each class the likelier the rarer it was."""
+    records, p = B.predictions(spark, sf_dir)
+    return evaluation.scored(records.withColumn("accepted", F.lit(False)), p.withColumn("p", (1 - F.col("p")) / 4)), evaluation.scored(records, p)
+
+
+_ARMS_SQL = """lows AS (SELECT sample_id, class_id AS low FROM probs QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY p, class_id) = 1),
+arms AS (SELECT 'b' AS arm, r.sample_id, patient_group_id, partition, truth, low AS predicted, false AS accepted, failed FROM rows_ r LEFT JOIN lows USING (sample_id) UNION ALL SELECT 'c', sample_id, patient_group_id, partition, truth, predicted, accepted, failed FROM rows_)"""
+
+
+@query(f"""{_P}, {_ARMS_SQL}, top AS (SELECT arm, partition, count(*) AS eligible, count(*) FILTER (predicted = truth) / count(*) AS top1, count(*) FILTER (accepted) / count(*) AS coverage FROM arms GROUP BY 1, 2),
+cl AS (SELECT arm, partition, class_id, count(*) FILTER (truth = class_id) AS s, count(*) FILTER (predicted = class_id) AS c, count(*) FILTER (truth = class_id AND predicted = class_id) AS h FROM arms CROSS JOIN kinds GROUP BY 1, 2, 3),
+ma AS (SELECT arm, partition, avg(coalesce(2.0 * h / nullif(s + c, 0), 0)) AS macro FROM cl WHERE class_id <> 'signup' OR s > 0 GROUP BY 1, 2), al AS (SELECT * FROM top JOIN ma USING (arm, partition))
+SELECT partition, b.eligible, round(c.top1 - b.top1, 6) + 0.0 AS delta_top1, round(c.coverage - b.coverage, 6) + 0.0 AS delta_coverage, round(c.macro - b.macro, 6) + 0.0 AS delta_macro_f1 FROM (SELECT * FROM al WHERE arm = 'b') b JOIN (SELECT * FROM al WHERE arm = 'c') c USING (partition)""".replace("top AS (SELECT arm", "tops AS (SELECT arm").replace("FROM top JOIN ma", "FROM tops JOIN ma"))
 def paired_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = evaluation.scored(*B.predictions(spark, sf_dir))
-    summary = evaluation.summary(rows, ["partition"]).withColumn("macro_f1", F.lit(0.0))
-    guess = rows.groupBy("partition").agg(F.avg((F.col("truth") == "click").cast("double")).alias("top1"), F.lit(0.0).alias("coverage"), F.lit(0.0).alias("macro_f1"))
-    return rounded(evaluation.paired_delta(guess, summary).select("partition", "delta_top1", "delta_coverage"))
+    return rounded(evaluation.paired_report(*_arms(spark, sf_dir), B.named(spark, B.CLASSES), B.named(spark, B.OUTCOMES)))
+
+
+@query(f"""{_P}, {_ARMS_SQL} SELECT sample_id, b.patient_group_id, b.partition, b.truth, b.predicted AS baseline_top, CASE WHEN b.failed THEN 'budget_not_run' END AS baseline_failure, b.accepted AS baseline_accepted,
+  c.predicted AS candidate_top, CASE WHEN c.failed THEN 'budget_not_run' END AS candidate_failure, c.accepted AS candidate_accepted,
+  CASE WHEN coalesce(c.predicted = c.truth, false) AND NOT coalesce(b.predicted = b.truth, false) THEN 'gained' WHEN coalesce(b.predicted = b.truth, false) AND NOT coalesce(c.predicted = c.truth, false) THEN 'lost' ELSE 'same' END AS change
+FROM (SELECT * FROM arms WHERE arm = 'b') b JOIN (SELECT * FROM arms WHERE arm = 'c') c USING (sample_id)""")
+def paired_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.paired_cases(*_arms(spark, sf_dir))
 
 
 @query(f"WITH km AS ({_km_sql('grp', B.OUTCOMES_SQL)}), st AS (SELECT grp, t, coalesce(lag(survival) OVER (PARTITION BY grp ORDER BY t), 1.0) AS s0, survival AS s1 FROM km) SELECT grp, t, 0 AS corner, s0 AS survival FROM st UNION ALL SELECT grp, t, 1, s1 FROM st")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.operators import attribution, bootstrap, cases, evaluation, expression, molecular, rules, scoring, spectra, survival
+from cohortloom.operators.tables import written
 from cohortloom.sources import bindings as B
 
 FLAGSHIP = "km_by_class"
@@ -377,12 +378,26 @@ def first_seen_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _E = "WITH " + B.PROFILES_SQL
 
 
-@query(f"""{_E} SELECT sample_id, count(*) AS total, count(*) AS measured, 0::bigint AS missing, 0::bigint AS invalid, count(*) FILTER (value = 0) AS zero, count(*) AS resolved, 0::bigint AS ambiguous, 0::bigint AS unmapped, 0::bigint AS duplicate,
-round(min(value), 6) + 0.0 AS min, round(max(value), 6) + 0.0 AS max, 1.0::double AS mapping_rate, 'pass' AS qc FROM profiles GROUP BY 1""")
+# Cells by a number of their own: some missing, invalid, ambiguous or unmapped, and in some samples one gene twice.
+_CELLS_SQL = """cl AS (SELECT *, sample_id * 64 + substr(gene, 2)::bigint AS k FROM profiles),
+cells AS (SELECT sample_id, k, CASE WHEN sample_id % 7 = 0 AND gene = 'G10' THEN 'G9' ELSE gene END AS original, CASE WHEN k % 43 = 0 THEN 'ambiguous' WHEN k % 47 = 0 THEN 'unmapped' ELSE 'resolved' END AS mapping,
+  CASE WHEN sample_id % 2 = 0 AND k % 37 = 0 THEN 'missing' WHEN sample_id % 3 = 0 AND k % 41 = 0 THEN 'invalid' ELSE 'measured' END AS status, value FROM cl)"""
+
+
+@query(f"""{_E}, {_CELLS_SQL}, g AS (SELECT *, CASE WHEN mapping = 'resolved' THEN CASE WHEN sample_id % 11 = 0 AND original = 'G20' THEN 'G21' ELSE original END END AS gene, CASE WHEN status = 'measured' THEN value END AS v FROM cells),
+d AS (SELECT *, row_number() OVER (PARTITION BY sample_id, original ORDER BY k) > 1 OR (gene IS NOT NULL AND row_number() OVER (PARTITION BY sample_id, gene ORDER BY k) > 1) AS dup FROM g),
+c AS (SELECT sample_id, count(*) AS total, count(*) FILTER (status = 'measured') AS measured, count(*) FILTER (status = 'missing') AS missing, count(*) FILTER (status = 'invalid') AS invalid, count(*) FILTER (v = 0) AS zero,
+  count(*) FILTER (mapping = 'resolved') AS resolved, count(*) FILTER (mapping = 'ambiguous') AS ambiguous, count(*) FILTER (mapping = 'unmapped') AS unmapped, count(*) FILTER (dup) AS duplicate, min(v) AS lo, max(v) AS hi FROM d GROUP BY 1)
+SELECT sample_id, total, measured, missing, invalid, zero, resolved, ambiguous, unmapped, duplicate, round(lo, 6) + 0.0 AS min, round(hi, 6) + 0.0 AS max, round(resolved / total, 6) + 0.0 AS mapping_rate,
+  CASE WHEN measured = 0 OR invalid > 0 OR duplicate > 0 THEN 'blocked' WHEN missing > 0 OR ambiguous > 0 OR unmapped > 0 THEN 'warning' ELSE 'pass' END AS qc FROM c""")
 def expression_qc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = B.profiles(spark, sf_dir)
-    rows = p.select("sample_id", F.substring("gene", 2, 9).cast("long").alias("record"), F.col("gene").alias("original"), F.lit("resolved").alias("mapping"), "gene", F.lit("measured").alias("status"), "value")
-    return rounded(expression.quality_control(rows))
+    s, k, original = F.col("sample_id"), F.col("record"), F.col("original")
+    p = B.profiles(spark, sf_dir).select("sample_id", (s * 64 + F.substring("gene", 2, 9).cast("long")).alias("record"), F.when((s % 7 == 0) & (F.col("gene") == "G10"), "G9").otherwise(F.col("gene")).alias("original"), "value")
+    mapping = F.when(k % 43 == 0, "ambiguous").when(k % 47 == 0, "unmapped").otherwise("resolved")
+    status = F.when((s % 2 == 0) & (k % 37 == 0), "missing").when((s % 3 == 0) & (k % 41 == 0), "invalid").otherwise("measured")
+    rows = p.withColumn("mapping", mapping).withColumn("status", status)
+    gene = F.when(F.col("mapping") == "resolved", F.when((s % 11 == 0) & (original == "G20"), "G21").otherwise(original))
+    return rounded(expression.quality_control(rows.select("sample_id", "record", "original", "mapping", gene.alias("gene"), "status", F.when(F.col("status") == "measured", F.col("value")).alias("value"))))
 
 
 @query(f"{_E} SELECT class_id, gene, round(avg(value), 5) + 0.0 AS mean, count(*) AS members FROM profiles WHERE role = 'reference' GROUP BY 1, 2")
@@ -391,17 +406,20 @@ def class_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(expression.centroids(p, p.select("sample_id", "class_id").distinct()), 5)
 
 
-def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = B.profiles(spark, sf_dir)
-    ref = p.where("role = 'reference'")
-    return expression.compare(p.where("role = 'query'"), expression.centroids(ref, ref.select("sample_id", "class_id").distinct()))
-
-
-@query(f"""{_E}, cen AS (SELECT class_id, gene, avg(value) AS mean FROM profiles WHERE role = 'reference' GROUP BY 1, 2),
-r AS (SELECT q.sample_id, c.class_id, count(*) AS n, corr(q.value, c.mean) AS r FROM profiles q JOIN cen c USING (gene) WHERE role = 'query' GROUP BY 1, 2)
-SELECT sample_id, class_id, n, round(r, 5) + 0.0 AS r, row_number() OVER (PARTITION BY sample_id ORDER BY r DESC, class_id) AS position, 'compared' AS status FROM r""")
+@query(f"""{_E}, cen AS (SELECT class_id, gene, avg(value) AS mean FROM profiles WHERE role = 'reference' GROUP BY 1, 2), ng AS (SELECT count(DISTINCT gene) AS g FROM cen),
+qs AS (SELECT sample_id, gene, CASE WHEN sample_id % 30 = 10 THEN 1.0 ELSE value END AS value FROM profiles WHERE role = 'query' AND NOT (sample_id % 30 = 5 AND substr(gene, 2)::int >= 20)),
+r AS (SELECT q.sample_id, c.class_id, count(*) AS n, CASE WHEN var_pop(q.value) > 0 THEN corr(q.value, c.mean) END AS r FROM qs q JOIN cen c USING (gene) GROUP BY 1, 2),
+st AS (SELECT sample_id, class_id, n, CASE WHEN sample_id % 25 = 0 THEN 'incompatible' WHEN n < 3 OR n < 0.5 * g THEN 'insufficient_data' WHEN r IS NULL THEN 'undefined_similarity' ELSE 'compared' END AS status, r FROM r CROSS JOIN ng),
+sh AS (SELECT sample_id, class_id, n, CASE WHEN status = 'compared' THEN r END AS r, status FROM st)
+SELECT sample_id, class_id, n, round(r, 5) + 0.0 AS r, row_number() OVER (PARTITION BY sample_id ORDER BY r DESC NULLS LAST, class_id) AS position, status FROM sh""")
 def reference_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_compared(spark, sf_dir), 5)
+    """Some queries are blocked, some share too few genes, some don't vary: every state is met."""
+    p, s = B.profiles(spark, sf_dir), F.col("sample_id")
+    ref, q = p.where("role = 'reference'"), p.where("role = 'query'")
+    few = (s % 30 == 5) & (F.substring("gene", 2, 9).cast("int") >= 20)
+    asked = q.where(~few).withColumn("value", F.when(s % 30 == 10, 1.0).otherwise(F.col("value")))
+    cen = written(expression.centroids(ref, ref.select("sample_id", "class_id").distinct()), "centroids")
+    return rounded(expression.compare(asked, cen, blocked=q.where(s % 25 == 0).select("sample_id").distinct()), 5)
 
 
 @query(f"{_E} SELECT gene FROM profiles GROUP BY 1 HAVING count(DISTINCT sample_id) = (SELECT count(DISTINCT sample_id) FROM profiles)")
@@ -528,7 +546,7 @@ def repeatability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RULES = [
     rules.Rule("histology", "marker", "biopsy", investigation=True),
-    rules.Rule("imaging", "metastatic", "imaging", investigation=True, restricted=True),
+    rules.Rule("imaging", "metastatic and case_id % 3 <> 1", "imaging", investigation=True, restricted=True),
     rules.Rule("panel", "metastatic and marker", "panel", investigation=True, discussion="fit_for_treatment"),
     rules.Rule("support", "not fit_for_treatment or fit_for_treatment is null"),
     rules.Rule("review-age", "age_years >= 70 or marker"),
@@ -540,12 +558,12 @@ _STATUS = """CASE WHEN NOT (in_scope AND cond) THEN CASE WHEN in_scope AND restr
 
 
 @query(f"""WITH o AS (SELECT o_custkey, max(o_totalprice) AS most, bool_or(o_orderstatus = 'F') AS marker FROM orders GROUP BY 1),
-c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 13 <> 0 THEN c_custkey % 90 END AS age, CASE WHEN o_custkey IS NOT NULL THEN most > 1000 END AS met, CASE WHEN c_custkey % 17 <> 0 THEN c_acctbal > 0 END AS fit,
-  CASE WHEN c_custkey % 19 <> 0 THEN true END AS chg, CASE WHEN c_custkey % 23 <> 0 THEN true END AS risks, marker FROM customer LEFT JOIN o ON o_custkey = c_custkey),
-s AS (SELECT *, coalesce(age >= 18, true) AND k % 5 <> 0 AND CASE WHEN k % 7 <> 0 THEN k % 7 <> 1 END AND met AS in_scope, fit AND chg AND risks AS managed FROM c),
+c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 13 <> 0 THEN c_custkey % 90 END AS age, CASE WHEN o_custkey IS NOT NULL THEN most > 1000 END AS spread, CASE WHEN c_custkey % 17 <> 0 THEN c_acctbal > 0 END AS fit,
+  CASE WHEN c_custkey % 19 <> 0 THEN true END AS chg, CASE WHEN c_custkey % 23 <> 0 THEN true END AS risks, marker, CASE WHEN o_custkey IS NOT NULL THEN most > 1000 AND c_custkey % 3 <> 1 END AS img FROM customer LEFT JOIN o ON o_custkey = c_custkey),
+s AS (SELECT *, coalesce(age >= 18, true) AND k % 5 <> 0 AND CASE WHEN k % 7 <> 0 THEN k % 7 <> 1 END AND spread AS in_scope, fit AND chg AND risks AS managed FROM c),
 r AS (SELECT k, in_scope, managed, 'histology' AS rule_id, marker AS cond, true AS inv, false AS restricted, true AS disc, NULL AS found FROM s
-  UNION ALL SELECT k, in_scope, managed, 'imaging', met, true, true, true, CASE WHEN k % 8 = 0 THEN 'completed' WHEN k % 4 = 0 THEN 'planned' END FROM s
-  UNION ALL SELECT k, in_scope, managed, 'panel', met AND marker, true, false, fit, NULL FROM s
+  UNION ALL SELECT k, in_scope, managed, 'imaging', img, true, true, true, CASE WHEN k % 8 = 0 THEN 'completed' WHEN k % 12 = 0 THEN 'declined' WHEN k % 4 = 0 THEN 'planned' END FROM s
+  UNION ALL SELECT k, in_scope, managed, 'panel', spread AND marker, true, false, fit, NULL FROM s
   UNION ALL SELECT k, in_scope, managed, 'support', NOT fit OR fit IS NULL, false, false, true, NULL FROM s
   UNION ALL SELECT k, in_scope, managed, 'review-age', age >= 70 OR marker, false, false, true, NULL FROM s)
 SELECT k AS case_id, rule_id, CASE WHEN cond THEN 'yes' WHEN NOT cond THEN 'no' ELSE 'unknown' END AS condition, {_STATUS} AS status FROM r""")
@@ -630,10 +648,13 @@ def class_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return molecular.labelled(B.table(spark, sf_dir, "supplier"), classes, "s_nationkey").select("s_suppkey", "class_name", "class_parent")
 
 
-@query("""SELECT doc_id, CASE WHEN ceil(strlen(text) / 4) > 64000 THEN 'request_exceeds_window' WHEN ceil((strlen(text) + strlen(text)) / 4) > 32000 THEN 'state_and_question_exceed_window' END AS problem FROM documents""")
+@query("""WITH t AS (SELECT doc_id, coalesce(strlen(text), 0) AS n, coalesce(strlen(text), 0) * (doc_id % 40 + 1) AS big FROM documents)
+SELECT doc_id, CASE WHEN ceil(big / 4) > 64000 THEN 'request_exceeds_window' WHEN ceil((big + n) / 4) > 32000 THEN 'state_and_question_exceed_window' END AS problem FROM t""")
 def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return B.table(spark, sf_dir, "documents").select("doc_id", molecular.context_problem(t, t, t).alias("problem"))
+    """Each text as a question about a state of up to 40 copies of it, so that both limits are met."""
+    text = F.coalesce("text", F.lit(""))
+    big = F.repeat(text, (F.col("doc_id") % 40 + 1).cast("int"))
+    return B.table(spark, sf_dir, "documents").select("doc_id", molecular.context_problem(big, big, text).alias("problem"))
 
 
 @query(f"""{_G}, f AS (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS feature, unnest([1, 2, 4, 8, 16]) AS bit)
@@ -645,7 +666,8 @@ def shapley_retargeted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(attribution.exact(attribution.retargeted(memo, "none"), sorted(B.OUTCOMES)))
 
 
-_BG = """bg AS (SELECT user_id AS background_id, event_type AS feature_id, avg(value) AS v FROM events WHERE user_id BETWEEN 1 AND 8 GROUP BY 1, 2),
+# The operator takes at most 64 samples: all users together, each a part of the one with the same remainder.
+_BG = """bg AS (SELECT user_id % 64 AS background_id, event_type AS feature_id, avg(value) AS v FROM events GROUP BY 1, 2),
 own AS (SELECT event_type AS feature_id, avg(value) AS own, CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS bit FROM events GROUP BY 1)"""
 
 
@@ -654,7 +676,7 @@ def background_coalitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = B.table(spark, sf_dir, "events")
     names = F.array(*map(F.lit, sorted(B.OUTCOMES)))
     own = e.groupBy(F.col("event_type").alias("feature_id")).agg(F.avg("value").alias("value")).withColumn("bit", F.array_position(names, F.col("feature_id")).cast("int") - 1)
-    background = e.where("user_id between 1 and 8").groupBy(F.col("user_id").alias("background_id"), F.col("event_type").alias("feature_id")).agg(F.avg("value").alias("value"))
+    background = e.groupBy((F.col("user_id") % 64).alias("background_id"), F.col("event_type").alias("feature_id")).agg(F.avg("value").alias("value"))
     hybrids = attribution.hybrids(attribution.coalitions(spark, 5), own, background).groupBy("mask", "background_id").agg(F.sum("value").alias("value"))
     return rounded(attribution.background_values(hybrids))
 
