@@ -7,7 +7,12 @@ is sent and answers after it, so a run that was cut off knows which requests are
 
 from __future__ import annotations
 
+import hashlib
+import threading
+import time
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pandas as pd
@@ -15,19 +20,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions.text import token_estimate
+from cohortloom.operators.tables import written
 
 TOLERANCE = 1e-6
 # What a request may hold.
 WINDOW_TOKENS = 64_000
 STATE_TOKENS = 32_000
 
+POLL_SECONDS = 0.05
+
 Scorer = Callable[[pd.Series], pd.Series]
 
 
 @dataclass(frozen=True)
 class Budget:
+    """Limits that a caller states; without seconds a run takes as long as it takes."""
+
     attempts: int
     tokens: int
+    seconds: float | None = None
+
+
+class Stopped(Exception):
+    """A run that ended early, with its reason: cancelled or timeout. What was answered before is in the memo."""
 
 
 def requests(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -133,27 +148,76 @@ def offline(responses: DataFrame, classes: Column) -> DataFrame:
     return responses.withColumn("problem", response_problem(classes)).withColumn("verified", F.lit(False))
 
 
-def run(rows: DataFrame, scorer: Scorer, budget: Budget, memo_path: str, attempts_path: str, resend_uncertain: bool = False) -> DataFrame:
-    """Score what the memo lacks, within the budget: attempts are written, then the answers. Returns the memo.
-
-    A run that was cut off leaves attempts without answers. They are not sent again unless the caller asks for it, since
-    nobody knows whether the scorer had them.
+@contextmanager
+def _watched(spark, stop: threading.Event | None, deadline: float | None) -> Iterator[None]:
+    """Jobs of the block end when `stop` is set or the deadline passes, and the block then raises Stopped."""
+    group, over, why = f"scoring-{uuid.uuid4().hex}", threading.Event(), []
+    context = spark.sparkContext
+
+    def watch() -> None:
+        while not over.wait(POLL_SECONDS):
+            reason = "cancelled" if stop is not None and stop.is_set() else "timeout" if deadline is not None and time.monotonic() >= deadline else None
+            if reason:
+                why.append(reason)
+                while not over.wait(POLL_SECONDS):
+                    # Again and again: a job may start after a cancellation.
+                    context.cancelJobGroup(group)
+                return
+
+    before = {k: context.getLocalProperty(k) for k in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")}
+    context.setJobGroup(group, "scoring", interruptOnCancel=True)
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
+    try:
+        yield
+    except Exception as error:
+        if why:
+            raise Stopped(why[0]) from error
+        raise
+    finally:
+        over.set()
+        watcher.join()
+        for k, v in before.items():
+            context.setLocalProperty(k, v)
+
+
+def _still_going(stop: threading.Event | None, deadline: float | None) -> None:
+    if stop is not None and stop.is_set():
+        raise Stopped("cancelled")
+    if deadline is not None and time.monotonic() >= deadline:
+        raise Stopped("timeout")
+
+
+def run(rows: DataFrame, scorer: Scorer, budget: Budget, memo_path: str, attempts_path: str, resend_uncertain: bool = False, batch: int | None = None, stop: threading.Event | None = None) -> DataFrame:
+    """Score what the memo lacks, within the budget, in batches of at most `batch` requests. Returns the memo.
+
+    Before a batch its requests are written as attempts, after it its answers: so a run that ends early keeps every batch
+    before, and leaves attempts without answers for the one that it was in. These are not sent again unless the caller asks
+    for it, since nobody knows whether the scorer had them. `stop` or the budget's seconds end the jobs of a batch that is
+    under way, and the run raises Stopped.
     """
     spark = rows.sparkSession
+    deadline = None if budget.seconds is None else time.monotonic() + budget.seconds
+    _still_going(stop, deadline)
     memo = _stored(spark, memo_path, "request_sha256 string, response string")
     tried = _stored(spark, attempts_path, "request_sha256 string, reserved long")
     todo = to_score(synthetic_only(rows), memo)
     if not resend_uncertain:
         todo = todo.join(uncertain(tried, memo), "request_sha256", "left_anti")
     sent, _ = within_budget(todo.where(token_estimate(F.col("request")) <= WINDOW_TOKENS), budget)
+    sent = written(sent, "requests")
     # Named by what is sent, so that a repeated call of the same batch meets the folder it wrote before.
-    keys = sent.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("request_sha256")), ""), 256).alias("k"), F.count(F.lit(1)).alias("n")).first()  # at most budget.attempts keys
-    if not keys["n"]:
-        return memo
-    number = f"{tried.count()}-{keys['k'][:32]}"
-    sent.select("request_sha256", F.octet_length("request").cast("long").alias("reserved"), "request").write.parquet(f"{attempts_path}/batch={number}")
-    frozen = spark.read.parquet(f"{attempts_path}/batch={number}")
-    score(frozen, scorer).write.parquet(f"{memo_path}/batch={number}")
+    keys = sent.agg(F.array_sort(F.collect_list("request_sha256")).alias("k")).first()["k"]  # at most budget.attempts keys
+    before = tried.count()
+    for first in range(0, len(keys), batch or max(1, len(keys))):
+        own = keys[first : first + (batch or len(keys))]
+        _still_going(stop, deadline)
+        number = f"{before + first}-{hashlib.sha256(''.join(own).encode()).hexdigest()[:32]}"
+        with _watched(spark, stop, deadline):
+            mine = sent.where(F.col("request_sha256").between(own[0], own[-1]))
+            mine.select("request_sha256", F.octet_length("request").cast("long").alias("reserved"), "request").write.parquet(f"{attempts_path}/batch={number}")
+            frozen = spark.read.parquet(f"{attempts_path}/batch={number}")
+            score(frozen, scorer).write.parquet(f"{memo_path}/batch={number}")
     return _stored(spark, memo_path, "request_sha256 string, response string")
 
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from cohortloom.functions import stats, text
 from cohortloom.operators import attribution, cases, evaluation, expression, molecular, rules, scoring, spectra, survival, validation
 from cohortloom.plans.registry import _E, _F, _FT, _G, _P, _km_sql, query, rounded
+from cohortloom.operators.tables import shared_dir, written
 from cohortloom.sources import bindings as B
-from cohortloom.sources import exports
+from cohortloom.sources import exports, files
 
 # Texts --------------------------------------------------------------------------------------------------------------
 
@@ -291,3 +295,41 @@ def broad_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = spark.createDataFrame(list(B.BROAD.items()), "class_id string, broad string")
     r, q = evaluation.relabelled(records.where("partition = 'test'"), p, groups)
     return rounded(evaluation.summary(evaluation.scored(r, q.withColumn("p", F.round("p", 9)))).select("eligible", "failed", "top1", "top3"))
+
+
+# Files that Spark writes from the tables and reads again -------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, what: str) -> str:
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+@query("""SELECT 'case-' || conv_id AS case_id, 'f-' || turn AS finding_id, role AS name, sha256(role || chr(10) || '"' || chr(10) || chr(10) || replace(coalesce(text, ''), chr(13), '') || ', end') AS value_sha256, false AS malformed FROM conversations""")
+def quoted_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns written as findings whose cells hold quotes, commas and line breaks, and read again in splits."""
+    path = _folder(spark, "findings")
+    value = F.concat("role", F.lit('\n"\n\n'), F.regexp_replace(F.coalesce("text", F.lit("")), "\r", ""), F.lit(", end"))
+    rows = B.table(spark, sf_dir, "conversations").select(
+        F.concat(F.lit("case-"), "conv_id").alias("case_id"), F.lit("synthetic").alias("data_class"), F.concat(F.lit("f-"), "turn").alias("finding_id"), F.lit("symptom").alias("kind"), F.col("role").alias("name"), value.alias("value"),
+    )
+    rows.write.option("header", True).option("escape", '"').option("quote", '"').csv(path)
+    return files.findings(spark, path).select("case_id", "finding_id", "name", F.sha2("value", 256).alias("value_sha256"), "malformed")
+
+
+_CONTIGS_SQL = """WITH l AS (SELECT event_id, event_id // 1000 AS c, row_number() OVER (PARTITION BY event_id // 1000 ORDER BY event_id) AS position, translate(substr(sha256(event_id::varchar), 2, 1), '0123456789abcdef', 'ACGTACGTACGTACGT') AS base FROM events),
+n AS (SELECT *, lag(base) OVER w AS a, lead(base) OVER w AS b, event_id % 97 = 0 AS lost FROM l WINDOW w AS (PARTITION BY c ORDER BY position))"""
+
+
+@query(f"""{_CONTIGS_SQL} SELECT CASE WHEN lost THEN 'elsewhere' ELSE 'c' || c END AS chromosome, position, CASE WHEN NOT lost THEN a || base || b END AS context, CASE WHEN lost THEN 'not in the index' WHEN a IS NULL OR b IS NULL THEN 'lacks complete context' END AS problem FROM n GROUP BY ALL""")
+def indexed_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A base an event, a contig a thousand numbers: written as FASTA, indexed, and read by place for every event."""
+    path, k = _folder(spark, "contigs"), F.col("event_id")
+    base = F.translate(F.substring(F.sha2(k.cast("string"), 256), 2, 1), "0123456789abcdef", "ACGTACGTACGTACGT")
+    letters = B.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("c"), F.floor(k / 1000)).alias("chromosome"), base.alias("base"))
+    # At most a thousand bases a contig.
+    contigs = letters.groupBy("chromosome").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "base"))), lambda x: x["base"]), "").alias("s"))
+    lines = contigs.select(F.concat(F.lit(">"), "chromosome", F.lit("\n"), F.regexp_replace(F.lower("s"), "(.{60})(?=.)", "$1\n")).alias("value"))
+    lines.write.text(path)
+    asked = letters.withColumn("position", F.row_number().over(W.partitionBy("chromosome").orderBy("event_id")).cast("long"))
+    asked = asked.select(F.when(F.col("event_id") % 97 == 0, "elsewhere").otherwise(F.col("chromosome")).alias("chromosome"), "position")
+    return files.indexed_contexts(asked, written(files.index_of(spark, path), "index"))

@@ -380,7 +380,7 @@ _E = "WITH " + B.PROFILES_SQL
 
 # Cells by a number of their own: some missing, invalid, ambiguous or unmapped, and in some samples one gene twice.
 _CELLS_SQL = """cl AS (SELECT *, sample_id * 64 + substr(gene, 2)::bigint AS k FROM profiles),
-cells AS (SELECT sample_id, k, CASE WHEN sample_id % 7 = 0 AND gene = 'G10' THEN 'G9' ELSE gene END AS original, CASE WHEN k % 43 = 0 THEN 'ambiguous' WHEN k % 47 = 0 THEN 'unmapped' ELSE 'resolved' END AS mapping,
+cells AS (SELECT sample_id, k, CASE WHEN sample_id % 7 = 0 AND gene = 'G10' THEN 'G9' ELSE gene END AS original, CASE WHEN sample_id % 5 = 1 THEN 'resolved' WHEN k % 43 = 0 THEN 'ambiguous' WHEN k % 47 = 0 THEN 'unmapped' ELSE 'resolved' END AS mapping,
   CASE WHEN sample_id % 2 = 0 AND k % 37 = 0 THEN 'missing' WHEN sample_id % 3 = 0 AND k % 41 = 0 THEN 'invalid' ELSE 'measured' END AS status, value FROM cl)"""
 
 
@@ -393,7 +393,7 @@ SELECT sample_id, total, measured, missing, invalid, zero, resolved, ambiguous,
 def expression_qc(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, k, original = F.col("sample_id"), F.col("record"), F.col("original")
     p = B.profiles(spark, sf_dir).select("sample_id", (s * 64 + F.substring("gene", 2, 9).cast("long")).alias("record"), F.when((s % 7 == 0) & (F.col("gene") == "G10"), "G9").otherwise(F.col("gene")).alias("original"), "value")
-    mapping = F.when(k % 43 == 0, "ambiguous").when(k % 47 == 0, "unmapped").otherwise("resolved")
+    mapping = F.when(s % 5 == 1, "resolved").when(k % 43 == 0, "ambiguous").when(k % 47 == 0, "unmapped").otherwise("resolved")
     status = F.when((s % 2 == 0) & (k % 37 == 0), "missing").when((s % 3 == 0) & (k % 41 == 0), "invalid").otherwise("measured")
     rows = p.withColumn("mapping", mapping).withColumn("status", status)
     gene = F.when(F.col("mapping") == "resolved", F.when((s % 11 == 0) & (original == "G20"), "G21").otherwise(original))

@@ -6,13 +6,17 @@ before any shuffle, with the header as record 1, so that an issue points to its
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from cohortloom.operators.running import running
+from cohortloom.operators.tables import written
 
 # Columns of a findings table.
 FINDING_COLUMNS = [
@@ -32,6 +36,8 @@ LINE_BYTES = 16 << 10
 SOURCE_BYTES = 64 << 20
 SAMPLES_MOST = 512
 LINES_A_BLOCK = 1 << 16
+SPLITS_SENT = 100_000
+WINDOW_BYTES = 1 << 16
 
 
 class SourceError(ValueError):
@@ -65,42 +71,90 @@ def _columns(line: str, sep: str) -> list[str]:
     return names
 
 
-def numbered(rows: DataFrame, first: int = 1) -> DataFrame:
-    """Adds `record`: the place of each row of one text file, whatever splits it is read in.
+def numbered(rows: DataFrame, first: int = 1, file: str | None = None) -> DataFrame:
+    """Adds `record`: the place of each row in its text file, whatever splits it is read in; and the file's path, if a name is given for it.
 
-    A split's rows are in order and its start is known, so the splits' counts give what comes before each: one job over
-    them, whose result is one number a split.
+    A split's rows are in order and its start is known, so the splits' counts give what comes before each: one row a split,
+    summed by file, and sent along only while they are few.
     """
     placed = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__id"))
-    splits = placed.groupBy("__file", "__start").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("low"))
-    before, found = {}, sorted((r["__file"], r["__start"], r["n"], r["low"]) for r in splits.collect())
-    total: dict[str, int] = {}
-    for file, start, n, low in found:
-        before[file, start] = total.get(file, 0) - low + first
-        total[file] = total.get(file, 0) + n
-    spark = rows.sparkSession
-    moves = spark.createDataFrame([(*k, v) for k, v in before.items()], "__file string, __start long, __move long")
-    # One row a split.
-    return placed.join(F.broadcast(moves), ["__file", "__start"]).withColumn("record", F.col("__id") + F.col("__move")).drop("__file", "__start", "__id", "__move")
-
-
-def _table(spark: SparkSession, path: str, sep: str, names: list[str], comment: str | None = None, multiline: bool = False) -> DataFrame:
-    """All columns as text, with `record` and `malformed` (rows of another width).
-
-    `record` is the line in the file, header and comments included. Cells with line breaks need `multiline`, which reads a
-    file in one task and numbers rows instead of lines: it is for tables of a bounded size.
+    splits = placed.groupBy("__file", "__start").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__low"))
+    before = W.partitionBy("__file").orderBy("__start").rowsBetween(W.unboundedPreceding, -1)  # one row a split
+    moves = written(splits.select("__file", "__start", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__low") + first).alias("__move")), "splits")
+    moves = F.broadcast(moves) if moves.limit(SPLITS_SENT + 1).count() <= SPLITS_SENT else moves
+    out = placed.join(moves, ["__file", "__start"]).withColumn("record", F.col("__id") + F.col("__move"))
+    return (out.withColumn(file, F.col("__file")) if file else out).drop("__file", "__start", "__id", "__move")
+
+
+def _line_ends(value: Column) -> tuple[Column, Column]:
+    """Whether a quoted cell is open after a line of CSV, if none was open before it, and if one was.
+
+    A quote opens a cell only as its first character, a doubled quote stays inside, and what follows a closing quote up to
+    the comma belongs to the cell.
     """
-    schema = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField("__bad", T.StringType())])
-    if multiline:
-        reader = spark.read.schema(schema).option("header", True).option("sep", sep).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__bad").option("enforceSchema", True)
-        rows = reader.option("multiLine", True).csv(path)
-        return rows.select("*", (F.monotonically_increasing_id() + 2).alias("record"), F.col("__bad").isNotNull().alias("malformed")).drop("__bad")
+    tail = lambda v: F.regexp_replace(v, r'\A(?:(?:"(?:[^"]++|"")*+"[^,]*+|[^",][^,]*+)?+,)*+', "")
+    opened = lambda v: F.rlike(tail(v), F.lit(r'\A"(?:[^"]++|"")*+\z'))
+    closed = F.rlike(value, F.lit(r'\A(?:[^"]++|"")*+"'))
+    rest = F.regexp_replace(value, r'\A(?:[^"]++|"")*+"[^,]*+', "")
+    return opened(value), ~closed | ((rest != "") & opened(F.substring(rest, F.lit(2), F.length(rest))))
+
+
+def _carried(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Adds what comes before each row of a group: __set (the last settled state, else null) and __odd (whether it was flipped since).
+
+    Each row settles a state (`fix` true or false) or leaves it (`fix` null, `flip` false) or turns it round (`flip` true).
+    """
+    here = W.partitionBy(*by).orderBy(order)
+    so_far = F.sum(F.col("flip").cast("long")).over(here.rowsBetween(W.unboundedPreceding, 0))
+    counted = rows.withColumn("__flips", so_far)
+    past = here.rowsBetween(W.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("fix").isNotNull(), F.struct("fix", "__flips")), ignorenulls=True).over(past)
+    flips = F.coalesce(F.max("__flips").over(past), F.lit(0)) - F.coalesce(last["__flips"], F.lit(0))
+    return counted.withColumn("__set", last["fix"]).withColumn("__odd", flips % 2 == 1).drop("__flips")
+
+
+def csv_records(lines: DataFrame, block: int | None = None) -> DataFrame:
+    """(path, record, text) of the records of CSV files from their lines (path, record, value): quoted cells may hold line breaks.
+
+    Whether a line starts inside a quoted cell follows from all lines before it. Every line either settles that, keeps it
+    or turns it round, whichever it was; these compose, so blocks of lines are summed up, the blocks run along the file (a
+    row each), and each line takes its block's state. Lines that are records of their own are not moved; only those of a
+    record with line breaks come together. Blank lines are no records; records are numbered from 1, with the header.
+    """
+    free, inside = _line_ends(F.col("value"))
+    at = lines.select("path", "record", "value", F.floor(F.col("record") / (block or LINES_A_BLOCK)).alias("__block"), free.alias("__free"), inside.alias("__inside"))
+    same = F.col("__free") == F.col("__inside")
+    kinds = at.withColumn("fix", F.when(same, F.col("__free"))).withColumn("flip", ~same & F.col("__free"))
+    local = _carried(kinds, ["path", "__block"], "record")
+    ends = local.groupBy("path", "__block").agg(F.max_by(F.struct("__set", "__odd", "fix", "flip"), "record").alias("e"))
+    done = F.coalesce(F.col("e.fix"), F.col("e.__set") != (F.col("e.__odd") != F.col("e.flip")))
+    blocks = ends.select("path", "__block", done.alias("fix"), (F.col("e.fix").isNull() & F.col("e.__set").isNull() & (F.col("e.__odd") != F.col("e.flip"))).alias("flip"))
+    # One row a block of lines.
+    starts = _carried(blocks, ["path"], "__block").select("path", "__block", (F.coalesce("__set", F.lit(False)) != F.col("__odd")).alias("__start"))
+    state = F.coalesce("__set", F.col("__start")) != F.col("__odd")
+    stated = local.join(starts, ["path", "__block"]).withColumn("__in", state)
+    after = F.when(F.col("__in"), F.col("__inside")).otherwise(F.col("__free"))
+    marked = stated.select("path", F.col("record").alias("line"), "value", "__block", "__in", after.alias("__open")).where(F.col("__in") | (F.trim(F.regexp_replace("value", "\r$", "")) != ""))
+    begun = running(marked.withColumn("__one", (~F.col("__in")).cast("double")), ["path"], F.col("__block"), "line", {"__record": "__one"})
+    begun = begun.withColumn("record", F.col("__record").cast("long"))
+    whole = begun.where(~F.col("__in") & ~F.col("__open")).select("path", "record", F.col("value").alias("text"))
+    parts = begun.where(F.col("__in") | F.col("__open")).groupBy("path", "record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "value"))), lambda x: x["value"]), "\n").alias("text"))
+    return whole.unionByName(parts)
+
+
+def _table(spark: SparkSession, path: str, sep: str, names: list[str], comment: str | None = None) -> DataFrame:
+    """All columns as text, with `record` (the line in the file, header and comments included) and `malformed` (rows of another width)."""
     lines = numbered(spark.read.text(path))
     said = lines.where(~F.startswith("value", F.lit(comment))) if comment else lines
     top = said.agg(F.min("record")).first()[0]
     body = said.where((F.col("record") > (top or 0)) & (F.trim("value") != ""))
-    options = {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}
-    parsed = body.select("record", F.from_csv(F.regexp_replace("value", r"\r$", ""), _ddl(schema), options).alias("r"))
+    return _parsed(body.select("record", F.regexp_replace("value", r"\r$", "").alias("text")), sep, names)
+
+
+def _parsed(rows: DataFrame, sep: str, names: list[str], options: dict | None = None) -> DataFrame:
+    schema = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField("__bad", T.StringType())])
+    options = {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"} | (options or {})
+    parsed = rows.select("record", F.from_csv("text", _ddl(schema), options).alias("r"))
     return parsed.select("r.*", "record").withColumn("malformed", F.col("__bad").isNotNull()).drop("__bad")
 
 
@@ -109,11 +163,18 @@ def _ddl(schema: T.StructType) -> str:
 
 
 def findings(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Rows of a findings table, all 19 columns, absent ones null."""
+    """Rows of a findings table, all 19 columns, absent ones null; `record` is the record's number, 1 for the header.
+
+    Quoted cells may hold line breaks (`csv_records`); a file is read in as many splits as it has.
+    """
     names = _columns(header(spark, path), sep)
     if set(names) - set(FINDING_COLUMNS) or set(FINDING_REQUIRED) - set(names):
         raise SourceError("unknown or missing columns")
-    rows = _table(spark, path, sep, names, multiline=True)
+    if sep == ",":
+        records = csv_records(numbered(spark.read.option("lineSep", "\n").text(path), file="path"))
+        rows = _parsed(records.where("record > 1").select("record", F.regexp_replace("text", r"\r\z", "").alias("text")), sep, names, {"escape": '"', "multiLine": "true"})
+    else:
+        rows = _table(spark, path, sep, names)
     return rows.select(*[(F.col(c) if c in names else F.lit(None).cast("string").alias(c)) for c in FINDING_COLUMNS], "record", "malformed")
 
 
@@ -327,3 +388,71 @@ def index_problems(spark: SparkSession, path: str, index: str) -> DataFrame:
     both = fasta_index(spark, index).select("chromosome", F.col("length").alias("said")).join(contigs.select("chromosome", "length"), "chromosome", "full_outer")
     problem = F.when(F.col("said").isNull(), "not in the index").when(F.col("length").isNull(), "not in the sequence").when(F.col("said") != F.col("length"), "another length")
     return both.select("chromosome", problem.alias("problem")).where("problem is not null")
+
+
+def index_of(spark: SparkSession, path: str) -> DataFrame:
+    """(path, chromosome, length, offset, line_bases, line_bytes) of the contigs of FASTA files, one or a folder of them; an odd line width is an error when read.
+
+    A line's place in bytes is a running sum over its file in blocks of lines.
+    """
+    lines = numbered(spark.read.option("lineSep", "\n").text(path), file="path")
+    sized = lines.select("path", "record", F.startswith("value", F.lit(">")).alias("head"), F.regexp_extract("value", r"\A>\s*(\S+)", 1).alias("name"), F.octet_length("value").alias("n"), F.length(F.regexp_replace("value", r"\s", "")).alias("bases"))
+    sized = sized.withColumn("__n", (F.col("n") + 1).cast("double")).withColumn("__h", F.col("head").cast("double"))
+    run = running(sized, ["path"], F.floor(F.col("record") / LINES_A_BLOCK), "record", {"__end": "__n", "__contig": "__h"})
+    body = run.where("not head and bases > 0").groupBy("path", "__contig").agg(F.sum("bases").cast("long").alias("length"), F.min_by(F.struct("bases", "n"), "record").alias("first"), F.max("record").alias("last"), F.max("bases").alias("widest"))
+    heads = run.where("head").select("path", "__contig", "name", F.col("__end").cast("long").alias("offset"))
+    # All lines but a contig's last must be as wide as its first.
+    odd = run.where("not head and bases > 0").join(body, ["path", "__contig"]).where((F.col("record") < F.col("last")) & (F.col("bases") != F.col("first.bases"))).select("path", "__contig", F.lit(True).alias("odd")).distinct()
+    both = heads.join(body, ["path", "__contig"]).join(odd, ["path", "__contig"], "left")
+    wrong = F.coalesce(F.col("odd"), F.lit(False)) | (F.col("widest") > F.col("first.bases"))
+    length = F.when(wrong, F.raise_error(F.lit("lines of a contig differ in width")).cast("long")).otherwise(F.col("length"))
+    return both.select("path", F.col("name").alias("chromosome"), length.alias("length"), "offset", F.col("first.bases").cast("long").alias("line_bases"), (F.col("first.n") + 1).cast("long").alias("line_bytes"))
+
+
+class Windows:
+    """Bytes of files by place, read in windows; `read` counts the bytes that were asked for."""
+
+    def __init__(self, size: int):
+        self.size, self.read, self.path, self.start, self.data, self.file = size, 0, None, -1, b"", None
+
+    def bytes_at(self, path: str, places: list[int]) -> bytes | None:
+        """The bytes at rising places that lie close together; None beyond the end of the file."""
+        window = places[0] // self.size * self.size
+        if path != self.path:
+            from pyarrow import fs
+
+            system, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+            self.path, self.start, self.file = path, -1, system.open_input_file(inner)
+        if window != self.start or places[-1] >= window + len(self.data):
+            more = max(self.size, places[-1] + 1 - window)
+            self.start, self.data = window, self.file.read_at(more, window)
+            self.read += len(self.data)
+        found = bytes(self.data[p - window] for p in places if p - window < len(self.data))
+        return found if len(found) == len(places) else None
+
+
+def indexed_contexts(positions: DataFrame, index: DataFrame, window: int = WINDOW_BYTES) -> DataFrame:
+    """(chromosome, position, context, problem) of distinct positions: the base and both neighbours, read by place from the files that the index names.
+
+    index: (path, chromosome, length, offset, line_bases, line_bytes). Distinct positions are dealt by file and window of
+    bytes, and a task reads the windows that hold its positions and nothing else; a window has no more positions than bytes.
+    A position off the contig's inside, or on a contig that the index lacks, has a problem and no context.
+    """
+    few = index.limit(SPLITS_SENT + 1).count() <= SPLITS_SENT
+    asked = positions.select("chromosome", "position").distinct().join(F.broadcast(index) if few else index, "chromosome", "left")
+    problem = F.when(F.col("length").isNull(), "not in the index").when((F.col("position") < 2) | (F.col("position") >= F.col("length")), "lacks complete context")
+    place = lambda k: F.expr(f"offset + (position - {k}) div line_bases * line_bytes + (position - {k}) % line_bases")
+    placed = asked.withColumn("problem", problem).withColumn("__window", F.when(problem.isNull(), F.expr(f"(offset + (position - 2) div line_bases * line_bytes + (position - 2) % line_bases) div {window}")))
+    good = placed.where("problem is null").select("path", "chromosome", "position", "__window", *[place(k).alias(f"__{2 - k}") for k in (2, 1, 0)])
+    dealt = good.repartition("path", "__window").sortWithinPartitions("path", "__window", "__0")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files = Windows(window)
+        for batch in batches:
+            found = [files.bytes_at(path, [a, b, c]) for path, a, b, c in zip(batch["path"], batch["__0"], batch["__1"], batch["__2"])]
+            text = [None if x is None else x.decode("ascii", "replace").upper() for x in found]
+            yield pd.DataFrame({"chromosome": batch["chromosome"], "position": batch["position"], "context": text, "problem": [None if x else "beyond the file" for x in text]})
+
+    kind = positions.schema["chromosome"].dataType.simpleString()
+    read_rows = dealt.mapInPandas(read, f"chromosome {kind}, position long, context string, problem string")
+    return read_rows.unionByName(placed.where("problem is not null").select("chromosome", F.col("position").cast("long").alias("position"), F.lit(None).cast("string").alias("context"), "problem"))
