@@ -61,6 +61,31 @@ def synthetic_only(rows: DataFrame) -> DataFrame:
     return rows.where(F.when(F.col("data_class") == "synthetic", True).otherwise(F.raise_error(F.lit("only synthetic data may be scored")).cast("boolean")))
 
 
+def plain(text: Column) -> Column:
+    """Lower-case words of a text with a blank on each side, whatever parted them."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), F.lit(" "))
+
+
+def leaks(requests: DataFrame, secrets: DataFrame, case: str = "case_id") -> DataFrame:
+    """(columns of requests but the text, kind, value) of identifiers and labels of its own case that a request spells out.
+
+    requests: (case, ..., request); secrets: (case, kind, value), a bounded list for each case. A value is found as whole
+    words, in either case and whatever parts them. One join by case and one pass over each text for all its values.
+    """
+    own = secrets.where("value is not null").groupBy(F.col(case).alias("__case")).agg(F.collect_set(F.struct("kind", "value", plain(F.col("value")).alias("words"))).alias("__own"))
+    text = requests.join(own, F.col(case) == F.col("__case")).withColumn("__text", plain(F.col("request")))
+    found = F.filter("__own", lambda s: (s["words"] != "  ") & F.contains(F.col("__text"), s["words"]))
+    rest = [c for c in requests.columns if c != "request"]
+    return text.select(*rest, F.explode(found).alias("__x")).select(*rest, F.col("__x.kind").alias("kind"), F.col("__x.value").alias("value"))
+
+
+def without_leaks(requests: DataFrame, secrets: DataFrame, case: str = "case_id") -> DataFrame:
+    """The requests; refused with the first leak found, before anything is sent."""
+    for found in leaks(requests, secrets, case).limit(1).collect():
+        raise ValueError(f"a request of {found[case]} holds its {found['kind']}")
+    return requests
+
+
 def to_score(rows: DataFrame, memo: DataFrame) -> DataFrame:
     """Distinct requests without an answer."""
     return rows.select("request_sha256", "request").dropDuplicates(["request_sha256"]).join(memo, "request_sha256", "left_anti")

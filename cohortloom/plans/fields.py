@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cohortloom.functions import stats, text
-from cohortloom.operators import attribution, cases, evaluation, expression, molecular, rules, scoring, spectra, survival, validation
+from cohortloom.operators import attribution, cases, evaluation, expression, molecular, rules, scoring, spectra, survival, validation, values
 from cohortloom.plans.registry import _E, _F, _FT, _G, _P, _km_sql, query, rounded
 from cohortloom.operators.tables import shared_dir, written
 from cohortloom.sources import bindings as B
@@ -333,3 +333,48 @@ def indexed_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = letters.withColumn("position", F.row_number().over(W.partitionBy("chromosome").orderBy("event_id")).cast("long"))
     asked = asked.select(F.when(F.col("event_id") % 97 == 0, "elsewhere").otherwise(F.col("chromosome")).alias("chromosome"), "position")
     return files.indexed_contexts(asked, written(files.index_of(spark, path), "index"))
+
+
+# Values, archives and leaks -----------------------------------------------------------------------------------------
+
+_MODES = ["mutation", "copy_number", "signature", "demographic", "expression", "ihc", "histology"]
+
+
+@query("""WITH e AS (SELECT event_id AS k, (['number', 'category', 'mutation', 'copy_number', 'signature', 'vector', 'age'])[event_id % 7 + 1] AS kind, (['mutation', 'copy_number', 'signature', 'demographic', 'expression', 'ihc', 'histology'])[(event_id // 7) % 7 + 1] AS mode, event_id // 49 AS r FROM events),
+v AS (SELECT *, CASE WHEN r % 5 = 0 THEN 'nan'::double ELSE (r % 9 - 2) / 2.0 END AS number, CASE WHEN r % 11 = 0 THEN ' ' WHEN r % 3 = 0 THEN 'fraction' ELSE 'u' END AS units, CASE WHEN r % 6 = 0 THEN 'a b' ELSE 'G-' || r END AS gene, r % 4 AS position, CASE WHEN r % 8 = 0 THEN 'N' ELSE 'AC' END AS ref, CASE WHEN r % 10 = 0 THEN 'AC' ELSE 'T' END AS alt,
+  r % 7 - 3 AS call, CASE WHEN r % 4 = 0 THEN 'DBS1' ELSE 'SBS1' END AS sig, r % 140 AS years, r % 5 AS size, CASE WHEN r % 9 = 0 THEN 'x' ELSE sha256(k::varchar) END AS sha, k % 13 <> 0 AS observed, k % 17 <> 0 AS there FROM e),
+f AS (SELECT *, CASE kind WHEN 'number' THEN mode IN ('expression', 'ihc', 'copy_number', 'mutation') WHEN 'category' THEN mode IN ('ihc', 'histology', 'demographic') WHEN 'vector' THEN mode IN ('expression', 'signature') WHEN 'age' THEN mode = 'demographic' ELSE mode = kind END AS fit,
+  CASE kind WHEN 'number' THEN r % 5 <> 0 AND r % 11 <> 0 AND (mode <> 'mutation' OR (number >= 0 AND number = floor(number))) WHEN 'category' THEN r % 11 <> 0 WHEN 'mutation' THEN r % 6 <> 0 AND position > 0 AND ref <> alt AND ref <> 'N' WHEN 'copy_number' THEN r % 6 <> 0 AND abs(call) <= 2
+    WHEN 'signature' THEN sig = 'SBS1' AND r % 5 <> 0 AND number >= 0 AND r % 11 <> 0 AND position > 0 AND (units <> 'fraction' OR number <= 1) WHEN 'vector' THEN size > 0 AND r % 11 <> 0 AND r % 9 <> 0 AND r % 6 <> 0 AND r % 5 <> 0 ELSE years <= 120 END AS ok FROM v),
+p AS (SELECT k AS event_id, CASE WHEN observed AND NOT there THEN 'observed without a value' WHEN NOT observed AND there THEN 'a value that was not observed' WHEN there AND NOT fit THEN 'kind does not fit the modality' WHEN there AND NOT ok THEN 'out of bounds' END AS problem FROM f)
+SELECT * FROM p WHERE problem IS NOT NULL""")
+def value_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as features of all kinds in all modalities, with faults in every field that the event's number names."""
+    k, r = F.col("event_id"), F.floor(F.col("event_id") / 49)
+    at = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
+    number = F.when(r % 5 == 0, float("nan")).otherwise((r % 9 - 2) / 2.0)
+    text = F.when(r % 11 == 0, " ").when(r % 3 == 0, "fraction").otherwise("u")
+    name = F.when(r % 6 == 0, "a b").otherwise(F.concat(F.lit("G-"), r))
+    entries = F.when(r % 5 == 0, F.create_map().cast("map<string,double>")).otherwise(F.create_map(name, number))
+    value = values.tagged(
+        at(list(values.FITS), k), number=number, units=text, text=text, gene=name, chromosome=F.lit("1"), position=r % 4, reference=F.when(r % 8 == 0, "N").otherwise("AC"), alternate=F.when(r % 10 == 0, "AC").otherwise("T"), consequence=F.lit("missense"),
+        call=r % 7 - 3, signature=F.when(r % 4 == 0, "DBS1").otherwise("SBS1"), catalogue=F.lit("c"), method=F.lit("m"), mutation_count=r % 4, entries=entries, reference_sha256=F.when(r % 9 == 0, "x").otherwise(F.sha2(k.cast("string"), 256)),
+        years=r % 140, is_bound=F.lit(False),
+    )
+    rows = B.table(spark, sf_dir, "events").select("event_id", at(_MODES, F.floor(k / 7)).alias("modality"), F.when(k % 13 != 0, "observed").otherwise("not_tested").alias("status"), F.when(k % 17 != 0, value).alias("value"))
+    return values.problems(rows, ["event_id"])
+
+
+@query("""WITH c AS (SELECT conv_id, turn, coalesce(text, '') || CASE WHEN (conv_id + turn) % 9 = 0 THEN ' see Case/' || conv_id || '.' ELSE '' END || CASE WHEN (conv_id * 3 + turn) % 11 = 0 THEN ' (P ' || (conv_id // 3) || ')' ELSE '' END || CASE WHEN turn % 4 = 3 THEN ' TYPE  ' || (conv_id % 5) || '!' ELSE '' END AS request FROM conversations),
+n AS (SELECT *, ' ' || trim(regexp_replace(lower(request), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM c), s AS (SELECT conv_id, turn, t, unnest(['case', 'patient', 'truth']) AS kind, unnest(['case-' || conv_id, 'p-' || (conv_id // 3), 'Type ' || (conv_id % 5)]) AS value FROM n)
+SELECT conv_id, turn, kind, value FROM s WHERE contains(t, ' ' || regexp_replace(lower(value), '[^a-z0-9]+', ' ', 'g') || ' ')""")
+def request_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as requests, some of which spell out their own case, patient or class in another way of writing."""
+    c, t, said = F.col("conv_id"), F.col("turn"), lambda when, x: F.when(when, x).otherwise("")
+    rows = B.table(spark, sf_dir, "conversations")
+    asked = rows.select("conv_id", "turn", F.concat(
+        F.coalesce("text", F.lit("")), said((c + t) % 9 == 0, F.concat(F.lit(" see Case/"), c, F.lit("."))), said((c * 3 + t) % 11 == 0, F.concat(F.lit(" (P "), F.floor(c / 3), F.lit(")"))), said(t % 4 == 3, F.concat(F.lit(" TYPE  "), c % 5, F.lit("!"))),
+    ).alias("request"))
+    kinds = {"case": F.concat(F.lit("case-"), c), "patient": F.concat(F.lit("p-"), F.floor(c / 3)), "truth": F.concat(F.lit("Type "), c % 5)}
+    secrets = rows.select("conv_id").distinct().select("conv_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in kinds.items()])).alias("x")).select("conv_id", "x.*")
+    return scoring.leaks(asked, secrets, "conv_id")

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortloom.operators.attribution import MOST_EXACT, exact
 from cohortloom.functions.text import fingerprint
 from cohortloom.sources import bundles
 from cohortloom.sources.bundles import BundleError
@@ -154,7 +155,32 @@ def kind_of(spark: SparkSession, path: str) -> str:
     return json.loads(spark.read.text(f"{path}/_manifest").first()[0])["kind"]
 
 
-_OPEN: dict[str, Callable[[SparkSession, str], dict]] = {"inference": open_run}
+TOLERANCE = 1e-9
+
+
+def export_attribution(values: DataFrame, contributions: DataFrame, names: list[str], path: str) -> dict:
+    """An exact attribution that can be opened again: scored coalitions (mask, value), contributions (feature, contribution) and the groups by bit."""
+    spark = values.sparkSession
+    groups = spark.createDataFrame(list(enumerate(names)), "bit int, feature string")
+    return bundles.write({"values": values.select("mask", "value"), "contributions": contributions.select("feature", "contribution"), "groups": groups}, path, "attribution", keys={"values": ["mask"], "contributions": ["feature"]})
+
+
+def open_attribution(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Tables of `export_attribution`; refused where a part differs from the manifest, coalitions are missing, or the contributions don't follow from the values."""
+    found = bundles.read(spark, path, "attribution")
+    names = [r["feature"] for r in found["groups"].orderBy("bit").limit(MOST_EXACT + 1).collect()]
+    have = found["values"].agg(F.count_distinct("mask").alias("n"), F.count(F.lit(1)).alias("all"), F.min("mask").alias("low"), F.max("mask").alias("high")).first()
+    if not 1 <= len(names) <= MOST_EXACT or (have["n"], have["all"], have["low"], have["high"]) != (1 << len(names), 1 << len(names), 0, (1 << len(names)) - 1):
+        raise BundleError("the coalitions are not complete")
+    again = exact(found["values"], names).withColumnRenamed("contribution", "__again")
+    both = found["contributions"].join(again, "feature", "full_outer")
+    odd = both.where(~F.coalesce(F.abs(F.col("contribution") - F.col("__again")) <= TOLERANCE * F.greatest(F.lit(1.0), F.abs("__again")), F.lit(False)))
+    for row in odd.orderBy("feature").limit(1).collect():
+        raise BundleError(f"the contribution of {row['feature']} does not follow from the scored coalitions")
+    return found
+
+
+_OPEN: dict[str, Callable[[SparkSession, str], dict]] = {"inference": open_run, "attribution": open_attribution}
 
 
 def open_any(spark: SparkSession, path: str) -> tuple[str, dict[str, DataFrame]]:
