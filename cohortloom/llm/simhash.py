@@ -44,6 +44,8 @@ SAMPLE, COMMON, TILE = 16, 200_000, 512
 SALTS, ROUNDS, SKETCH = 64, 3, 64
 # Rows of numbers that may be broadcast once they have been counted.
 BROADCAST_ROWS = 2_000_000
+# Pairs of one text beyond which they are dealt to several tasks.
+HUB = 4096
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -393,10 +395,30 @@ def _shared_at_most(a: bytes, b: bytes) -> int:
     return int(np.minimum(x, y).sum(dtype=np.int64))
 
 
-def _within_sketches(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+def hubs_of(pairs: DataFrame, most: int = HUB) -> DataFrame | None:
+    """(node, salts) of nodes in more than `most` pairs, as the text that a family of copies is tied to; None if there are none."""
+    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
+    many = saved(ends.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("node", F.ceil(F.col("n") / most).cast("int").alias("salts")), "hubs")
+    return many if many.limit(1).count() else None
+
+
+def joined_end(pairs: DataFrame, end: str, side: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """pairs joined with `side` (node and more columns) on one end. A hub's pairs are dealt to as many tasks as it has salts, its row to each."""
+    named = side.withColumnRenamed("node", end)
+    if hubs is None:
+        return pairs.join(named, end)
+    hubs = F.broadcast(hubs) if hubs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else hubs
+    known = hubs.withColumnRenamed("node", end).withColumnRenamed("salts", "__salts")
+    salts = F.coalesce("__salts", F.lit(1))
+    dealt = pairs.join(known, end, "left").withColumn("__salt", F.pmod(F.xxhash64("a", "b"), salts).cast("int")).drop("__salts")
+    sent = named.join(known, end, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    return dealt.join(sent, [end, "__salt"]).drop("__salt")
+
+
+def _within_sketches(pairs: DataFrame, sketches: DataFrame, similarity: float, hubs: DataFrame | None = None) -> DataFrame:
     """The pairs whose sketches allow the similarity."""
-    one = lambda end: sketches.select(F.col("node").alias(end), F.col("sketch").alias(f"s{end}"), F.col("n").alias(f"n{end}"))
-    both = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "sa", "sb", "na", "nb")
+    one = lambda end: sketches.select("node", F.col("sketch").alias(f"s{end}"), F.col("n").alias(f"n{end}"))
+    both = joined_end(joined_end(pairs, "a", one("a"), hubs), "b", one("b"), hubs).select("a", "b", "sa", "sb", "na", "nb")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -440,12 +462,13 @@ def _sets_of_ends(texts: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
 
 def verified_pairs(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
     """The pairs whose sets of shingles are alike: first by their sketches, then, for those left, by their whole sets."""
-    left = saved(_within_sketches(pairs, texts.select("node", "n", "sketch"), similarity), "pairs")
+    hubs = hubs_of(pairs)
+    left = saved(_within_sketches(pairs, texts.select("node", "n", "sketch"), similarity, hubs), "pairs")
     parts = saved(_sets_of_ends(texts, left, size), "parts")
-    both = left.join(parts.select(F.col("node").alias("a"), F.col("parts").alias("pa")), "a").join(parts.select(F.col("node").alias("b"), F.col("parts").alias("pb")), "b")
+    both = joined_end(joined_end(left, "a", parts.withColumnRenamed("parts", "pa"), hubs), "b", parts.withColumnRenamed("parts", "pb"), hubs)
     common = F.size(F.array_intersect("pa", "pb"))
     out = saved(both.where(common >= similarity * (F.size("pa") + F.size("pb") - common)).select("a", "b"), "alike")
-    dropped(parts, left)
+    dropped(parts, left, *([hubs] if hubs is not None else []))
     return out
 
 
@@ -461,7 +484,8 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, size: int =
     digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
     named = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), digest.alias("digest"))
     texts = named.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("text").alias("text"))
-    texts = saved(with_sketches(texts.select("digest", "least", "text", F.xxhash64("digest").alias("node")), size), "texts")
+    # Numbered as they are written, so no two texts have one number.
+    texts = saved(with_sketches(texts.select("digest", "least", "text", F.monotonically_increasing_id().alias("node")), size), "texts")
     met = saved(shared_keys(shared_prefixes(texts, similarity, size)), "met")
     rooted = links = tested = None
 

@@ -178,3 +178,26 @@ def test_stage_columns(spark):
     assert corpus_pipeline.quality_stage(spark, df, "").columns == df.columns
     r = corpus_pipeline.token_stage(spark, spark.createDataFrame([(1, None, None, None, None)], DOCS), "").first()
     assert r["n_tokens"] == 0 and r["ids_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_a_hub_is_dealt_to_many_tasks(spark):
+    """A family of 20,000 copies tied to one text: the join gives every pair once, and no task's key has more than a few blocks."""
+    from pyspark.sql import functions as F
+
+    pairs = spark.range(1, 20_001).selectExpr("id as a", "0L as b").unionAll(spark.range(30_000, 30_100).selectExpr("id as a", "id - 1 as b"))
+    side = spark.range(40_000).selectExpr("id as node", "id * 2 as v")
+    hubs = simhash.hubs_of(pairs)
+    assert [tuple(r) for r in hubs.collect()] == [(0, 5)] and simhash.hubs_of(pairs.where("b > 0")) is None
+    got = simhash.joined_end(pairs, "b", side, hubs)
+    assert got.count() == 20_100 and got.where("v <> 2 * b").count() == 0 and got.distinct().count() == 20_100
+    salt = F.pmod(F.xxhash64("a", "b"), F.lit(5))
+    assert pairs.where("b = 0").groupBy(salt).count().agg(F.max("count")).first()[0] < 1.1 * simhash.HUB
+
+
+def test_hubs_change_nothing(spark, monkeypatch):
+    df = frame(spark)
+    rows = lambda d: sorted(map(str, d.collect()))
+    plain = rows(simhash.without_near_duplicates(sample(spark).unionByName(df)))
+    found = simhash.hubs_of
+    monkeypatch.setattr(simhash, "hubs_of", lambda pairs: found(pairs, 1))
+    assert rows(simhash.without_near_duplicates(sample(spark).unionByName(df))) == plain
