@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions.stats import ratio
-from cohortloom.operators.tables import row_numbers
+from cohortloom.operators.tables import row_numbers, small
 
 # The SplitMix64 generator.
 INCREMENT = 0x9E3779B97F4A7C15
@@ -96,7 +96,7 @@ def replicate_measures(rows: DataFrame, classes: DataFrame, replicates: int = 20
     """
     if not 100 <= replicates <= 1000:
         raise ValueError("100 to 1,000 replicates")
-    known = F.broadcast(classes.select(F.col("class_id").alias("predicted"), F.lit(True).alias("__known")))
+    known = small(classes.select(F.col("class_id").alias("predicted"), F.lit(True).alias("__known")))
     cells = rows.join(known, "predicted", "left").groupBy("patient_group_id", "truth", F.when(F.col("__known"), F.col("predicted")).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
     numbered = row_numbers(rows.select("patient_group_id").distinct(), ["patient_group_id"], "cluster")
     size = numbered.count()

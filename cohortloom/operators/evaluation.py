@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cohortloom.functions.stats import ratio
-from cohortloom.operators.tables import written
+from cohortloom.operators.tables import small, written
 
 PARTITIONS = ("development", "calibration", "test")
 FAILED = "__failed__"
@@ -171,7 +171,7 @@ def strata(rows: DataFrame, classes: DataFrame, outcomes: DataFrame) -> DataFram
 
 def relabelled(records: DataFrame, probabilities: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Classes replaced by their broad group (groups: class_id, broad; those without keep their own id), probabilities summed."""
-    to = F.broadcast(groups.select("class_id", "broad"))
+    to = small(groups.select("class_id", "broad"))
     p = probabilities.join(to, "class_id", "left").groupBy("sample_id", F.coalesce("broad", "class_id").alias("class_id")).agg(F.sum("p").alias("p"))
     r = records.join(to.withColumnRenamed("class_id", "truth"), "truth", "left").withColumn("truth", F.coalesce("broad", "truth")).drop("broad")
     return r, p

@@ -40,3 +40,11 @@ def row_numbers(df: DataFrame, order: list[str], name: str) -> DataFrame:
     before = W.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # one row a range
     starts = totals.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     return placed.withColumn("__part", part).join(F.broadcast(starts), "__part").withColumn(name, own + F.col("__start")).drop("__part", "__at", "__start")
+
+
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """A table to be sent along with the tasks if its counted rows are few, and joined by a shuffle if they are not."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

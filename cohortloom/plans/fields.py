@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cohortloom.functions import stats, text
-from cohortloom.operators import attribution, cases, evaluation, expression, molecular, rules, scoring, spectra, survival, validation, values
+from cohortloom.operators import attribution, cases, evaluation, expression, molecular, releases, rules, scoring, spectra, survival, validation, values
 from cohortloom.plans.registry import _E, _F, _FT, _G, _P, _km_sql, query, rounded
 from cohortloom.operators.tables import shared_dir, written
 from cohortloom.sources import bindings as B
@@ -235,7 +235,8 @@ def attribution_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_SHARES} SELECT feature, row_number() OVER (ORDER BY abs(contribution) DESC, feature)::int AS position FROM c QUALIFY position < 3 OR feature = (SELECT feature FROM c ORDER BY abs(contribution), feature DESC LIMIT 1)")
 def figure_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = attribution.by_magnitude(attribution.exact(B.games(spark, sf_dir), sorted(B.OUTCOMES)))
-    last = ranked.orderBy(F.desc("position")).first()["feature"]
+    # One of the event types: at most five rows.
+    (last,) = [r["feature"] for r in ranked.orderBy(F.desc("position")).limit(1).collect()]
     return attribution.figure_rows(ranked, last, 3).select("feature", "position")
 
 
@@ -378,3 +379,43 @@ def request_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = {"case": F.concat(F.lit("case-"), c), "patient": F.concat(F.lit("p-"), F.floor(c / 3)), "truth": F.concat(F.lit("Type "), c % 5)}
     secrets = rows.select("conv_id").distinct().select("conv_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in kinds.items()])).alias("x")).select("conv_id", "x.*")
     return scoring.leaks(asked, secrets, "conv_id")
+
+
+# Reference releases --------------------------------------------------------------------------------------------------
+
+_RELEASE_SQL = B.PROFILES_SQL + """,
+ids AS (SELECT vec_id AS sample_id, 'g' || (vec_id // 2) AS g, label::varchar AS class_id FROM embeddings),
+samples AS (SELECT sample_id, CASE WHEN sample_id % 5 <> 0 THEN g END AS patient_group_id, CASE WHEN sample_id % 97 = 0 THEN 'research' ELSE 'synthetic' END AS data_class, CASE WHEN sample_id % 41 = 0 THEN 'blocked' WHEN sample_id % 43 <> 0 THEN 'pass' END AS qc FROM ids),
+lab0 AS (SELECT sample_id, CASE WHEN sample_id % 59 = 0 THEN 'other' ELSE g END AS patient_group_id, class_id, CASE WHEN sample_id % 61 = 0 THEN 'N' ELSE 'n' END || class_id AS cancer_type FROM ids WHERE sample_id % 47 <> 0),
+labels_ AS (SELECT * FROM lab0 UNION ALL SELECT * FROM lab0 WHERE sample_id % 53 = 0 UNION ALL SELECT 1000000 + sample_id, patient_group_id, class_id, 'n' || class_id FROM lab0 WHERE sample_id % 83 = 0),
+recs AS (SELECT sample_id, CASE WHEN sample_id % 67 = 0 AND gene = 'G4' THEN 'G5' ELSE gene END AS gene, CASE WHEN sample_id % 71 = 0 AND gene = 'G6' THEN 'inf'::double ELSE value END AS value FROM profiles)"""
+
+
+def _release(spark: SparkSession, sf_dir: str, faults: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(samples, labels, records) of the profiles, with planted faults of every kind or with none."""
+    s, g = F.col("sample_id"), F.concat(F.lit("g"), F.floor(F.col("sample_id") / 2))
+    odd = lambda k: (s % k == 0) & F.lit(faults)
+    ids = B.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), F.col("label").cast("string").alias("class_id"))
+    samples = ids.select("sample_id", F.when(s % 5 != 0, g).alias("patient_group_id"), F.when(odd(97), "research").otherwise("synthetic").alias("data_class"), F.when(odd(41), "blocked").when(~odd(43), "pass").alias("qc"), F.sha2(s.cast("string"), 256).alias("measurement_sha256"))
+    labels = ids.where(~odd(47)).select("sample_id", F.when(odd(59), "other").otherwise(g).alias("patient_group_id"), "class_id", F.concat(F.when(odd(61), "N").otherwise("n"), "class_id").alias("cancer_type"))
+    labels = labels.unionByName(labels.where(odd(53))).unionByName(labels.where(odd(83)).withColumn("cancer_type", F.concat(F.lit("n"), "class_id")).withColumn("sample_id", s + 1_000_000))
+    records = B.profiles(spark, sf_dir).select("sample_id", F.when(odd(67) & (F.col("gene") == "G4"), "G5").otherwise(F.col("gene")).alias("gene"), F.when(odd(71) & (F.col("gene") == "G6"), float("inf")).otherwise(F.col("value")).alias("value"))
+    return samples, labels, records
+
+
+@query(f"""WITH {_RELEASE_SQL} SELECT sample_id::varchar AS subject, 'duplicate label' AS problem FROM labels_ GROUP BY sample_id HAVING count(*) > 1 UNION ALL SELECT sample_id::varchar, 'no label' FROM samples WHERE sample_id NOT IN (SELECT sample_id FROM labels_)
+UNION ALL SELECT sample_id::varchar, 'no sample' FROM labels_ WHERE sample_id NOT IN (SELECT sample_id FROM samples) UNION ALL SELECT sample_id::varchar, 'blocked or absent quality control' FROM samples WHERE qc IS NULL OR qc = 'blocked'
+UNION ALL SELECT DISTINCT s.sample_id::varchar, 'patient group conflicts with the sample' FROM samples s JOIN labels_ l USING (sample_id) WHERE s.patient_group_id <> l.patient_group_id
+UNION ALL SELECT class_id, 'class has conflicting names' FROM labels_ GROUP BY 1 HAVING count(DISTINCT cancer_type) > 1 UNION ALL SELECT 'release', 'synthetic and research samples together' FROM samples HAVING count(DISTINCT data_class) > 1
+UNION ALL SELECT DISTINCT sample_id::varchar, CASE WHEN n > 1 THEN 'duplicate canonical gene' ELSE 'value is not finite' END FROM (SELECT sample_id, gene, count(*) AS n, max(value) AS v FROM recs GROUP BY 1, 2) WHERE n > 1 OR isinf(v)""")
+def release_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return releases.problems(*_release(spark, sf_dir, True))
+
+
+@query(f"""WITH {B.PROFILES_SQL}, m AS (SELECT class_id, gene, avg(value) AS mean, count(*) AS members FROM profiles GROUP BY 1, 2)
+SELECT class_id, 'n' || class_id AS cancer_type, (SELECT count(*) FROM embeddings WHERE label::varchar = class_id) AS samples, count(*) AS genes, round(sum(mean), 6) + 0.0 AS total, min(members) AS members FROM m GROUP BY 1""")
+def release_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A release of all profiles: each class with its samples, and its centroid summed up."""
+    made = releases.release(*_release(spark, sf_dir, False))
+    sums = made["centroids"].groupBy("class_id").agg(F.count(F.lit(1)).alias("genes"), F.sum("mean").alias("total"), F.min("members").alias("members"))
+    return rounded(made["classes"].join(sums, "class_id").select("class_id", "cancer_type", "samples", "genes", "total", "members"))
