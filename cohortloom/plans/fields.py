@@ -419,3 +419,32 @@ def release_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = releases.release(*_release(spark, sf_dir, False))
     sums = made["centroids"].groupBy("class_id").agg(F.count(F.lit(1)).alias("genes"), F.sum("mean").alias("total"), F.min("members").alias("members"))
     return rounded(made["classes"].join(sums, "class_id").select("class_id", "cancer_type", "samples", "genes", "total", "members"))
+
+
+# Clinical contexts ---------------------------------------------------------------------------------------------------
+
+
+@query("""WITH c AS (SELECT c_custkey AS k FROM customer), p AS (
+  SELECT k, 'assertions without an assessment' AS problem FROM c WHERE k % 7 = 0 AND k % 14 <> 0 UNION ALL SELECT k, 'invalid assessment' FROM c WHERE k % 7 <> 0 AND (k % 11 = 0 OR k % 13 = 0) UNION ALL SELECT k, 'performance status out of range' FROM c WHERE k % 14 <> 0 AND k % 6 = 5
+  UNION ALL SELECT k, 'too many entries' FROM c WHERE k % 14 <> 0 AND k % 101 = 0 UNION ALL SELECT k, 'investigation recorded twice' FROM c WHERE k % 14 <> 0 AND (k % 17 = 0 OR k % 101 = 0)
+  UNION ALL SELECT k, 'invalid investigation' FROM c WHERE k % 14 <> 0 AND k % 101 <> 0 AND (k % 19 = 0 OR k % 23 = 0 OR k % 29 = 0) UNION ALL SELECT k, 'invalid ldh' FROM c WHERE k % 14 <> 0 AND k % 2 = 0 AND (k % 31 = 0 OR k % 37 = 0) UNION ALL SELECT k, 'invalid review' FROM c WHERE k % 41 = 0 OR k % 43 = 0)
+SELECT k::varchar AS subject, problem FROM p""")
+def clinical_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as clinical contexts, empty ones among them, with faults of every kind in rows that their numbers name."""
+    k = F.col("c_custkey")
+    full = lambda value: F.when(k % 14 != 0, value)
+    assessment = F.struct(F.when(k % 13 == 0, "bad id").otherwise("r-1").alias("reviewer_id"), F.when(k % 11 == 0, "2023-02-29").otherwise("2024-02-29").alias("recorded_on"), F.lit("notes").alias("source"))
+    first = F.struct(
+        F.lit("imaging").alias("kind"), F.when(k % 19 == 0, "declined").otherwise("completed").alias("status"), F.when(k % 29 == 0, " ").otherwise("letter").alias("source"), F.when(k % 23 == 0, 40_000).otherwise(-3).alias("day"),
+        F.lit("clear").alias("result"), F.lit(None).cast("string").alias("reason"),
+    )
+    second = F.struct(F.when(k % 17 == 0, "imaging").otherwise("biopsy").alias("kind"), F.lit("planned").alias("status"), F.lit("letter").alias("source"), F.lit(None).cast("int").alias("day"), F.lit(None).cast("string").alias("result"), F.lit(None).cast("string").alias("reason"))
+    ldh = F.struct(F.when(k % 31 == 0, -1.0).otherwise(2.0).alias("value"), F.when(k % 37 == 0, "").otherwise("u/l").alias("units"), F.lit("lab").alias("source"), F.lit(0).alias("day"))
+    whole = F.struct(F.lit("r-1").alias("reviewer_id"), F.lit("2024-02-29").alias("recorded_on"), F.lit("notes").alias("source"))
+    review = F.struct(F.lit("rule").alias("rule_id"), F.lit("v1").alias("ruleset_version"), F.when(k % 41 == 0, None).otherwise("seen").alias("reason"), F.when(k % 43 == 0, "zz").otherwise(F.sha2(k.cast("string"), 256)).alias("basis_sha256"), whole.alias("assessment"))
+    rows = B.table(spark, sf_dir, "customer").select(
+        k.alias("case_id"), F.when(k % 7 != 0, assessment).alias("assessment"), full(F.lit("muo")).alias("stage"), F.lit("unknown").alias("lineage"), F.lit(None).cast("map<string,boolean>").alias("features"),
+        full(F.when(k % 101 == 0, F.array_repeat(second, 33)).otherwise(F.array(first, second))).alias("investigations"), full((k % 6).cast("int")).alias("ecog"), full(F.when(k % 2 == 0, ldh)).alias("ldh"), F.lit(None).cast("struct<value:double,units:string,source:string,day:int>").alias("albumin"), F.array(review).alias("reviews"),
+    )
+    return validation.clinical_problems(rows)
+

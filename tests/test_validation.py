@@ -48,3 +48,38 @@ def test_exports(spark):
     assert exports.study_markdown({"t": df, "cox_unavailable": "no events", "d": {"t": df, "rows": df}}).count("\\*c\\*") == 2
     records = spark.createDataFrame([("s", 2, "s", "TP53", "resolved", "HGNC:1", "1", "measured", 1.0, ["HGNC:1"])], "sample_id string, record long, source_column string, original string, mapping string, gene string, raw string, status string, value double, candidates array<string>")
     assert len(exports.measurements(records, "tpm", "ab").columns) == 12
+
+
+EVIDENCE = (
+    "case_id string, schema_version int, age_lower_bound int, specimen_site string, metadata struct<patient_id:string,sample_id:string,institution_id:string,evidence_cutoff:string>, clinical string, "
+    "findings array<struct<finding_id:string,value:string,source:struct<source_id:string,source_sha256:string,record:long,field:string>,observation:struct<status:string,units:string,assay:string,timepoint:string,reference_build:string>>>"
+)
+
+
+def test_evidence(spark):
+    source, seen, meta = ("s1", "ab" * 32, 2, "value"), ("observed", None, "ihc", None, None), ("p", None, None, "2024")
+    rows = [
+        ("plain", 1, None, None, None, None, [("f", "v", None, None)]), ("two", 2, 89, "liver", meta, None, [("f", "v", source, seen)]), ("three", 3, None, None, meta, "context", []),
+        ("old", 1, None, None, meta, None, [("f", "v", None, None)]), ("bare", 2, None, None, None, None, [("f", "v", None, None)]), ("no context", 3, None, None, meta, None, []), ("context", 2, None, None, meta, "c", []),
+        ("bound", 2, 120, " ", ("bad id", None, None, "x\ny"), None, []), ("source", 2, None, None, meta, None, [("f", "v", ("s1", "zz", 0, ""), seen)]), ("seen", 2, None, None, meta, None, [("f", "v", source, ("observed", " ", None, None, None))]),
+        ("tested", 2, None, None, meta, None, [("f", "v", source, ("not_tested", None, None, None, None))]), ("empty", 2, None, None, meta, None, [("f", " ", source, seen)]),
+    ]
+    got = problems(validation.evidence_problems(spark.createDataFrame(rows, EVIDENCE)))
+    assert got == {
+        ("old", "evidence metadata in schema 1"), ("bare", "schema without evidence metadata"), ("no context", "clinical context and schema disagree"), ("context", "clinical context and schema disagree"),
+        *(("bound", p) for p in ("age bound out of range", "invalid specimen site", "invalid metadata id", "invalid evidence cutoff")), ("source", "invalid source"), ("seen", "invalid observation"),
+        ("tested", "status against the recorded value"), ("empty", "finding value empty or too long"),
+    }, got
+    assert validation.evidence_problems(spark.createDataFrame([], EVIDENCE)).count() == 0
+
+
+def test_absent_clinical_parts(spark):
+    a, m = "struct<reviewer_id:string,recorded_on:string,source:string>", "struct<value:double,units:string,source:string,day:int>"
+    schema = f"case_id string, assessment {a}, stage string, lineage string, features map<string,boolean>, investigations array<struct<kind:string,status:string,source:string,day:int,result:string,reason:string>>, ecog int, ldh {m}, albumin {m}, reviews array<struct<rule_id:string,ruleset_version:string,reason:string,basis_sha256:string,assessment:{a}>>"
+    who = ("r", "2024-01-31", "notes")
+    rows = [
+        ("nothing", None, None, None, None, None, None, None, None, None), ("who", who, "muo", "unknown", {"x": None}, [("a", "pending", "s", None, None, None)], 0, (0.0, "u", "s", None), None, []),
+        ("alone", None, None, None, {"x": True}, None, None, None, None, []), ("no result", who, None, None, None, [("a", "completed", "s", None, None, None)], None, None, None, None), ("no status", who, None, None, None, [("a", None, "s", None, "r", None)], None, None, (float("nan"), "u", "s", 1), None),
+    ]
+    got = problems(validation.clinical_problems(spark.createDataFrame(rows, schema)))
+    assert got == {("alone", "assertions without an assessment"), ("no result", "invalid investigation"), ("no status", "invalid albumin")}, got
