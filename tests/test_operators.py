@@ -78,7 +78,9 @@ def test_refit(spark):
     m, y = rng.random((96, 6)), rng.random((40, 96)) * 50
     x, made, took, done = spectra.nnls(m, y)
     g = (made - y) @ m
-    assert done.all() and (took > 1).all() and (x >= 0).all() and (g > -1e-4).all() and np.abs(g * x).max() < 1e-3
+    # The descent ends when no exposure moves by 1e-9 of the total, so a gradient is at most that times the matrix of products.
+    slack = (np.abs(m.T @ m).sum(axis=0) * spectra.CHANGE)[None, :] * y.sum(axis=1)[:, None]
+    assert done.all() and (took > 1).all() and (x >= 0).all() and (g > -slack).all() and (np.abs(g)[x > 0] <= slack[x > 0]).all()
     assert all(np.allclose(spectra.nnls(m, y[i : i + 1])[0][0], x[i]) for i in (0, 7, 39))
     assert not spectra.nnls(m, y, sweeps=1)[3].any()
 
