@@ -84,8 +84,11 @@ def hits_asked(part: int, threshold: float = THRESHOLD) -> int:
     return max([1, *(h for h in range(1, k + 1) if below(h) <= MISS)])
 
 
-def signatures(items: DataFrame, item: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
-    """(item, __h, __part, __need): the signature of every item, its partition and how many of its hashes make a candidate."""
+def signatures(items: DataFrame, item: str, text: str, threshold: float = THRESHOLD, whole: bool = False) -> DataFrame:
+    """(item, __h, __part, __need): the signature of every item, its partition and how many of its hashes make a candidate.
+
+    With `whole` every item's signature is all of its shingles.
+    """
     each = _hashes(items.where(F.col(item).isNotNull()), item, text).distinct()
     first = W.partitionBy(item).orderBy(F.xxhash64("__h", F.lit(7)), "__h")
     n = F.count(F.lit(1)).over(W.partitionBy(item))
@@ -94,14 +97,21 @@ def signatures(items: DataFrame, item: str, text: str, threshold: float = THRESH
     of = lambda values: F.element_at(F.lit(values), part + 1)
     length, hits = of([signature_length(p) for p in range(LARGEST + 1)]), of([hits_asked(p, threshold) for p in range(LARGEST + 1)])
     # A small item is searched whole, so that fewer hits than the threshold's share rule it out for certain.
-    need = F.when(part < WHOLE, F.greatest(F.lit(1), F.ceil(F.col("__n") * threshold - 1e-9))).otherwise(hits)
+    share = F.greatest(F.lit(1), F.ceil(F.col("__n") * threshold - 1e-9))
+    if whole:
+        return ranked.select(item, "__h", part.alias("__part"), share.cast("int").alias("__need"))
+    need = F.when(part < WHOLE, share).otherwise(hits)
     return ranked.where(F.col("__r") <= length).select(item, "__h", part.alias("__part"), need.cast("int").alias("__need"))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc, item, n_shingles, n_found, containment) of every document that contains at least `threshold` of an item."""
+def contaminated(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", threshold: float = THRESHOLD, whole: bool = False) -> DataFrame:
+    """(doc, item, n_shingles, n_found, containment) of every document that contains at least `threshold` of an item.
+
+    Signatures of items of 2**WHOLE shingles or more miss such a document with a probability of at most MISS; `whole` misses
+    none, at the price of a signature as long as the item.
+    """
     docs, items = docs.select(doc, text).where(F.col(doc).isNotNull()), items.select(item, text)
-    signed = saved(signatures(items, item, text, threshold), "signatures")
+    signed = saved(signatures(items, item, text, threshold, whole), "signatures")
     met = _hashes(docs, doc, text).join(_bounded(signed), "__h").select(doc, item, "__part", "__h", "__need").distinct()
     hits = met.groupBy(doc, "__part", item).agg(F.count(F.lit(1)).alias("__c"), F.max("__need").alias("__need"))
     candidates = saved(hits.where("__c >= __need").select(doc, item), "candidates")
