@@ -165,7 +165,7 @@ def rule_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("case_id"), maybe(13, (k % 90).cast("int")).alias("age_years"), F.when(k % 13 == 0, F.lit(89)).alias("age_lower_bound"),
         F.when(k % 5 == 0, "lymphoma").when(k % 5 == 1, "neuroendocrine").otherwise("carcinoma").alias("lineage"), F.when(k % 7 == 0, "unassessed").when(k % 7 == 1, "primary_identified").otherwise("muo").alias("stage"),
         F.when(F.col("n").isNotNull(), F.col("most") > 1000).alias("metastatic"), maybe(17, F.col("c_acctbal") > 0).alias("fit_for_treatment"), maybe(19, F.lit(True)).alias("changes_management"),
-        F.lit(True).alias("understands_purpose"), maybe(23, F.lit(True)).alias("understands_risks"), F.lit(True).alias("accepts_treatment"), F.col("has_f").alias("marker"),
+        F.lit(True).alias("understands_purpose"), maybe(23, F.lit(True)).alias("understands_risks"), F.lit(True).alias("accepts_treatment"), F.col("has_f").alias("marker"), F.col("n").isNotNull().alias("has_orders"),
         F.when(k % 4 == 0, F.array(F.struct(F.lit("imaging").alias("kind"), F.when(k % 8 == 0, "completed").when(k % 12 == 0, "declined").otherwise("planned").alias("status")))).alias("investigations"),
     )
 
