@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions.stats import Z95, chi_squared_tail_of, erfc, erfc_value, inverse, ratio, solved
 from cohortloom.operators.running import BLOCKS, quantile_block, running
-from cohortloom.operators.tables import written
+from cohortloom.operators.tables import tasks_for, written
 
 MOST_GROUPS = 32
+# Patients that one task counts.
+TASK_PATIENTS = 1_000_000
 ARMS = ("concordant", "discordant")
 
 
@@ -25,9 +27,11 @@ class Unavailable(Exception):
 
 
 def problems(rows: DataFrame) -> DataFrame:
-    """(patient_id, problem) of observations that no survival statistic may use."""
+    """(patient_id, problem) of observations that no survival statistic may use.
+
+    The rows are made once; their ids and problems are kept, as ids are then counted in tasks of about `TASK_PATIENTS`.
+    """
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
-    repeated = rows.groupBy("patient_id").count().where("count > 1").select("patient_id", F.lit("duplicate patient").alias("problem"))
     checks = F.array_compact(F.array(
         F.when(F.col("patient_id").isNull(), "missing patient"),
         F.when(~(finite("entry") & finite("time")), "interval is not finite"),
@@ -36,7 +40,13 @@ def problems(rows: DataFrame) -> DataFrame:
         F.when(F.col("event").isNull(), "missing event"),
         F.when((F.col("propensity") <= 0) | (F.col("propensity") >= 1), "propensity outside (0, 1)"),
     ))
-    return rows.select("patient_id", F.explode(checks).alias("problem")).unionByName(repeated)
+    checked = written(rows.select("patient_id", checks.alias("problems")), "checked")
+    duplicate = F.lit("duplicate patient").alias("problem")
+    ids = checked.where("patient_id is not null").select("patient_id")
+    ids = ids.repartition(tasks_for(rows.sparkSession, checked.count(), TASK_PATIENTS), "patient_id")
+    repeated = ids.groupBy("patient_id").count().where("count > 1").select("patient_id", duplicate)
+    unnamed = checked.where("patient_id is null").agg(F.count(F.lit(1)).alias("n"), F.max("patient_id").alias("patient_id")).where("n > 1").select("patient_id", duplicate)
+    return checked.select("patient_id", F.explode("problems").alias("problem")).unionByName(repeated).unionByName(unnamed)
 
 
 def _steps(rows: DataFrame, by: list[str], values: dict[str, tuple[Column, Column]]) -> DataFrame:

@@ -42,6 +42,14 @@ def row_numbers(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return placed.withColumn("__part", part).join(F.broadcast(starts), "__part").withColumn(name, own + F.col("__start")).drop("__part", "__at", "__start")
 
 
+def tasks_for(spark: SparkSession, rows: int, most: int) -> int:
+    """How many tasks `rows` are dealt to by a key, so that what one holds stays the same at any size: some `most` rows.
+
+    A number of partitions that is fixed, or that Spark reckons from compressed bytes, makes a task's tables grow with the input.
+    """
+    return max(spark.sparkContext.defaultParallelism, -(-rows // most))
+
+
 SMALL_ROWS = 100_000
 
 

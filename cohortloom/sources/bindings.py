@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cohortloom.operators.cases import split
+from cohortloom.operators.tables import tasks_for
 
 SEED = "42"
 CLASSES = ["click", "error", "purchase", "view"]
 OUTCOMES = [*CLASSES, "signup"]
 BROAD = {"click": "browse", "view": "browse", "purchase": "buy"}
+# Orders and their items that one task groups and joins.
+TASK_ROWS = 1_500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +31,11 @@ def named(spark: SparkSession, ids: list[str]) -> DataFrame:
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Survival observations: one an order."""
-    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("ship"), F.max(F.col("l_returnflag") == "R").alias("event"), F.sum("l_quantity").alias("qty"), F.avg("l_discount").alias("disc"))
-    o = table(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"))
+    """Survival observations: one an order. Orders and items are dealt by order into tasks of about `TASK_ROWS`, once for grouping and join."""
+    o, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    n = tasks_for(spark, o.count() + items.count(), TASK_ROWS)
+    items = items.repartition(n, "l_orderkey").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("ship"), F.max(F.col("l_returnflag") == "R").alias("event"), F.sum("l_quantity").alias("qty"), F.avg("l_discount").alias("disc"))
+    o = o.repartition(n, "o_orderkey").join(items, F.col("o_orderkey") == F.col("l_orderkey"))
     entry = F.col("o_custkey") % 7
     arm = F.when(F.col("o_orderstatus") == "F", "concordant").when(F.col("o_orderstatus") == "O", "discordant").otherwise("empiric")
     days = F.abs(F.datediff(F.to_date("ship"), F.to_date("o_orderdate")))
