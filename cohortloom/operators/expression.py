@@ -13,9 +13,12 @@ from pyspark.sql import Window as W
 
 from cohortloom.functions.stats import ratio
 from cohortloom.functions.text import ascii_lower, finite, is_missing, strict_double, stripped
+from cohortloom.operators.tables import tasks_for
 
 COUNT_LIMIT = float(2**53 - 1)
 EPSILON = 2.220446049250313e-16
+# Genes whose keys one task makes distinct.
+TASK_GENES = 100_000
 
 
 def log2_1p(x: Column) -> Column:
@@ -37,8 +40,12 @@ def measured(records: DataFrame, unit: str = "tpm", log: bool = False, raw: str
 
 
 def dictionary(table: DataFrame) -> DataFrame:
-    """(namespace, key, gene) of the approved genes of a dictionary: hgnc, ensembl, entrez, symbol, alias and previous names."""
-    ok = table.where((F.col("status") == "Approved") & F.rlike("hgnc_id", F.lit(r"\AHGNC:\d+\z")))
+    """(namespace, key, gene) of the approved genes of a dictionary: hgnc, ensembl, entrez, symbol, alias and previous names.
+
+    Rows are dealt by gene before their keys are made, so equal keys of a gene meet in one task of about `TASK_GENES`.
+    """
+    dealt = table.repartition(tasks_for(table.sparkSession, table.count(), TASK_GENES), "hgnc_id")
+    ok = dealt.where((F.col("status") == "Approved") & F.rlike("hgnc_id", F.lit(r"\AHGNC:\d+\z")))
     one = lambda space, key: F.struct(F.lit(space).alias("namespace"), key.alias("key"))
     many = lambda c: F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda x: one("alias", ascii_lower(stripped(x))))
     keys = F.concat(
