@@ -232,16 +232,21 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def linked(prints: DataFrame, fp: str = "fp", doc: str = "doc_id", radius: int = RADIUS, most: int = MEMBERS) -> DataFrame:
-    """Adds component_id: the smallest doc reachable over fingerprints within `radius` bits."""
+def print_links(nodes: DataFrame, fp: str = "fp", radius: int = RADIUS, most: int = MEMBERS) -> DataFrame:
+    """Edges (a > b) between distinct fingerprints within `radius` bits that connect all that are within it."""
     if not 0 <= radius <= 5:
         raise ValueError("two halves serve a radius of 0 to 5")
-    nodes = saved(prints.groupBy(fp).agg(F.min(doc).alias("__least")), "fingerprints")
     keys = ball_keys(nodes.select(fp, F.col(fp).alias("__node"), F.col(fp).alias("__check")), fp, "__node", "__check")
     large = saved(large_keys(nodes, fp, most), "large")
     if large.limit(1).count():
         keys = dealt_keys(keys, large)
-    rooted = components(saved(colliding_edges(keys, radius), "links"))
+    return saved(colliding_edges(keys, radius), "links")
+
+
+def linked(prints: DataFrame, fp: str = "fp", doc: str = "doc_id", radius: int = RADIUS, most: int = MEMBERS) -> DataFrame:
+    """Adds component_id: the smallest doc reachable over fingerprints within `radius` bits."""
+    nodes = saved(prints.groupBy(fp).agg(F.min(doc).alias("__least")), "fingerprints")
+    rooted = components(print_links(nodes, fp, radius, most))
     whole = nodes.join(rooted, nodes[fp] == rooted["node"], "left").select(nodes[fp], "__least", F.coalesce("root", nodes[fp]).alias("__root"))
     least = whole.groupBy("__root").agg(F.min("__least").alias("component_id"))
     ids = whole.join(least, "__root").select(fp, "component_id")
@@ -472,43 +477,64 @@ def verified_pairs(pairs: DataFrame, texts: DataFrame, similarity: float, size:
     return out
 
 
+def print_ties(texts: DataFrame, radius: int = RADIUS, most: int = MEMBERS) -> DataFrame:
+    """(a, b), a > b, of texts (node, n, fp) that SimHash links: as many pairs as connect all texts within `radius` bits.
+
+    The first text of a fingerprint stands for it: the others are tied to it, and it to those of the linked fingerprints.
+    Texts without words are left out, as they share no shingle.
+    """
+    own = texts.where("n > 0").select(F.col("node").alias("a"), F.col("fp").alias("b"))
+    prints = saved(own.groupBy("b").agg(F.min("a").alias("first")).withColumnRenamed("b", "fp"), "fingerprints")
+    first = lambda name: prints.select(F.col("fp").alias("node"), F.col("first").alias(name))
+    own = joined_end(own, "b", first("y"), hubs_of(own)).select(F.col("a").alias("x"), "y")
+    links = print_links(prints, "fp", radius, most)
+    hubs = hubs_of(links)
+    across = joined_end(joined_end(links, "a", first("x"), hubs), "b", first("y"), hubs).select("x", "y")
+    return own.unionAll(across).where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
 def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, tile: int = TILE) -> DataFrame:
     """(digest, doc_id, root_digest, root_id) of every distinct text that isn't the one to stay of its group.
 
     Texts group if they are equal, or linked by pairs whose sets of `size`-word shingles have a Jaccard similarity of at
-    least `similarity`. The search is exact: all such pairs meet on a shingle of their prefixes (`shared_prefixes`) and
-    candidates are verified on whole texts. First, in up to ROUNDS rounds, the components of each key are tied to its
-    first text (`key_ties`), so a large group of copies becomes one component with as many pairs as it has members; then
-    all candidates between different components are verified, so none is left out.
+    least `similarity`. SimHash comes first: texts whose fingerprints it links (`print_ties`) are verified on whole texts and
+    become components. An exact search does the rest, as fingerprints miss links: all such pairs meet on a shingle of their
+    prefixes (`shared_prefixes`). In up to ROUNDS rounds the components of each key are tied to its first text (`key_ties`),
+    so a large group of copies becomes one component with as many pairs as it has members; then all candidates between
+    different components are verified, so none is left out.
     """
     digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
     named = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), digest.alias("digest"))
     texts = named.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("text").alias("text"))
     # Numbered as they are written, so no two texts have one number.
-    texts = saved(with_sketches(texts.select("digest", "least", "text", F.monotonically_increasing_id().alias("node")), size), "texts")
-    met = saved(shared_keys(shared_prefixes(texts, similarity, size)), "met")
+    numbered = with_sketches(texts.select("digest", "least", "text", F.monotonically_increasing_id().alias("node")), size)
+    texts = saved(fingerprints(numbered), "texts")
     rooted = links = tested = None
 
+    def tied(pairs: DataFrame, what: str) -> bool:
+        """Verifies the pairs that have not been tested; true if they gave new links."""
+        nonlocal rooted, links, tested
+        new = saved(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), what)
+        if new.isEmpty():
+            return False
+        found = verified_pairs(new, texts, similarity, size)
+        tested, links = (new, found) if tested is None else (tested.unionAll(new), links.unionAll(found))
+        if found.isEmpty():
+            return False
+        rooted = components(links)
+        return True
+
     def members() -> DataFrame:
         if rooted is None:
             return met.withColumn("root", F.col("node"))
         return met.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
+    tied(print_ties(texts), "prints")
+    met = saved(shared_keys(shared_prefixes(texts, similarity, size)), "met")
     for _ in range(ROUNDS):
-        ties = key_ties(members(), similarity)
-        ties = saved(ties if tested is None else ties.join(tested, ["a", "b"], "left_anti"), "ties")
-        if ties.isEmpty():
-            break
-        found = verified_pairs(ties, texts, similarity, size)
-        tested, links = (ties, found) if tested is None else (tested.unionAll(ties), links.unionAll(found))
-        if found.isEmpty():
+        if not tied(key_ties(members(), similarity), "ties"):
             break
-        rooted = components(links)
-    if tested is not None:
-        rest = saved(across_pairs(members(), similarity, tile).join(tested, ["a", "b"], "left_anti"), "candidates")
-        links = links.unionAll(verified_pairs(rest, texts, similarity, size))
-        rooted = components(links)
-        dropped(rest)
+    tied(across_pairs(members(), similarity, tile), "candidates")
     dropped(met)
     whole = texts.select("digest", "least", "node")
     whole = whole.withColumn("root", F.col("node")) if rooted is None else whole.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -201,3 +201,40 @@ def test_hubs_change_nothing(spark, monkeypatch):
     found = simhash.hubs_of
     monkeypatch.setattr(simhash, "hubs_of", lambda pairs: found(pairs, 1))
     assert rows(simhash.without_near_duplicates(sample(spark).unionByName(df))) == plain
+
+
+def test_near_duplicates_go_through_simhash(spark, monkeypatch):
+    """The stage's first pairs are SimHash's: they connect just the texts that brute force over fingerprints does."""
+    import random
+
+    made, ties = [], simhash.print_ties
+    monkeypatch.setattr(simhash, "print_ties", lambda texts, **more: made.append((texts, ties(texts, **more))) or made[-1][1])
+    dropped = simhash.dropped
+    monkeypatch.setattr(simhash, "dropped", lambda *tables: None)
+    r = random.Random(5)
+    words = [[f"w{r.randrange(10**6)}" for _ in range(400)] for _ in range(12)]
+    rows = [" ".join(w[:k] + ["new"] * (k > 0) + w[k + 1 :]) for w in words for k in (0, 9, 200, 390)] + [" ".join(w).upper() for w in words] + [" ", "\n", ""]
+    df = sample(spark).unionByName(spark.createDataFrame([(10**6 + i, t, "en", "s", 0) for i, t in enumerate(rows)], DOCS))
+    stayed = corpus_pipeline.near_duplicate_stage(spark, df, "").count()
+    monkeypatch.setattr(simhash, "dropped", dropped)
+    [(texts, pairs)] = made
+    rows = sorted((r["node"], r["text"]) for r in texts.where("n > 0").collect())
+    prints = [simhash.fingerprint(simhash.hashes(simhash.shingles(simhash.words_of(t), 3))) for _, t in rows]
+    assert {r["node"]: r["fp"] % 2**64 for r in texts.where("n > 0").collect()} == {n: p for (n, _), p in zip(rows, prints)}
+
+    def parts(edges):
+        root = {n: n for n, _ in rows}
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b in edges:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+        return {n: find(n) for n in root}
+
+    want = parts((rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= simhash.RADIUS)
+    assert parts((r["a"], r["b"]) for r in pairs.collect()) == want and len(set(want.values())) < len(rows) - 12
+    assert 0 < stayed < df.count()
