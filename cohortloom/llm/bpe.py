@@ -5,8 +5,8 @@ The smallest rank is found by a scan, one boundary goes, and the ranks on both s
 That is quadratic in the word's length with a very small constant, so it serves words of up to `SHORT` symbols;
 longer ones (base64, URLs without breaks) take a heap over a linked list, which gives the same merges.
 
-Words repeat, so each Python worker keeps a bounded table of words it has encoded. The job has no shuffle:
-it is a map over the rows, and a lost executor costs only its tasks.
+Words repeat, so each task keeps a bounded table of words it has encoded; it goes with the task, as Spark keeps Python
+workers for other stages. The job has no shuffle: it is a map over the rows, and a lost executor costs only its tasks.
 
 Defined results: a null or empty text has no tokens and decodes to the empty text; other columns pass
 through untouched, except that columns named as the outputs are replaced; repeated rows give repeated results.
@@ -169,23 +169,27 @@ def round_trip(docs: DataFrame, tokenizer_path: str, text: str = "text", ids: st
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _tokenizer(spec.value)
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(at, ROWS_AT_ONCE)
-                slots: dict[str, int] = {}
-                rows = [[slots.setdefault(w, len(slots)) for w in bpe.words(t)] if t else [] for t in batch.column(text).to_pylist()]
-                encoded = [bpe.encode_word(w) for w in slots]
-                texts = [bpe.decode(x) for x in encoded]
-                size = np.array([len(x) for x in encoded], dtype=np.int64)
-                start = np.concatenate([[0], np.cumsum(size)])
-                flat = np.fromiter((i for x in encoded for i in x), dtype=np.int32, count=int(start[-1]))
-                word = np.fromiter((k for r in rows for k in r), dtype=np.int64, count=sum(map(len, rows)))
-                n = size[word]
-                ends = np.cumsum(n)
-                picked = flat[np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n - start[word], n)]
-                offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(r) for r in rows])])]
-                back = pa.array([" ".join([texts[k] for k in r]) for r in rows], pa.string())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(picked, pa.int32())), back], names=[*batch.schema.names, ids, decoded])
+        try:
+            for whole in batches:
+                for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                    batch = whole.slice(at, ROWS_AT_ONCE)
+                    slots: dict[str, int] = {}
+                    rows = [[slots.setdefault(w, len(slots)) for w in bpe.words(t)] if t else [] for t in batch.column(text).to_pylist()]
+                    encoded = [bpe.encode_word(w) for w in slots]
+                    texts = [bpe.decode(x) for x in encoded]
+                    size = np.array([len(x) for x in encoded], dtype=np.int64)
+                    start = np.concatenate([[0], np.cumsum(size)])
+                    flat = np.fromiter((i for x in encoded for i in x), dtype=np.int32, count=int(start[-1]))
+                    word = np.fromiter((k for r in rows for k in r), dtype=np.int64, count=sum(map(len, rows)))
+                    n = size[word]
+                    ends = np.cumsum(n)
+                    picked = flat[np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n - start[word], n)]
+                    offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(r) for r in rows])])]
+                    back = pa.array([" ".join([texts[k] for k in r]) for r in rows], pa.string())
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(picked, pa.int32())), back], names=[*batch.schema.names, ids, decoded])
+        finally:
+            # The worker stays, idle or in other stages, and a process that keeps its words is as large as its longest run of tasks.
+            bpe.known.clear()
 
     return kept.mapInArrow(apply, schema)
 

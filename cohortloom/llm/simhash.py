@@ -35,6 +35,8 @@ from cohortloom.llm.common import dropped, saved
 
 RADIUS = 3
 SEED = 42
+# Words of a shingle of a fingerprint.
+WORDS = 3
 BLOCK = 512
 # Members of a key that are compared in one block; a larger key is dealt out in pairs of blocks.
 MEMBERS = 4096
@@ -79,7 +81,7 @@ def fingerprint(h: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", size: int = 3, into: str = "fp") -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", size: int = WORDS, into: str = "fp") -> DataFrame:
     """Adds the fingerprint (long, the 64 bits as they are) of every whole text over shingles of `size` words, repeats included."""
     rest = docs.select([c for c in docs.columns if c != into])
     schema = T.StructType([*rest.schema.fields, T.StructField(into, T.LongType())])
@@ -436,17 +438,24 @@ def _within_sketches(pairs: DataFrame, sketches: DataFrame, similarity: float, h
     return both.mapInArrow(apply, "a long, b long")
 
 
-def with_sketches(texts: DataFrame, size: int) -> DataFrame:
-    """Adds n, the number of a text's distinct shingles, and their sketch."""
-    schema = T.StructType([*texts.schema.fields, T.StructField("n", T.IntegerType()), T.StructField("sketch", T.BinaryType())])
+def with_prints(texts: DataFrame, size: int) -> DataFrame:
+    """Adds n, the number of a text's distinct shingles of `size` words, their sketch, and fp, its fingerprint.
+
+    All in one map, so that a task has one Python worker for them, and not one for each.
+    """
+    schema = T.StructType([*texts.schema.fields, T.StructField("n", T.IntegerType()), T.StructField("sketch", T.BinaryType()), T.StructField("fp", T.LongType())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
+            counts, sketches, prints = [], [], []
             for text in batch.column("text").to_pylist():
-                parts = np.unique(hashes(shingles(words_of(text), size)))
-                made.append((len(parts), _sketch(parts)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([n for n, _ in made], pa.int32()), pa.array([x for _, x in made], pa.binary())], names=schema.names)
+                words = words_of(text)
+                parts = np.unique(hashes(shingles(words, size)))
+                counts.append(len(parts))
+                sketches.append(_sketch(parts))
+                prints.append(fingerprint(hashes(shingles(words, WORDS))))
+            made = [pa.array(counts, pa.int32()), pa.array(sketches, pa.binary()), pa.array(np.array(prints, dtype=np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
 
     return texts.mapInArrow(apply, schema)
 
@@ -507,8 +516,8 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, size: int =
     named = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), digest.alias("digest"))
     texts = named.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("text").alias("text"))
     # Numbered as they are written, so no two texts have one number.
-    numbered = with_sketches(texts.select("digest", "least", "text", F.monotonically_increasing_id().alias("node")), size)
-    texts = saved(fingerprints(numbered), "texts")
+    numbered = texts.select("digest", "least", "text", F.monotonically_increasing_id().alias("node"))
+    texts = saved(with_prints(numbered, size), "texts")
     rooted = links = tested = None
 
     def tied(pairs: DataFrame, what: str) -> bool:

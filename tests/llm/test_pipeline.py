@@ -238,3 +238,31 @@ def test_near_duplicates_go_through_simhash(spark, monkeypatch):
     want = parts((rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= simhash.RADIUS)
     assert parts((r["a"], r["b"]) for r in pairs.collect()) == want and len(set(want.values())) < len(rows) - 12
     assert 0 < stayed < df.count()
+
+
+def test_workers_keep_no_words(spark):
+    """Spark keeps Python workers for other stages: none of them holds the words that a task of the token stage has encoded."""
+    import pyarrow as pa
+
+    from cohortloom.llm import bpe
+
+    docs = spark.range(4000).selectExpr("id as doc_id", "'s' as source", "'en' as lang", "concat_ws(' ', transform(sequence(0, 20), k -> sha2(string(id * 21 + k), 256))) as text").repartition(4)
+    assert corpus_pipeline.token_stage(spark, docs, "").where("n_tokens > 100").count() == 4000
+
+    def held(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(m.known) for m in bpe._made.values())])], names=["n"])
+
+    assert {r["n"] for r in spark.range(64).repartition(64).mapInArrow(held, "n long").collect()} == {0}
+
+
+def test_sketches_and_fingerprints_are_one_map(spark):
+    """Maps in a row have a Python worker each; a task that makes a text's shingles, sketch and fingerprint has one."""
+    from pyspark.sql import functions as F
+
+    texts = sample(spark).unionByName(frame(spark)).select("text").distinct().withColumn("node", F.monotonically_increasing_id())
+    made = simhash.with_prints(texts, 5)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    rows = made.collect()
+    assert [r["fp"] % 2**64 for r in rows] == [simhash.fingerprint(simhash.hashes(simhash.shingles(simhash.words_of(r["text"]), 3))) for r in rows]
+    assert [r["n"] for r in rows] == [len(set(simhash.shingles(simhash.words_of(r["text"]), 5))) for r in rows]
